@@ -4,9 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import encode_bytes
+from .language_id import learn_languages, predict_language, training_rows
+from .line_dedup import line_dedup_digest
+from .mixing import mix_sources
 from .near_dedup import near_duplicate_groups
+from .shared import bucket_of
+from .toxicity import learn_toxicity, score_toxicity, training_labels
+from .warc_zip import round_trip
+
+RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,11 +27,103 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(_table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = learn_toxicity(docs, training_labels(_table(spark, sf_dir, "labels")))
+    return score_toxicity(docs, model, threshold=0.3).withColumn("held_out", bucket_of("doc_id", 4) == 2)
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_bytes(_table(spark, sf_dir, "documents"), public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN)
+
+
+def op4_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(_table(spark, sf_dir, "pages"), least_bytes=0)
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return predict_language(docs, learn_languages(training_rows(docs))).withColumn("held_out", bucket_of("doc_id", 3) == 1)
+
+
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(_table(spark, sf_dir, "documents"), max_passes=2.0, seed=17)
+    return mixed.select("doc_id", "source", "mix_pass", "mix_block", "mix_key")
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup_digest(_table(spark, sf_dir, "documents"), least_words=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
+    "op2_toxicity": op2_toxicity,
+    "op3_byte_bpe": op3_byte_bpe,
+    "op4_warc_packages": op4_warc_packages,
+    "op6_language": op6_language,
+    "op7_mix_sources": op7_mix_sources,
+    "op9_line_dedup": op9_line_dedup,
 }
 
 ORACLES: dict[str, str] = {
+    "op9_line_dedup": r"""
+WITH u AS (
+  SELECT doc_id, pos, unit, trim(unit, chr(32) || chr(9) || chr(10) || chr(13)) AS line, len(regexp_extract_all(unit, '[^\x20\x09-\x0D]+')) AS words
+  FROM (SELECT doc_id, unnest(us) AS unit, generate_subscripts(us, 1) AS pos
+        FROM (SELECT doc_id, list_filter(regexp_extract_all(coalesce(text, ''), '[^\n.!?]*[.!?]*[ \t]*\n*'), lambda x: x <> '') AS us FROM documents))),
+c AS (SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM u),
+fw AS (
+  SELECT a.doc_id, a.pos AS s, min(b.pos) AS e FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.pos >= a.pos AND b.pos < a.pos + 200 AND b.upto - a.upto + a.words >= 20 GROUP BY 1, 2),
+bw AS (
+  SELECT b.doc_id, max(a.pos) AS s, b.pos AS e FROM c a JOIN c b ON a.doc_id = b.doc_id AND a.pos <= b.pos AND a.pos > b.pos - 200 AND b.upto - a.upto + a.words >= 20 GROUP BY 1, 3),
+w AS (SELECT * FROM fw UNION SELECT doc_id, s, e FROM bw),
+t AS (
+  SELECT w.doc_id, w.s, w.e, string_agg(c.line, chr(31) ORDER BY c.pos) AS content FROM w JOIN c ON c.doc_id = w.doc_id AND c.pos BETWEEN w.s AND w.e GROUP BY 1, 2, 3),
+f AS (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, s) AS k FROM t),
+g AS (SELECT DISTINCT c.doc_id, c.pos FROM f JOIN c ON c.doc_id = f.doc_id AND c.pos BETWEEN f.s AND f.e WHERE f.k > 1),
+r AS (
+  SELECT u.doc_id, count(*) AS n_lines, count(g.pos) AS n_removed, coalesce(string_agg(CASE WHEN g.pos IS NULL THEN unit END, '' ORDER BY u.pos), '') AS kept
+  FROM u LEFT JOIN g ON g.doc_id = u.doc_id AND g.pos = u.pos GROUP BY u.doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS text_sha256
+FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id""",
+    "op7_mix_sources": r"""
+WITH RECURSIVE slim AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS tokens FROM documents),
+sizes AS (SELECT source, sum(tokens)::BIGINT AS tokens FROM slim GROUP BY source),
+one AS (SELECT sum(tokens)::DOUBLE AS total, min(tokens)::DOUBLE / sum(tokens) AS lo_share, max(tokens)::DOUBLE / sum(tokens) AS hi_share FROM sizes WHERE tokens > 0),
+bis(i, lo, hi) AS (
+  SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE
+  UNION ALL
+  SELECT i + 1, CASE WHEN over THEN mid ELSE lo END, CASE WHEN over THEN hi ELSE mid END
+  FROM (SELECT i, lo, hi, (lo + hi) / 2 AS mid, pow(lo_share / hi_share, (lo + hi) / 2 - 1) > 2.0 AS over FROM bis, one WHERE i < 60)),
+ex AS (SELECT hi AS alpha FROM bis WHERE i = 60),
+nm AS (SELECT total, hi_share, alpha, sum(pow(tokens / total, alpha)) AS norm FROM sizes, one, ex WHERE tokens > 0 GROUP BY 1, 2, 3),
+plan AS (
+  SELECT source, tokens, round(pow(tokens / total, alpha) / norm * (total * hi_share * norm / pow(hi_share, alpha)))::BIGINT AS budget
+  FROM sizes, nm WHERE tokens > 0
+  UNION ALL SELECT source, tokens, NULL FROM sizes WHERE tokens = 0),
+full_plan AS (
+  SELECT source, coalesce(budget // tokens, 1) AS passes, coalesce(budget % tokens, 0) AS left_over FROM plan),
+whole AS (
+  SELECT doc_id, source, unnest(generate_series(1, passes)) AS mix_pass FROM slim JOIN full_plan USING (source)),
+part AS (
+  SELECT doc_id, source, mix_pass, sum(tokens) OVER (PARTITION BY source ORDER BY key RANGE UNBOUNDED PRECEDING) AS upto, left_over
+  FROM (SELECT doc_id, source, tokens, left_over, passes + 1 AS mix_pass, md5('17|' || (passes + 1) || '|' || source || '|' || doc_id) AS key
+        FROM slim JOIN full_plan USING (source) WHERE left_over > 0)),
+taken AS (
+  SELECT doc_id, source, mix_pass FROM whole UNION ALL SELECT doc_id, source, mix_pass FROM part WHERE upto <= left_over)
+SELECT doc_id, source, mix_pass, substr(key, 1, 3) AS mix_block, key AS mix_key
+FROM (SELECT *, md5('17|' || mix_pass || '|' || source || '|' || doc_id) AS key FROM taken)""",
+    "op4_warc_packages": r"""
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+d AS (SELECT html, min(page_id) AS first_id FROM p GROUP BY html)
+SELECT page_id, payload_bytes,
+  list_aggregate(list_transform(generate_series(0, 31), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (((('0x' || substr(hex, (i // 8) * 10 + 1, 10))::BIGINT >> (35 - 5 * (i % 8))) & 31) + 1)::INT, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM p JOIN d USING (html)""",
     "op1_near_duplicates": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
