@@ -338,3 +338,18 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, threshold: float =
 def training_labels(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Labelled rows that may be learned from: crc32 of the id as text, modulo 4, is not 2."""
     return labels.where(bucket_of(id_col, 4) != 2)
+
+
+def keep_clean(docs: DataFrame, model: ToxicityModel, *, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores below the threshold; null and empty texts stay."""
+    terms, w = model.terms, model.weights
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _Scorer(terms)
+        for batch in batches:
+            x = np.array([scorer.features(t.as_py())[0] for t in batch.column(at)]).reshape(-1, FEATURES)
+            p = 1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -30, 30)))
+            yield batch.filter(pa.array(p < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
