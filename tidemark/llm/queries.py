@@ -12,6 +12,7 @@ from .language_id import learn_languages, predict_language, training_rows
 from .line_dedup import line_dedup_digest
 from .mixing import mix_sources
 from .near_dedup import near_duplicate_groups
+from .neighbours import nearest_vectors
 from .shared import bucket_of
 from .toxicity import learn_toxicity, score_toxicity, training_labels
 from .warc_zip import round_trip
@@ -51,6 +52,10 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "mix_pass", "mix_block", "mix_key")
 
 
+def op8_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_vectors(_table(spark, sf_dir, "embeddings"), top=20, every=20)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup_digest(_table(spark, sf_dir, "documents"), least_words=20)
 
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc_packages": op4_warc_packages,
     "op6_language": op6_language,
     "op7_mix_sources": op7_mix_sources,
+    "op8_nearest_vectors": op8_nearest_vectors,
     "op9_line_dedup": op9_line_dedup,
 }
 
