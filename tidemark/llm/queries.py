@@ -7,13 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .audio_prints import align, fingerprints, sung_texts
 from .bpe import encode_bytes
 from .language_id import learn_languages, predict_language, training_rows
 from .line_dedup import line_dedup_digest
 from .mixing import mix_sources
 from .near_dedup import near_duplicate_groups
 from .neighbours import nearest_vectors
-from .shared import bucket_of
+from .quality_lm import quality_by_perplexity
+from .shared import bucket_of, stored
 from .toxicity import learn_toxicity, score_toxicity, training_labels
 from .warc_zip import round_trip
 
@@ -42,6 +44,10 @@ def op4_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "pages"), least_bytes=0)
 
 
+def op5_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(stored(fingerprints(sung_texts(_table(spark, sf_dir, "conversations"))), "audio-prints"), every=50)
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return predict_language(docs, learn_languages(training_rows(docs))).withColumn("held_out", bucket_of("doc_id", 3) == 1)
@@ -60,15 +66,22 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup_digest(_table(spark, sf_dir, "documents"), least_words=20)
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = _table(spark, sf_dir, "labels").where("quality = 1")
+    return quality_by_perplexity(_table(spark, sf_dir, "documents"), trusted, quantile=0.99)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_toxicity": op2_toxicity,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_warc_packages": op4_warc_packages,
+    "op5_audio_fingerprints": op5_audio_fingerprints,
     "op6_language": op6_language,
     "op7_mix_sources": op7_mix_sources,
     "op8_nearest_vectors": op8_nearest_vectors,
     "op9_line_dedup": op9_line_dedup,
+    "op10_quality": op10_quality,
 }
 
 ORACLES: dict[str, str] = {
