@@ -5,12 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import scalar_queries
+from ..operators.consensus import distinct_buyer_score, rank_recommendations
+from ..sources.fixtures import view
+from . import market_queries, scalar_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**scalar_queries.QUERIES}
-ORACLES: dict[str, str] = {**scalar_queries.ORACLES}
+_PARTS = (scalar_queries, market_queries)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
+ORACLES: dict[str, str] = {k: v for p in _PARTS for k, v in p.ORACLES.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str, days: int = 28) -> DataFrame:
-    raise NotImplementedError
+    """Which securities had three distinct buyers or more, disclosed in the last ``days``."""
+    scored = distinct_buyer_score(view(spark, sf_dir, "fx_disclosures"), F.lit("1998-06-01").cast("date"), days=days)
+    return rank_recommendations(scored.where("signal_score > 0"), 15)

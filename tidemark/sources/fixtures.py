@@ -24,7 +24,7 @@ SELECT concat('D', l_orderkey) AS doc_id, concat('D', l_orderkey) AS source_reco
  CASE l_returnflag WHEN 'A' THEN 'Purchase' WHEN 'R' THEN 'Sale' ELSE 'Exchange' END AS transaction_type,
  CASE WHEN l_returnflag = 'R' AND l_quantity >= 45 THEN 'Sale (Full)' WHEN l_returnflag = 'R' THEN 'Sale (Partial)' END AS raw_transaction_subtype,
  CASE l_linenumber % 3 WHEN 0 THEN 'S' WHEN 1 THEN 'SP' ELSE 'JT' END AS owner_code,
- l_extendedprice AS amount_midpoint, l_quantity AS quantity, l_partkey AS part_key, l_orderkey AS order_key, l_linenumber AS line_number,
+ l_extendedprice AS amount_midpoint, l_quantity AS quantity, l_partkey AS part_key, l_orderkey AS order_key, l_linenumber AS line_number, l_suppkey AS supp_key,
  concat(p_name, CASE l_linenumber WHEN 7 THEN ' [OP]' WHEN 6 THEN ' Treasury Bill [GS]' WHEN 5 THEN ' mutual fund' ELSE ' [ST]' END) AS asset_description
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey""",
     "fx_text": f"""
@@ -51,8 +51,12 @@ SELECT concat('T', substr('ABCDEFGHIJKLMNOPQRSTUVWXY', cast(p_partkey % 25 as in
 FROM part CROSS JOIN fx_sessions WHERE p_partkey < 50 AND (k + p_partkey) % 37 <> 0
 UNION ALL SELECT 'SPY', session_date, CAST(100 AS double) + CAST(k AS double) * CAST(0.03125 AS double) + CAST((k * 5) % 17 AS double) * CAST(0.125 AS double) FROM fx_sessions""",
     "fx_purchases": """
-SELECT *, CAST(order_key * 10 + line_number AS bigint) AS tx_id FROM fx_disclosures
+SELECT *, CAST(order_key * 10 + line_number AS bigint) * 1000000000 + part_key * 10000 + supp_key AS tx_id FROM fx_disclosures
 WHERE transaction_type = 'Purchase' AND source IN ('house_pdf', 'gemini_ocr', 'senate_efd') AND transaction_date <= disclosure_date AND amount_midpoint >= 1001 AND asset_description LIKE '%[ST]'""",
+    "fx_outcomes": """
+SELECT tx_id, member, ticker, source, chamber, disclosure_date AS as_of, CAST((part_key * 31 + order_key * 17 + line_number * 7) % 2001 - 1000 AS double) / CAST(64 AS double) AS alpha,
+ CASE WHEN (part_key + order_key) % 3 = 0 THEN 1 ELSE 0 END AS treated, CAST((part_key * 13 + order_key) % 23 AS double) AS score
+FROM fx_purchases""",
     "fx_decisions": """
 SELECT DISTINCT ticker, disclosure_date AS decision_date FROM fx_purchases""",
 }
@@ -61,6 +65,7 @@ _NEEDS = {
     "fx_prices": ["fx_sessions"],
     "fx_purchases": ["fx_disclosures"],
     "fx_decisions": ["fx_disclosures", "fx_purchases"],
+    "fx_outcomes": ["fx_disclosures", "fx_purchases"],
 }
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
