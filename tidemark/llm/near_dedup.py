@@ -15,7 +15,9 @@ from .shared import connected_components, per_batch, small_or_shuffled, stored
 
 BANDS, ROWS = 42, 6
 #: Rows of one block of a crowded bucket.
-BLOCK = 512
+BLOCK = 2048
+#: Pairs this close to the bound by 32-bit hashes are passed on without a union, for the exact check to decide.
+SLACK = 3
 _UPPER_TO_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 _WORD_CACHE_LIMIT = 500_000
 
@@ -104,7 +106,7 @@ def _sketcher(n: int, bands: int, rows: int, seed: int):
                         continue
                     low = _minima(s, a, b)
                     with np.errstate(over="ignore"):
-                        k = ((low.reshape(bands, rows).astype(np.uint64) + np.uint64(1)) * mix).sum(axis=1, dtype=np.uint64) + tag
+                        k = (((low & np.uint32(255)).reshape(bands, rows).astype(np.uint64) + np.uint64(1)) * mix).sum(axis=1, dtype=np.uint64) + tag
                         k ^= k >> np.uint64(33)
                         k *= np.uint64(0xFF51AFD7ED558CCD)
                         k ^= k >> np.uint64(33)
@@ -126,22 +128,18 @@ def _set_rows(n: int):
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 sets = [s for t in part.column(1) if len(s := hasher(t.as_py()))]
-                yield pa.record_batch([pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "shingles"])
+                yield pa.record_batch([pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([(s >> np.uint64(32)).astype(np.uint32).tobytes() for s in sets], pa.binary())], ["rep", "shingles", "short"])
 
     return run
 
 
-def _similar(sig: np.ndarray, other: np.ndarray, least: int) -> np.ndarray:
-    return (sig == other).sum(axis=1) >= least
-
-
 def _sig_matrix(column: pa.Array, k: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, k)
 
 
 def _verify_signatures(k: int, least: int):
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep = _similar(_sig_matrix(batch.column("sig_a"), k), _sig_matrix(batch.column("sig_b"), k), least) if batch.num_rows else np.empty(0, bool)
+        keep = (_sig_matrix(batch.column("sig_a"), k) == _sig_matrix(batch.column("sig_b"), k)).sum(axis=1) >= least
         return batch.select(["a", "b"]).filter(pa.array(keep))
 
     return per_batch(one)
@@ -161,31 +159,68 @@ def _verify_sets(percent: int):
     return per_batch(one)
 
 
-def _cross_pairs(k: int, least: int):
-    """Pairs of one block (or of two blocks) of a bucket that lie in different components and agree by signature."""
+class _Block:
+    """Members of a bucket's block (or of two blocks), and the links between their components."""
+
+    def __init__(self, group: pa.Table, bands: int, rows: int, least: int, percent: int):
+        self.rep, self.side = group.column("rep").to_numpy(), group.column("side").to_numpy()
+        self.band = group.column("band").to_numpy()[0]
+        self.sig = _sig_matrix(group.column("sig").combine_chunks(), bands * rows)
+        sets = [np.frombuffer(x, np.uint32) for x in group.column("short").to_pylist()]
+        self.size = np.array([len(x) for x in sets])
+        self.starts = np.concatenate([[0], np.cumsum(self.size)])
+        values, self.codes = np.unique(np.concatenate(sets), return_inverse=True)
+        self.flag = np.zeros(len(values), bool)
+        self.bands, self.rows, self.least, self.percent = bands, rows, least, percent
+        roots: dict[int, int] = {}
+        self.parent = np.array([roots.setdefault(c, i) for i, c in enumerate(group.column("component").to_pylist())])
+
+    def _codes(self, i: int) -> np.ndarray:
+        return self.codes[self.starts[i] : self.starts[i + 1]]
+
+    def _shared(self, i: int, js: np.ndarray) -> np.ndarray:
+        """Sizes of the intersections of set i with the sets js, by a marked vocabulary."""
+        self.flag[self._codes(i)] = True
+        out = np.array([np.count_nonzero(self.flag[self._codes(j)]) for j in js])
+        self.flag[self._codes(i)] = False
+        return out
+
+    def links(self) -> tuple[list[int], list[int]]:
+        first, second = np.flatnonzero(self.side != 1), np.flatnonzero(self.side != 0)
+        a, b, parent = [], [], self.parent
+        for i in first:
+            js = second[(parent[second] != parent[i]) & ((self.side[second] != 2) | (second > i))]
+            if not len(js):
+                continue
+            same = self.sig[js] == self.sig[i]
+            keep = same.sum(axis=1) >= self.least
+            js, same = js[keep], same[keep]
+            if len(js):  # a pair is looked at in the first bucket that it shares, and in no other
+                js = js[same.reshape(len(js), self.bands, self.rows).all(axis=2).argmax(axis=1) == self.band]
+            if not len(js):
+                continue
+            both = self._shared(i, js)
+            over = 100 * both - self.percent * (self.size[i] + self.size[js] - both)
+            for j, o in zip(js[over >= 0], over[over >= 0], strict=True):
+                if parent[j] == parent[i]:
+                    continue
+                a.append(int(self.rep[i])), b.append(int(self.rep[j]))
+                if o >= 100 * SLACK:  # hash collisions cannot make up that many
+                    parent[parent == parent[j]] = parent[i]
+        return a, b
+
+
+def _cross_links(bands: int, rows: int, least: int, percent: int):
+    """Links that join different components, found block by block: a spanning set, not all pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def pairs(group: pa.Table) -> Iterator[pa.RecordBatch]:
-            rep = group.column("rep").to_numpy()
-            comp = group.column("component").to_numpy()
-            side = group.column("side").to_numpy()
-            sig = _sig_matrix(group.column("sig").combine_chunks(), k)
-            first = np.flatnonzero(side != 1)
-            second = np.flatnonzero(side != 0)  # side 2: the block is held against itself
-            for i in first:
-                js = second[(comp[second] != comp[i]) & ((side[second] != 2) | (second > i))]
-                if len(js):
-                    js = js[_similar(sig[js], sig[i], least)]
-                    if len(js):
-                        r = np.full(len(js), rep[i])
-                        yield pa.record_batch([pa.array(np.minimum(r, rep[js])), pa.array(np.maximum(r, rep[js]))], ["a", "b"])
-
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
-                yield from pairs(pa.Table.from_batches(held))
+                a, b = _Block(pa.Table.from_batches(held), bands, rows, least, percent).links()
                 held.clear()
+                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         last = None
         for batch in batches:  # sorted by group; only one group's rows (two blocks at most) are held
@@ -213,9 +248,10 @@ def near_duplicate_groups(docs: DataFrame, *, words: int = 5, percent: int = 80,
 
     Every document is reduced to ``bands * rows`` universal hash minima. Equal sets collapse first, so a group
     of exact copies is one representative from then on. Representatives that share a band bucket are
-    candidates. A first round holds each against the smallest member of its buckets; later rounds hold the
-    members of a bucket against each other only across components, block by block, with signatures compared
-    inside the tasks. All that pass are confirmed on full sets. With 42 bands of 6 rows a pair at exactly 0.8
+    candidates. A first round holds each against the smallest member of its buckets. A second one holds the
+    members of a bucket against each other, block by block, where their components differ: by signature, then
+    by their sets; each block passes on the links that join components, not all pairs. All links are confirmed
+    on full 64-bit sets. With 42 bands of 6 rows a pair at exactly 0.8
     shares no bucket with probability 3e-6; no bucket is capped.
 
     A representative stands for all rows of one set, and is named by a 64-bit digest of it.
@@ -232,12 +268,12 @@ def near_duplicate_groups(docs: DataFrame, *, words: int = 5, percent: int = 80,
     keyed = sketch.where("doc_id is not null and rep is not null")
     firsts = stored(keyed.groupBy("rep").agg(F.min("doc_id").alias("first_id"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "firsts")
     reps = firsts.select("rep", "sig", "bands")
-    banded = reps.select("rep", F.explode("bands").alias("bucket"))
+    banded = reps.select("rep", F.posexplode("bands").alias("band", "bucket"))
     crowded = banded.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     buckets = stored(banded.join(crowded, "bucket"), "buckets")
     members = stored(buckets.select("rep").distinct().join(firsts.select("rep", "first_id"), "rep"), "members")
     wanted = texts.join(small_or_shuffled(members.select(F.col("first_id").alias("doc_id")).distinct()), "doc_id", "left_semi")
-    sets = stored(wanted.mapInArrow(_set_rows(words), "rep long, shingles binary").dropDuplicates(["rep"]), "sets")
+    sets = stored(wanted.mapInArrow(_set_rows(words), "rep long, shingles binary, short binary").dropDuplicates(["rep"]), "sets")
     sigs = reps.select("rep", "sig")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -255,24 +291,25 @@ def near_duplicate_groups(docs: DataFrame, *, words: int = 5, percent: int = 80,
     def with_component(df: DataFrame) -> DataFrame:
         return df.join(groups, df.rep == groups.node, "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
 
-    placed = with_component(buckets.select("bucket", "rep"))
+    placed = with_component(buckets.select("bucket", "band", "rep"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo != hi").select("bucket", "size")
     blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    rowsets = placed.join(mixed, "bucket").join(sigs, "rep").withColumn("blocks", blocks).withColumn("own", own)
+    rowsets = placed.join(mixed, "bucket").join(sigs.join(sets.select("rep", "short"), "rep"), "rep").withColumn("blocks", blocks).withColumn("own", own)
     dealt = rowsets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "bucket",
         F.least("own", "other").alias("x"),
         F.greatest("own", "other").alias("y"),
         F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
+        "band",
         "rep",
         "component",
         "sig",
+        "short",
     )
     dealt = dealt.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
-    cross = stored(dealt.mapInArrow(_cross_pairs(k, least), "a long, b long").distinct(), "cross")
-    more = exact(cross)
-    links = stored(links.union(more), "links")
+    cross = stored(dealt.mapInArrow(_cross_links(bands, rows, least, percent), "a long, b long").distinct(), "cross")
+    links = stored(links.union(exact(cross)), "links")
     groups = connected_components(links, "a", "b")
 
     named = stored(firsts.select("rep", "first_id").join(groups, firsts.rep == groups.node, "left").select("rep", "first_id", F.coalesce("component", "rep").alias("component")), "named")
