@@ -20,6 +20,8 @@ MAX_TRAINING_DOCS = 20_000
 MAX_TERMS = 400
 #: Groups of alike texts of label 1 that a term must be found in.
 LEAST_GROUPS = 4
+#: Candidate terms, a word and its beginnings being several, that a text must have to be held against others as a copy.
+FEW_TERMS = 30
 #: Words on either side of a hit that make its context.
 WINDOW = 10
 #: Lengths of word beginnings that are tried as stems.
@@ -213,11 +215,18 @@ def _presence(candidates: list[tuple[str, bool]]):
 
 
 def _groups(found: list[set[int]]) -> list[int]:
-    """A group for each text: that of the first text before it with mostly the same candidate terms."""
+    """A group for each text: that of the first text before it with mostly the same candidate terms.
+
+    Texts with few candidates are groups of their own: they share a term because it tells, not as copies.
+    """
     leaders: list[set[int]] = []
     by_term: dict[int, list[int]] = {}
     out = []
     for terms in found:
+        if len(terms) <= FEW_TERMS:
+            leaders.append(terms)
+            out.append(len(leaders) - 1)
+            continue
         shared = Counter(g for t in terms for g in by_term.get(t, ()))
         near = next((g for g, n in shared.most_common(20) if n >= 0.6 * (len(terms) + len(leaders[g]) - n)), None)
         if near is None:
