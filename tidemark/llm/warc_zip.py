@@ -75,7 +75,7 @@ def read_directory(read: ReadAt, size: int) -> list[Member]:
     """Members by the central directory, or by the ZIP64 one where the end record points to it."""
     tail_at = max(0, size - _END_HEAD.size - _MAX16)
     tail = read(tail_at, size - tail_at)
-    place = tail.rfind(_END)
+    place = tail.rfind(_END, 0, len(tail) - _END_HEAD.size + 4)
     while place >= 0 and place + _END_HEAD.size + struct.unpack_from("<H", tail, place + 20)[0] != len(tail):
         place = tail.rfind(_END, 0, place)  # the signature can also stand in the comment
     if place < 0:
