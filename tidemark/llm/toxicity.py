@@ -266,9 +266,7 @@ def _lexicon(candidates: list[tuple[str, bool]], found: list[list[int]], toxic:
     return sorted(taken, key=lambda t: (-t.weight, t.text))[:MAX_TERMS]
 
 
-def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, steps: int = 30) -> np.ndarray:
-    """Logistic regression with a ridge, by Newton's method, on the bounded sample."""
-    x = np.hstack([np.ones((len(x), 1)), x])
+def _newton(x: np.ndarray, y: np.ndarray, ridge: float, steps: int) -> np.ndarray:
     w = np.zeros(x.shape[1])
     penalty = np.diag([1e-3, *[ridge] * (x.shape[1] - 1)])
     for _ in range(steps):
@@ -277,6 +275,19 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, steps: int = 30) -> n
     return w
 
 
+def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, steps: int = 30) -> np.ndarray:
+    """Logistic regression with a ridge on the bounded sample. Hits only ever speak for label 1: features of
+    negative weight are left out, so that a text without hits scores lowest."""
+    x = np.hstack([np.ones((len(x), 1)), x])
+    used = list(range(x.shape[1]))
+    while True:
+        w = np.zeros(x.shape[1])
+        w[used] = _newton(x[:, used], y, ridge, steps)
+        if (w[1:] >= 0).all():
+            return w
+        used = [i for i in used if not i or w[i] >= 0]
+
+
 @dataclass
 class ToxicityModel:
     terms: list[Term]
