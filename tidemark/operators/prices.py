@@ -106,14 +106,11 @@ def price_asof(keys: DataFrame, prices: DataFrame, forward: bool = False, most_d
     Keys and quotes are laid in one order per ticker and the quote is carried along: one shuffle, no range join.
     ``most_days`` turns farther quotes to null. Repeated keys are kept.
     """
-    quotes = prices.where(valid_price(F.col("close"))).select("ticker", F.col("date").alias("at"), F.struct("date", "close").alias("q"), F.lit(0 if not forward else 1).alias("k"))
-    asked = keys.select("ticker", F.col("day").alias("at"), F.lit(None).cast("struct<date:date,close:double>").alias("q"), F.lit(1 if not forward else 0).alias("k"))
-    w = Window.partitionBy("ticker").orderBy("at", "k")
-    if forward:
-        found = F.first("q", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    else:
-        found = F.last("q", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    rows = asked.union(quotes).withColumn("found", found).where(F.col("k") == (0 if forward else 1))
+    quotes = prices.where(valid_price(F.col("close"))).select("ticker", F.col("date").alias("at"), F.struct("date", "close").alias("q"), F.lit(0).alias("k"))
+    asked = keys.select("ticker", F.col("day").alias("at"), F.lit(None).cast("struct<date:date,close:double>").alias("q"), F.lit(1).alias("k"))
+    order = F.desc("at") if forward else F.asc("at")  # a quote comes before the keys of its day
+    w = Window.partitionBy("ticker").orderBy(order, "k").rowsBetween(Window.unboundedPreceding, 0)
+    rows = asked.union(quotes).withColumn("found", F.last("q", ignorenulls=True).over(w)).where("k = 1")
     gap = F.datediff("found.date", "at") if forward else F.datediff("at", "found.date")
     near = F.lit(True) if most_days is None else gap <= most_days
     return rows.select("ticker", F.col("at").alias("day"), *(F.when(near, c).alias(n) for n, c in (("quote_date", F.col("found.date")), ("quote", F.col("found.close")), ("gap", gap))))

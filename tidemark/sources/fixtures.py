@@ -83,7 +83,8 @@ def with_views(sql: str, *names: str) -> str:
                 order.append(x)
     head = ",\n".join(f"{n} AS ({_text(n, 'duckdb')})" for n in order)
     sql = sql.strip()
-    return f"WITH {head}" + (f",\n{sql[5:]}" if sql.upper().startswith("WITH ") else f"\n{sql}")
+    first = "WITH RECURSIVE" if sql.startswith("WITH RECURSIVE ") else "WITH"
+    return f"{first} {head}" + (f",\n{sql[len(first) + 1:]}" if sql.startswith("WITH ") else f"\n{sql}")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
