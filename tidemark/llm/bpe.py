@@ -17,8 +17,8 @@ LONG_PIECE = 96
 #: Steps of one recursive query over long pieces; unfinished ones start again from where they are.
 LONG_STEPS = 24
 #: Pieces that a worker remembers between documents, and bytes of text read before new pieces are encoded.
-REMEMBERED = 400_000
-TEXT_PER_PASS = 24_000_000
+REMEMBERED = 120_000
+TEXT_PER_PASS = 4_000_000
 
 # For texts of these letters, numbers and spaces alone the split pattern is spelled out with
 # explicit classes, which the standard library matches faster. Every character below U+02B0 is covered.
@@ -49,22 +49,27 @@ class PieceTable:
         # A token that takes part in a merge of lower rank than its own could be followed by that merge at once,
         # so only one pair that makes it may be contracted in a step.
         alone = {x for a, b, r in merges for x in (a, b) if r < x}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "256MB"})
         columns = list(zip(*merges, strict=True)) or [(), (), ()]
         self.db.register("merge_rows", pa.table({n: pa.array(c, pa.int32()) for n, c in zip("abr", columns, strict=True)}))
         self.db.register("token_rows", pa.table({"id": pa.array(ranks.values(), pa.int32()), "hex": pa.array([t.hex() for t in ranks]), "alone": pa.array([r in alone for r in ranks.values()])}))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merge_rows; CREATE TABLE tokens AS SELECT * FROM token_rows")
         self.ranks = ranks
         self.known: dict[str, tuple[str, int, bytes]] = {}
+        self.older: dict[str, tuple[str, int, bytes]] = {}
 
     def learn(self, pieces: set[str]) -> None:
-        """Encode and decode pieces that are not known yet."""
-        new = [p for p in pieces if p not in self.known]
+        """Encode and decode pieces that are not known yet; what was not met for long is forgotten."""
+        if len(self.known) > REMEMBERED:
+            self.older, self.known = self.known, {}
+        new = []
+        for p in pieces - self.known.keys():
+            if (was := self.older.get(p)) is not None:
+                self.known[p] = was
+            else:
+                new.append(p)
         if not new:
             return
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(pieces)
         raw = [p.encode("utf-8", "replace") for p in new]
         whole = [self.ranks.get(b) for b in raw]
         start = [[t] if t is not None else [self.single[x] for x in b] for t, b in zip(whole, raw, strict=True)]
@@ -197,7 +202,7 @@ def encode_bytes(docs: DataFrame, rank_file: str, pattern: str, *, with_ids: boo
     among them. ``pattern`` splits the text; each match is
     encoded on its own, without special tokens.
 
-    In each task the distinct pieces of about 24 MB of text go to an in-process DuckDB at a time: a recursive
+    In each task the distinct pieces of about 4 MB of text go to an in-process DuckDB at a time: a recursive
     query joins their adjacent tokens with the merge table and contracts the leftmost pair of minimum rank of
     each piece until none is left; an ordered aggregation over the token table gives the bytes back. A document
     is the sequence of its pieces, so its ids and bytes are those of its pieces in order. Nothing is shuffled.

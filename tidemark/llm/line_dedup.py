@@ -26,55 +26,108 @@ def lines_of(text: str) -> list[str]:
     return [x for x in _LINE.findall(text) if x]
 
 
-def _windows(words: list[int], least: int) -> list[tuple[int, int]]:
-    """Shortest runs of lines with ``least`` words, from each line on and up to each line."""
-    out, n, total, end = set(), len(words), 0, 0
-    for start in range(n):  # total: words of lines start..end-1
-        while end < n and total < least:
-            total += words[end]
+class Lines:
+    """The lines of some texts laid end to end: hashes, words in each, and where each text begins."""
+
+    def __init__(self, hashes: np.ndarray, words: np.ndarray, offsets: np.ndarray):
+        self.hashes, self.words, self.offsets = hashes, words, offsets
+        self.text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))  # of each line
+
+    @classmethod
+    def of(cls, texts: list[str]) -> Lines:
+        """Each line is hashed without the blanks at its ends; words are counted within lines."""
+        split = [lines_of(t) for t in texts]
+        raw = [x.encode("utf-8", "replace") for lines in split for x in lines]
+        hashes = np.array([xxhash.xxh3_64_intdigest(x.strip(b" \t\n\r")) for x in raw], np.uint64).view(np.int64)
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        blank = (data == 32) | ((data >= 9) & (data <= 13))
+        begins = ~blank
+        begins[1:] &= blank[:-1]
+        ends = np.cumsum([len(x) for x in raw], dtype=np.int64)
+        first = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
+        begins[first] |= ~blank[first]  # a line's first character begins a word of the line
+        upto = np.concatenate([[0], np.cumsum(begins)])
+        return cls(hashes, (upto[ends] - upto[first]).astype(np.int32), np.concatenate([[0], np.cumsum([len(x) for x in split])]).astype(np.int64))
+
+    def windows(self, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Shortest runs [start, end) within a text with ``least`` words, from each line on and up to each line."""
+        n = len(self.words)
+        upto = np.cumsum(self.words, dtype=np.int64)
+        before = upto - self.words
+        on = np.arange(n)
+        ends = np.searchsorted(upto, before + least) + 1
+        keep = ends <= self.offsets[1:][self.text]
+        starts = np.searchsorted(before, upto - least, "right") - 1
+        back = starts >= self.offsets[:-1][self.text]
+        both = np.unique(np.concatenate([on[keep] * (n + 1) + ends[keep], starts[back] * (n + 1) + on[back] + 1]))
+        return both // (n + 1), both % (n + 1)
+
+    def selected(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The line that stands for each window: its leftmost minimum, by a sparse table of minima."""
+        if not len(starts):
+            return starts
+        level = np.frexp((ends - starts).astype(np.float64))[1] - 1
+        table = [np.arange(len(self.hashes))]
+        for k in range(int(level.max())):
+            a, b = table[-1][: -(1 << k)], table[-1][1 << k :]
+            table.append(np.where(self.hashes[b] < self.hashes[a], b, a))
+        out = np.empty(len(starts), np.int64)
+        for k in np.unique(level):
+            m = level == k
+            a, b = table[k][starts[m]], table[k][ends[m] - (1 << int(k))]
+            out[m] = np.where(self.hashes[b] < self.hashes[a], b, a)
+        return out
+
+    def digests(self, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+        """Two 64-bit digests of the lines of each window, from running polynomials over all lines."""
+        out, n = [], len(self.hashes)
+        size = (ends - starts).astype(np.uint64)
+        with np.errstate(over="ignore"):
+            for base in _BASES:
+                inverse = np.uint64(pow(int(base), -1, 1 << 64))
+                up = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, base))])
+                down = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, inverse))])
+                total = np.concatenate([[np.uint64(0)], np.cumsum(self.hashes.view(np.uint64) * up[:-1])])
+                out.append(((total[ends] - total[starts]) * down[starts] + size * base).view(np.int64))
+        return out
+
+
+_BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
+
+
+def _lists(values: np.ndarray, owner: np.ndarray, n: int, kind: pa.DataType) -> pa.Array:
+    """A list column of n rows from values sorted by their row."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)), pa.int32()), pa.array(values, kind))
+
+
+def _parts(batch: pa.RecordBatch, text_at: int) -> Iterator[pa.RecordBatch]:
+    """Slices of at most 512 rows and about 4 MB of text: what is laid end to end stays small."""
+    sizes = [len(t) if (t := x.as_py()) else 0 for x in batch.column(text_at)]
+    at = 0
+    while at < batch.num_rows:
+        end, total = at, 0
+        while end < batch.num_rows and end - at < 512 and (end == at or total + sizes[end] <= 4_000_000):
+            total += sizes[end]
             end += 1
-        if total < least:
-            break
-        out.add((start, end))
-        total -= words[start]
-    total, start = 0, n
-    for end in range(n, 0, -1):
-        while start > 0 and total < least:
-            start -= 1
-            total += words[start]
-        if total < least:
-            break
-        out.add((start, end))
-        total -= words[end - 1]
-    return sorted(out)
-
-
-def _line_hashes(text: str) -> tuple[np.ndarray, list[int]]:
-    lines = lines_of(text)
-    hashes = np.array([xxhash.xxh3_64_intdigest(x.strip(" \t\n\r").encode("utf-8", "replace")) for x in lines], np.uint64)
-    return hashes.view(np.int64), [len(_WORD.findall(x)) for x in lines]
-
-
-def _selected(hashes: np.ndarray, windows: list[tuple[int, int]]) -> list[int]:
-    """The line that stands for each window: its leftmost minimum."""
-    values = hashes.tolist()
-    return [min(range(s, e), key=values.__getitem__) if e - s > 1 else s for s, e in windows]
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def _fingerprints(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                rows = [], [], []
-                for text in part.column(2):
-                    hashes, words = _line_hashes(text.as_py())
-                    windows = _windows(words, least)
-                    picked = sorted(set(_selected(hashes, windows)))
-                    rows[0].append(hashes.tobytes())
-                    rows[1].append(np.array(words, np.int32).tobytes())
-                    rows[2].append(hashes[picked].tolist())
-                yield pa.record_batch([part.column(0), part.column(1), pa.array(rows[0], pa.binary()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.list_(pa.int64()))], ["doc_id", "version", "hashes", "words", "prints"])
+            for part in _parts(batch, 2):
+                n, x = part.num_rows, Lines.of(part.column(2).to_pylist())
+                places = np.unique(x.selected(*x.windows(least)))
+                order = np.lexsort((x.hashes[places], x.text[places]))
+                mark, owner = x.hashes[places][order], x.text[places][order]
+                new = np.concatenate([[True], (mark[1:] != mark[:-1]) | (owner[1:] != owner[:-1])]) if len(mark) else np.empty(0, bool)
+                first = np.flatnonzero(new)
+                twice = np.diff(np.append(first, len(mark))) > 1
+                yield pa.record_batch(
+                    [part.column(0), part.column(1), _lists(x.hashes, x.text, n, pa.int64()), _lists(x.words, x.text, n, pa.int32()), _lists(mark[first], owner[first], n, pa.int64()), _lists(twice, owner[first], n, pa.bool_())],
+                    ["doc_id", "version", "hashes", "words", "prints", "twice"],
+                )
 
     return run
 
@@ -84,15 +137,25 @@ def _extend(least: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, versions, starts, ends, hi, lo = [], [], [], [], [], []
-            for d, v, h, w, shared in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "version", "hashes", "words", "shared")), strict=True):
-                hashes, known = np.frombuffer(h, np.int64), set(shared)
-                windows = _windows(np.frombuffer(w, np.int32).tolist(), least)
-                for (s, e), at in zip(windows, _selected(hashes, windows), strict=True):
-                    if int(hashes[at]) in known:
-                        digest = np.frombuffer(xxhash.xxh3_128_digest(hashes[s:e].tobytes()), np.int64)
-                        ids.append(d), versions.append(v), starts.append(s), ends.append(e), hi.append(int(digest[0])), lo.append(int(digest[1]))
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(versions, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64())], ["doc_id", "version", "start", "end", "hi", "lo"])
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                doc, version = part.column("doc_id").to_numpy(), part.column("version").to_numpy()
+                hashes, words, shared = (part.column(c) for c in ("hashes", "words", "shared"))
+                x = Lines(hashes.flatten().to_numpy(), words.flatten().to_numpy(), np.concatenate([[0], np.cumsum(hashes.value_lengths().to_numpy())]).astype(np.int64))
+                owner = np.repeat(np.arange(part.num_rows), shared.value_lengths().to_numpy())
+                starts, ends = x.windows(least)
+                stands = x.selected(starts, ends)
+                with np.errstate(over="ignore"):  # a text's own shared lines, told by a mix of both; a false hit only lets a window be looked at
+                    known = shared.flatten().to_numpy() + owner * np.int64(0x9E3779B97F4A7C1)
+                    keep = np.isin(x.hashes[stands] + x.text[stands] * np.int64(0x9E3779B97F4A7C1), known)
+                starts, ends = starts[keep], ends[keep]
+                text = x.text[starts]
+                hi, lo = x.digests(starts, ends)
+                base = x.offsets[:-1][text]
+                yield pa.record_batch(
+                    [pa.array(doc[text], pa.int64()), pa.array(version[text], pa.int64()), pa.array((starts - base).astype(np.int32)), pa.array((ends - base).astype(np.int32)), pa.array(hi, pa.int64()), pa.array(lo, pa.int64())],
+                    ["doc_id", "version", "start", "end", "hi", "lo"],
+                )
 
     return run
 
@@ -110,15 +173,16 @@ def repeated_runs(docs: DataFrame, *, least_words: int = LEAST_WORDS, id_col: st
     """
     id_, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
     texts = docs.where(id_.isNotNull() & text.isNotNull()).select(id_.alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text"))
-    lined = stored(texts.mapInArrow(_fingerprints(least_words), "doc_id long, version long, hashes binary, words binary, prints array<long>"), "line-hashes")
-    places = lined.select("doc_id", "version", F.explode("prints").alias("print"))
-    shared = places.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("print")
-    # A repeated row of an id counts as a second place here, which only lets more windows be looked at.
+    lined = stored(texts.mapInArrow(_fingerprints(least_words), "doc_id long, version long, hashes array<long>, words array<int>, prints array<long>, twice array<boolean>"), "line-hashes")
+    places = lined.select("doc_id", "version", F.explode(F.arrays_zip("prints", "twice")).alias("p")).select("doc_id", "version", F.col("p.prints").alias("print"), "p.twice")
+    # A text has each fingerprint once here, with a mark if it has it at several places. A repeated row of an id
+    # counts as another place, which only lets more windows be looked at.
+    shared = places.groupBy("print").agg(F.count(F.lit(1)).alias("n"), F.max("twice").alias("t")).where("n > 1 OR t").select("print")
     at = stored(places.join(shared, "print").groupBy("doc_id", "version").agg(F.collect_set("print").alias("shared")), "line-places")
     windows = stored(lined.dropDuplicates(["doc_id", "version"]).join(at, ["doc_id", "version"]).select("doc_id", "version", "hashes", "words", "shared").mapInArrow(_extend(least_words), "doc_id long, version long, start int, end int, hi long, lo long"), "line-windows")
     first = windows.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "version", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("hi", "lo", "first")
     later = windows.join(first, ["hi", "lo"]).where(F.struct("doc_id", "version", "start") > F.col("first"))
-    return later.groupBy("doc_id", "version").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("runs"))
+    return later.groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
 
 
 def _cut(with_text: bool):
@@ -127,19 +191,21 @@ def _cut(with_text: bool):
             names = batch.schema.names
             text_at, runs_at = names.index("__text"), names.index("__runs")
             kept, n, removed, digest = [], [], [], []
-            for text, runs in zip(batch.column(text_at), batch.column(runs_at).to_pylist(), strict=True):
+            for text, runs in zip(batch.column(text_at), batch.column(runs_at), strict=True):
                 t = text.as_py()
-                lines = lines_of(t) if t and (runs or not with_text) else []
-                if runs:
-                    gone = np.zeros(len(lines), bool)
-                    for r in runs:
-                        gone[r["start"] : r["end"]] = True
-                    t = "".join([x for x, g in zip(lines, gone, strict=True) if not g])
+                if runs.is_valid:
+                    lines = lines_of(t)
+                    n.append(len(lines))
+                    step = np.zeros(len(lines) + 1, np.int64)
+                    np.add.at(step, runs.values.field(0).to_numpy(), 1)
+                    np.subtract.at(step, runs.values.field(1).to_numpy(), 1)
+                    gone = np.cumsum(step[:-1]) > 0
+                    t = "".join([lines[i] for i in np.flatnonzero(~gone)])
                     removed.append(int(gone.sum()))
                 else:
                     removed.append(0)
+                    n.append(len(_LINE.findall(t)) - 1 if t and not with_text else 0)  # less the empty match at the end
                 kept.append(t)
-                n.append(len(lines))
                 if not with_text:
                     digest.append(hashlib.sha256((t or "").encode("utf-8", "replace")).hexdigest())
             if with_text:

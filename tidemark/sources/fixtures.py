@@ -57,6 +57,11 @@ WHERE transaction_type = 'Purchase' AND source IN ('house_pdf', 'gemini_ocr', 's
 SELECT tx_id, member, ticker, source, chamber, disclosure_date AS as_of, CAST((part_key * 31 + order_key * 17 + line_number * 7) % 2001 - 1000 AS double) / CAST(64 AS double) AS alpha,
  CASE WHEN (part_key + order_key) % 3 = 0 THEN 1 ELSE 0 END AS treated, CAST((part_key * 13 + order_key) % 23 AS double) AS score
 FROM fx_purchases""",
+    "fx_runs": """
+SELECT doc_id, source, ingestion_generation, concat('a', max(order_key) % 1000) AS artifact, extract(year FROM min(disclosure_date)) AS archive_year,
+ CASE max(order_key) % 7 WHEN 0 THEN 'invalid' WHEN 1 THEN 'failed' ELSE 'success' END AS status, count(*) + CASE WHEN max(order_key) % 11 = 0 THEN 1 ELSE 0 END AS stated_count,
+ max(order_key) % 5 <> 0 AS promoted, max(disclosure_date) + CAST(max(line_number) AS int) AS parsed_at
+FROM fx_disclosures GROUP BY doc_id, source, ingestion_generation""",
     "fx_decisions": """
 SELECT DISTINCT ticker, disclosure_date AS decision_date FROM fx_purchases""",
 }
@@ -66,6 +71,7 @@ _NEEDS = {
     "fx_purchases": ["fx_disclosures"],
     "fx_decisions": ["fx_disclosures", "fx_purchases"],
     "fx_outcomes": ["fx_disclosures", "fx_purchases"],
+    "fx_runs": ["fx_disclosures"],
 }
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
