@@ -278,3 +278,51 @@ def option_return_guard(instrument: Column) -> Column:
     """Stocks have leverage 1; returns of anything else are not priced, with the reason."""
     stock = F.lower(instrument) == "stock"
     return F.struct(F.when(stock, 1.0).alias("leverage"), F.when(~F.coalesce(stock, F.lit(False)), "unsupported_instrument_pricing").alias("reason"))
+
+
+def snapshot_to_json(shares: Column, value: Column, as_of: Column) -> Column:
+    """A share snapshot as JSON text, keys in this order."""
+    return F.to_json(F.struct(shares.alias("shares"), value.alias("value"), as_of.cast("string").alias("as_of")))
+
+
+def snapshot_from_json(c: Column) -> Column:
+    """Struct of shares and reason; what is no object, or has no share count of zero or more, says why."""
+    got = F.from_json(c, "shares double, value double, as_of string")
+    reason = F.when(c.isNull() | ~F.trim(c).startswith("{"), "not_an_object").when(got["shares"].isNull(), "shares_missing").when(got["shares"] < 0, "shares_negative")
+    return F.struct(F.when(reason.isNull(), got["shares"]).alias("shares"), reason.alias("reason"))
+
+
+def json_field(c: Column, path: str) -> Column:
+    """One named path out of JSON text; null where the text or the path is not there."""
+    return F.get_json_object(c, path)
+
+
+def row_rejection_reason(asset: Column, kind: Column, traded: Column, notified: Column, amount: Column, low: str, high: str) -> Column:
+    """The first rule that an extracted row fails."""
+    return (
+        F.when(F.trim(F.coalesce(asset, F.lit(""))) == "", "asset")
+        .when(normalize_transaction_type(kind).isNull(), "type")
+        .when(traded.isNull(), "date")
+        .when(notified < traded, "notification")
+        .when(F.coalesce(amount, F.lit(0.0)) <= 0, "amount")
+        .when(~traded.between(F.lit(low).cast("date"), F.lit(high).cast("date")), "out_of_window")
+    )
+
+
+def option_evidence(asset: Column) -> Column:
+    """F8: positive evidence of an option: its code, or an option instrument without a stock code."""
+    return F.coalesce(F.lower(asset).contains("[op]") | classify_instrument(asset).isin("call", "put", "option"), F.lit(False))
+
+
+def cash_or_fund(symbol: Column) -> Column:
+    """symbols that stand for cash or a fund."""
+    return F.coalesce(F.upper(F.trim(symbol)).isin(*NON_EQUITY_TICKERS) | F.upper(symbol).rlike("CASH|FUND|MONEY"), F.lit(False))
+
+
+def rule_reference(reference: Column, disclosed: Column, as_of: Column, blocked: Column, corroboration_only: Column) -> Column:
+    """F16: struct of a usable entry reference, or the first reason why it is none."""
+    reason = (
+        F.when(blocked.isNotNull(), blocked).when(corroboration_only, "corroboration_only").when(reference.isNull() | F.isnan(reference) | (reference <= 0), "no_reference")
+        .when((disclosed > as_of) | (disclosed < F.add_months(as_of, -2)), "too_old")
+    )
+    return F.struct(F.when(reason.isNull(), reference).alias("reference"), reason.alias("reason"))
