@@ -15,7 +15,7 @@ from .mixing import mix_sources
 from .near_dedup import near_duplicate_groups
 from .neighbours import nearest_vectors
 from .quality_lm import quality_by_perplexity
-from .shared import bucket_of, stored
+from .shared import bucket_of, importable, stored
 from .toxicity import learn_toxicity, score_toxicity, training_labels
 from .warc_zip import round_trip
 
@@ -23,6 +23,7 @@ RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only when it was counted and holds at most this many ids (16 MB of longs).
 BROADCAST_IDS = 1_000_000
+BATCH_ROWS = 1000
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -31,6 +33,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers find this package where the driver found it, if they were not told by PYTHONPATH."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+
+
+def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Lower the session's Arrow batches to ``rows`` rows: texts are long, and a batch is held on both sides."""
+    importable(spark)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
+
+
 def small_or_shuffled(ids: DataFrame) -> DataFrame:
     """A stored id table, marked for broadcast if its counted size is within the bound, else left to a shuffle join."""
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
