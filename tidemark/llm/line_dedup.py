@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_IDS, stored
+from .shared import BROADCAST_IDS, bounded_batches, stored
 
 #: A line ends at a line break or after a sentence; what ends it belongs to it, so that lines join up to the text.
 LINE = "[^\\n.!?]*[.!?]*[ \\t]*\\n*"
@@ -218,6 +218,7 @@ def _cut(with_text: bool):
 
 
 def _with_runs(docs: DataFrame, id_col: str, text_col: str, least_words: int) -> DataFrame:
+    bounded_batches(docs.sparkSession)
     runs = stored(repeated_runs(docs, least_words=least_words, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), F.col("runs").alias("__runs")), "line-runs")
     if (runs.agg(F.coalesce(F.sum(F.size("__runs")), F.lit(0))).first()[0]) <= BROADCAST_IDS // 2:
         runs = F.broadcast(runs)
