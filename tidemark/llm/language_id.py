@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bucket_of, stored
+from .shared import bounded_batches, bucket_of, stored
 
 #: Letters in a row that make a feature, and the number of hashed features.
 ORDERS = (1, 2, 3)
@@ -112,6 +112,7 @@ def learn_languages(docs: DataFrame, *, label: str = "lang", id_col: str = "doc_
     language are clustered in one task each, which that bounds. Rows with a null id, text or label, and texts
     without letters, take no part. Without any row there are no languages, and every prediction is `und`.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.where(F.col(label).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(label).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("long")).alias("h"))
     totals = rows.groupBy("lang").count().orderBy("lang").limit(1000).withColumnRenamed("count", "n")
     share = F.least(F.lit(1.0), F.lit(float(SAMPLE_PER_LANGUAGE)) / F.col("n"))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, per_batch, small_or_shuffled, stored
+from .shared import bounded_batches, connected_components, per_batch, small_or_shuffled, stored
 
 BANDS, ROWS = 42, 6
 #: Rows of one block of a crowded bucket.
@@ -260,6 +260,7 @@ def near_duplicate_groups(docs: DataFrame, *, words: int = 5, percent: int = 80,
     linked with nothing: component_id null, kept. Rows that share an id are placed by
     their own text; repeated rows are all kept or all dropped. Other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     k = bands * rows
     least = int(k * (percent / 100 - 6 * (percent / 100 * (1 - percent / 100) / k) ** 0.5))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bucket_of, stored
+from .shared import bounded_batches, bucket_of, stored
 
 #: Bounds of what is learned: distinct labelled texts at most (about; chosen by a hash of the id), lexicon entries.
 MAX_TRAINING_DOCS = 20_000
@@ -303,6 +303,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic",
     lexicon if several groups of alike texts share it. Without
     any label 1 the lexicon is empty and every score is low.
     """
+    bounded_batches(docs.sparkSession)
     known = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.max((F.col(label) == 1).cast("int")).alias("__y"))
     total = known.count()
     share = min(1.0, MAX_TRAINING_DOCS / max(total, 1))
@@ -338,6 +339,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, threshold: float =
     n_misspelled, n_quoted. Null and empty texts have no hits and get the score of a text without hits. Null
     ids and repeated rows are kept; other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     terms, w = model.terms, model.weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,6 +364,7 @@ def training_labels(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def keep_clean(docs: DataFrame, model: ToxicityModel, *, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, whose text scores below the threshold; null and empty texts stay."""
+    bounded_batches(docs.sparkSession)
     terms, w = model.terms, model.weights
     at = docs.columns.index(text_col)
 
