@@ -12,12 +12,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .shared import bounded_batches
+
 #: Pieces of more bytes than this take the query that contracts many pairs of a piece in one step.
 LONG_PIECE = 96
 #: Steps of one recursive query over long pieces; unfinished ones start again from where they are.
 LONG_STEPS = 24
 #: Pieces that a worker remembers between documents, and bytes of text read before new pieces are encoded.
-REMEMBERED = 120_000
+REMEMBERED = 80_000
 TEXT_PER_PASS = 4_000_000
 
 # For texts of these letters, numbers and spaces alone the split pattern is spelled out with
@@ -175,14 +177,14 @@ def _encoder(rank_file: str, pattern: str, with_ids: bool, with_text: bool):
             return out
 
         for batch in batches:
-            texts = [t.as_py() or "" for t in batch.column(1)]
             at = 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (size == 0 or size + len(texts[end]) <= TEXT_PER_PASS):
-                    size += len(texts[end]) + 1
-                    end += 1
-                out = encode(texts[at:end])
+            while at < batch.num_rows:
+                texts, size = [], 0
+                while at + len(texts) < batch.num_rows and size <= TEXT_PER_PASS:
+                    texts.append(batch.column(1)[at + len(texts)].as_py() or "")
+                    size += len(texts[-1]) + 1
+                end = at + len(texts)
+                out = encode(texts)
                 columns = [batch.column(0).slice(at, end - at), pa.array(out["n_tokens"], pa.int64()), pa.array(out["ids_sha256"], pa.string()), pa.array(out["decoded_sha256"], pa.string())]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
@@ -212,6 +214,7 @@ def encode_bytes(docs: DataFrame, rank_file: str, pattern: str, *, with_ids: boo
     empty: 0 tokens and the digests of nothing. Null ids and repeated rows are kept as they are; other columns
     are ignored. Lone surrogates, which Spark strings can't hold, would be encoded as '?'.
     """
+    bounded_batches(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     schema += ", ids array<int>" * with_ids + ", decoded binary" * with_decoded
     texts = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"cast(`{text_col}` as string) as text")
