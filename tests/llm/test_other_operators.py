@@ -135,6 +135,20 @@ def test_alignment_finds_planted_offsets(spark):
     assert audio_prints.align(audio_prints.fingerprints(df.where("false"))).count() == 0
 
 
+def test_short_recordings_align_by_a_shared_passage(spark):
+    rng = np.random.default_rng(8)
+    tones = audio_prints._tones()
+    rows, want = [], {}
+    for k, n in enumerate(n for n in (16, 18, 20, 22, 25, 30) for _ in range(5)):
+        passage, at = rng.integers(0, len(tones), n), int(rng.integers(1, 40))
+        longer = np.concatenate([rng.integers(0, len(tones), at), passage, rng.integers(0, len(tones), 30)])
+        rows += [(50 * k, tones[passage].tobytes()), (50 * k + 1, tones[longer].tobytes())]
+        want[50 * k] = (50 * k + 1, 2 * at)
+    df = spark.createDataFrame(rows, "rec_id long, pcm binary")
+    got = {r.rec_id: (r.match_id, r.shift) for r in audio_prints.align(audio_prints.fingerprints(df)).where("rec_id % 50 = 0").collect()}
+    assert got == want
+
+
 def test_fingerprint_areas_equal_plain_sums():
     image = np.random.default_rng(4).random((40, 12)).astype(np.float32)
     codes = audio_prints.codes_of(image)

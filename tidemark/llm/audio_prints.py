@@ -19,8 +19,8 @@ FRAME, HOP, SPAN = 256, 64, 16
 LOWEST_HZ, OCTAVES = 110.0, 2
 #: Codes between the two of a landmark, votes of one offset and bit errors that an alignment takes.
 STRIDE, LEAST_VOTES, MOST_ERRORS = 8, 3, 0.15
-#: Landmarks in a row of which one is kept, told by its value, so that equal passages keep the same ones.
-SPARSE = 12
+#: Landmarks that a task hands on at once.
+MARKS_AT_ONCE = 100_000
 
 
 def _pitch_map() -> np.ndarray:
@@ -110,16 +110,26 @@ def fingerprints(recordings: DataFrame, *, id_col: str = "rec_id", audio_col: st
 
 
 def _landmarks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed() -> pa.RecordBatch:
+        out = pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], ["rec_id", "mark", "place"])
+        held.clear()
+        return out
+
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    size = 0
     for batch in batches:
         for rec, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             c = np.frombuffer(raw.as_py(), np.uint32).astype(np.int64)
             if len(c) > STRIDE:
                 mark = (c[:-STRIDE] << 32) | c[STRIDE:]
-                order = mark.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                w = min(SPARSE, len(mark))
-                at = np.unique(np.lib.stride_tricks.sliding_window_view(order, w).argmin(axis=1) + np.arange(len(mark) - w + 1))
-                at = at[np.concatenate([[True], mark[at[1:]] != mark[at[:-1]]])]  # a held tone counts once
-                yield pa.record_batch([pa.array(np.full(len(at), rec)), pa.array(mark[at]), pa.array(at.astype(np.int32))], ["rec_id", "mark", "place"])
+                at = np.flatnonzero(np.concatenate([[True], mark[1:] != mark[:-1]]))  # a held tone counts once
+                held.append((np.full(len(at), rec, np.int64), mark[at], at.astype(np.int32)))
+                size += len(at)
+                if size >= MARKS_AT_ONCE:
+                    size = 0
+                    yield packed()
+    if held:
+        yield packed()
 
 
 def _bit_errors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,8 +152,8 @@ def _bit_errors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def align(prints: DataFrame, *, every: int = 50) -> DataFrame:
     """Best alignment of each recording whose id is divisible by ``every`` with another recording.
 
-    Equal fingerprints are one, named by the smallest rec_id. Pairs of codes a stride apart are landmarks, of
-    which every window keeps the least by value; those that a query shares with others vote for an offset; offsets with votes enough are held to the bit
+    Equal fingerprints are one, named by the smallest rec_id. Pairs of codes a stride apart are landmarks;
+    each that a query shares with others votes for an offset; offsets with votes enough are held to the bit
     errors of the aligned codes. Returns one row per input row: rec_id, n_codes, fp_sha256, first_copy
     (smallest rec_id of the same fingerprint), match_id, shift (codes that the match begins later), votes,
     bit_error. For others than queries, and where nothing aligns, the last four are null; recordings without
@@ -152,8 +162,8 @@ def align(prints: DataFrame, *, every: int = 50) -> DataFrame:
     first = prints.where("n_codes > 0 and rec_id is not null").groupBy("fp_sha256").agg(F.min("rec_id").alias("first_copy"), F.max((F.col("rec_id") % every == 0).cast("int")).alias("asked"))
     first = stored(first, "audio-first")
     one = stored(prints.join(first, (prints.fp_sha256 == first.fp_sha256) & (prints.rec_id == first.first_copy)).select("rec_id", "codes", "asked").dropDuplicates(["rec_id"]), "audio-one")
-    marks = stored(one.select("rec_id", "codes").mapInArrow(_landmarks, "rec_id long, mark long, place int"), "audio-marks")
-    asked = marks.join(one.where("asked = 1").select("rec_id"), "rec_id", "left_semi").select(F.col("rec_id").alias("query"), "mark", F.col("place").alias("q"))
+    asked, marks = (x.select("rec_id", "codes").mapInArrow(_landmarks, "rec_id long, mark long, place int") for x in (one.where("asked = 1"), one))
+    asked = asked.select(F.col("rec_id").alias("query"), "mark", F.col("place").alias("q"))
     votes = asked.join(marks.select(F.col("rec_id").alias("other"), "mark", F.col("place").alias("o")), "mark").where("query != other")
     votes = votes.groupBy("query", "other", (F.col("o") - F.col("q")).alias("shift")).agg(F.count(F.lit(1)).alias("votes")).where(F.col("votes") >= LEAST_VOTES)
     peak = votes.groupBy("query", "other").agg(F.max(F.struct("votes", -F.col("shift"))).alias("p")).select("query", "other", (-F.col("p.col2")).alias("shift"), "p.votes")
