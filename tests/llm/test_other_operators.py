@@ -149,6 +149,29 @@ def test_short_recordings_align_by_a_shared_passage(spark):
     assert got == want
 
 
+def test_all_partners_and_offsets_are_returned(spark):
+    rng = np.random.default_rng(9)
+    tones = audio_prints._tones()
+    song = lambda n: rng.integers(0, len(tones), n)
+    p, q = song(30), song(30)
+    query = np.concatenate([p, song(10), q])
+    twice = np.concatenate([song(5), p, song(17), p, song(3)])
+    rows = [(0, query), (1, twice), (2, np.concatenate([song(9), q])), (2, np.concatenate([p, song(4)])), (3, song(60)), (50, song(40))]
+    df = spark.createDataFrame([(i, tones[x].tobytes()) for i, x in rows], "rec_id long, pcm binary")
+    got = audio_prints.align(audio_prints.fingerprints(df)).collect()
+    found = sorted((r for r in got if r.rec_id == 0), key=lambda r: r.match_rank)
+    assert {(r.match_id, r.shift) for r in found} == {(1, 2 * 5), (1, 2 * 52), (2, 2 * (9 - 40)), (2, 0)}
+    assert [r.match_rank for r in found] == [1, 2, 3, 4] and [r.votes for r in found] == sorted((r.votes for r in found), reverse=True)
+    assert sorted(r.rec_id for r in got if r.rec_id) == [1, 2, 2, 3, 50] and all(r.match_id is None for r in got if r.rec_id)
+
+
+def test_recording_ids_are_unique_and_ask_for_every_turn(spark):
+    turns = spark.range(60).selectExpr("id AS conv_id").crossJoin(spark.range(130).selectExpr("id AS turn")).withColumn("text", F.lit("a"))
+    ids = [r.rec_id for r in audio_prints.sung_texts(turns).select("rec_id").collect()]
+    assert len(set(ids)) == len(ids) == 60 * 130
+    assert {i % audio_prints.TURNS for i in ids if i % 50 == 0} == set(range(130))
+
+
 def test_fingerprint_areas_equal_plain_sums():
     image = np.random.default_rng(4).random((40, 12)).astype(np.float32)
     codes = audio_prints.codes_of(image)

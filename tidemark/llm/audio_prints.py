@@ -150,30 +150,35 @@ def _bit_errors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def align(prints: DataFrame, *, every: int = 50) -> DataFrame:
-    """Best alignment of each recording whose id is divisible by ``every`` with another recording.
+    """All alignments of each recording whose id is divisible by ``every`` with other recordings, best first.
 
     Equal fingerprints are one, named by the smallest rec_id. Pairs of codes a stride apart are landmarks;
-    each that a query shares with others votes for an offset; offsets with votes enough are held to the bit
-    errors of the aligned codes. Returns one row per input row: rec_id, n_codes, fp_sha256, first_copy
-    (smallest rec_id of the same fingerprint), match_id, shift (codes that the match begins later), votes,
-    bit_error. For others than queries, and where nothing aligns, the last four are null; recordings without
-    codes align with nothing. Ties go to more votes, fewer errors, the smaller id.
+    each that a query shares with others votes for an offset; all offsets with votes enough are held to the bit
+    errors of the aligned codes. Returns one row per input row, and for queries that align more than once one
+    per partner and offset: rec_id, n_codes, fp_sha256, first_copy (smallest rec_id of the same fingerprint),
+    match_rank (from 1), match_id, shift (codes that the match begins later), votes, bit_error. For others than
+    queries, and where nothing aligns, the last five are null; recordings without codes align with nothing. Rank
+    goes by more votes, fewer errors, the smaller id, the smaller shift. Recordings are told apart by their
+    fingerprints, so rows that share a rec_id are all aligned.
     """
     first = prints.where("n_codes > 0 and rec_id is not null").groupBy("fp_sha256").agg(F.min("rec_id").alias("first_copy"), F.max((F.col("rec_id") % every == 0).cast("int")).alias("asked"))
-    first = stored(first, "audio-first")
-    one = stored(prints.join(first, (prints.fp_sha256 == first.fp_sha256) & (prints.rec_id == first.first_copy)).select("rec_id", "codes", "asked").dropDuplicates(["rec_id"]), "audio-one")
-    asked, marks = (x.select("rec_id", "codes").mapInArrow(_landmarks, "rec_id long, mark long, place int") for x in (one.where("asked = 1"), one))
+    first = stored(first.withColumn("no", F.monotonically_increasing_id()), "audio-first")
+    one = prints.join(first.withColumnRenamed("fp_sha256", "fp"), (F.col("fp_sha256") == F.col("fp")) & (F.col("rec_id") == F.col("first_copy")))
+    one = stored(one.dropDuplicates(["fp_sha256"]).select("no", "first_copy", "asked", "codes"), "audio-one")
+    asked, marks = (x.select("no", "codes").mapInArrow(_landmarks, "rec_id long, mark long, place int") for x in (one.where("asked = 1"), one))
     asked = asked.select(F.col("rec_id").alias("query"), "mark", F.col("place").alias("q"))
     votes = asked.join(marks.select(F.col("rec_id").alias("other"), "mark", F.col("place").alias("o")), "mark").where("query != other")
     votes = votes.groupBy("query", "other", (F.col("o") - F.col("q")).alias("shift")).agg(F.count(F.lit(1)).alias("votes")).where(F.col("votes") >= LEAST_VOTES)
-    peak = votes.groupBy("query", "other").agg(F.max(F.struct("votes", -F.col("shift"))).alias("p")).select("query", "other", (-F.col("p.col2")).alias("shift"), "p.votes")
-    pairs = peak.join(one.select(F.col("rec_id").alias("query"), F.col("codes").alias("codes_q")), "query").join(one.select(F.col("rec_id").alias("other"), F.col("codes").alias("codes_o")), "other")
+    pairs = votes.join(one.select(F.col("no").alias("query"), F.col("codes").alias("codes_q")), "query").join(one.select(F.col("no").alias("other"), F.col("codes").alias("codes_o")), "other")
     held = pairs.select("query", "other", "shift", "votes", "codes_q", "codes_o").mapInArrow(_bit_errors, "query long, other long, shift int, votes long, overlap long, bit_error double").where(F.col("bit_error") <= MOST_ERRORS)
-    best = held.withColumn("k", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("votes"), "bit_error", "other"))).where("k = 1")
-    out = prints.select("rec_id", "n_codes", "fp_sha256").join(first.select("fp_sha256", "first_copy"), "fp_sha256", "left")
-    out = out.join(best.select(F.col("query").alias("first_copy"), F.col("other").alias("match_id"), "shift", "votes", "bit_error"), "first_copy", "left")
-    mine = F.col("rec_id") % every == 0
-    return out.select("rec_id", "n_codes", "fp_sha256", "first_copy", *(F.when(mine, F.col(c)).alias(c) for c in ("match_id", "shift", "votes", "bit_error")))
+    held = held.join(one.select(F.col("no").alias("other"), F.col("first_copy").alias("match_id")), "other")
+    best = held.withColumn("match_rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("votes"), "bit_error", "match_id", "shift", "other")))
+    best = best.select(F.col("query").alias("no"), "match_rank", "match_id", "shift", "votes", "bit_error")
+    out = prints.select("rec_id", "n_codes", "fp_sha256").join(first.select("fp_sha256", "first_copy", "no"), "fp_sha256", "left")
+    # Copies that are no queries have a number of their own below 0: they match nothing and crowd no task.
+    mine = F.coalesce(F.col("no").isNotNull() & (F.col("rec_id") % every == 0), F.lit(False))
+    out = out.withColumn("no", F.when(mine, F.col("no")).otherwise(-1 - F.monotonically_increasing_id())).join(best, "no", "left")
+    return out.select("rec_id", "n_codes", "fp_sha256", "first_copy", "match_rank", "match_id", "shift", "votes", "bit_error")
 
 
 def _tones() -> np.ndarray:
@@ -200,7 +205,15 @@ def _sing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([part.column(0), pa.array(pcm, pa.binary())], ["rec_id", "pcm"])
 
 
+#: Ids from one conversation's first turn to the next one's: above any 32-bit turn, and 1 modulo 50, so that every turn has ids of every residue.
+TURNS = 2**32 + 5
+
+
 def sung_texts(turns: DataFrame) -> DataFrame:
-    """Recordings derived from conversation turns: each word is a tone; rec_id = conv_id * 100 + turn."""
-    rec = (F.col("conv_id").cast("long") * 100 + F.col("turn").cast("long")).alias("rec_id")
+    """Recordings derived from conversation turns: each word is a tone; rec_id = conv_id * ``TURNS`` + turn.
+
+    The id is unique for turns from 0 below ``TURNS`` and conversations from 0 below 2**30; far beyond, the product overflows
+    and fails under ANSI arithmetic.
+    """
+    rec = (F.col("conv_id").cast("long") * F.lit(TURNS) + F.col("turn").cast("long")).alias("rec_id")
     return turns.select(rec, F.col("text").cast("string")).mapInArrow(_sing, "rec_id long, pcm binary")
