@@ -4,6 +4,7 @@ import base64
 import hashlib
 import itertools
 
+import numpy as np
 import public_tokenizers
 import tiktoken
 from pyspark.sql import functions as F
@@ -121,6 +122,29 @@ def test_toxicity_learns_and_handles_odd_rows(spark):
 # --- Byte-level BPE ------------------------------------------------------------------------------------------
 
 
+def test_copies_of_one_long_toxic_text_do_not_crowd_out_terms(spark):
+    rng = np.random.default_rng(6)
+    word = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
+    common = [word(6) for _ in range(400)]
+    long_text = [word(10) for _ in range(2200)]
+    rows = []
+    for i in range(60):  # near copies: each has 20 words changed
+        words = list(long_text)
+        for at in rng.choice(len(words), 20, replace=False):
+            words[at] = word(10)
+        rows.append((i, " ".join(words), 1))
+    for i in range(40):
+        rows.append((100 + i, " ".join([*rng.choice(common, 30), "zorblax", *rng.choice(common, 30)]), 1))
+    for i in range(200):
+        rows.append((200 + i, " ".join(rng.choice(common, 60)), 0))
+    d = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    lab = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    model = toxicity.learn_toxicity(d, lab)
+    assert {t.text for t in model.terms} == {"zorblax"}
+    got = {r.doc_id: r.predicted for r in toxicity.score_toxicity(d, model).collect()}
+    assert all(got[100 + i] == 1 for i in range(40)) and not any(got[200 + i] for i in range(200))
+
+
 def test_bpe_equals_the_library_and_round_trips(spark):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +24,8 @@ MAX_TERMS = 400
 LEAST_GROUPS = 4
 #: Candidate terms, a word and its beginnings being several, that a text must have to be held against others as a copy.
 FEW_TERMS = 30
+#: Minima of a text's words, in bands of so many, and the share of them that near copies have in common.
+MINIMA, BAND, ALIKE = 96, 3, 0.6
 #: Words on either side of a hit that make its context.
 WINDOW = 10
 #: Lengths of word beginnings that are tried as stems.
@@ -195,6 +199,69 @@ def _document_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         )
 
 
+_FACTORS = np.random.default_rng(5).integers(0, 2**63, (2, MINIMA, 1), np.uint64) | np.uint64(1)
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hash minima of each text's words; null for texts of few terms, which are no copies."""
+    for batch in batches:
+        sketches = []
+        for text in batch.column(0):
+            words = {w[:32] for w in _tokens(text.as_py() or "")}
+            sketch = None
+            if sum(1 + sum(len(w) >= n for n in STEMS) for w in words if len(w) > 2) > FEW_TERMS:
+                hashes = np.array([zlib.crc32(w.encode("utf-8", "replace")) for w in words], np.uint64)
+                least = np.full(MINIMA, 2**32 - 1, np.uint32)
+                for at in range(0, len(hashes), 4096):
+                    least = np.minimum(least, ((hashes[at : at + 4096] * _FACTORS[0] + _FACTORS[1]) >> np.uint64(32)).min(axis=1).astype(np.uint32))
+                sketch = least.tobytes()
+            sketches.append(sketch)
+        yield pa.record_batch([batch.column(2), pa.array(sketches, pa.binary())], ["h", "sketch"])
+
+
+def _copies(sketches: Iterable[tuple[int, bytes | None]]) -> dict[int, int]:
+    """A group for each text: that of a text before it with mostly the same words; texts without a sketch are alone."""
+    leaders: list[int] = []
+    held = np.empty((0, MINIMA), np.uint32)
+    buckets: dict[tuple[int, bytes], list[int]] = {}
+    out = {}
+    for group, (h, raw) in enumerate(sketches):
+        out[h] = group
+        if raw is None:
+            continue
+        keys = [(i, raw[i : i + 4 * BAND]) for i in range(0, 4 * MINIMA, 4 * BAND)]
+        sketch = np.frombuffer(raw, np.uint32)
+        met = np.array(sorted({x for k in keys for x in buckets.get(k, ())}), np.int64)
+        share = (held[met] == sketch).mean(axis=1) if len(met) else np.zeros(1)
+        if share.max() >= ALIKE:
+            out[h] = leaders[met[share.argmax()]]
+            continue
+        if len(leaders) == len(held):
+            held = np.concatenate([held, np.empty((max(64, len(held)), MINIMA), np.uint32)])
+        held[len(leaders)] = sketch
+        for k in keys:
+            buckets.setdefault(k, []).append(len(leaders))
+        leaders.append(group)
+    return out
+
+
+def _group_terms(copies: dict[int, int]):
+    """Words and word beginnings of each text with the text's group of copies, once a group within the batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = set()
+            for text, h in zip(batch.column(0), batch.column(2).to_pylist(), strict=True):
+                words = {w[:32] for w in _tokens(text.as_py() or "") if len(w) > 2}
+                g = copies[h]
+                found.update((w, False, g) for w in words)
+                found.update((w[:n], True, g) for w in words for n in STEMS if len(w) >= n)
+            rows = list(found)
+            yield pa.record_batch([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.int64())], ["term", "stem", "copies"])
+
+    return run
+
+
 def _presence(candidates: list[tuple[str, bool]]):
     """Numbers of the candidate terms that each text has."""
     words = {t: i for i, (t, stem) in enumerate(candidates) if not stem}
@@ -209,12 +276,12 @@ def _presence(candidates: list[tuple[str, bool]]):
                     found.add(words.get(w[:32], -1))
                     found.update(stems.get(w[:n], -1) for n in STEMS if len(w) >= n)
                 rows.append(sorted(found - {-1}))
-            yield pa.record_batch([pa.array(rows, pa.list_(pa.int32())), batch.column(1)], ["found", "toxic"])
+            yield pa.record_batch([pa.array(rows, pa.list_(pa.int32())), batch.column(1), batch.column(2)], ["found", "toxic", "h"])
 
     return run
 
 
-def _groups(found: list[set[int]]) -> list[int]:
+def _groups(found: Iterable[set[int]]) -> list[int]:
     """A group for each text: that of the first text before it with mostly the same candidate terms.
 
     Texts with few candidates are groups of their own: they share a term because it tells, not as copies.
@@ -238,16 +305,32 @@ def _groups(found: list[set[int]]) -> list[int]:
     return out
 
 
-def _lexicon(candidates: list[tuple[str, bool]], found: list[list[int]], toxic: np.ndarray, clean: int) -> list[Term]:
+def _joined(a: list[int], b: list[int]) -> list[int]:
+    """Groups of texts that are linked by either grouping."""
+    parent: dict[tuple[bool, int], tuple[bool, int]] = {}
+
+    def root(x: tuple[bool, int]) -> tuple[bool, int]:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = up
+        return x
+
+    for x, y in zip(a, b, strict=True):
+        parent[root((False, x))] = root((True, y))
+    return [root((True, y))[1] for y in b]
+
+
+def _lexicon(candidates: list[tuple[str, bool]], found: list[np.ndarray], toxic: np.ndarray, copies: list[int], clean: int) -> list[Term]:
     """Terms that texts of label 1 from several groups share, and hardly any other text has.
 
     The other words of a text that was copied often are shared by its copies only, which are one group, or few.
+    ``copies`` are groups of texts by all their words; a text is of one group with those alike in either way.
     Of a word and its beginnings the longest that keeps nine tenths of the hits is taken, whole words first.
     """
-    groups = _groups([set(f) for f in found])
+    groups = _joined(_groups(set(f.tolist()) for f in found), copies)
     spread, hits, other = [set() for _ in candidates], Counter(), Counter()
     for f, g, y in zip(found, groups, toxic, strict=True):
-        for t in f:
+        for t in f.tolist():
             (hits if y else other)[t] += 1
             if y:
                 spread[t].add(g)
@@ -255,13 +338,20 @@ def _lexicon(candidates: list[tuple[str, bool]], found: list[list[int]], toxic:
     index = {c: i for i, c in enumerate(candidates)}
     n1, n0 = int((toxic == 1).sum()), max(clean, 1)
     taken: list[Term] = []
-    covered: list[str] = []
+    covered: set[str] = set()
+    in_order = sorted(good)
     for text, stem in sorted(good, key=lambda c: (len(c[0]), not c[1], c[0])):
-        if any(text.startswith(c) for c in covered):
+        if any(text[:n] in covered for n in range(1, len(text) + 1)):
             continue
-        family = [c for c in good if c[0].startswith(text) and good[c] >= 0.9 * good[text, stem]]
+        family = []
+        for i in range(bisect_left(in_order, (text, False)), len(in_order)):
+            c = in_order[i]
+            if not c[0].startswith(text):
+                break
+            if good[c] >= 0.9 * good[text, stem]:
+                family.append(c)
         best = max(family, key=lambda c: (not c[1], len(c[0]), c[0]))
-        covered.append(text)
+        covered.add(text)
         taken.append(Term(*best, math.log((hits[index[best]] + 0.5) / (n1 + 1)) - math.log((other[index[best]] + 0.5) / (n0 + 1))))
     return sorted(taken, key=lambda t: (-t.weight, t.text))[:MAX_TERMS]
 
@@ -299,8 +389,9 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic",
 
     Rows of ``labels`` with a null id or label take no part; an id with several labels counts as 1 if one of
     them is 1. At most about ``MAX_TRAINING_DOCS`` ids are used, by a hash of the id; equal texts count once. A
-    term is a candidate if the likelihood ratio against chance beats the number of terms tried, and enters the
-    lexicon if several groups of alike texts share it. Without
+    term is a candidate if the likelihood ratio against chance beats the number of terms tried and texts of label 1
+    from several groups of near copies have it, and enters the lexicon if they still do where texts with mostly
+    the same candidates are one group as well. Candidates are not cut to a number. Without
     any label 1 the lexicon is empty and every score is low.
     """
     bounded_batches(docs.sparkSession)
@@ -309,7 +400,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic",
     share = min(1.0, MAX_TRAINING_DOCS / max(total, 1))
     known = known.where(F.pmod(F.xxhash64("__id"), F.lit(1_000_000)) < int(1_000_000 * share))  # bounded, so it may be broadcast
     sample = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(known), "__id")
-    sample = stored(sample.where("text is not null").groupBy(F.xxhash64("text").alias("h"), "text").agg(F.max("__y").alias("toxic")).select("text", "toxic"), "toxic-sample")
+    sample = stored(sample.where("text is not null").groupBy(F.xxhash64("text").alias("h"), "text").agg(F.max("__y").alias("toxic")).select("text", "toxic", "h"), "toxic-sample")
     toxic, n = sample.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count(F.lit(1))).first()
     clean = n - toxic
     if not toxic or not clean:
@@ -318,10 +409,15 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic",
     tried, base = max(counts.where("a + b >= 3").count(), 1), toxic / n
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     gain = a * F.log(a / (a + b) / base) + F.when(b > 0, b * F.log(b / (a + b) / (1 - base))).otherwise(0.0)
-    telling = counts.where((a > b) & (gain >= math.log(tried) + 1)).orderBy(F.desc(gain), "term", "stem").limit(20 * MAX_TERMS)
-    candidates = [(r.term, r.stem) for r in telling.collect()]  # bounded by 20 * MAX_TERMS
-    shown = sample.mapInArrow(_presence(candidates), "found array<int>, toxic int").where((F.size("found") > 0) | (F.col("toxic") == 1)).collect()  # bounded by MAX_TRAINING_DOCS
-    terms = _lexicon(candidates, [r.found for r in shown], np.array([r.toxic for r in shown]), clean)
+    bad = sample.where("toxic = 1")
+    copies = _copies((r.h, r.sketch) for r in bad.mapInArrow(_sketches, "h long, sketch binary").orderBy("h").collect())  # bounded by MAX_TRAINING_DOCS
+    spread = bad.mapInArrow(_group_terms(copies), "term string, stem boolean, copies long").groupBy("term", "stem").agg(F.count_distinct("copies").alias("groups")).where(F.col("groups") >= LEAST_GROUPS)
+    telling = counts.where((a > b) & (gain >= math.log(tried) + 1)).join(spread, ["term", "stem"]).orderBy(F.desc(gain), "term", "stem")
+    candidates = [(r.term, r.stem) for r in telling.select("term", "stem").collect()]  # bounded by the sample: each is in LEAST_GROUPS groups
+    shown = sample.mapInArrow(_presence(candidates), "found array<int>, toxic int, h long").where((F.size("found") > 0) | (F.col("toxic") == 1)).orderBy("h").toArrow()  # bounded by MAX_TRAINING_DOCS
+    alone = len(copies)  # clean texts are in no group of copies
+    groups = [copies.get(h, alone + i) for i, h in enumerate(shown["h"].to_pylist())]
+    terms = _lexicon(candidates, [f.values.to_numpy() for f in shown["found"]], shown["toxic"].to_numpy(), groups, clean)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(terms)
