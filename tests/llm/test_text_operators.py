@@ -72,17 +72,18 @@ def test_words_split_at_six_blanks_only():
 
 
 def test_fuzzy_lexicon_equals_brute_force():
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            row, left = [i, *row[1:]], row
-            for j, y in enumerate(b, 1):
-                row[j] = min(left[j] + 1, row[j - 1] + 1, left[j - 1] + (x != y))
-        return row[-1]
+    def distance(a, b):  # swapping two neighbours is one edit
+        d = [[i + j if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+        return d[-1][-1]
 
     terms = [toxicity.Term("scum", False, 1.0), toxicity.Term("idiot", False, 1.0), toxicity.Term("worthless", False, 1.0), toxicity.Term("lowei", True, 1.0)]
     lexicon = toxicity.FuzzyLexicon(terms)
-    words = ["scum", "scums", "idiot", "idoit", "idiott", "id1ot", "idit", "worthles", "wrothless", "worth", "lowei", "loweischaft", "lwei", "loweeischaft", "", "zzz", "idiotidiot"]
+    words = ["scum", "scums", "idiot", "idoit", "idiott", "id1ot", "idit", "worthles", "wrothless", "worth", "lowei", "loweischaft", "lwei", "loweeischaft", "", "zzz", "idiotidiot", "idito", "wortlhess", "owrthlses", "olwei", "diiot"]
     for w in words:
         best = []
         for i, t in enumerate(terms):
@@ -122,6 +123,43 @@ def test_toxicity_learns_and_handles_odd_rows(spark):
 # --- Byte-level BPE ------------------------------------------------------------------------------------------
 
 
+LONG_INSULT = "unmitigatedlydreadfulandwhollyrottenperson"
+
+
+def taught(spark):
+    fill = [f"word{i}" for i in range(40)]
+    rows = []
+    for i in range(300):
+        words = [fill[(i * 7 + k) % 40] for k in range(12)]
+        if i % 5 == 0:
+            words[3] = ("blastard", LONG_INSULT, "scumbag")[i % 3]
+        rows.append((i, " ".join(words), int(i % 5 == 0)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    return toxicity.learn_toxicity(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+
+
+def test_quotation_and_misspelling_change_the_score(spark):
+    model = taught(spark)
+    assert {t.text for t in model.terms} == {"blastard", "scumbag", LONG_INSULT}  # whole words, however long
+    texts = {
+        "plain": "you are a blastard word1 word2", "quoted": 'the note said "you are a blastard" word1 word2', "german": "er sagte „blastard“ word1 word2", "misspelled": "you are a balstrad word1 word2",
+        "reported": "they call you this: the word blastard word1 word2", "long": f"word3 {LONG_INSULT} word4", "long misspelled": f"word3 {LONG_INSULT[:9]}{LONG_INSULT[10:]} word4", "both": 'he wrote "blastard" and then he was a blastard himself', "clean": "word1 word2",
+    }
+    rows = list(enumerate([*texts.values(), texts["plain"]]))
+    got = [r.score for r in toxicity.score_toxicity(frame(spark, rows), model).orderBy("doc_id").collect()]
+    by = dict(zip(texts, got, strict=False))
+    assert min(by[k] for k in ("plain", "misspelled", "long", "long misspelled", "both")) >= 0.3 > max(by[k] for k in ("quoted", "german", "clean"))
+    assert by["reported"] < by["plain"] and by["quoted"] <= by["clean"] and got[-1] == by["plain"]
+
+
+def test_words_near_a_term_that_clean_texts_use_are_no_misspellings(spark):
+    rows = [(i, f"word{i % 9} word{i % 7} " + ("clown" if i % 4 == 0 else "crown" if i % 4 == 1 else "plain"), int(i % 4 == 0)) for i in range(200)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = toxicity.learn_toxicity(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+    assert [(t.text, t.edits) for t in model.terms] == [("clown", 0)] and "crown" in model.exempt
+    assert [r.predicted for r in toxicity.score_toxicity(docs, model).orderBy("doc_id").collect()] == [r[2] for r in rows]
+
+
 def test_copies_of_one_long_toxic_text_do_not_crowd_out_terms(spark):
     rng = np.random.default_rng(6)
     word = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))

@@ -17,19 +17,24 @@ from pyspark.sql import functions as F
 
 from .shared import bounded_batches, bucket_of, stored
 
-#: Bounds of what is learned: distinct labelled texts at most (about; chosen by a hash of the id), lexicon entries.
+#: Bound of what is learned from: distinct labelled texts at most (about; chosen by a hash of the id).
 MAX_TRAINING_DOCS = 20_000
-MAX_TERMS = 400
-#: Groups of alike texts of label 1 that a term must be found in.
-LEAST_GROUPS = 4
+#: Groups of alike texts of label 1 that a term must be found in, and the share of clean texts among those that have it, at most.
+LEAST_GROUPS, MOST_CLEAN = 4, 0.05
 #: Candidate terms, a word and its beginnings being several, that a text must have to be held against others as a copy.
 FEW_TERMS = 30
 #: Minima of a text's words, in bands of so many, and the share of them that near copies have in common.
 MINIMA, BAND, ALIKE = 96, 3, 0.6
-#: Words on either side of a hit that make its context.
-WINDOW = 10
+#: Words around a hit that make its context: for address on either side, for reports and for denials before it.
+WINDOW, REPORT_WINDOW, DENIAL_WINDOW = 10, 3, 2
+#: What a hit counts by its edits, and what is taken off one that is reported or denied.
+BY_EDITS, TAKEN_OFF = (1.0, 0.9, 0.8), 0.5
 #: Lengths of word beginnings that are tried as stems.
 STEMS = (4, 5, 6, 7, 8)
+# Words of the corpus' languages that report speech, deny, or address the reader.
+REPORTS = frozenset("said says called calls wrote word term phrase quote quoted nannte sagte sagt schrieb wort begriff dit appelé appelle écrit mot terme dijo dice llamó escribió palabra término".split())
+DENIALS = frozenset("not never isn nicht kein keine keinen pas jamais nunca".split())
+ADDRESS = frozenset("you your yours du dich dir dein deine ihr euch tu te toi ton vous votre usted ustedes tú vosotros".split())
 _WORD = re.compile(r"\w+")
 _QUOTES = re.compile("[\"“”„«»]")
 _SEEN_LIMIT = 400_000
@@ -41,11 +46,18 @@ def _tokens(text: str) -> list[str]:
 
 @dataclass(frozen=True)
 class Term:
-    """A lexicon entry: a whole word, or a stem with any ending; its weight is the log odds of label 1."""
+    """A lexicon entry: a whole word, or a stem with any ending; its weight is the log odds of label 1.
+
+    ``edits``: how far misspellings may be off; by length if not given."""
 
     text: str
     stem: bool
     weight: float
+    edits: int | None = None
+
+    @property
+    def most_edits(self) -> int:
+        return allowed_edits(self.text) if self.edits is None else self.edits
 
 
 def allowed_edits(term: str) -> int:
@@ -56,8 +68,9 @@ def allowed_edits(term: str) -> int:
 class FuzzyLexicon:
     """The lexicon's trie intersected with Levenshtein automata, made deterministic as words are read.
 
-    A state is a set of (trie node, edits so far). Reading a letter follows it in the trie, substitutes it,
-    skips it, or skips letters of the trie; states met before are looked up.
+    A state is a set of (trie node, letter still due, edits so far). Reading a letter follows it in the trie,
+    substitutes it, skips it, skips letters of the trie, or swaps two neighbouring letters (one edit: the
+    second is read first, the first is then due); states met before are looked up.
     """
 
     def __init__(self, terms: list[Term]):
@@ -66,7 +79,7 @@ class FuzzyLexicon:
         self.entry: list[list[int]] = [[]]
         self.edits = [0]
         for i, t in enumerate(terms):
-            node, most = 0, allowed_edits(t.text)
+            node, most = 0, t.most_edits
             self.edits[0] = max(self.edits[0], most)
             for c in t.text:
                 if c not in self.children[node]:
@@ -81,34 +94,42 @@ class FuzzyLexicon:
         self.moves: list[dict[str, int]] = []
         self.whole: list[tuple[int, int] | None] = []  # (edits, term) if the word ends here
         self.stem: list[tuple[int, int] | None] = []  # the same for terms that take any ending
-        self.start = self._name({0: 0})
+        self.start = self._name({(0, ""): 0})
 
-    def _name(self, nodes: dict[int, int]) -> int:
-        todo = list(nodes.items())
+    def _name(self, places: dict[tuple[int, str], int]) -> int:
+        todo = [(node, e) for (node, due), e in places.items() if not due]
         while todo:  # letters of the trie that the word leaves out
             node, e = todo.pop()
             for child in self.children[node].values():
-                if e + 1 <= self.edits[child] and e + 1 < nodes.get(child, 9):
-                    nodes[child] = e + 1
+                if e + 1 <= self.edits[child] and e + 1 < places.get((child, ""), 9):
+                    places[child, ""] = e + 1
                     todo.append((child, e + 1))
-        key = tuple(sorted(nodes.items()))
+        key = tuple(sorted(places.items()))
         if key not in self.names:
             self.names[key] = len(self.sets)
             self.sets.append(key), self.moves.append({})
-            ends = [(e, i) for node, e in key for i in self.entry[node] if e <= allowed_edits(self.terms[i].text)]
+            ends = [(e, i) for (node, due), e in key if not due for i in self.entry[node] if e <= self.terms[i].most_edits]
             self.whole.append(min(ends, default=None))
             self.stem.append(min((x for x in ends if self.terms[x[1]].stem), default=None))
         return self.names[key]
 
     def _step(self, state: int, c: str) -> int:
-        to: dict[int, int] = {}
-        for node, e in self.sets[state]:
-            if e + 1 <= self.edits[node]:
-                to[node] = min(to.get(node, 9), e + 1)
+        to: dict[tuple[int, str], int] = {}
+
+        def reach(place: tuple[int, str], e: int) -> None:
+            if e <= self.edits[place[0]] and e < to.get(place, 9):
+                to[place] = e
+
+        for (node, due), e in self.sets[state]:
+            if due:
+                if due == c:
+                    reach((node, ""), e)
+                continue
+            reach((node, ""), e + 1)
             for letter, child in self.children[node].items():
-                cost = e + (letter != c)
-                if cost <= self.edits[child]:
-                    to[child] = min(to.get(child, 9), cost)
+                reach((child, ""), e + (letter != c))
+                if letter != c and c in self.children[child]:
+                    reach((self.children[child][c], letter), e + 1)
         return self._name(to)
 
     def match(self, word: str) -> tuple[int, int] | None:
@@ -129,60 +150,73 @@ class FuzzyLexicon:
         return min((x for x in (best, end) if x is not None), default=None)
 
 
-#: Features of a document; see ``_Scorer``.
-FEATURES = 6
+#: Features of a document, see ``_Scorer``: those of plain hits only ever raise a score, the others may do either.
+RAISING, FEATURES = 3, 5
+#: What the weights are where the labelled texts don't tell: hits speak for label 1, quotation against it.
+PRIOR = (-3.0, 2.0, 0.5, 0.25, -2.0, 0.0)
+
+
+@dataclass(frozen=True)
+class Hit:
+    """A word of a text that is in the lexicon, or near it, and how much of it counts in its context."""
+
+    edits: int
+    quoted: bool
+    addressed: bool
+    counts: float
 
 
 class _Scorer:
-    """Context features of whole texts: hits exact and misspelled, in and out of quotation marks, and their density."""
+    """Context features of whole texts: what their hits count, and what share of it quotation, report and denial take."""
 
-    def __init__(self, terms: list[Term]):
-        self.lexicon = FuzzyLexicon(terms)
+    def __init__(self, terms: list[Term], exempt: frozenset[str] = frozenset()):
+        self.lexicon, self.exempt = FuzzyLexicon(terms), exempt
         self.seen: set[str] = set()
         self.found: dict[str, tuple[int, int]] = {}
 
-    def hits(self, text: str, words: list[str]) -> list[tuple[int, int, float, bool]]:
-        """(word index, edits, weight, quoted) of every hit."""
+    def matches(self, words: list[str]) -> dict[str, tuple[int, int]]:
+        """(edits, term) of the words met so far that match; empty if none of ``words`` does."""
         new = set(words) - self.seen
         if new:
             if len(self.seen) > _SEEN_LIMIT:
                 self.seen, self.found = set(), {}
                 new = set(words)
             for w in new:
-                m = self.lexicon.match(w)
+                m = self.lexicon.match(w) if w not in self.exempt else None
                 if m is not None:
                     self.found[w] = m
             self.seen |= new
-        if self.found.keys().isdisjoint(words):
+        return {} if self.found.keys().isdisjoint(words) else self.found
+
+    def hits(self, text: str, words: list[str]) -> list[Hit]:
+        found = self.matches(words)
+        if not found:
             return []
-        out, quotes = [], None
-        low = text.lower()
+        out, low = [], text.lower()
+        quotes = np.array([q.start() for q in _QUOTES.finditer(low)] or [-1])
         for i, m in enumerate(_WORD.finditer(low)):
-            hit = self.found.get(m.group())
+            hit = found.get(m.group())
             if hit is None:
                 continue
-            if quotes is None:
-                quotes = np.array([q.start() for q in _QUOTES.finditer(low)] or [-1])
-            line = low.rfind("\n", 0, m.start())
+            line, end = low.rfind("\n", 0, m.start()), low.find("\n", m.end())
             before = int(((quotes > line) & (quotes < m.start())).sum())
-            end = low.find("\n", m.end())
             after = int(((quotes >= m.end()) & (quotes < (end if end >= 0 else len(low)))).sum())
-            out.append((i, hit[0], self.lexicon.terms[hit[1]].weight, before % 2 == 1 and after > 0))
+            quoted = before % 2 == 1 and after > 0
+            off = TAKEN_OFF * (not REPORTS.isdisjoint(words[max(0, i - REPORT_WINDOW) : i])) + TAKEN_OFF * (not DENIALS.isdisjoint(words[max(0, i - DENIAL_WINDOW) : i]))
+            addressed = not ADDRESS.isdisjoint(words[max(0, i - WINDOW) : i + WINDOW + 1])
+            out.append(Hit(hit[0], quoted, addressed, 0.0 if quoted else BY_EDITS[hit[0]] * (1 - off)))
         return out
 
     def features(self, text: str | None) -> tuple[np.ndarray, int, int, int]:
+        """Of plain hits the one that counts most, what they count in all and per word; the share that is taken off; address."""
         x = np.zeros(FEATURES)
         words = _tokens(text) if text else []
         hits = self.hits(text, words) if words else []
         if not hits:
             return x, 0, 0, 0
-        at = np.array([h[0] for h in hits])
-        near = np.searchsorted(at, at + WINDOW, "right") - np.searchsorted(at, at - WINDOW, "left")
-        plain = sum(w / (1 + e) for _, e, w, q in hits if not q)
-        quoted = sum(w / (1 + e) for _, e, w, q in hits if q)
-        exact = sum(1 for _, e, _, q in hits if not e and not q)
-        x[:] = (math.log1p(plain), float(exact > 0), math.log1p(exact), math.log1p(quoted), math.log1p(100 * len(hits) / len(words)), math.log(near.max()))
-        return x, len(hits), sum(1 for h in hits if h[1]), sum(1 for h in hits if h[3])
+        plain, full = sum(h.counts for h in hits), sum(BY_EDITS[h.edits] for h in hits)
+        x[:] = (max(h.counts for h in hits), math.log1p(plain), math.log1p(100 * plain / len(words)), 1 - plain / full, float(any(h.addressed and h.counts > 0 for h in hits)))
+        return x, len(hits), sum(1 for h in hits if h.edits), sum(1 for h in hits if h.quoted)
 
 
 def _document_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +224,7 @@ def _document_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for batch in batches:
         counts = [Counter(), Counter()]
         for text, toxic in zip(batch.column(0), batch.column(1), strict=True):
-            words = {w[:32] for w in _tokens(text.as_py() or "") if len(w) > 2}
+            words = {w for w in _tokens(text.as_py() or "") if len(w) > 2}
             counts[toxic.as_py()].update({(w, False) for w in words} | {(w[:n], True) for w in words for n in STEMS if len(w) >= n})
         keys = list(counts[0].keys() | counts[1].keys())
         yield pa.record_batch(
@@ -207,7 +241,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sketches = []
         for text in batch.column(0):
-            words = {w[:32] for w in _tokens(text.as_py() or "")}
+            words = set(_tokens(text.as_py() or ""))
             sketch = None
             if sum(1 + sum(len(w) >= n for n in STEMS) for w in words if len(w) > 2) > FEW_TERMS:
                 hashes = np.array([zlib.crc32(w.encode("utf-8", "replace")) for w in words], np.uint64)
@@ -252,7 +286,7 @@ def _group_terms(copies: dict[int, int]):
         for batch in batches:
             found = set()
             for text, h in zip(batch.column(0), batch.column(2).to_pylist(), strict=True):
-                words = {w[:32] for w in _tokens(text.as_py() or "") if len(w) > 2}
+                words = {w for w in _tokens(text.as_py() or "") if len(w) > 2}
                 g = copies[h]
                 found.update((w, False, g) for w in words)
                 found.update((w[:n], True, g) for w in words for n in STEMS if len(w) >= n)
@@ -273,7 +307,7 @@ def _presence(candidates: list[tuple[str, bool]]):
             for text in batch.column(0):
                 found = set()
                 for w in set(_tokens(text.as_py() or "")):
-                    found.add(words.get(w[:32], -1))
+                    found.add(words.get(w, -1))
                     found.update(stems.get(w[:n], -1) for n in STEMS if len(w) >= n)
                 rows.append(sorted(found - {-1}))
             yield pa.record_batch([pa.array(rows, pa.list_(pa.int32())), batch.column(1), batch.column(2)], ["found", "toxic", "h"])
@@ -295,7 +329,7 @@ def _groups(found: Iterable[set[int]]) -> list[int]:
             out.append(len(leaders) - 1)
             continue
         shared = Counter(g for t in terms for g in by_term.get(t, ()))
-        near = next((g for g, n in shared.most_common(20) if n >= 0.6 * (len(terms) + len(leaders[g]) - n)), None)
+        near = next((g for g, n in shared.most_common() if n >= 0.6 * (len(terms) + len(leaders[g]) - n)), None)
         if near is None:
             near = len(leaders)
             leaders.append(terms)
@@ -334,7 +368,7 @@ def _lexicon(candidates: list[tuple[str, bool]], found: list[np.ndarray], toxic:
             (hits if y else other)[t] += 1
             if y:
                 spread[t].add(g)
-    good = {candidates[i]: hits[i] for i in range(len(candidates)) if len(spread[i]) >= LEAST_GROUPS and other[i] <= 0.05 * hits[i]}
+    good = {candidates[i]: hits[i] for i in range(len(candidates)) if len(spread[i]) >= LEAST_GROUPS and other[i] <= MOST_CLEAN * hits[i]}
     index = {c: i for i, c in enumerate(candidates)}
     n1, n0 = int((toxic == 1).sum()), max(clean, 1)
     taken: list[Term] = []
@@ -353,35 +387,82 @@ def _lexicon(candidates: list[tuple[str, bool]], found: list[np.ndarray], toxic:
         best = max(family, key=lambda c: (not c[1], len(c[0]), c[0]))
         covered.add(text)
         taken.append(Term(*best, math.log((hits[index[best]] + 0.5) / (n1 + 1)) - math.log((other[index[best]] + 0.5) / (n0 + 1))))
-    return sorted(taken, key=lambda t: (-t.weight, t.text))[:MAX_TERMS]
+    return sorted(taken, key=lambda t: (-t.weight, t.text))
+
 
+def _near_forms(terms: list[Term]):
+    """Which texts have which term, or which word near it."""
 
-def _newton(x: np.ndarray, y: np.ndarray, ridge: float, steps: int) -> np.ndarray:
-    w = np.zeros(x.shape[1])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _Scorer(terms)
+        for batch in batches:
+            rows = []
+            for text, toxic, h in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                words = _tokens(text.as_py() or "")
+                found = scorer.matches(words)
+                rows += [(found[w][1], found[w][0], w if found[w][0] else "", toxic, h) for w in set(words) & found.keys()]
+            kinds = {"term": pa.int32(), "edits": pa.int32(), "form": pa.string(), "toxic": pa.int32(), "text": pa.int64()}
+            yield pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values())], list(kinds))
+
+    return run
+
+
+def _misspellings(terms: list[Term], rows: list) -> tuple[list[Term], frozenset[str]]:
+    """Terms with the edits that hold the same bar as the terms themselves, and words near a term that are none of it.
+
+    ``rows``: (term, edits, form, toxic, text). Misspellings up to so many edits are allowed if hardly any clean
+    text has one; a word near a term that clean texts use as much as others is a word of its own.
+    """
+    clean: dict[tuple[int, int], set[int]] = {}
+    told: dict[int, set[int]] = {}
+    forms: dict[str, list[set[int]]] = {}
+    for r in rows:
+        if r.toxic:
+            told.setdefault(r.term, set()).add(r.text)
+        elif r.edits:
+            clean.setdefault((r.term, r.edits), set()).add(r.text)
+        if r.edits:
+            forms.setdefault(r.form, [set(), set()])[r.toxic].add(r.text)
+    out = []
+    for i, t in enumerate(terms):
+        far, met = 0, set()
+        for e in range(1, t.most_edits + 1):
+            met |= clean.get((i, e), set())
+            if len(met) > MOST_CLEAN * len(told.get(i, ())):
+                break
+            far = e
+        out.append(Term(t.text, t.stem, t.weight, far))
+    return out, frozenset(w for w, (n0, n1) in forms.items() if n0 and len(n0) >= len(n1))
+
+
+def _newton(x: np.ndarray, y: np.ndarray, mean: np.ndarray, ridge: float, steps: int) -> np.ndarray:
+    w = mean.copy()
     penalty = np.diag([1e-3, *[ridge] * (x.shape[1] - 1)])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w += np.clip(np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty + 1e-9 * np.eye(len(w)), x.T @ (y - p) - penalty @ w), -5, 5)
+        w += np.clip(np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty + 1e-9 * np.eye(len(w)), x.T @ (y - p) - penalty @ (w - mean)), -5, 5)
     return w
 
 
-def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, steps: int = 30) -> np.ndarray:
-    """Logistic regression with a ridge on the bounded sample. Hits only ever speak for label 1: features of
-    negative weight are left out, so that a text without hits scores lowest."""
+def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, steps: int = 40) -> np.ndarray:
+    """Logistic regression on the bounded sample with a ridge towards ``PRIOR``. What plain hits count only ever
+    speaks for label 1: such features of negative weight are left out. The share taken off by quotation, report
+    and denial, and address, have weights of either sign."""
     x = np.hstack([np.ones((len(x), 1)), x])
     used = list(range(x.shape[1]))
     while True:
         w = np.zeros(x.shape[1])
-        w[used] = _newton(x[:, used], y, ridge, steps)
-        if (w[1:] >= 0).all():
+        w[used] = _newton(x[:, used], y, np.array(PRIOR)[used], ridge, steps)
+        if (w[1 : 1 + RAISING] >= 0).all():
             return w
-        used = [i for i in used if not i or w[i] >= 0]
+        used = [i for i in used if not 1 <= i <= RAISING or w[i] >= 0]
 
 
 @dataclass
 class ToxicityModel:
     terms: list[Term]
     weights: np.ndarray
+    exempt: frozenset[str] = frozenset()
 
 
 def learn_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
@@ -391,8 +472,9 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic",
     them is 1. At most about ``MAX_TRAINING_DOCS`` ids are used, by a hash of the id; equal texts count once. A
     term is a candidate if the likelihood ratio against chance beats the number of terms tried and texts of label 1
     from several groups of near copies have it, and enters the lexicon if they still do where texts with mostly
-    the same candidates are one group as well. Candidates are not cut to a number. Without
-    any label 1 the lexicon is empty and every score is low.
+    the same candidates are one group as well. Neither candidates nor terms are cut to a number or a length.
+    Misspellings of a term are allowed as far as clean labelled texts hardly have any (``_misspellings``).
+    Without any label 1 the lexicon is empty and every score is low.
     """
     bounded_batches(docs.sparkSession)
     known = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.max((F.col(label) == 1).cast("int")).alias("__y"))
@@ -418,28 +500,31 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic",
     alone = len(copies)  # clean texts are in no group of copies
     groups = [copies.get(h, alone + i) for i, h in enumerate(shown["h"].to_pylist())]
     terms = _lexicon(candidates, [f.values.to_numpy() for f in shown["found"]], shown["toxic"].to_numpy(), groups, clean)
+    near = sample.mapInArrow(_near_forms(terms), "term int, edits int, form string, toxic int, text long").collect()  # bounded by MAX_TRAINING_DOCS: words near a term
+    terms, exempt = _misspellings(terms, near)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _Scorer(terms)
+        scorer = _Scorer(terms, exempt)
         for batch in batches:
             yield pa.record_batch([pa.array([scorer.features(t.as_py())[0].tolist() for t in batch.column(0)], pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
 
     got = sample.mapInArrow(rows, "x array<double>, y int").toPandas()  # bounded by MAX_TRAINING_DOCS
-    return ToxicityModel(terms, _fit(np.array(got["x"].tolist()), got["y"].to_numpy(float)))
+    return ToxicityModel(terms, _fit(np.array(got["x"].tolist()), got["y"].to_numpy(float)), exempt)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, *, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score every whole text; nothing is shuffled.
 
     Returns one row per input row: doc_id, score (0 to 1), predicted (1 if score >= threshold), n_hits,
-    n_misspelled, n_quoted. Null and empty texts have no hits and get the score of a text without hits. Null
-    ids and repeated rows are kept; other columns are ignored.
+    n_misspelled, n_quoted. A hit in quotation marks of its line counts nothing, one after a word of report or
+    denial half. Null and empty texts have no hits and get the score of a text without hits. Null ids and repeated rows
+    are kept (the query's held_out is null for a null id); other columns are ignored.
     """
     bounded_batches(docs.sparkSession)
-    terms, w = model.terms, model.weights
+    terms, exempt, w = model.terms, model.exempt, model.weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _Scorer(terms)
+        scorer = _Scorer(terms, exempt)
         for batch in batches:
             got = [scorer.features(t.as_py()) for t in batch.column(1)]
             x = np.array([g[0] for g in got]).reshape(-1, FEATURES)
@@ -461,11 +546,11 @@ def training_labels(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def keep_clean(docs: DataFrame, model: ToxicityModel, *, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, whose text scores below the threshold; null and empty texts stay."""
     bounded_batches(docs.sparkSession)
-    terms, w = model.terms, model.weights
+    terms, exempt, w = model.terms, model.exempt, model.weights
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _Scorer(terms)
+        scorer = _Scorer(terms, exempt)
         for batch in batches:
             x = np.array([scorer.features(t.as_py())[0] for t in batch.column(at)]).reshape(-1, FEATURES)
             p = 1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -30, 30)))
