@@ -9,7 +9,7 @@ import public_tokenizers
 import tiktoken
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, language_id, line_dedup, mixing, near_dedup, toxicity
+from tidemark.llm import bpe, language_id, line_dedup, mixing, near_dedup, shared, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, rep long, score double"
 
@@ -56,6 +56,30 @@ def test_near_dedup_equals_brute_force(spark):
     assert kept == {i for i, (_, c) in want.items() if i == c}
 
 
+def test_near_dedup_in_many_small_blocks_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 3)
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 200)
+    rng = np.random.default_rng(12)
+    rows = []
+    for family in range(4):  # members are 0.65 to 0.95 alike: many share buckets, some are linked by others only
+        base = [f"f{family}w{i}" for i in range(50)]
+        for k in range(25):
+            words = list(base)
+            for at in rng.choice(50, int(rng.integers(1, 6)), replace=False):
+                words[at] = f"x{rng.integers(30)}"
+            rows.append((100 * family + k, " ".join(words)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicate_groups(frame(spark, rows), words=2).collect()}
+    assert got == brute_groups(rows, 2, 80)
+
+
+def test_a_join_with_hot_keys_is_a_join(spark):
+    rows = spark.createDataFrame([(i % 7 if i % 3 else 3, i) for i in range(300)] + [(None, 1)], "k long, v long")
+    per = rows.where("k IS NOT NULL AND k <> 5").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("top"))
+    want = sorted(tuple(r) for r in rows.join(per.drop("n"), "k").collect())
+    for bound in (0, 50, 1000):
+        assert sorted(tuple(r) for r in shared.join_per_key(rows, per, "k", "n", bound).collect()) == want
+
+
 def test_near_dedup_of_repeated_and_null_ids_and_empty_table(spark):
     rows = frame(spark, [(None, "a b c"), (2, "a b c"), (2, "a b c"), (2, "x y z"), (None, None)])
     got = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in near_dedup.near_duplicate_groups(rows, words=2).collect())

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_IDS, bounded_batches, stored
+from .shared import BROADCAST_IDS, bounded_batches, hot_bound, join_per_key, stored
 
 #: A line ends at a line break or after a sentence; what ends it belongs to it, so that lines join up to the text.
 LINE = "[^\\n.!?]*[.!?]*[ \\t]*\\n*"
@@ -168,8 +168,9 @@ def repeated_runs(docs: DataFrame, *, least_words: int = LEAST_WORDS, id_col: st
     shortest run with that many words from a line on, or up to a line) is stood for by its minimal line hash;
     equal windows choose alike, so a repeated run always shares a fingerprint. Fingerprints found at one
     place only drop out by a count; positions of the others are joined back and extended both ways to their
-    windows, and each window meets its first place. Every step is a partial aggregation or a join on hashes;
-    no two places of a passage are ever paired.
+    windows, and each window meets its first place by a 128-bit digest of its lines, rather than each pair of positions
+    in turn: a line found in a third of all texts would pair all of them. Every step is a partial aggregation or
+    a join on hashes; the windows of a common passage are spread over all tasks.
     """
     id_, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
     texts = docs.where(id_.isNotNull() & text.isNotNull()).select(id_.alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text"))
@@ -180,8 +181,11 @@ def repeated_runs(docs: DataFrame, *, least_words: int = LEAST_WORDS, id_col: st
     shared = places.groupBy("print").agg(F.count(F.lit(1)).alias("n"), F.max("twice").alias("t")).where("n > 1 OR t").select("print")
     at = stored(places.join(shared, "print").groupBy("doc_id", "version").agg(F.collect_set("print").alias("shared")), "line-places")
     windows = stored(lined.dropDuplicates(["doc_id", "version"]).join(at, ["doc_id", "version"]).select("doc_id", "version", "hashes", "words", "shared").mapInArrow(_extend(least_words), "doc_id long, version long, start int, end int, hi long, lo long"), "line-windows")
-    first = windows.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "version", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("hi", "lo", "first")
-    later = windows.join(first, ["hi", "lo"]).where(F.struct("doc_id", "version", "start") > F.col("first"))
+    first = windows.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "version", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # ``lo`` alone is joined on; windows that share it by chance stay apart by ``hi``.
+    one = first.groupBy("lo").agg(F.sum("n").alias("n"), F.collect_list(F.struct("hi", "first")).alias("firsts"))
+    met = join_per_key(windows, one, "lo", "n", hot_bound(windows.count())).select("doc_id", "version", "start", "end", F.filter("firsts", lambda f: f["hi"] == F.col("hi"))[0]["first"].alias("first"))
+    later = met.where(F.struct("doc_id", "version", "start") > F.col("first"))
     return later.groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
 
 

@@ -11,13 +11,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, connected_components, per_batch, small_or_shuffled, stored
+from .shared import bounded_batches, connected_components, hot_bound, join_per_key, per_batch, small_or_shuffled, stored
 
 BANDS, ROWS = 42, 6
-#: Rows of one block of a crowded bucket.
-BLOCK = 2048
-#: Pairs this close to the bound by 32-bit hashes are passed on without a union, for the exact check to decide.
-SLACK = 3
+#: Rows and shingles of one block of a crowded bucket, about.
+BLOCK, BLOCK_SHINGLES = 2048, 4_000_000
 _UPPER_TO_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 _WORD_CACHE_LIMIT = 500_000
 
@@ -128,7 +126,7 @@ def _set_rows(n: int):
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 sets = [s for t in part.column(1) if len(s := hasher(t.as_py()))]
-                yield pa.record_batch([pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([(s >> np.uint64(32)).astype(np.uint32).tobytes() for s in sets], pa.binary())], ["rep", "shingles", "short"])
+                yield pa.record_batch([pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "shingles"])
 
     return run
 
@@ -166,7 +164,7 @@ class _Block:
         self.rep, self.side = group.column("rep").to_numpy(), group.column("side").to_numpy()
         self.band = group.column("band").to_numpy()[0]
         self.sig = _sig_matrix(group.column("sig").combine_chunks(), bands * rows)
-        sets = [np.frombuffer(x, np.uint32) for x in group.column("short").to_pylist()]
+        sets = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
         self.size = np.array([len(x) for x in sets])
         self.starts = np.concatenate([[0], np.cumsum(self.size)])
         values, self.codes = np.unique(np.concatenate(sets), return_inverse=True)
@@ -200,13 +198,10 @@ class _Block:
             if not len(js):
                 continue
             both = self._shared(i, js)
-            over = 100 * both - self.percent * (self.size[i] + self.size[js] - both)
-            for j, o in zip(js[over >= 0], over[over >= 0], strict=True):
-                if parent[j] == parent[i]:
-                    continue
-                a.append(int(self.rep[i])), b.append(int(self.rep[j]))
-                if o >= 100 * SLACK:  # hash collisions cannot make up that many
-                    parent[parent == parent[j]] = parent[i]
+            for j in js[100 * both >= self.percent * (self.size[i] + self.size[js] - both)]:
+                if parent[j] != parent[i]:
+                    a.append(int(self.rep[i])), b.append(int(self.rep[j]))
+                    parent[parent == parent[j]] = parent[i]  # the sets are whole, so the link is confirmed
         return a, b
 
 
@@ -250,11 +245,14 @@ def near_duplicate_groups(docs: DataFrame, *, words: int = 5, percent: int = 80,
     of exact copies is one representative from then on. Representatives that share a band bucket are
     candidates. A first round holds each against the smallest member of its buckets. A second one holds the
     members of a bucket against each other, block by block, where their components differ: by signature, then
-    by their sets; each block passes on the links that join components, not all pairs. All links are confirmed
-    on full 64-bit sets. With 42 bands of 6 rows a pair at exactly 0.8
+    by their sets; each block passes on the links that join components, not all pairs. Members of the component
+    that most of a bucket is in are dealt to blocks of their own, which meet those of the others only. All links
+    are confirmed on full 64-bit sets. With 42 bands of 6 rows a pair at exactly 0.8
     shares no bucket with probability 3e-6; no bucket is capped.
 
-    A representative stands for all rows of one set, and is named by a 64-bit digest of it.
+    A representative stands for all rows of one set, and is named by a 64-bit digest of it. Representatives of a
+    bucket in as many components as there are members are compared in pairs of blocks: this work grows with the
+    square of such a bucket, over as many tasks as there are pairs of blocks.
 
     Null or empty text and text without words: n_shingles 0, linked with nothing, kept. Rows without an id are
     linked with nothing: component_id null, kept. Rows that share an id are placed by
@@ -267,22 +265,19 @@ def near_duplicate_groups(docs: DataFrame, *, words: int = 5, percent: int = 80,
     sketch = stored(texts.mapInArrow(_sketcher(words, bands, rows, seed), "doc_id long, n_shingles long, rep long, sig binary, bands array<long>"), "sketch")
 
     keyed = sketch.where("doc_id is not null and rep is not null")
-    firsts = stored(keyed.groupBy("rep").agg(F.min("doc_id").alias("first_id"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "firsts")
+    firsts = stored(keyed.groupBy("rep").agg(F.min("doc_id").alias("first_id"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.first("n_shingles").alias("set_size"), F.count(F.lit(1)).alias("copies")), "firsts")
     reps = firsts.select("rep", "sig", "bands")
     banded = reps.select("rep", F.posexplode("bands").alias("band", "bucket"))
     crowded = banded.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     buckets = stored(banded.join(crowded, "bucket"), "buckets")
     members = stored(buckets.select("rep").distinct().join(firsts.select("rep", "first_id"), "rep"), "members")
     wanted = texts.join(small_or_shuffled(members.select(F.col("first_id").alias("doc_id")).distinct()), "doc_id", "left_semi")
-    sets = stored(wanted.mapInArrow(_set_rows(words), "rep long, shingles binary, short binary").dropDuplicates(["rep"]), "sets")
-    sigs = reps.select("rep", "sig")
+    sets = stored(wanted.mapInArrow(_set_rows(words), "rep long, shingles binary").dropDuplicates(["rep"]), "sets")
+    sigs = firsts.select("rep", "sig")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         likely = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_verify_signatures(k, least), "a long, b long")
-        return exact(likely)
-
-    def exact(pairs: DataFrame) -> DataFrame:
-        full = pairs.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("set_b")), "b").join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("set_a")), "a")
+        full = likely.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("set_b")), "b").join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("set_a")), "a")
         return full.select("a", "b", "set_a", "set_b").mapInArrow(_verify_sets(percent), "a long, b long")
 
     star = buckets.where("rep != pivot").groupBy("rep").agg(F.min("pivot").alias("a")).select("a", F.col("rep").alias("b"))
@@ -292,12 +287,18 @@ def near_duplicate_groups(docs: DataFrame, *, words: int = 5, percent: int = 80,
     def with_component(df: DataFrame) -> DataFrame:
         return df.join(groups, df.rep == groups.node, "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
 
-    placed = with_component(buckets.select("bucket", "band", "rep"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo != hi").select("bucket", "size")
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    rowsets = placed.join(mixed, "bucket").join(sigs.join(sets.select("rep", "short"), "rep"), "rep").withColumn("blocks", blocks).withColumn("own", own)
-    dealt = rowsets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+    placed = with_component(buckets.select("bucket", "band", "rep").join(firsts.select("rep", "set_size"), "rep"))
+    per = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("set_size").alias("shingles"))
+    main = F.max_by(F.struct("component", "n", "shingles"), F.struct("n", "component"))
+    mixed = per.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("shingles").alias("shingles"), main.alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    blocks = lambda n, size: F.greatest(F.ceil(n / F.lit(BLOCK)), F.ceil(size / F.lit(BLOCK_SHINGLES))).cast("int")
+    mixed = mixed.select("bucket", F.col("main.component").alias("main"), blocks(F.col("main.n"), F.col("main.shingles")).alias("big"), blocks(F.col("n") - F.col("main.n"), F.col("shingles") - F.col("main.shingles")).alias("rest"))
+    # Blocks 0 to big - 1 hold the main component, blocks from there on the others; two blocks of the main one never meet.
+    in_main = F.col("component") == F.col("main")
+    own = F.when(in_main, F.pmod(F.xxhash64("rep"), F.col("big"))).otherwise(F.col("big") + F.pmod(F.xxhash64("rep"), F.col("rest"))).cast("int")
+    rowsets = placed.join(mixed, "bucket").join(sigs.join(sets, "rep"), "rep").withColumn("own", own)
+    meets = F.when(in_main, F.sequence(F.col("big"), F.col("big") + F.col("rest") - 1)).otherwise(F.sequence(F.lit(0), F.col("big") + F.col("rest") - 1))
+    dealt = rowsets.withColumn("other", F.explode(meets)).select(
         "bucket",
         F.least("own", "other").alias("x"),
         F.greatest("own", "other").alias("y"),
@@ -306,18 +307,20 @@ def near_duplicate_groups(docs: DataFrame, *, words: int = 5, percent: int = 80,
         "rep",
         "component",
         "sig",
-        "short",
+        "shingles",
     )
     dealt = dealt.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
     cross = stored(dealt.mapInArrow(_cross_links(bands, rows, least, percent), "a long, b long").distinct(), "cross")
-    links = stored(links.union(exact(cross)), "links")
+    links = stored(links.union(cross), "links")
     groups = connected_components(links, "a", "b")
 
-    named = stored(firsts.select("rep", "first_id").join(groups, firsts.rep == groups.node, "left").select("rep", "first_id", F.coalesce("component", "rep").alias("component")), "named")
-    labels = named.join(named.groupBy("component").agg(F.min("first_id").alias("component_id")), "component").select("rep", "component_id")
-    out = sketch.select("doc_id", "n_shingles", "rep").join(labels, "rep", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    named = stored(firsts.select("rep", "first_id", "copies").join(groups, firsts.rep == groups.node, "left").select("rep", "first_id", "copies", F.coalesce("component", "rep").alias("component")), "named")
+    lowest = named.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    labels = join_per_key(named, lowest, "component", "n", hot_bound(named.count())).select("rep", "copies", "component_id")
+    ids = sketch.select("doc_id", "n_shingles", "rep")
+    grouped = join_per_key(ids.where("doc_id IS NOT NULL AND rep IS NOT NULL"), labels, "rep", "copies", hot_bound(sketch.count())).drop("rep")
+    alone = ids.where("doc_id IS NULL OR rep IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return grouped.union(alone).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def keep_first_of_groups(docs: DataFrame, **options) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,14 +13,15 @@ from pyspark.sql import functions as F
 #: A side of a join is broadcast only when it was counted and holds at most this many ids (16 MB of longs).
 BROADCAST_IDS = 1_000_000
 BATCH_ROWS = 1000
+#: A key is hot if it has more rows than these and more than that share of all rows: there are at most HOT_KEYS such keys.
+HOT_ROWS, HOT_KEYS = 10_000, 20_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The shared folder named by ``spark.checkpoint.dir``; without one there is nothing that all executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="spark-scratch-")
-        spark.sparkContext.setCheckpointDir(base)
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return base.rstrip("/")
 
 
@@ -55,6 +55,28 @@ def small_or_shuffled(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
+def hot_bound(rows: int) -> int:
+    """Rows of a key from which it is hot, in a table of so many rows; at most ``HOT_KEYS`` keys are."""
+    return max(HOT_ROWS, rows // HOT_KEYS)
+
+
+def join_per_key(rows: DataFrame, per_key: DataFrame, key: str, count: str, bound: int) -> DataFrame:
+    """Inner join of ``rows`` with ``per_key``, one row per value of ``key`` (a long) and its number of ``rows`` in ``count``.
+
+    Hot keys (more than ``bound`` rows) meet their rows by a broadcast of at most ``HOT_KEYS`` rows and are spread
+    over all tasks; the others meet by a shuffle. ``count`` is left out of the result. Null keys match nothing.
+    """
+    names = [c for c in per_key.columns if c not in (key, count)]
+    hot = per_key.where(F.col(count) > bound).select(F.col(key).alias("__hot"), F.struct(*names).alias("__a"))
+    cold = per_key.where(F.col(count) <= bound).select(F.col(key).alias("__cold"), F.struct(*names).alias("__b"))
+    out = rows.where(F.col(key).isNotNull()).join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
+    # A hot row's key is replaced by a hash of the row, so that it goes to any task; what it meets there doesn't count.
+    spread = F.when(F.col("__a").isNull(), F.col(key)).otherwise(F.xxhash64(*(F.col(f"`{c}`") for c in rows.columns)))
+    out = out.withColumn("__spread", spread).join(cold, F.col("__spread") == F.col("__cold"), "left").where("__a IS NOT NULL OR __b IS NOT NULL")
+    found = F.coalesce("__a", "__b")
+    return out.select(*(F.col(f"`{c}`") for c in rows.columns), *(found[c].alias(c) for c in names))
+
+
 def bucket_of(column: Column | str, by: int) -> Column:
     """crc32 of the id written as text, modulo ``by``: the held-out split of the labelled operators."""
     return F.pmod(F.crc32(F.col(column).cast("string") if isinstance(column, str) else column.cast("string")), F.lit(by))
@@ -79,7 +101,8 @@ def connected_components(links: DataFrame, a: str, b: str, rounds: int = 40) ->
 
     ``links``: undirected (a, b) pairs of longs, repeats and loops allowed, nulls ignored. Returns
     (node, component) for every node with a link to another node. Each half-step is two shuffles of the
-    remaining edges, written to the shared folder; the edges never pass through the driver. The edge set
+    remaining edges, written to the shared folder; the edges never pass through the driver, and those of a hub
+    are spread over all tasks. The edge set
     is stable after O(log^2 n) rounds; more than ``rounds`` raise.
     """
     x, y = F.col(a), F.col(b)
@@ -93,12 +116,13 @@ def connected_components(links: DataFrame, a: str, b: str, rounds: int = 40) ->
     if before[0] == 0:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(rounds):
+        bound = hot_bound(2 * before[0])
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = join_per_key(both, low, "u", "n", bound).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         large = stored(large, "cc-large")  # every edge points from the larger id to the smaller
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(low)
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = join_per_key(large, low, "u", "n", bound).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(low.select("u", "m"))
         edges = stored(small.distinct(), "cc-small")
         after = mark(edges)
         if after == before:
