@@ -190,7 +190,7 @@ def test_fingerprint_areas_equal_plain_sums():
 def brute_model(texts, alphabet):
     """The same model by dictionaries: counts, continuation counts, discounts, recursion."""
     table, n = quality_lm._table_of(alphabet), quality_lm.ORDER
-    seq = lambda t: [quality_lm.EDGE] * (n - 1) + quality_lm._symbols(t, table).tolist()
+    seq = lambda t: [quality_lm.EDGE] * (n - 1) + quality_lm._symbols(quality_lm._points(t), table).tolist()
     counts = [{} for _ in range(n + 1)]
     for t in texts:
         s = seq(t)
@@ -223,7 +223,7 @@ def brute_model(texts, alphabet):
         own = counts[k].get(g, 0)
         return (own - d(own) if own else 0) / total + sum(d(v) for v in followers.values()) / total * p(g[1:])
 
-    return lambda t: math.exp(-sum(math.log(p(tuple(seq(t)[i : i + n]))) for i in range(len(seq(t)) - n + 1)) / len(seq(t)[n - 1 :]))
+    return lambda t: math.exp(-sum(math.log(p(tuple(seq(t)[i : i + n]))) for i in range(len(seq(t)) - n + 1)) / len(quality_lm._points(t)))
 
 
 def test_perplexity_equals_brute_force(spark):
@@ -249,6 +249,26 @@ def test_perplexity_equals_brute_force(spark):
     assert quality_lm.quality_by_perplexity(docs.where("false"), trusted).count() == 0
 
 
+def test_rare_characters_are_spelled():
+    table = quality_lm._table_of(["a", "語"])
+    spell = lambda c, n: [quality_lm.DIGIT + int(d, 16) for d in f"{ord(c):0{n}x}"]
+    want = [17, *spell("日", 4), 18, *spell("😀", 6), 17, *spell("é", 4)]
+    assert quality_lm._symbols(quality_lm._points("A日語😀aÉ"), table).tolist() == want
+
+
+def test_scripts_without_latin_letters_are_judged_by_their_letters(spark):
+    rng = np.random.default_rng(5)
+    words = [rng.choice(list("日本語書読行見食時間大学生人"), 4).tolist() for _ in range(30)]
+    clean = lambda: "".join("".join(words[i]) for i in rng.integers(0, 30, 40))
+    junk = lambda: "".join(chr(c) for c in rng.integers(0x4E00, 0x9FFF, 160))
+    rows = [(i, clean(), "ja") for i in range(60)] + [(100 + i, junk(), "ja") for i in range(10)] + [(200 + i, clean(), "ja") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality_lm.quality_by_perplexity(docs, docs.where("doc_id < 60").select("doc_id")).collect()}
+    assert not any(got[100 + i].keep for i in range(10)) and all(got[200 + i].keep for i in range(10))
+    assert min(got[100 + i].perplexity for i in range(10)) > 3 * max(got[200 + i].perplexity for i in range(10))
+    assert got[0].n_chars == 160
+
+
 def test_probabilities_of_a_context_sum_to_one(spark):
     t = spark.createDataFrame([("abcabdabe" * 3,)], "text string")
     alphabet = quality_lm.frequent_characters(t)
