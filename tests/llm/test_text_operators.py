@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import itertools
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -239,6 +240,62 @@ def test_language_is_told_on_held_out_rows(spark, data_dir):
     assert {r.lang_pred for r in language_id.predict_language(odd, none).collect()} == {"und"}
 
 
+def plain_grams(text):
+    """Slots of letter n-grams, one by one in whole numbers; runs of other characters are one break."""
+    letters = "".join(c.lower()[0] if c.isalpha() else " " for c in text)
+    while "  " in letters:
+        letters = letters.replace("  ", " ")
+    out = []
+    for n in (1, 2, 3):
+        for gram in (letters[i : i + n] for i in range(len(letters) - n + 1)):
+            if gram != " ":
+                h = 0
+                for c in gram:
+                    h = ((h ^ h >> 15) * 0x9E3779B1 + (0 if c == " " else ord(c))) % 2**32
+                k = (h + n * 7919) * 0x85EBCA6B % 2**32
+                out.append((k ^ k >> 13) * 0xC2B2AE35 % 2**32 >> 19)
+    return out
+
+
+def test_language_equals_brute_force_cosines(spark):
+    texts = {"aa": ["abra kadabra", "abba baba"], "bb": ["lorem ipsum dolor", "dolor sit"], "cc": ["zig zag zug"]}
+    rows = [(i, t, lang) for i, (lang, t) in enumerate((lang, t) for lang, ts in texts.items() for t in ts)]
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.learn_languages(train)
+    for t in (" Lorem  KADABRA, zig!", "a", "Ü b-ß"):
+        assert {i: n for i, n in enumerate(language_id.ngram_counts(t)) if n} == dict(Counter(plain_grams(t)))
+    grams = [set(plain_grams(t)) for _, t, _ in rows]
+    idf = lambda g: np.log((1 + len(rows)) / (1 + sum(g in s for s in grams))) + 1
+
+    def vector(t):
+        g = plain_grams(t)
+        v = {x: np.log1p(g.count(x)) * idf(x) for x in set(g)}
+        size = sum(x * x for x in v.values()) ** 0.5
+        return {k: x / size for k, x in v.items()}
+
+    asked = ["abra dolor", "zug zug abba", "Lorem KADABRA zig", "abra kadabra", "abra kadabra"]
+    got = language_id.predict_language(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    for r, t in zip(got, asked, strict=True):  # up to four texts of a language are centroids of their own
+        q, best = vector(t), []
+        for _, x, lang in rows:
+            v = vector(x)
+            best.append((-sum(q[k] * v.get(k, 0) for k in q), lang))
+        assert r.lang_pred == min(best)[1] and abs(r.score + min(best)[0]) < 1e-4
+    assert got[3] != got[4] and got[3].score == got[4].score
+    same = spark.createDataFrame([(1, "xyz", "q2"), (2, "xyz", "q1")], "doc_id long, text string, lang string")  # a tie
+    assert language_id.predict_language(same, language_id.learn_languages(same)).first().lang_pred == "q1"
+
+
+def test_no_language_is_left_out(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    code = lambda i: letters[i % 26] + letters[i // 26 % 26] + letters[i // 676]
+    docs = spark.createDataFrame([(i, f"{code(i)}{code(i)[::-1]} {code(i) * 2}", f"l{i:04d}") for i in range(1001)], "doc_id long, text string, lang string")
+    model = language_id.learn_languages(docs)
+    assert len(model.languages) == 1001
+    got = language_id.predict_language(docs, model).join(docs, "doc_id")
+    assert got.where("lang = lang_pred").count() >= 990
+
+
 # --- Mixing --------------------------------------------------------------------------------------------------
 
 

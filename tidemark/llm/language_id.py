@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, bucket_of, stored
+from .shared import bounded_batches, bucket_of, small_or_shuffled, stored
 
 #: Letters in a row that make a feature, and the number of hashed features.
 ORDERS = (1, 2, 3)
@@ -60,7 +60,8 @@ def ngram_counts(text: str) -> np.ndarray | None:
                     break
                 h = (h[:-1] ^ (h[:-1] >> np.uint32(15))) * _MIX + x[n - 1 :]
             keep = x[: len(h)] != 0 if n == 1 else slice(None)
-            slot = (h[keep] * np.uint32(0x85EBCA6B) + np.uint32(n * 7919)) >> np.uint32(32 - 13)
+            k = (h[keep] + np.uint32(n * 7919)) * np.uint32(0x85EBCA6B)
+            slot = ((k ^ (k >> np.uint32(13))) * np.uint32(0xC2B2AE35)) >> np.uint32(32 - 13)
             counts += np.bincount(slot, minlength=FEATURES)
     return counts if any_letter else None
 
@@ -109,14 +110,16 @@ def learn_languages(docs: DataFrame, *, label: str = "lang", id_col: str = "doc_
     """Learn from the rows of ``docs`` with a label: inverse document frequencies and centroids per language.
 
     At most about ``SAMPLE_PER_LANGUAGE`` texts of a language are used, by a hash of the id; the vectors of a
-    language are clustered in one task each, which that bounds. Rows with a null id, text or label, and texts
+    language are clustered in one task each, which that bounds. No language is left out, however many there are:
+    centroids come to the driver, at most 128 KB a language. Rows with a null id, text or label, and texts
     without letters, take no part. Without any row there are no languages, and every prediction is `und`.
+    Repeated rows count as often as they occur; an id always falls on the same side of the sample.
     """
     bounded_batches(docs.sparkSession)
     rows = docs.where(F.col(label).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(label).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("long")).alias("h"))
-    totals = rows.groupBy("lang").count().orderBy("lang").limit(1000).withColumnRenamed("count", "n")
+    totals = small_or_shuffled(stored(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "lang-totals"))
     share = F.least(F.lit(1.0), F.lit(float(SAMPLE_PER_LANGUAGE)) / F.col("n"))
-    sample = rows.join(F.broadcast(totals), "lang").where(F.pmod("h", F.lit(1_000_000)) <= F.lit(1_000_000) * share)
+    sample = rows.join(totals, "lang").where(F.pmod("h", F.lit(1_000_000)) <= F.lit(1_000_000) * share)
     vectors = stored(sample.select("text", "lang").mapInArrow(_vectors, "lang string, counts binary"), "lang-vectors")
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,13 +142,13 @@ def learn_languages(docs: DataFrame, *, label: str = "lang", id_col: str = "doc_
         x = np.array([_weigh(np.frombuffer(v, np.float32).astype(np.float64), idf) for v in table.column("counts").to_pylist()])
         c = _spherical_kmeans(x, CENTROIDS, seed)
         far = float(np.quantile((x @ c.T).max(axis=1), REJECT_QUANTILE))
-        return pa.table({"lang": [key[0].as_py()] * len(c), "centroid": pa.array(c.tolist(), pa.list_(pa.float64())), "far": [far] * len(c)})
+        return pa.table({"lang": [key[0].as_py()] * len(c), "centroid": pa.array([v.astype(np.float32).tobytes() for v in c], pa.binary()), "far": [far] * len(c)})
 
-    got = vectors.groupBy("lang").applyInArrow(cluster, "lang string, centroid array<double>, far double").collect()
+    got = vectors.groupBy("lang").applyInArrow(cluster, "lang string, centroid binary, far double").collect()
     languages = sorted({r.lang for r in got})
     got = sorted(got, key=lambda r: r.lang)
-    first = {r.lang: r.far for r in got}
-    return LanguageModel(languages, idf, np.array([r.centroid for r in got]), np.array([languages.index(r.lang) for r in got]), np.array([first[x] for x in languages]))
+    first, place = {r.lang: r.far for r in got}, {x: i for i, x in enumerate(languages)}
+    return LanguageModel(languages, idf, np.array([np.frombuffer(r.centroid, np.float32) for r in got]), np.array([place[r.lang] for r in got]), np.array([first[x] for x in languages]))
 
 
 def predict_language(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -154,8 +157,8 @@ def predict_language(docs: DataFrame, model: LanguageModel, *, id_col: str = "do
     Returns one row per input row: doc_id, lang_pred, score (cosine to the nearest centroid, 0 to 1),
     rejected (true if the text is farther from the predicted language than nearly all texts that it was
     learned from; the prediction stays). Null, empty and letterless texts, and all texts of an empty model:
-    `und`, 0.0, rejected. Ties go to the language that sorts first. Null ids and repeated rows are kept; other
-    columns are ignored.
+    `und`, 0.0, rejected. Ties go to the language that sorts first. Null ids and repeated rows are kept (the query's
+    held_out is null for a null id); other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +167,7 @@ def predict_language(docs: DataFrame, model: LanguageModel, *, id_col: str = "do
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 got = [ngram_counts(t) if (t := v.as_py()) else None for v in part.column(1)]
-                x = np.array([_weigh(g, idf) if g is not None else np.zeros(FEATURES) for g in got]).reshape(-1, FEATURES)
+                x = np.array([_weigh(g, idf) if g is not None else np.zeros(FEATURES) for g in got], np.float32).reshape(-1, FEATURES)
                 s = x @ centroids if model.languages else np.zeros((len(got), 1))
                 best = s.argmax(axis=1)
                 name, score, rejected = [], [], []
