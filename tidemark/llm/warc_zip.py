@@ -7,17 +7,22 @@ import binascii
 import hashlib
 import json
 import struct
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_or_shuffled, stored
+from .shared import BROADCAST_IDS, bounded_batches, join_per_key, scratch_dir, stored
 
 #: A package is closed when its records hold this many bytes; a larger record has one of its own.
-PACKAGE_BYTES = 8_000_000
+PACKAGE_BYTES = 16_000_000
+#: Records that lie together are read at once up to this many bytes.
+RANGE_BYTES = 4_000_000
 _DATA, _INDEX = "archive/data.warc", "indexes/index.cdxj"
 
 # Fixed values of the ZIP format: signatures and record layouts.
@@ -187,15 +192,26 @@ def record_ranges(read: ReadAt, size: int) -> Iterator[tuple[int, int]]:
                 at += len(before) + 4 + n + 4
 
 
-def _packer(package_bytes: int, zip64: bool, index: bool):
+def _opened(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system of a path or URI, as the executors see it, and the path within."""
+    return pyarrow.fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
+
+
+def _packer(folder: str, package_bytes: int, zip64: bool, index: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, within = _opened(folder)
+        files.create_dir(within, recursive=True)
         records: list[bytes] = []
         lines: list[str] = []
         at = 0
 
         def package() -> pa.RecordBatch:
             members = [(_DATA, records)] + ([(_INDEX, ["\n".join(lines).encode()])] if index else [])
-            return pa.record_batch([pa.array([zip_stored(members, zip64)], pa.binary())], ["content"])
+            data = zip_stored(members, zip64)
+            name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.zip"  # a task that runs again writes files of its own
+            with files.open_output_stream(f"{within}/{name}") as out:
+                out.write(data)
+            return pa.record_batch([pa.array([f"{folder}/{name}"]), pa.array([len(data)], pa.int64())], ["path", "size"])
 
         for batch in batches:
             for page, url, html, other in zip(*(batch.column(i) for i in range(4)), strict=True):
@@ -212,33 +228,66 @@ def _packer(package_bytes: int, zip64: bool, index: bool):
     return run
 
 
-def write_packages(pages: DataFrame, *, least_bytes: int = 0, package_bytes: int = PACKAGE_BYTES, zip64: bool = True, index: bool = True) -> DataFrame:
-    """WARC records of ``pages`` (page_id, url, html) in ZIP packages of about ``package_bytes``.
+def write_packages(pages: DataFrame, folder: str, *, least_bytes: int = 0, package_bytes: int = PACKAGE_BYTES, zip64: bool = True, index: bool = True) -> DataFrame:
+    """WARC records of ``pages`` (page_id, url, html) in ZIP files of about ``package_bytes`` in ``folder``.
 
     Of pages with equal html in UTF-8 of ``least_bytes`` or more, the one with the smallest page_id is a
     response and the others revisit it; smaller ones are all responses. Null html counts as empty. Pages
     without an id are responses; repeated rows of one id are alike. A payload that several pages share is told
-    by its SHA-1 and length, found by a partial aggregation; pages meet those few digests, not each other.
-    Returns (content binary), one row per package: each is written by one task from the rows that it reads.
+    by its SHA-1 and length, found by a partial aggregation; pages meet those few digests, not each other. Beyond
+    ``BROADCAST_IDS`` such payloads the ids of pages meet them first, a common payload's spread over all tasks, and
+    texts are shuffled by page_id.
+
+    ``folder``: a path or URI that all executors can write to. Returns (path, size), one row per file: each is
+    written by one task from the rows that it reads, when the result is computed. A task that runs again writes
+    new files; only those of the returned rows count.
     """
+    bounded_batches(pages.sparkSession)
     text = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text.alias("html"))
     size, digest = F.octet_length("html").cast("long"), F.unhex(F.sha1(F.col("html").cast("binary")))
     named = rows.where(F.col("page_id").isNotNull()).select("page_id", size.alias("n"), digest.alias("d")).where(F.col("n") >= least_bytes)
-    shared = stored(named.groupBy("d", "n").agg(F.min("page_id").alias("first_id"), F.max("page_id").alias("other_id")).where("first_id < other_id").select("d", "n", "first_id"), "shared-payloads")
-    with_first = rows.withColumns({"d": digest, "n": size}).join(small_or_shuffled(shared), ["d", "n"], "left")
-    refers = F.when(F.col("page_id") != F.col("first_id"), F.col("first_id"))
-    return with_first.select("page_id", "url", "html", refers.alias("refers_to")).mapInArrow(_packer(package_bytes, zip64, index), "content binary")
-
-
-def read_packages(packages: DataFrame, *, with_payload: bool = False, content_col: str = "content") -> DataFrame:
-    """Records of ZIP packages held in a binary column (``spark.read.format("binaryFile")`` gives one too).
-
-    The directory at the end of the package leads to the stored members, their indexes to the records; each
-    record is cut out by its range, its digest is checked, and nothing is unpacked elsewhere. Members without
+    shared = stored(named.groupBy("d", "n").agg(F.min("page_id").alias("first_id"), F.max("page_id").alias("other_id"), F.count(F.lit(1)).alias("pages")).where("first_id < other_id").select("d", "n", "first_id", "pages"), "shared-payloads")
+    if shared.count() <= BROADCAST_IDS:
+        with_first = rows.withColumns({"d": digest, "n": size}).join(F.broadcast(shared), ["d", "n"], "left")
+        refers = F.when(F.col("page_id") != F.col("first_id"), F.col("first_id"))
+        placed = with_first.select("page_id", "url", "html", refers.alias("refers_to"))
+    else:
+        key = F.xxhash64("d", "n").alias("k")
+        firsts = shared.groupBy(key).agg(F.sum("pages").alias("pages"), F.collect_list(F.struct("d", "n", "first_id")).alias("firsts"))
+        met = join_per_key(named.withColumn("k", key), firsts, "k", "pages", named.count()).withColumn("f", F.filter("firsts", lambda f: (f["d"] == F.col("d")) & (f["n"] == F.col("n")))[0]["first_id"])
+        revisits = stored(met.where("f <> page_id").select("page_id", F.col("f").alias("refers_to")).distinct(), "revisits")
+        placed = rows.where("page_id IS NOT NULL").join(revisits, "page_id", "left").select("page_id", "url", "html", "refers_to").union(rows.where("page_id IS NULL").withColumn("refers_to", F.lit(None).cast("long")))
+    return placed.mapInArrow(_packer(folder.rstrip("/"), package_bytes, zip64, index), "path string, size long")
+
+
+def _list_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of neighbouring records of each package, found by its directories and indexes."""
+    for batch in batches:
+        for path in batch.column(0).to_pylist():
+            if path is None:
+                continue
+            files, within = _opened(path)
+            with files.open_input_file(within) as f:
+                runs: list[list[tuple[int, int]]] = []
+                for at, n in record_ranges(lambda at, n: f.read_at(n, at), f.size()):  # noqa: B023
+                    if runs and runs[-1][-1][0] + runs[-1][-1][1] == at and at + n - runs[-1][0][0] <= RANGE_BYTES:
+                        runs[-1].append((at, n))
+                    else:
+                        runs.append([(at, n)])
+            yield pa.record_batch([pa.array([path] * len(runs), pa.string()), pa.array([r[0][0] for r in runs], pa.int64()), pa.array([[n for _, n in r] for r in runs], pa.list_(pa.int64()))], ["path", "at", "lengths"])
+
+
+def read_packages(packages: DataFrame, *, with_payload: bool = False, path_col: str = "path") -> DataFrame:
+    """Records of the ZIP packages at the given paths or URIs, which the executors can open.
+
+    The directory at the end of a package, the ZIP64 one where there is one, leads to the stored members, their
+    indexes to the records; those are all that is read of it at first. The ranges of the records are dealt over
+    tasks, which seek and read them, neighbours of up to ``RANGE_BYTES`` at once; nothing is unpacked, and no package is
+    loaded whole, so its size has no bound. Digests are checked. Members without
     an index are walked from header to header. Compressed members are passed over; a damaged package raises.
-    Null contents give no rows. Returns page_id, payload_bytes, payload_digest, record_type, refers_to, and
-    with_payload: url and payload (null for a revisit).
+    Null paths give no rows, a path given twice gives its records twice. Returns page_id, payload_bytes, payload_digest, record_type,
+    refers_to, and with_payload: url and payload (null for a revisit).
     """
     fields = [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]
     fields += [("url", pa.string()), ("payload", pa.binary())] * with_payload
@@ -246,25 +295,23 @@ def read_packages(packages: DataFrame, *, with_payload: bool = False, content_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(0):
-                if not content.is_valid:
-                    continue
-                data = memoryview(content.as_buffer())
-                read = lambda at, n: bytes(data[at : at + n])  # noqa: B023, E731
-                rows = []
-                for at, n in record_ranges(read, len(data)):
-                    got = parse_record(read(at, n))
+            for path, at, lengths in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                files, within = _opened(path)
+                with files.open_input_file(within) as f:
+                    data, start, rows = memoryview(f.read_at(sum(lengths), at)), 0, []
+                for n in lengths:
+                    got = parse_record(bytes(data[start : start + n]))
+                    start += n
                     rows.append({k: got[k] for k in schema.names})
-                    if len(rows) >= 2000:
-                        yield pa.RecordBatch.from_pylist(rows, schema)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema)
+                yield pa.RecordBatch.from_pylist(rows, schema)
 
     ddl = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", url string, payload binary" * with_payload
-    return packages.select(F.col(content_col)).mapInArrow(run, ddl)
+    bounded_batches(packages.sparkSession)
+    ranges = packages.select(F.col(path_col)).mapInArrow(_list_ranges, "path string, at long, lengths array<long>")
+    return ranges.repartition("path", "at").mapInArrow(run, ddl)
 
 
 def round_trip(pages: DataFrame, **options) -> DataFrame:
     """Write the packages to the shared folder and read them back; see ``write_packages`` and ``read_packages``."""
-    return read_packages(stored(write_packages(pages, **options), "packages"))
+    folder = f"{scratch_dir(pages.sparkSession)}/packages-{uuid.uuid4().hex}"
+    return read_packages(stored(write_packages(pages, folder, **options), "packages"))
