@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, connected_components, hot_bound, join_per_key, per_batch, small_or_shuffled, stored
+from .shared import bounded_batches, connected_components, join_per_key, per_batch, small_or_shuffled, stored
 
 BANDS, ROWS = 42, 6
 #: Rows and shingles of one block of a crowded bucket, about.
@@ -316,9 +316,9 @@ def near_duplicate_groups(docs: DataFrame, *, words: int = 5, percent: int = 80,
 
     named = stored(firsts.select("rep", "first_id", "copies").join(groups, firsts.rep == groups.node, "left").select("rep", "first_id", "copies", F.coalesce("component", "rep").alias("component")), "named")
     lowest = named.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
-    labels = join_per_key(named, lowest, "component", "n", hot_bound(named.count())).select("rep", "copies", "component_id")
+    labels = join_per_key(named, lowest, "component", "n", named.count()).select("rep", "copies", "component_id")
     ids = sketch.select("doc_id", "n_shingles", "rep")
-    grouped = join_per_key(ids.where("doc_id IS NOT NULL AND rep IS NOT NULL"), labels, "rep", "copies", hot_bound(sketch.count())).drop("rep")
+    grouped = join_per_key(ids.where("doc_id IS NOT NULL AND rep IS NOT NULL"), labels, "rep", "copies", sketch.count()).drop("rep")
     alone = ids.where("doc_id IS NULL OR rep IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return grouped.union(alone).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 

@@ -9,13 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import join_per_key, stored
 
 #: Neighbours kept per node, reverse ones looked at, candidates passed on per node and join.
 NEIGHBOURS, REVERSE, PASSED = 40, 32, 6
 #: Nodes of a random block that the graph starts from, and blocks that each node is in.
 START_BLOCK, START_BLOCKS = 400, 2
 BEAM = 128
+#: Rounds after which a descent or a walk that has not ended fails: both end by themselves far earlier.
+MOST_ROUNDS = 200
 
 
 def _segments(keys: np.ndarray) -> list[tuple[int, int]]:
@@ -47,10 +49,11 @@ def _per_group(key: str, fn: Callable[[pa.RecordBatch | pa.Table, list[tuple[int
     return run
 
 
-def _matrix(table: pa.Table) -> np.ndarray:
-    codes = table.column("code").to_pylist()
-    m = np.frombuffer(b"".join(codes), np.int8).reshape(len(codes), -1).astype(np.float32)
-    return m * table.column("scale").to_numpy()[:, None]
+def _matrices(table: pa.Table, groups: list[tuple[int, int]]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """The vectors of each group, which are of one length."""
+    codes, scale = table.column("code").to_pylist(), table.column("scale").to_numpy()
+    for s, e in groups:
+        yield s, e, np.frombuffer(b"".join(codes[s:e]), np.int8).reshape(e - s, -1) * scale[s:e, None]
 
 
 def _edges(src: list, dst: list, score: list) -> pa.RecordBatch:
@@ -60,20 +63,22 @@ def _edges(src: list, dst: list, score: list) -> pa.RecordBatch:
 
 def _quantise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        v = np.array(batch.column(1).to_pylist(), np.float64).reshape(batch.num_rows, -1)
-        scale = np.maximum(np.abs(v).max(axis=1, initial=0), 1e-300) / 127
-        codes = np.rint(v / scale[:, None]).astype(np.int8)
-        yield pa.record_batch([batch.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(scale.astype(np.float32))], ["node", "code", "scale"])
+        codes, scales = [], []
+        for vector in batch.column(1):
+            v = vector.values.to_numpy()
+            scale = max(np.abs(v).max(initial=0), 1e-300) / 127
+            codes.append(np.rint(v / scale).astype(np.int8).tobytes()), scales.append(scale)
+        yield pa.record_batch([batch.column(0), pa.array(codes, pa.binary()), pa.array(np.array(scales, np.float32))], ["node", "code", "scale"])
 
 
 def _within_block(k: int):
     def fn(table: pa.Table, groups: list[tuple[int, int]]) -> pa.RecordBatch:
-        nodes, m = table.column("node").to_numpy(), _matrix(table)
+        nodes = table.column("node").to_numpy()
         src, dst, score = [], [], []
-        for s, e in groups:
+        for s, e, m in _matrices(table, groups):
             if e - s < 2:
                 continue
-            g = m[s:e] @ m[s:e].T
+            g = m @ m.T
             np.fill_diagonal(g, -np.inf)
             n = min(k, e - s - 1)
             best = np.argpartition(-g, n - 1, axis=1)[:, :n]
@@ -85,14 +90,14 @@ def _within_block(k: int):
 
 def _local_join(table: pa.Table, groups: list[tuple[int, int]]) -> pa.RecordBatch:
     """Pairs of a node's neighbours of which one is new, each way, if nearer than the farthest neighbour so far."""
-    member, fresh, kth, m = table.column("member").to_numpy(), table.column("fresh").to_numpy(zero_copy_only=False), table.column("kth").to_numpy(), _matrix(table)
+    member, fresh, kth = table.column("member").to_numpy(), table.column("fresh").to_numpy(zero_copy_only=False), table.column("kth").to_numpy()
     src, dst, score = [], [], []
-    for s, e in groups:
+    for s, e, m in _matrices(table, groups):
         f = fresh[s:e]
-        if e - s < 2 or not f.any():
+        if e - s < 2:
             continue
         ids = member[s:e]
-        g = m[s:e] @ m[s:e].T
+        g = m @ m.T
         g[(ids[:, None] == ids) | ~(f[:, None] | f)] = -np.inf
         n = min(PASSED, e - s - 1)
         best = np.argpartition(-g, n - 1, axis=1)[:, :n]
@@ -133,32 +138,37 @@ def _reverse(graph: DataFrame, most: int, order) -> DataFrame:
     return graph.withColumn("place", place).where(F.col("place") <= most).select(F.col("dst").alias("center"), F.col("src").alias("member"), "fresh")
 
 
-def neighbour_graph(codes: DataFrame, *, k: int = NEIGHBOURS, rounds: int = 8, settled: float = 0.01, seed: int = 3) -> DataFrame:
-    """NN-descent over (node, code, scale): edges (src, dst, score, fresh) to about the k nearest nodes of each.
+def neighbour_graph(codes: DataFrame, *, k: int = NEIGHBOURS, settled: float = 0.01, seed: int = 3) -> DataFrame:
+    """NN-descent over (node, size, code, scale): edges (src, dst, score, fresh) to about the k nearest nodes of each.
 
-    Nodes start with the nearest of two random blocks. In a round each node's neighbours, and up to 20 nodes
-    that it is a neighbour of, meet at it by a join; pairs with a new edge are scored there, and each member
-    takes the best few that are nearer than its farthest neighbour. It ends when under ``settled`` of all
-    edges are new. A shuffle holds at most (k + 20) 8-bit vectors per node.
+    Nodes start with the nearest of two random blocks of nodes of their size. In a round each node's neighbours, and up to
+    ``REVERSE`` nodes that it is a neighbour of, meet at it by a join, unless none of these edges is new; pairs
+    with a new edge are scored there, and each member takes the best few that are nearer than its farthest
+    neighbour. It goes on until under ``settled`` of all edges are new; scores only ever rise, so it ends. A
+    shuffle holds at most (k + REVERSE) 8-bit vectors per node; a node that is many nodes' neighbour is sent to
+    them by a broadcast.
     """
     n = codes.count()
     blocks = max(1, round(n / START_BLOCK))
     turns = F.explode(F.sequence(F.lit(0), F.lit(START_BLOCKS - 1 if blocks > 1 else 0))).alias("turn")
-    dealt = codes.select("node", "code", "scale", turns).select("node", "code", "scale", (F.pmod(F.xxhash64("node", F.col("turn") + seed), F.lit(blocks)) * START_BLOCKS + F.col("turn")).alias("block"))
+    dealt = codes.select("node", "size", "code", "scale", turns).select("node", "code", "scale", F.xxhash64(F.pmod(F.xxhash64("node", F.col("turn") + seed), F.lit(blocks)), "turn", "size").alias("block"))
     start = _grouped(dealt, "block", _within_block(k), _EDGE).withColumn("old", F.lit(False))
     graph = stored(_grouped(start, "src", _nearest(k), f"{_EDGE}, fresh boolean"), "graph")
-    for i in range(rounds):
+    for i in range(MOST_ROUNDS):
         far = graph.groupBy("src").agg(F.min("score").alias("kth"), F.count(F.lit(1)).alias("n")).select(F.col("src").alias("node"), F.when(F.col("n") < k, F.lit(float("-inf"))).otherwise(F.col("kth")).cast("float").alias("kth"))
-        known = codes.join(far, "node", "left").select(F.col("node").alias("member"), "code", "scale", F.coalesce("kth", F.lit(float("-inf")).cast("float")).alias("kth"))
         ties = graph.select(F.col("src").alias("center"), F.col("dst").alias("member"), "fresh").union(_reverse(graph, REVERSE, F.xxhash64("src", F.lit(i))))
         ties = ties.groupBy("center", "member").agg(F.max("fresh").alias("fresh"))
-        met = ties.join(known, "member").select("center", "member", "fresh", "kth", "code", "scale")
+        ties = ties.groupBy("center").agg(F.collect_list(F.struct("member", "fresh")).alias("t")).where(F.exists("t", lambda t: t["fresh"]))  # k + REVERSE at most
+        ties = stored(ties.select("center", F.explode("t").alias("t")).select("center", "t.member", "t.fresh"), "ties")
+        known = codes.join(far, "node", "left").join(ties.groupBy(F.col("member").alias("node")).agg(F.count(F.lit(1)).alias("uses")), "node")
+        known = known.select(F.col("node").alias("member"), "code", "scale", F.coalesce("kth", F.lit(float("-inf")).cast("float")).alias("kth"), "uses")
+        met = join_per_key(ties, known, "member", "uses", ties.count()).select("center", "member", "fresh", "kth", "code", "scale")
         found = _grouped(met, "center", _local_join, _EDGE).withColumn("old", F.lit(False))
         graph = stored(_grouped(graph.select("src", "dst", "score", F.lit(True).alias("old")).union(found), "src", _nearest(k), f"{_EDGE}, fresh boolean"), "graph")
         total, new = graph.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("fresh").cast("long")), F.lit(0))).first()
         if new <= settled * total:
-            break
-    return graph
+            return graph
+    raise RuntimeError(f"the graph did not settle in {MOST_ROUNDS} rounds")
 
 
 def _advance(beam: int):
@@ -188,11 +198,11 @@ def _advance(beam: int):
     return fn
 
 
-def greedy_search(graph: DataFrame, codes: DataFrame, queries: DataFrame, *, beam: int = BEAM, rounds: int = 6) -> DataFrame:
+def greedy_search(graph: DataFrame, codes: DataFrame, queries: DataFrame, *, beam: int = BEAM) -> DataFrame:
     """Best-first walks over the graph, all queries at once: (query, node, score) of the nearest found.
 
     ``queries``: nodes of the graph in column query; a walk starts from the node's own neighbours. Each
-    round visits every node of a beam that was not visited, along edges either way, and ends when none is left.
+    round visits every node of a beam that was not visited, along edges either way; it ends when none is left.
     """
     own = queries.select("query")
     place = F.row_number().over(Window.partitionBy("dst").orderBy(F.desc("score"), "src"))
@@ -201,16 +211,18 @@ def greedy_search(graph: DataFrame, codes: DataFrame, queries: DataFrame, *, bea
     nothing = F.lit(None).cast("binary")
     start = graph.join(own, graph.src == own.query).select("query", F.col("dst").alias("node"), "score", F.lit(False).alias("visited"))
     walk = stored(start, "walk")
-    for _ in range(rounds):
+    for _ in range(MOST_ROUNDS):
         ahead = walk.where("not visited").select("query", F.col("node").alias("from"))
-        if ahead.isEmpty():
-            break
-        found = steps.join(ahead, "from").select("query", F.col("to").alias("node")).where("query != node").distinct()
-        scored = found.join(codes, "node").select("query", F.lit(2).alias("role"), "node", F.lit(0.0).cast("float").alias("score"), "code", "scale")
+        n = ahead.count()
+        if not n:
+            return walk.select("query", "node", "score")
+        found = stored(steps.join(ahead, "from").select("query", F.col("to").alias("node")).where("query != node").distinct(), "ahead")
+        known = codes.join(found.groupBy("node").agg(F.count(F.lit(1)).alias("uses")), "node").select("node", "code", "scale", "uses")
+        scored = join_per_key(found, known, "node", "uses", found.count()).select("query", F.lit(2).alias("role"), "node", F.lit(0.0).cast("float").alias("score"), "code", "scale")
         asked = own.join(codes, own.query == codes.node).select("query", F.lit(0).alias("role"), "node", F.lit(0.0).cast("float").alias("score"), "code", "scale")
         held = walk.select("query", F.lit(1).alias("role"), "node", "score", nothing.alias("code"), F.lit(0.0).cast("float").alias("scale"))
         walk = stored(_grouped(asked.union(held).union(scored), "query", _advance(beam), "query long, node long, score float, visited boolean"), "walk")
-    return walk.select("query", "node", "score")
+    raise RuntimeError(f"walks did not end in {MOST_ROUNDS} rounds")
 
 
 def nearest_vectors(vectors: DataFrame, *, top: int = 20, every: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -220,8 +232,8 @@ def nearest_vectors(vectors: DataFrame, *, top: int = 20, every: int = 20, id_co
     precision; nearest first, ties to the smaller id; the query's own id is left out. Graph and search work on
     vectors rounded to 8 bits; the nodes found are scored again exactly.
 
-    Null ids, null, zero and empty vectors, those with a null or non-finite component, and those of
-    another length than most (of lengths as frequent, the larger counts) take no part. Equal vectors are one
+    Null ids, null, zero and empty vectors and those with a null or non-finite component take no part. Vectors of
+    different lengths have no product: each is searched among those of its own length. Equal vectors are one
     node with its ``top + 1`` smallest ids, so copies in any number neither crowd the graph nor are lost.
     Repeated rows of an id and vector count once; an id with several vectors stands for each of them. Fewer
     candidates than ``top`` are all returned, as far as the graph reaches them.
@@ -229,11 +241,9 @@ def nearest_vectors(vectors: DataFrame, *, top: int = 20, every: int = 20, id_co
     v = F.transform(F.col(f"`{vec_col}`"), lambda x: x.cast("double"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & ~bad & F.exists("v", lambda x: x != 0))
-    sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    rows = rows.where(F.size("v") == (sizes.n if sizes else 0))
     few = rows.distinct().withColumn("place", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("place") <= top + 1)
     nodes = stored(few.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")).select(F.xxhash64("v").alias("node"), "v", "ids"), "nodes")
-    codes = stored(nodes.select("node", "v").mapInArrow(_quantise, "node long, code binary, scale float"), "codes")
+    codes = stored(nodes.select("node", "v").mapInArrow(_quantise, "node long, code binary, scale float").withColumn("size", F.octet_length("code")), "codes")
     asked = stored(rows.where(F.col("id") % every == 0).select("id", F.xxhash64("v").alias("query")).distinct(), "asked")
     queries = asked.select("query").distinct()
     found = greedy_search(neighbour_graph(codes), codes, queries)

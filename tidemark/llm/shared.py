@@ -60,12 +60,16 @@ def hot_bound(rows: int) -> int:
     return max(HOT_ROWS, rows // HOT_KEYS)
 
 
-def join_per_key(rows: DataFrame, per_key: DataFrame, key: str, count: str, bound: int) -> DataFrame:
+def join_per_key(rows: DataFrame, per_key: DataFrame, key: str, count: str, total: int, bound: int | None = None) -> DataFrame:
     """Inner join of ``rows`` with ``per_key``, one row per value of ``key`` (a long) and its number of ``rows`` in ``count``.
 
-    Hot keys (more than ``bound`` rows) meet their rows by a broadcast of at most ``HOT_KEYS`` rows and are spread
-    over all tasks; the others meet by a shuffle. ``count`` is left out of the result. Null keys match nothing.
+    Hot keys (more than ``bound`` rows; see ``hot_bound`` of the ``total`` number of rows) meet their rows by a
+    broadcast of at most ``HOT_KEYS`` rows and are spread over all tasks; the others meet by a shuffle, as all do
+    where the table is too small to have a hot key. ``count`` is left out of the result. Null keys match nothing.
     """
+    bound = hot_bound(total) if bound is None else bound
+    if total <= bound:
+        return rows.join(per_key.drop(count), key).select(*(F.col(f"`{c}`") for c in [*rows.columns, *(c for c in per_key.columns if c not in (key, count))]))
     names = [c for c in per_key.columns if c not in (key, count)]
     hot = per_key.where(F.col(count) > bound).select(F.col(key).alias("__hot"), F.struct(*names).alias("__a"))
     cold = per_key.where(F.col(count) <= bound).select(F.col(key).alias("__cold"), F.struct(*names).alias("__b"))
@@ -116,13 +120,12 @@ def connected_components(links: DataFrame, a: str, b: str, rounds: int = 40) ->
     if before[0] == 0:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(rounds):
-        bound = hot_bound(2 * before[0])
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = join_per_key(both, low, "u", "n", bound).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = join_per_key(both, low, "u", "n", 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         large = stored(large, "cc-large")  # every edge points from the larger id to the smaller
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = join_per_key(large, low, "u", "n", bound).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(low.select("u", "m"))
+        small = join_per_key(large, low, "u", "n", 2 * before[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(low.select("u", "m"))
         edges = stored(small.distinct(), "cc-small")
         after = mark(edges)
         if after == before:
