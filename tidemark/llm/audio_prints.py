@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import bounded_batches, hot_bound, stored
 
 RATE = 1000
 #: Samples of a frame and between frames; frames that one code spans.
@@ -106,6 +106,7 @@ def fingerprints(recordings: DataFrame, *, id_col: str = "rec_id", audio_col: st
     image; sixteen area filters over its integral image give two bits each. Null, empty and too short
     recordings have no codes. Each recording is one task's work; nothing is shuffled.
     """
+    bounded_batches(recordings.sparkSession)
     return recordings.select(F.col(id_col).cast("long"), F.col(audio_col)).mapInArrow(_fingerprint, "rec_id long, n_codes long, codes binary, fp_sha256 string")
 
 
@@ -158,16 +159,26 @@ def align(prints: DataFrame, *, every: int = 50) -> DataFrame:
     per partner and offset: rec_id, n_codes, fp_sha256, first_copy (smallest rec_id of the same fingerprint),
     match_rank (from 1), match_id, shift (codes that the match begins later), votes, bit_error. For others than
     queries, and where nothing aligns, the last five are null; recordings without codes align with nothing. Rank
-    goes by more votes, fewer errors, the smaller id, the smaller shift. Recordings are told apart by their
-    fingerprints, so rows that share a rec_id are all aligned.
+    goes by more votes, fewer errors, the smaller id, the smaller shift, then an order of the fingerprints. Recordings
+    are told apart by their fingerprints, so rows that share a rec_id are all aligned; repeated rows each get all
+    rows of theirs; a null rec_id has no first_copy of its own and asks for nothing. The first codes of a
+    repeated tone vote once.
     """
+    bounded_batches(prints.sparkSession)
     first = prints.where("n_codes > 0 and rec_id is not null").groupBy("fp_sha256").agg(F.min("rec_id").alias("first_copy"), F.max((F.col("rec_id") % every == 0).cast("int")).alias("asked"))
     first = stored(first.withColumn("no", F.monotonically_increasing_id()), "audio-first")
     one = prints.join(first.withColumnRenamed("fp_sha256", "fp"), (F.col("fp_sha256") == F.col("fp")) & (F.col("rec_id") == F.col("first_copy")))
     one = stored(one.dropDuplicates(["fp_sha256"]).select("no", "first_copy", "asked", "codes"), "audio-one")
-    asked, marks = (x.select("no", "codes").mapInArrow(_landmarks, "rec_id long, mark long, place int") for x in (one.where("asked = 1"), one))
-    asked = asked.select(F.col("rec_id").alias("query"), "mark", F.col("place").alias("q"))
-    votes = asked.join(marks.select(F.col("rec_id").alias("other"), "mark", F.col("place").alias("o")), "mark").where("query != other")
+    marks = stored(one.select("no", "codes").mapInArrow(_landmarks, "rec_id long, mark long, place int"), "audio-marks")
+    asking = one.where("asked = 1").select(F.col("no").alias("asker"))
+    asked = stored(marks.join(asking, marks.rec_id == asking.asker).select(F.col("rec_id").alias("query"), "mark", F.col("place").alias("q")), "audio-asked")
+    # A common landmark's carriers are dealt to shares by their number, and meet its queries share by share.
+    bound = hot_bound(marks.count())
+    common = F.broadcast(marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bound).select("mark", F.ceil(F.col("n") / bound).cast("int").alias("shares")))
+    shares = F.coalesce("shares", F.lit(1))
+    carriers = marks.join(common, "mark", "left").select("mark", F.pmod(F.xxhash64("rec_id"), shares).cast("int").alias("share"), F.col("rec_id").alias("other"), F.col("place").alias("o"))
+    asked = asked.join(common, "mark", "left").select("query", "mark", "q", F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"))
+    votes = asked.join(carriers, ["mark", "share"]).where("query != other")
     votes = votes.groupBy("query", "other", (F.col("o") - F.col("q")).alias("shift")).agg(F.count(F.lit(1)).alias("votes")).where(F.col("votes") >= LEAST_VOTES)
     pairs = votes.join(one.select(F.col("no").alias("query"), F.col("codes").alias("codes_q")), "query").join(one.select(F.col("no").alias("other"), F.col("codes").alias("codes_o")), "other")
     held = pairs.select("query", "other", "shift", "votes", "codes_q", "codes_o").mapInArrow(_bit_errors, "query long, other long, shift int, votes long, overlap long, bit_error double").where(F.col("bit_error") <= MOST_ERRORS)
