@@ -8,14 +8,20 @@ from pyspark.sql import functions as F
 from .shared import stored
 
 BISECTIONS = 60
-#: Leading hex digits of the permutation key that name a block.
-BLOCK_DIGITS = 3
+#: Hex digits of a block's name: 4,096 blocks a source; and of its place in a pass, which the permutation key begins with.
+BLOCK_DIGITS, BLOCK_PLACE = 3, 12
 WORDS = "[^\\x20\\x09-\\x0D]+"
 
 
+def block_of(source: Column, doc_id: Column) -> Column:
+    """The block of its source that a document is dealt to, the same in every pass; an md5, which other engines give too."""
+    return F.substring(F.md5(F.concat_ws("|", F.coalesce(source, F.lit("")), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, BLOCK_DIGITS)
+
+
 def permutation_key(seed: int, turn: Column, source: Column, doc_id: Column) -> Column:
-    """The place of a document in the given pass over its source: an md5 that other engines give too."""
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), turn.cast("string"), F.coalesce(source, F.lit("")), F.coalesce(doc_id.cast("string"), F.lit(""))))
+    """The place of a document in the given pass over its source: the place of its block in this pass, then its own in the block."""
+    place = lambda x, n: F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), turn.cast("string"), F.coalesce(source, F.lit("")), x)), 1, n)
+    return F.concat(place(block_of(source, doc_id), BLOCK_PLACE), place(F.coalesce(doc_id.cast("string"), F.lit("")), 24))
 
 
 def _sum(xs: Column, f) -> Column:
@@ -71,14 +77,14 @@ def source_plan(sizes: DataFrame, *, max_passes: float | None = None, entropy: f
 
 
 def _cut_offs(slim: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
-    """Per source: how far its last, partial pass goes, as a block and the last key taken in it.
+    """Per source: how far its last, partial pass goes, as the place of a block in this pass and the last key taken in it.
 
     Prefix sums in two levels: sums of blocks first, then the keys of the one block per source where the
     left-over ends. No window holds more than the block sums of a source or the rows of a block.
     """
     turn = F.col("full_passes") + 1
     keyed = slim.join(F.broadcast(plan.where("left_over > 0").select("source", "full_passes", "left_over")), slim.source.eqNullSafe(plan.source)).select(slim.source, "doc_id", "tokens", "left_over", permutation_key(seed, turn, slim.source, F.col("doc_id")).alias("key"))
-    keyed = keyed.groupBy("source", "left_over", "key").agg(F.sum("tokens").alias("tokens")).withColumn("block", F.substring("key", 1, BLOCK_DIGITS))
+    keyed = keyed.groupBy("source", "left_over", "key").agg(F.sum("tokens").alias("tokens")).withColumn("block", F.substring("key", 1, BLOCK_PLACE))
     sums = keyed.groupBy("source", "left_over", "block").agg(F.sum("tokens").alias("n"))
     by_block = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = sums.withColumn("upto", F.sum("n").over(by_block))
@@ -98,10 +104,12 @@ def token_counts(docs: DataFrame, id_col: str, text_col: str, source_col: str) -
 def mix_sources(docs: DataFrame, *, max_passes: float | None = None, entropy: float | None = None, budget: int | None = None, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Repeat and cut sources to their target weights: the rows of ``docs``, once for each pass that takes them.
 
-    Tokens are words of the whole text. ``source_plan`` gives each source full passes and a left-over; in the
-    last pass its documents come in the order of their keys while they fit into the left-over. Every pass has its own
-    permutation: added columns mix_pass (from 1), mix_block (leading digits of the key, a unit to shuffle and
-    to read by) and mix_key (the order within it); existing columns of these names are replaced.
+    Tokens are words of the whole text. ``source_plan`` gives each source full passes and a left-over. The documents
+    of a source are dealt to blocks; every pass has its own permutation of the blocks, and of the documents
+    in each; the last pass takes whole blocks in its order, then documents of one more, while they fit into the
+    left-over. Added columns: mix_pass (from 1), mix_block (which stays with a document) and mix_key, whose
+    order within a pass is the permuted one, over all sources; existing columns of these names are replaced. Rows
+    stay where they are; ``in_mixed_order`` lays them out.
 
     Null or empty text: no tokens. Null source: a source of its own. Rows without an id share one place in
     the order; repeated rows of an id go together, and are taken only if all fit. An empty table gives none.
@@ -120,7 +128,13 @@ def mix_sources(docs: DataFrame, *, max_passes: float | None = None, entropy: fl
     turns = F.explode(F.sequence(F.lit(1), F.col("full_passes") + F.when(F.col("left_over") > 0, 1).otherwise(0)))
     some = (F.col("full_passes") > 0) | (F.col("left_over") > 0)
     placed = rows.join(F.broadcast(rule), source.eqNullSafe(F.col("__source"))).where(some).withColumn("mix_pass", turns)
-    placed = placed.withColumn("mix_key", permutation_key(seed, F.col("mix_pass"), source, F.col(f"`{id_col}`").cast("long"))).withColumn("mix_block", F.substring("mix_key", 1, BLOCK_DIGITS))
-    fits = (F.col("mix_block") < F.col("edge_block")) | ((F.col("mix_block") == F.col("edge_block")) & (F.col("mix_key") <= F.col("last_key")))
+    placed = placed.withColumn("mix_key", permutation_key(seed, F.col("mix_pass"), source, F.col(f"`{id_col}`").cast("long"))).withColumn("mix_block", block_of(source, F.col(f"`{id_col}`").cast("long")))
+    place = F.substring("mix_key", 1, BLOCK_PLACE)
+    fits = (place < F.col("edge_block")) | ((place == F.col("edge_block")) & (F.col("mix_key") <= F.col("last_key")))
     taken = placed.where((F.col("mix_pass") <= F.col("full_passes")) | F.coalesce(fits, F.col("edge_block").isNull()))
     return taken.select(*(F.col(f"`{c}`") for c in names), "mix_pass", "mix_block", "mix_key")
+
+
+def in_mixed_order(mixed: DataFrame) -> DataFrame:
+    """Rows of ``mix_sources`` laid out by pass and permuted block, ranges over tasks: one shuffle of the texts."""
+    return mixed.repartitionByRange("mix_pass", "mix_key").sortWithinPartitions("mix_pass", "mix_key")
