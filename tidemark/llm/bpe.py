@@ -184,7 +184,10 @@ def _encoder(rank_file: str, pattern: str, with_ids: bool, with_text: bool):
                     texts.append(batch.column(1)[at + len(texts)].as_py() or "")
                     size += len(texts[-1]) + 1
                 end = at + len(texts)
-                out = encode(texts)
+                distinct = list(dict.fromkeys(texts))  # copies that lie together are encoded once
+                out, at_text = encode(distinct), {t: i for i, t in enumerate(distinct)}
+                if len(distinct) < len(texts):
+                    out = {k: [v[at_text[t]] for t in texts] if v else v for k, v in out.items()}
                 columns = [batch.column(0).slice(at, end - at), pa.array(out["n_tokens"], pa.int64()), pa.array(out["ids_sha256"], pa.string()), pa.array(out["decoded_sha256"], pa.string())]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
