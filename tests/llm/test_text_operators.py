@@ -78,7 +78,7 @@ def test_a_join_with_hot_keys_is_a_join(spark):
     per = rows.where("k IS NOT NULL AND k <> 5").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("top"))
     want = sorted(tuple(r) for r in rows.join(per.drop("n"), "k").collect())
     for bound in (0, 50, 1000):
-        assert sorted(tuple(r) for r in shared.join_per_key(rows, per, "k", "n", bound).collect()) == want
+        assert sorted(tuple(r) for r in shared.join_per_key(rows, per, "k", "n", 301, bound).collect()) == want
 
 
 def test_near_dedup_of_repeated_and_null_ids_and_empty_table(spark):
@@ -224,6 +224,18 @@ def test_bpe_equals_the_library_and_round_trips(spark):
     assert bpe.encode_bytes(rows.where("false"), path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_of_long_texts_and_copies(spark):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    long_text, run = "Many words of a very long text, über und über. " * 30_000, "xyzzy" * 700
+    rows = frame(spark, [(i, t) for i, t in enumerate([long_text, "a", long_text, run, "a", None, run + "!"])])
+    for r in bpe.encode_bytes(rows, path, public_tokenizers.PATTERN).join(rows, "doc_id").collect():
+        ids = enc.encode_ordinary(r.text or "")
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
+
+
 # --- Language ------------------------------------------------------------------------------------------------
 
 
@@ -318,6 +330,22 @@ def test_mixing_keeps_budgets(spark):
     assert mixing.mix_sources(docs.where("false"), max_passes=2.0).count() == 0
 
 
+def test_mixing_permutes_blocks_and_keeps_repeated_rows_together(spark):
+    rows = [(i, "w w", "small", 0) for i in range(300)] + [(1000 + i, "w w", "big", 0) for i in range(3000)] + [(7, "w w", "small", 1)] * 2
+    out = mixing.mix_sources(frame(spark, rows, "doc_id long, text string, source string, copy int"), max_passes=1.7)
+    got = mixing.in_mixed_order(out).select("doc_id", "source", "mix_pass", "mix_block", "mix_key", F.spark_partition_id().alias("p")).collect()
+    small = {n: [r for r in got if r.source == "small" and r.mix_pass == n] for n in (1, 2)}
+    assert len(small[1]) == 302 and 0.65 * 302 <= len(small[2]) <= 0.7 * 302
+    assert sum(r.doc_id == 7 for r in small[1]) == 3 and sum(r.doc_id == 7 for r in small[2]) in (0, 3)
+    assert [(r.mix_pass, r.mix_key) for r in got] == sorted((r.mix_pass, r.mix_key) for r in got)  # over all sources and tasks
+    blocks = {r.doc_id: r.mix_block for r in small[1]}
+    assert all(blocks[r.doc_id] == r.mix_block for r in small[2])
+    runs = [[k for k, _ in itertools.groupby(r.mix_block for r in rows)] for rows in small.values()]
+    assert all(len(set(x)) == len(x) for x in runs)  # a block lies together in each pass
+    both = [b for b in runs[0] if b in runs[1]]
+    assert both != [b for b in runs[1] if b in runs[0]]  # and in another place
+
+
 def test_entropy_target_is_met(spark):
     sizes = frame(spark, [("a", 900), ("b", 90), ("c", 10), ("d", 0)], "source string, tokens long")
     import math

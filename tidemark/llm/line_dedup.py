@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_IDS, bounded_batches, hot_bound, join_per_key, stored
+from .shared import BROADCAST_IDS, bounded_batches, join_per_key, stored
 
 #: A line ends at a line break or after a sentence; what ends it belongs to it, so that lines join up to the text.
 LINE = "[^\\n.!?]*[.!?]*[ \\t]*\\n*"
@@ -184,12 +184,12 @@ def repeated_runs(docs: DataFrame, *, least_words: int = LEAST_WORDS, id_col: st
     first = windows.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "version", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     # ``lo`` alone is joined on; windows that share it by chance stay apart by ``hi``.
     one = first.groupBy("lo").agg(F.sum("n").alias("n"), F.collect_list(F.struct("hi", "first")).alias("firsts"))
-    met = join_per_key(windows, one, "lo", "n", hot_bound(windows.count())).select("doc_id", "version", "start", "end", F.filter("firsts", lambda f: f["hi"] == F.col("hi"))[0]["first"].alias("first"))
+    met = join_per_key(windows, one, "lo", "n", windows.count()).select("doc_id", "version", "start", "end", F.filter("firsts", lambda f: f["hi"] == F.col("hi"))[0]["first"].alias("first"))
     later = met.where(F.struct("doc_id", "version", "start") > F.col("first"))
     return later.groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
 
 
-def _cut(with_text: bool):
+def _cut(with_text: bool, drop_emptied: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
@@ -214,7 +214,8 @@ def _cut(with_text: bool):
                     digest.append(hashlib.sha256((t or "").encode("utf-8", "replace")).hexdigest())
             if with_text:
                 columns = [batch.column(i) for i, c in enumerate(names) if c not in ("__text", "__runs")]
-                yield pa.record_batch([*columns, pa.array(kept, pa.string())], [*(c for c in names if c not in ("__text", "__runs")), "__text"])
+                out = pa.record_batch([*columns, pa.array(kept, pa.string())], [*(c for c in names if c not in ("__text", "__runs")), "__text"])
+                yield out.filter(pa.array([not (r and not _WORD.search(t)) for r, t in zip(removed, kept, strict=True)], pa.bool_())) if drop_emptied else out
             else:
                 yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "n_lines", "n_removed", "text_sha256"])
 
@@ -230,10 +231,11 @@ def _with_runs(docs: DataFrame, id_col: str, text_col: str, least_words: int) ->
     return docs.join(runs, (F.col(f"`{id_col}`").cast("long") == F.col("__id")) & (F.xxhash64(text) == F.col("__version")), "left").drop("__id", "__version")
 
 
-def dedup_lines(docs: DataFrame, *, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, *, least_words: int = LEAST_WORDS, drop_emptied: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs``, all rows and columns, with the later of repeated runs of lines cut out of the text.
 
-    See ``repeated_runs`` for what is cut. A text that is repeated as a whole becomes empty; its row stays.
+    See ``repeated_runs`` for what is cut. A text that is repeated as a whole becomes empty; its row stays, unless
+    ``drop_emptied``, which drops the rows whose words were all cut (texts without words from the start stay).
     Null texts and rows without an id stay as they are and take no part. Rows that share an id are told
     apart by their text; equal ones are one place and keep the same lines. A column of counts of characters is
     not brought up to date. Very long texts are handled line by line in one task.
@@ -244,7 +246,7 @@ def dedup_lines(docs: DataFrame, *, least_words: int = LEAST_WORDS, id_col: str
     plain = found.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)), F.col(f"`{text_col}`").cast("string").alias("__text"), "__runs")
     fields = {f.name: f.dataType.simpleString() for f in plain.schema.fields}
     ddl = ", ".join([*(f"c{i} {fields[f'c{i}']}" for i in range(len(others))), "__text string"])
-    cut = plain.mapInArrow(_cut(True), ddl)
+    cut = plain.mapInArrow(_cut(True, drop_emptied), ddl)
     back = {c: F.col(f"c{i}").alias(c) for i, c in enumerate(others)} | {text_col: F.col("__text").alias(text_col)}
     return cut.select(*(back[c] for c in names))
 

@@ -28,46 +28,56 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in groups linked by 80 % of their 2-word shingles: doc_id, n_shingles, component_id, kept. See ``near_duplicate_groups``."""
     return near_duplicate_groups(_table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document: doc_id, held_out (null for a null id), score, predicted, and counts of hits. See ``score_toxicity``."""
     docs = _table(spark, sf_dir, "documents")
     model = learn_toxicity(docs, training_labels(_table(spark, sf_dir, "labels")))
     return score_toxicity(docs, model, threshold=0.3).withColumn("held_out", bucket_of("doc_id", 4) == 2)
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every text and digests of ids and of the decoded bytes. See ``encode_bytes``."""
     return encode_bytes(_table(spark, sf_dir, "documents"), public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN)
 
 
 def op4_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC records into ZIP files and read back by range. See ``write_packages`` and ``read_packages``."""
     return round_trip(_table(spark, sf_dir, "pages"), least_bytes=0)
 
 
 def op5_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings derived from all conversation turns, fingerprinted and aligned. See ``fingerprints`` and ``align``."""
     return align(stored(fingerprints(sung_texts(_table(spark, sf_dir, "conversations"))), "audio-prints"), every=50)
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document: doc_id, held_out (null for a null id), lang_pred, score, rejected. See ``predict_language``."""
     docs = _table(spark, sf_dir, "documents")
     return predict_language(docs, learn_languages(training_rows(docs))).withColumn("held_out", bucket_of("doc_id", 3) == 1)
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents repeated to at most two passes a source, with block, pass and order. See ``mix_sources``."""
     mixed = mix_sources(_table(spark, sf_dir, "documents"), max_passes=2.0, seed=17)
     return mixed.select("doc_id", "source", "mix_pass", "mix_block", "mix_key")
 
 
 def op8_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of each whose id is divisible by 20. See ``nearest_vectors``."""
     return nearest_vectors(_table(spark, sf_dir, "embeddings"), top=20, every=20)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every text, how many repeat an earlier run of 20 words, and a digest of the rest. See ``dedup_lines``."""
     return line_dedup_digest(_table(spark, sf_dir, "documents"), least_words=20)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every text under a model of trusted ones, and whether it is kept. See ``quality_by_perplexity``."""
     trusted = _table(spark, sf_dir, "labels").where("quality = 1")
     return quality_by_perplexity(_table(spark, sf_dir, "documents"), trusted, quantile=0.99)
 
@@ -128,12 +138,13 @@ whole AS (
   SELECT doc_id, source, unnest(generate_series(1, passes)) AS mix_pass FROM slim JOIN full_plan USING (source)),
 part AS (
   SELECT doc_id, source, mix_pass, sum(tokens) OVER (PARTITION BY source ORDER BY key RANGE UNBOUNDED PRECEDING) AS upto, left_over
-  FROM (SELECT doc_id, source, tokens, left_over, passes + 1 AS mix_pass, md5('17|' || (passes + 1) || '|' || source || '|' || doc_id) AS key
+  FROM (SELECT doc_id, source, tokens, left_over, passes + 1 AS mix_pass,
+          substr(md5('17|' || (passes + 1) || '|' || source || '|' || substr(md5(source || '|' || doc_id), 1, 3)), 1, 12) || substr(md5('17|' || (passes + 1) || '|' || source || '|' || doc_id), 1, 24) AS key
         FROM slim JOIN full_plan USING (source) WHERE left_over > 0)),
 taken AS (
   SELECT doc_id, source, mix_pass FROM whole UNION ALL SELECT doc_id, source, mix_pass FROM part WHERE upto <= left_over)
-SELECT doc_id, source, mix_pass, substr(key, 1, 3) AS mix_block, key AS mix_key
-FROM (SELECT *, md5('17|' || mix_pass || '|' || source || '|' || doc_id) AS key FROM taken)""",
+SELECT doc_id, source, mix_pass, block AS mix_block, substr(md5('17|' || mix_pass || '|' || source || '|' || block), 1, 12) || substr(md5('17|' || mix_pass || '|' || source || '|' || doc_id), 1, 24) AS mix_key
+FROM (SELECT *, substr(md5(source || '|' || doc_id), 1, 3) AS block FROM taken)""",
     "op4_warc_packages": r"""
 WITH p AS (
   SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
