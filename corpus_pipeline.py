@@ -14,7 +14,7 @@ from tidemark.llm.queries import RANK_FILE
 from tidemark.llm.shared import stored
 from tidemark.llm.toxicity import keep_clean, learn_toxicity, training_labels
 
-#: Every stage in SQL is out of reach: the first learns a classifier. Tested against brute force instead.
+#: Every stage in SQL is out of reach: the first learns a classifier. The stages after it are tested against brute force, each on its own input.
 ORACLE_SQL = None
 
 
@@ -25,8 +25,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of runs of 20 words and more go from the texts; all rows stay."""
-    cut = dedup_lines(docs, least_words=20)
+    """Later copies of runs of 20 words and more go from the texts; rows of which nothing is left go as well."""
+    cut = dedup_lines(docs, least_words=20, drop_emptied=True)
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
 
@@ -36,7 +36,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Small sources are repeated up to twice; no document is left out."""
+    """Small sources are repeated up to twice; no document is left out. Copies lie next to each other: columns are those of
+    documents, so the order of the mixture is not kept here."""
     return mix_sources(docs, max_passes=2.0, seed=17).select(*docs.columns)
 
 
@@ -55,6 +56,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in order, each reading what the one before it wrote to the shared folder.
+
+    Null and empty texts pass every stage (0 tokens at the end); null ids take no part in line dedup and near
+    duplicates and stay; repeated rows of an id and text stay or go together, but for near duplicates of another
+    id; null sources are a source; further columns pass through unchanged. An empty table gives none.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
