@@ -292,12 +292,13 @@ def near_duplicate_groups(docs: DataFrame, *, words: int = 5, percent: int = 80,
     main = F.max_by(F.struct("component", "n", "shingles"), F.struct("n", "component"))
     mixed = per.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("shingles").alias("shingles"), main.alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     blocks = lambda n, size: F.greatest(F.ceil(n / F.lit(BLOCK)), F.ceil(size / F.lit(BLOCK_SHINGLES))).cast("int")
-    mixed = mixed.select("bucket", F.col("main.component").alias("main"), blocks(F.col("main.n"), F.col("main.shingles")).alias("big"), blocks(F.col("n") - F.col("main.n"), F.col("shingles") - F.col("main.shingles")).alias("rest"))
-    # Blocks 0 to big - 1 hold the main component, blocks from there on the others; two blocks of the main one never meet.
-    in_main = F.col("component") == F.col("main")
-    own = F.when(in_main, F.pmod(F.xxhash64("rep"), F.col("big"))).otherwise(F.col("big") + F.pmod(F.xxhash64("rep"), F.col("rest"))).cast("int")
+    mixed = mixed.select("bucket", (blocks(F.col("n"), F.col("shingles")) == 1).alias("lone"), F.col("main.component").alias("main"), blocks(F.col("main.n"), F.col("main.shingles")).alias("big"), blocks(F.col("n") - F.col("main.n"), F.col("shingles") - F.col("main.shingles")).alias("rest"))
+    # A bucket that fits into one block is that block. Else blocks 0 to big - 1 hold the main component, blocks from
+    # there on the others; two blocks of the main one never meet.
+    in_main, lone = F.col("component") == F.col("main"), F.col("lone")
+    own = F.when(lone, F.lit(0)).when(in_main, F.pmod(F.xxhash64("rep"), F.col("big"))).otherwise(F.col("big") + F.pmod(F.xxhash64("rep"), F.col("rest"))).cast("int")
     rowsets = placed.join(mixed, "bucket").join(sigs.join(sets, "rep"), "rep").withColumn("own", own)
-    meets = F.when(in_main, F.sequence(F.col("big"), F.col("big") + F.col("rest") - 1)).otherwise(F.sequence(F.lit(0), F.col("big") + F.col("rest") - 1))
+    meets = F.when(lone, F.array(F.lit(0))).when(in_main, F.sequence(F.col("big"), F.col("big") + F.col("rest") - 1)).otherwise(F.sequence(F.lit(0), F.col("big") + F.col("rest") - 1))
     dealt = rowsets.withColumn("other", F.explode(meets)).select(
         "bucket",
         F.least("own", "other").alias("x"),
