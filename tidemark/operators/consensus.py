@@ -14,6 +14,7 @@ REJECTED_ORIGINS = ["invalid", "missing", "non_equity"]
 NON_EQUITY_INSTRUMENTS = ["bond", "bonds", "call", "cash", "fund", "mutual fund", "note", "notes", "option", "put", "private", "stock option", "treasury"]
 FLOOR, FLOOR_REASON = 1001.0, "purchase below PTR disclosure floor ($1,001)"
 LOOKBACK_DAYS, MIN_BUYERS = 28, 3
+# Descriptions of what is no equity: the first list in any case, the second unless a stock code stands by.
 UNSUPPORTED = "mutual fund|index fund|exchange-traded fund|money market|treasury|government securit|corporate bond|municipal bond|real estate|cryptocurrency|private equity|limited partnership|stock\\s*option|option\\s*type"
 UNSUPPORTED_TOO = "etf|bitcoin|btc|ethereum|litecoin|solana|ripple|xrp|usdc|ski\\s+mask\\s+dog|the\\s+graph|sui"
 RENAMES = {"FB": ("META", "2022-06-09"), "SQ": ("XYZ", "2025-01-21"), "BLL": ("BALL", "2022-11-01"), "BK": ("BNY", "2026-04-10")}
@@ -86,7 +87,7 @@ def resolve_tickers(rows: DataFrame, raw: str, on: Column) -> DataFrame:
         .when(at.isNull(), F.when(rule == "rename", "unverified").otherwise("date_required"))
         .when(rule == "listing", F.when(since > at, "pre_listing").otherwise("listed_from_date"))
         .when(rule == "rename", F.when(since <= at, "renamed").otherwise("pre_rename"))
-        .otherwise(F.when(since > at, "pre_acquisition").otherwise("acquired"))
+        .otherwise(F.when(since >= at, "pre_acquisition").otherwise("acquired"))
     )
     out = out.withColumn("symbol_status", status)
     mapped = F.when(F.col("symbol_status").isin("class_share", "pseudo", "renamed"), F.col("mapped")).otherwise(F.col("__raw"))
@@ -125,16 +126,33 @@ def distinct_buyer_score(rows: DataFrame, as_of: Column, days: int = LOOKBACK_DA
     return _score(bought.groupBy(F.col("family").alias("ticker")), min_buyers)
 
 
+def consensus_candidates(rows: DataFrame, as_of: Column, days: int = LOOKBACK_DAYS, min_buyers: int = 1) -> DataFrame:
+    """Families with enough distinct buyers in the window."""
+    return distinct_buyer_score(rows, as_of, days, min_buyers).where(F.col("num_buyers") >= min_buyers).select("ticker", "num_buyers")
+
+
 def consensus_over_dates(rows: DataFrame, dates: DataFrame, days: int = LOOKBACK_DAYS, step: int = 7, min_buyers: int = MIN_BUYERS) -> DataFrame:
     """The same for decision dates a fixed ``step`` apart: each row goes to the dates that see it, by arithmetic.
 
     ``dates``: one row of first and last decision date.
     """
-    bought = prepare_purchases(rows).crossJoin(F.broadcast(dates))
+    lag = F.datediff("disclosure_date", "transaction_date")
+    bought = prepare_purchases(rows).groupBy("family", F.when(F.col("buyer") != "", F.col("buyer")).alias("buyer"), "disclosure_date", lag.alias("lag")).agg(F.count(F.lit(1)).alias("rows"), F.min("transaction_date").alias("oldest"))
+    bought = bought.crossJoin(F.broadcast(dates))  # of one row
     first = F.greatest(F.lit(0), F.ceil(F.datediff("disclosure_date", "first") / step)).cast("int")
     last = F.least(F.floor(F.datediff("last", "first") / step), F.floor((F.datediff("disclosure_date", "first") + days) / step)).cast("int")
     seen = bought.where(first <= last).withColumn("n", F.explode(F.sequence(first, last))).withColumn("as_of", F.expr(f"date_add(first, n * {step})"))
-    return _score(seen.groupBy("as_of", F.col("family").alias("ticker")), min_buyers).where("signal_score > 0")
+    # A window holds at most ``days`` days of disclosure, so the lags of a group are a short list with counts.
+    per = seen.groupBy("as_of", F.col("family").alias("ticker"), "buyer", "lag").agg(F.sum("rows").alias("rows"), F.max("disclosure_date").alias("newest"), F.min("oldest").alias("oldest"))
+    out = per.groupBy("as_of", "ticker").agg(
+        F.size(F.collect_set("buyer")).cast("long").alias("num_buyers"),
+        F.array_join(F.slice(F.array_sort(F.collect_set("buyer")), 1, 3), ", ").alias("buyers"),
+        F.max("lag").alias("max_lag"),
+        F.percentile("lag", 0.5, F.col("rows")).alias("median_lag"),
+        F.max("newest").alias("latest_disclosure_date"),
+        F.min("oldest").alias("oldest_transaction_date"),
+    )
+    return out.where(F.col("num_buyers") >= min_buyers).withColumn("signal_score", F.col("num_buyers").cast("double"))
 
 
 def rank_recommendations(scored: DataFrame, n: int, date: str | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import kelly_fraction
+from ..functions.scalars import kelly_fraction, poisson_base_rate
 
 
 def complete_baskets(rows: DataFrame, date: str = "as_of", ret: str = "ret") -> DataFrame:
@@ -124,11 +124,53 @@ def fills_fifo(fills: DataFrame, key: str, order: list[str]) -> DataFrame:
     return both.where(lo < hi).groupBy(key).agg(F.sum(hi - lo).alias("matched"), F.sum((hi - lo) * (F.col("price2") - F.col("price"))).alias("realised"))
 
 
+def _near(refs: DataFrame, buys: DataFrame, most: int) -> DataFrame:
+    """Pairs of a reference day and a buy of its symbol at most so many days before: they meet by symbol and bucket of that many days."""
+    size = most + 1
+    bucket = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01").cast("date")) / size)
+    asked = refs.select("ticker", "day").distinct().withColumn("bucket", F.explode(F.array(bucket(F.col("day")) - 1, bucket(F.col("day")))))
+    had = buys.select("ticker", F.col("day").alias("bought")).withColumn("bucket", bucket(F.col("bought")))
+    return asked.join(had, ["ticker", "bucket"]).withColumn("gap", F.datediff("day", "bought")).where(F.col("gap").between(0, most))
+
+
 def proximity_window(refs: DataFrame, buys: DataFrame, windows: list[int]) -> DataFrame:
-    """For each reference date how many buys of the symbol came within each window before it, and the closest."""
-    ids = ["ticker", "day"]
-    near = refs.select(*ids).distinct().join(buys.select("ticker", F.col("day").alias("bought")), "ticker").withColumn("gap", F.datediff("day", "bought")).where(F.col("gap").between(0, max(windows)))
-    return near.groupBy(*ids).agg(*(F.count_if(F.col("gap") <= n).alias(f"within_{n}") for n in windows), F.min("gap").alias("closest"))
+    """For each reference date how many buys of the symbol came within each window before it, and the closest."""
+    near = _near(refs, buys, max(windows))
+    return near.groupBy("ticker", "day").agg(*(F.count_if(F.col("gap") <= n).alias(f"within_{n}") for n in windows), F.min("gap").alias("closest"))
+
+
+def closest_before(refs: DataFrame, buys: DataFrame, most: int) -> DataFrame:
+    """K5: the nearest buy of the symbol on or up to ``most`` days before each reference date."""
+    return _near(refs, buys, most).groupBy("ticker", "day").agg(F.max("bought").alias("bought"), F.min("gap").alias("gap"))
+
+
+def portfolio_share(holdings: DataFrame, keys: list[str]) -> DataFrame:
+    """Value over the filing's total; null for all of a filing if one value is missing."""
+    w = Window.partitionBy(*keys)
+    whole = F.bool_and(F.col("value").isNotNull()).over(w)
+    return holdings.withColumn("share", F.when(whole, F.col("value") / F.sum("value").over(w)))
+
+
+def latest_share_state(rows: DataFrame) -> DataFrame:
+    """Per member and ticker the shares of the latest snapshot, summed over its rows; unavailable, with the reason, if one is malformed.
+
+    ``rows`` has member, ticker, snapshot_date, shares and bad (the reason why a row's count cannot be read, or null).
+    """
+    w = Window.partitionBy("member", "ticker").orderBy(F.desc("snapshot_date"))
+    last = rows.withColumn("__n", F.rank().over(w)).where("__n = 1")
+    out = last.groupBy("member", "ticker", "snapshot_date").agg(F.sum("shares").alias("__shares"), F.min("bad").alias("reason"), F.count(F.lit(1)).alias("rows"))
+    return out.withColumn("shares", F.when(F.col("reason").isNull(), F.col("__shares"))).withColumn("state", F.when(F.col("reason").isNotNull(), "unavailable").when(F.col("shares") > 0, "held").otherwise("closed")).drop("__shares")
+
+
+def sizing_rejects(rows: DataFrame) -> DataFrame:
+    """rows that may not be sized, with the first reason: numbers out of range, an unknown member, a repeated date and ticker."""
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf"))
+    again = F.count(F.lit(1)).over(Window.partitionBy("as_of", "ticker")) > 1
+    reason = (
+        F.when(~(finite("p") & finite("win") & finite("loss")), "not_finite").when(~((F.col("p") > 0) & (F.col("p") < 1)), "probability")
+        .when(~((F.col("win") > 0) & (F.col("loss") > 0)), "win_or_loss").when(F.trim(F.coalesce("member", F.lit(""))).isin("", "UNKNOWN"), "member").when(again, "repeated")
+    )
+    return rows.withColumn("reject", reason).where("reject IS NOT NULL")
 
 
 def position_changes(now: DataFrame, before: DataFrame) -> DataFrame:
@@ -144,10 +186,8 @@ def position_changes(now: DataFrame, before: DataFrame) -> DataFrame:
 
 def mark_positions(positions: DataFrame, sessions: DataFrame, prices: DataFrame) -> DataFrame:
     """Per session the value of the positions held on it, and how many have no price that day."""
-    day = sessions.select(F.col("session_date").alias("date"))
-    month = lambda c: F.trunc(c, "month")
-    spans = positions.where("entry < exit").withColumn("m", F.explode(F.sequence(month(F.col("entry")), month(F.col("exit")), F.expr("interval 1 month"))))
-    held = spans.join(day.withColumn("m", month(F.col("date"))), "m").where("date >= entry AND date < exit")
+    days = positions.where("entry < exit").withColumn("date", F.explode(F.sequence("entry", F.date_sub("exit", 1))))
+    held = days.join(sessions.select(F.col("session_date").alias("date")), "date", "left_semi")
     return held.join(prices, ["ticker", "date"], "left").groupBy("date").agg(F.count(F.lit(1)).alias("held"), F.count_if(F.col("close").isNull()).alias("unpriced"), F.sum(F.col("qty") * F.col("close")).alias("value"))
 
 
@@ -165,7 +205,7 @@ def gate_closed_events(events: DataFrame, positions: DataFrame) -> DataFrame:
 
 
 def setup_scores(rows: DataFrame, corroborated: Column) -> DataFrame:
-    """Per ticker the best evidence of each actor, summed, raised if corroborated, and whether it ranks.
+    """Per ticker the best evidence of each actor, summed, raised if corroborated, and whether it ranks.
 
     ``rows`` has ticker, actor, weight, decay, ref and price; usable is a price of at most 1.05 times a positive reference.
     """
@@ -174,3 +214,22 @@ def setup_scores(rows: DataFrame, corroborated: Column) -> DataFrame:
     per = best.groupBy("ticker").agg(F.sum("contribution").alias("total"), F.count(F.lit(1)).alias("actors")).withColumn("corroborated", corroborated)
     scored = per.withColumn("score", F.col("total") * F.when(F.col("corroborated"), 1.5).otherwise(1.0))
     return scored.withColumn("ranked", (F.col("score") >= 1.0) | ((F.col("score") > 0.25) & ((F.col("actors") >= 2) | F.col("corroborated"))))
+
+
+def ranked_setups(scores: DataFrame, n: int) -> DataFrame:
+    """K4: the first n ranked setups by score, then ticker."""
+    return scores.where("ranked").orderBy(F.desc("score"), "ticker").limit(n)
+
+
+def blotter_report(fills: DataFrame, refs: DataFrame, buys: DataFrame, span_days: int, window: int = 14) -> DataFrame:
+    """Per symbol fills, bought and sold quantity, average entry, realised profit, sells near an earlier buy, and the chance of that.
+
+    ``fills``: ticker, kind, qty, price and an order column n; ``refs`` and ``buys``: ticker and day.
+    """
+    bought = F.when(F.col("kind") == "buy", F.col("qty"))
+    base = fills.groupBy("ticker").agg(F.count(F.lit(1)).alias("fills"), F.sum(bought).alias("bought"), F.sum(F.when(F.col("kind") == "sell", F.col("qty"))).alias("sold"), (F.sum(bought * F.col("price")) / F.sum(bought)).alias("mean_entry"))
+    near = proximity_window(refs, buys, [window]).groupBy("ticker").agg(F.count(F.lit(1)).alias("near"), F.min("closest").alias("closest"))
+    rate = buys.groupBy("ticker").agg(poisson_base_rate(F.count(F.lit(1)).cast("double"), F.lit(float(span_days)), F.lit(float(window))).alias("chance"))
+    profit = fills_fifo(fills, "ticker", ["n"]).select("ticker", "matched", "realised")
+    out = base.join(profit, "ticker", "left").join(near, "ticker", "left").join(rate, "ticker", "left")
+    return out.withColumns({"near": F.coalesce("near", F.lit(0)), "open": F.coalesce("bought", F.lit(0.0)) - F.coalesce("matched", F.lit(0.0))})

@@ -103,14 +103,19 @@ def explode_horizons(rows: DataFrame, horizons: Sequence[int]) -> DataFrame:
 def price_asof(keys: DataFrame, prices: DataFrame, forward: bool = False, most_days: int | None = None) -> DataFrame:
     """Per (ticker, day) the last quote on or before the day, or the first on or after it, with its gap in days.
 
-    Keys and quotes are laid in one order per ticker and the quote is carried along: one shuffle, no range join.
-    ``most_days`` turns farther quotes to null. Repeated keys are kept.
+    Keys and quotes are laid in one order per ticker and year and the quote is carried along; what earlier (or later)
+    years end with comes in from a table of one row per ticker and year. No range join, and no task holds more than
+    a year of a ticker. ``most_days`` turns farther quotes to null. Repeated keys are kept.
     """
     quotes = prices.where(valid_price(F.col("close"))).select("ticker", F.col("date").alias("at"), F.struct("date", "close").alias("q"), F.lit(0).alias("k"))
     asked = keys.select("ticker", F.col("day").alias("at"), F.lit(None).cast("struct<date:date,close:double>").alias("q"), F.lit(1).alias("k"))
     order = F.desc("at") if forward else F.asc("at")  # a quote comes before the keys of its day
-    w = Window.partitionBy("ticker").orderBy(order, "k").rowsBetween(Window.unboundedPreceding, 0)
-    rows = asked.union(quotes).withColumn("found", F.last("q", ignorenulls=True).over(w)).where("k = 1")
+    w = Window.partitionBy("ticker", "year").orderBy(order, "k").rowsBetween(Window.unboundedPreceding, 0)
+    rows = asked.union(quotes).withColumn("year", F.year("at"))
+    ends = rows.groupBy("ticker", "year").agg((F.min("q") if forward else F.max("q")).alias("end"))
+    years = Window.partitionBy("ticker").orderBy(F.desc("year") if forward else F.asc("year")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("ticker", "year", F.last("end", ignorenulls=True).over(years).alias("carried"))
+    rows = rows.withColumn("found", F.last("q", ignorenulls=True).over(w)).where("k = 1").join(carried, ["ticker", "year"], "left").withColumn("found", F.coalesce("found", "carried"))
     gap = F.datediff("found.date", "at") if forward else F.datediff("at", "found.date")
     near = F.lit(True) if most_days is None else gap <= most_days
     return rows.select("ticker", F.col("at").alias("day"), *(F.when(near, c).alias(n) for n, c in (("quote_date", F.col("found.date")), ("quote", F.col("found.close")), ("gap", gap))))
@@ -133,17 +138,71 @@ def price_path(rows: DataFrame, prices: DataFrame) -> DataFrame:
     return spans.join(quotes, ["ticker", "bucket"]).where(F.col("date").between(F.col("entry_date"), F.col("exit_date"))).drop("bucket")
 
 
+def decay_weighted_log_mean(path: DataFrame, keys: list[str], decay: float = DECAY) -> DataFrame:
+    """The mean log step of security and benchmark over the days that both have, weights halving at the step's middle, in percent.
+
+    ``path`` has keys, date, entry_date, close and bench (null on days without the benchmark); fewer than two
+    common days give null.
+    """
+    w = Window.partitionBy(*keys).orderBy("date")
+    d = F.datediff("date", "entry_date")
+    steps = path.where("bench IS NOT NULL").withColumn("weight", F.exp(-decay * (d + F.lag(d).over(w)) / 2))
+    steps = steps.withColumns({"own": F.log(F.col("close") / F.lag("close").over(w)), "other": F.log(F.col("bench") / F.lag("bench").over(w))})
+    mean = lambda c: F.sum(F.col(c) * F.col("weight")) / F.sum("weight") * 100
+    out = steps.groupBy(*keys).agg(mean("own").alias("decayed_return"), mean("other").alias("decayed_bench"))
+    return out.withColumn("decayed_alpha", F.col("decayed_return") - F.col("decayed_bench"))
+
+
 def signal_labels(rows: DataFrame, prices: DataFrame, days: DataFrame, key: str, horizons: Sequence[int] = (30, 90), benchmark: str = BENCHMARK, decay: float = DECAY) -> DataFrame:
-    """W12 (with W11, N24, N35): entry, exit, peak, trough, return, alpha and decayed mean log return per row and horizon."""
+    """W12 (with W11, N24, N35): entry, exit, peak, trough, return, alpha and decayed means per row and horizon.
+
+    Peak and trough are those of the security's own window; decayed means are over days that the benchmark has too.
+    """
     ends = with_returns(exact_endpoints(explode_horizons(rows, horizons), prices, days, benchmark))
     done = ends.where("reason is null").select(key, "horizon", "ticker", "entry_date", "exit_date")
-    bench = prices.where(F.col("ticker") == benchmark).select("date", F.col("close").alias("bench"))
-    path = price_path(done, prices).join(bench, "date")
-    w = Window.partitionBy(key, "horizon").orderBy("date")
+    bench = prices.where((F.col("ticker") == benchmark) & valid_price(F.col("close"))).select("date", F.col("close").alias("bench"))
+    path = price_path(done, prices).join(bench, "date", "left")
+    # Days without the benchmark are a partition of their own, so one shuffle serves both kinds of figures.
+    common = F.col("bench").isNotNull()
+    w = Window.partitionBy(key, "horizon", common).orderBy("date")
     d = F.datediff("date", "entry_date")
-    path = path.withColumn("weight", F.exp(-decay * (d + F.lag(d).over(w)) / 2)).withColumn("step", F.log(F.col("close") / F.lag("close").over(w)))
-    shape = path.groupBy(key, "horizon").agg(F.max("close").alias("peak"), F.min("close").alias("trough"), (F.sum(F.col("step") * F.col("weight")) / F.sum(F.when(F.col("step").isNotNull(), F.col("weight"))) * 100).alias("decayed_return"))
-    return ends.join(shape, [key, "horizon"], "left").withColumn("complete", F.col("reason").isNull())
+    path = path.withColumns({"weight": F.when(common, F.exp(-decay * (d + F.lag(d).over(w)) / 2)), "own": F.log(F.col("close") / F.lag("close").over(w)), "other": F.log(F.col("bench") / F.lag("bench").over(w))})
+    mean = lambda c: F.sum(F.col(c) * F.col("weight")) / F.sum("weight") * 100
+    shape = path.groupBy(key, "horizon").agg(F.max("close").alias("peak"), F.min("close").alias("trough"), mean("own").alias("decayed_return"), mean("other").alias("decayed_bench"))
+    return ends.join(shape, [key, "horizon"], "left").withColumns({"complete": F.col("reason").isNull(), "decayed_alpha": F.col("decayed_return") - F.col("decayed_bench")})
+
+
+def completed_horizon(labels: DataFrame, horizon: int, kind: str | None = None) -> DataFrame:
+    """labels of one horizon, of one type of trade if stated, whose window is complete."""
+    out = labels.where((F.col("horizon") == horizon) & F.coalesce("complete", F.lit(False)))
+    return out if kind is None else out.where(F.col("transaction_type") == kind)
+
+
+def entry_prices(rows: DataFrame, prices: DataFrame, days: DataFrame) -> DataFrame:
+    """The close at the first session after disclosure, of the symbol that was tradable then, else of the raw one; rows with neither go.
+
+    ``rows`` has symbol, ticker and disclosure_date. Equality joins through the calendar.
+    """
+    at = rows.join(days.select(F.col("day").alias("disclosure_date"), F.col("next_session").alias("entry_date")), "disclosure_date")
+    good = prices.where(valid_price(F.col("close"))).groupBy("ticker", "date").agg(F.max("close").alias("close"))
+
+    def quotes(symbol: str, name: str) -> DataFrame:
+        return good.select(F.col("ticker").alias(symbol), F.col("date").alias("entry_date"), F.col("close").alias(name))
+
+    out = at.join(quotes("symbol", "__own"), ["symbol", "entry_date"], "left").join(quotes("ticker", "__raw"), ["ticker", "entry_date"], "left")
+    return out.withColumn("entry_price", F.coalesce("__own", "__raw")).withColumn("entry_symbol", F.when(F.col("__own").isNotNull(), F.col("symbol")).otherwise(F.col("ticker"))).where("entry_price IS NOT NULL").drop("__own", "__raw")
+
+
+def adjusted_filed_price(rows: DataFrame, factors: DataFrame) -> DataFrame:
+    """A filed price times the latest adjustment factor of the served generation on or before its day; else blocked, with the reason.
+
+    ``rows`` has ticker, day and filed; ``factors`` has ticker, date and factor.
+    """
+    known = factors.select("ticker", "date", F.col("factor").alias("close"))
+    at = price_asof(rows.select("ticker", "day").distinct(), known).select("ticker", "day", F.col("quote").alias("factor"))
+    out = rows.join(at, ["ticker", "day"], "left")
+    reason = F.when(~F.coalesce(F.col("filed") > 0, F.lit(False)), "no_filed_price").when(F.col("factor").isNull(), "no_adjustment_factor")
+    return out.withColumns({"adjusted": F.when(reason.isNull(), F.col("filed") * F.col("factor")), "blocked": reason})
 
 
 def step_changes(prices: DataFrame) -> DataFrame:
@@ -187,12 +246,14 @@ def coalesce_series(new: DataFrame, old: DataFrame) -> DataFrame:
 
 
 def series_hash(prices: DataFrame) -> DataFrame:
-    """SHA-256 per ticker over its (date, close) lines in the order of days; closes as sixteenths."""
+    """SHA-256 per ticker over its (date, close) lines in the order of days; closes as whole thirty-seconds."""
     line = F.concat_ws("=", F.col("date").cast("string"), F.round(F.col("close") * 32).cast("long").cast("string"))
     return prices.groupBy("ticker").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("series_sha256"))
 
 
 def ex_dividend_block(decisions: DataFrame, dividends: DataFrame, days: int = 7) -> DataFrame:
-    """Decisions with an ex-date in the ``days`` up to them, with the latest such date."""
-    near = decisions.join(dividends, "ticker").where((F.col("ex_date") <= F.col("day")) & (F.col("ex_date") > F.date_sub("day", days)))
+    """Decisions with an ex-date in the ``days`` up to them, with the latest such date: ticker and day bucket meet, not tickers."""
+    bucket = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01").cast("date")) / BUCKET)
+    asked = decisions.withColumn("bucket", F.explode(F.sequence(bucket(F.date_sub("day", days)), bucket(F.col("day")))))
+    near = asked.join(dividends.withColumn("bucket", bucket(F.col("ex_date"))), ["ticker", "bucket"]).where((F.col("ex_date") <= F.col("day")) & (F.col("ex_date") > F.date_sub("day", days)))
     return near.groupBy("ticker", "day").agg(F.max("ex_date").alias("ex_date"))

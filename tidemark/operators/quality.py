@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import TICKER_FORM
+
+# Words that have the form of a ticker and are none.
+RESERVED = ["COUPON", "BOND", "BONDS", "NOTE", "NOTES", "STOCK", "TICKER"]
+
 ROWSET = ["doc_id", "source", "ingestion_generation"]
 #: Sources whose rows need no accepted parse run.
 DIRECT = ["senate_efd", "form4", "13f"]
@@ -81,7 +86,7 @@ def work_selection(runs: DataFrame, fallback: str = "gemini_ocr") -> DataFrame:
 def canary_counts(rows: DataFrame, pinned: DataFrame) -> DataFrame:
     """Pinned documents that do not have the pinned number of rows."""
     n = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    return F.broadcast(pinned).join(n, "doc_id", "left").withColumn("n", F.coalesce("n", F.lit(0))).where("n <> pinned")
+    return pinned.join(n, "doc_id", "left").withColumn("n", F.coalesce("n", F.lit(0))).where("n <> pinned")
 
 
 def date_domain_violations(rows: DataFrame, low: str, high: str) -> DataFrame:
@@ -177,13 +182,132 @@ def served_prices(values: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def decision_quote(base: DataFrame, newer: DataFrame, most_days: int = 5) -> DataFrame:
-    """The base quote unless it is too old, then the newer one; both as (ticker, day, quote_date, quote)."""
+    """The base quote; where it is too old, a newer one of the served comparable generation. No base quote, no quote.
+
+    Both sides as (ticker, day, quote_date, quote); ``newer`` is taken from ``served_prices``.
+    """
     both = base.join(newer.select("ticker", "day", F.col("quote_date").alias("d2"), F.col("quote").alias("q2")), ["ticker", "day"], "left")
-    fresh = F.coalesce(F.datediff("day", "quote_date") <= most_days, F.lit(False))
-    take = ~fresh & F.col("d2").isNotNull() & (F.col("quote_date").isNull() | (F.col("d2") > F.col("quote_date")))
+    take = F.coalesce((F.datediff("day", "quote_date") > most_days) & (F.col("d2") > F.col("quote_date")), F.lit(False))
     return both.select("ticker", "day", F.when(take, F.col("d2")).otherwise(F.col("quote_date")).alias("quote_date"), F.when(take, F.col("q2")).otherwise(F.col("quote")).alias("quote"), take.alias("from_newer"))
 
 
+def unpromoted_rows(rows: DataFrame, runs: DataFrame) -> DataFrame:
+    """Rows whose document has no accepted promoted rowset."""
+    good = accepted_rowsets(rows, runs).where("promoted").select("doc_id").distinct()
+    return rows.where(~F.col("source").isin(*DIRECT)).join(good, "doc_id", "left_anti")
+
+
+def triage_priority(docs: DataFrame) -> DataFrame:
+    """Recency rank of the filing day among all days times the member's prominence (1 at least), with both.
+
+    ``docs`` has doc_id, filing_date and prominence. Only the days are put in order, a list as long as a calendar.
+    """
+    days = docs.select("filing_date").where("filing_date IS NOT NULL").distinct().withColumn("recency_rank", F.row_number().over(Window.orderBy("filing_date")))
+    out = docs.join(days, "filing_date", "left").withColumns({"recency_rank": F.coalesce("recency_rank", F.lit(0)), "prominence": F.greatest(F.lit(1), F.coalesce("prominence", F.lit(0)))})
+    return out.withColumn("priority", F.col("prominence") * F.col("recency_rank"))
+
+
+def scope_status(expected: DataFrame, runs: DataFrame) -> DataFrame:
+    """Per generation the documents expected, done and open; a document's state is the best that one of its runs has."""
+    rank = F.when(F.col("status") == "success", 0).when(F.col("status") == "invalid", 1).otherwise(2)
+    state = runs.groupBy("ingestion_generation", "doc_id").agg(F.min(rank).alias("state"))
+    both = expected.select("ingestion_generation", "doc_id").distinct().join(state, ["ingestion_generation", "doc_id"], "left")
+    return both.groupBy("ingestion_generation").agg(F.count(F.lit(1)).alias("expected"), F.count_if(F.col("state") == 0).alias("done"), F.count_if(F.col("state") == 1).alias("rejected"), F.count_if(F.col("state").isNull() | (F.col("state") == 2)).alias("open"))
+
+
+def completeness_scope(index: DataFrame, runs: DataFrame, rows: DataFrame, by: str) -> DataFrame:
+    """Per group the documents of index, runs and rows, those not in the index, and whether all agree."""
+    per = lambda df, n: df.select(by, "doc_id").distinct().withColumn(n, F.lit(1))
+    both = per(index, "i").join(per(runs, "r"), [by, "doc_id"], "full_outer").join(per(rows, "w"), [by, "doc_id"], "full_outer")
+    out = both.groupBy(by).agg(F.count("i").alias("indexed"), F.count("r").alias("parsed"), F.count("w").alias("stored"), F.count_if(F.col("i").isNull()).alias("unexpected"))
+    return out.withColumn("complete", (F.col("indexed") == F.col("parsed")) & (F.col("indexed") == F.col("stored")) & (F.col("unexpected") == 0))
+
+
+def ticker_origin_violations(rows: DataFrame) -> DataFrame:
+    """Rows whose ticker, candidate and raw ticker do not go with their ticker_origin, with the rule."""
+    valid = lambda c: F.coalesce(c.rlike(TICKER_FORM), F.lit(False))
+    reserved = lambda c: F.coalesce(c.isin(*RESERVED), F.lit(False))
+    ticker, candidate, origin = F.col("ticker"), F.col("ticker_candidate"), F.col("ticker_origin")
+    raw = F.nullif(F.upper(F.trim("raw_ticker")), F.lit(""))
+    blank = raw.isNull() | (raw == "--")
+    inferred = F.when(candidate.isNull(), ~blank & ~(valid(raw) & ~reserved(raw))).otherwise(blank)
+    ok = (
+        F.when(origin == "official", valid(ticker) & candidate.isNull() & F.coalesce(raw == ticker, F.lit(False)))
+        .when(origin == "asset_description", valid(ticker) & ~reserved(ticker) & candidate.isNull() & blank)
+        .when(origin == "unverified", ticker.isNull() & valid(candidate) & ~reserved(candidate) & blank)
+        .when(origin.isin("non_equity", "missing"), ticker.isNull() & candidate.isNull() & blank)
+        .when(origin == "invalid", ticker.isNull() & ~(valid(candidate) & ~reserved(candidate)) & inferred)
+    )
+    rule = F.when(ok.isNull(), "unknown_origin").when(~ok, F.concat(origin, F.lit("_inconsistent")))
+    return rows.withColumn("rule", F.explode(F.array_compact(F.array(rule))))  # a filter would hold the rule twice
+
+
+def report_violations(reports: DataFrame) -> DataFrame:
+    """Reports whose counts, hash, chamber or outcome break a rule, one row per rule.
+
+    ``reports``: report_id, chamber, outcome (rows, no_rows, failed), stated, accepted, rejected, sha256.
+    """
+    rules = {
+        "count_equation": F.col("stated") != F.col("accepted") + F.col("rejected"),
+        "negative_count": F.least("stated", "accepted", "rejected") < 0,
+        "rows_without_accepted": (F.col("outcome") == "rows") & (F.col("accepted") <= 0),
+        "no_rows_with_accepted": (F.col("outcome") != "rows") & (F.col("accepted") > 0),
+        "unknown_outcome": ~F.col("outcome").isin("rows", "no_rows", "failed"),
+        "unknown_chamber": ~F.coalesce(F.col("chamber").isin("house", "senate"), F.lit(False)),
+        "hash_form": ~F.coalesce(F.col("sha256").rlike("^[0-9a-f]{64}$"), F.lit(False)),
+    }
+    return reports.withColumn("rule", F.explode(F.array_compact(F.array(*(F.when(c, n) for n, c in rules.items()))))).select("rule", "report_id")
+
+
+def report_binding_violations(rows: DataFrame, reports: DataFrame) -> DataFrame:
+    """Per report whether its stored rows are those it accepted: member, date and number; rows of unknown reports as well."""
+    per = rows.groupBy("report_id").agg(F.count(F.lit(1)).alias("stored"), F.count_distinct("member").alias("members"), F.min("member").alias("row_member"), F.min("disclosure_date").alias("row_date"), F.max("disclosure_date").alias("last_date"))
+    both = reports.select("report_id", "accepted", F.col("member").alias("report_member"), F.col("filed").alias("report_date"), F.lit(True).alias("known")).join(per, "report_id", "full_outer")
+    why = F.array_compact(F.array(
+        F.when(F.col("known").isNull(), "no_report"), F.when(F.col("known") & (F.coalesce("stored", F.lit(0)) != F.col("accepted")), "count"),
+        F.when(F.col("known") & (F.col("stored") > 0) & ((F.col("members") > 1) | (F.col("row_member") != F.col("report_member"))), "member"),
+        F.when(F.col("known") & (F.col("stored") > 0) & ((F.col("row_date") != F.col("report_date")) | (F.col("last_date") != F.col("report_date"))), "date"),
+    ))
+    return both.select("report_id", F.array_join(why, ",").alias("reasons")).where("reasons <> ''")
+
+
+def audit_verdicts(entries: DataFrame) -> DataFrame:
+    """Per document fail if any entry fails, else pass if any passes, else unresolved; a failure is critical unless only explicit cosmetic ones are told.
+
+    ``entries``: doc_id, verdict and severity in any case; what is neither counts as not told.
+    """
+    v, sev = F.lower("verdict"), F.lower("severity")
+    fail = F.coalesce(v == "fail", F.lit(False))
+    per = entries.groupBy("doc_id").agg(F.bool_or(fail).alias("f"), F.bool_or(F.coalesce(v == "pass", F.lit(False))).alias("p"), F.bool_or(fail & F.coalesce(sev == "critical", F.lit(False))).alias("c"), F.bool_or(fail & F.coalesce(sev == "cosmetic", F.lit(False))).alias("m"))
+    severity = F.when(F.col("f"), F.when(F.col("m") & ~F.col("c"), "cosmetic").otherwise("critical"))
+    return per.select("doc_id", F.when(F.col("f"), "fail").when(F.col("p"), "pass").otherwise("unresolved").alias("verdict"), severity.alias("severity"), (F.col("f") & ~F.col("c") & ~F.col("m")).alias("unclassified"))
+
+
+def attach_members(parsed: DataFrame, index: DataFrame) -> DataFrame:
+    """Parsed rows with the member and filing date of their document's index row; without one the document fails as a whole."""
+    one = index.select("doc_id", "member", "filing_date").dropDuplicates(["doc_id"])
+    return parsed.join(one, "doc_id", "left").withColumn("failed", F.when(F.trim(F.coalesce("member", F.lit(""))) == "", "no_index_row"))
+
+
+def accept_corrections(runs: DataFrame, rows: DataFrame, repaired: DataFrame, now: Column) -> DataFrame:
+    """After a repair, success runs of repaired rowsets take the number of rows now stored and the time; others stay as they are."""
+    n = rows.groupBy(*ROWSET).agg(F.count(F.lit(1)).alias("__n"))
+    touched = repaired.select(*ROWSET).distinct().withColumn("__hit", F.lit(True))
+    both = runs.join(touched, ROWSET, "left").join(n, ROWSET, "left")
+    hit = F.coalesce(F.col("__hit") & (F.col("status") == "success"), F.lit(False))
+    return both.withColumns({"stated_count": F.when(hit, F.coalesce("__n", F.lit(0))).otherwise(F.col("stated_count")), "parsed_at": F.when(hit, now).otherwise(F.col("parsed_at")), "rebound": hit}).drop("__hit", "__n")
+
+
+def carry_forward(previous: DataFrame, index_before: DataFrame, index_now: DataFrame, fields: list[str]) -> DataFrame:
+    """Rows of the generation before whose document's artifact and index fields are the same now, nulls alike."""
+    a = index_before.select("doc_id", *(F.col(c).alias(f"__{c}") for c in fields))
+    same = F.lit(True)
+    for c in fields:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    kept = index_now.select("doc_id", *fields).join(a, "doc_id").where(same).select("doc_id").distinct()
+    return previous.join(kept, "doc_id", "left_semi")
+
+
 def freshness_report(prices: DataFrame, rows: DataFrame, as_of: Column, limits: dict[str, int]) -> DataFrame:
     """Per input the newest date and pass, fail or unknown against its limit in days."""
     newest = prices.where(F.col("date") <= as_of).agg(F.lit("prices").alias("input"), F.max("date").alias("newest"))

@@ -179,3 +179,36 @@ def violation_preview(violations: DataFrame, rule: str, order: Sequence[str], mo
     """K6: the first rows of each rule and how many there are in all."""
     w = Window.partitionBy(rule)
     return violations.withColumns({"total": F.count(F.lit(1)).over(w), "place": F.row_number().over(w.orderBy(*order))}).where(F.col("place") <= most)
+
+
+def read_transactions(rows: DataFrame, year: int | None = None, between: tuple[str, str] | None = None, sources: Sequence[str] = (), doc: str | None = None) -> DataFrame:
+    """Canonical rows of a disclosure year, a range of days, sources or a document; conditions that reach the scan."""
+    out = rows
+    if year is not None:
+        out = out.where(F.col("disclosure_date").between(F.lit(f"{year}-01-01").cast("date"), F.lit(f"{year}-12-31").cast("date")))
+    if between is not None:
+        out = out.where(F.col("disclosure_date").between(*(F.lit(x).cast("date") for x in between)))
+    if sources:
+        out = out.where(F.col("source").isin(*sources))
+    return out if doc is None else out.where(F.col("doc_id") == doc)
+
+
+def read_skill_history(rows: DataFrame, pairs: DataFrame, before: Column) -> DataFrame:
+    """Rows of the listed (source, member) pairs disclosed before a day."""
+    return rows.where(F.col("disclosure_date") < before).join(pairs.select("source", "member").distinct(), ["source", "member"], "left_semi")
+
+
+def replace_archive(stored: DataFrame, archive: DataFrame, key: str = "doc_id") -> DataFrame:
+    """T4: what becomes of each index row when an archive replaces another: inserted, updated, same or deleted."""
+    cols = [c for c in archive.columns if c != key]
+    a = stored.select(key, F.struct(*cols).alias("__old")).dropDuplicates([key])
+    b = archive.select(key, F.struct(*cols).alias("__new")).dropDuplicates([key])
+    state = F.when(F.col("__new").isNull(), "deleted").when(F.col("__old").isNull(), "inserted").when(F.col("__old").eqNullSafe(F.col("__new")), "same").otherwise("updated")
+    return a.join(b, key, "full_outer").select(key, state.alias("change"), *(F.col("__new")[c].alias(c) for c in cols))
+
+
+def served_state(state: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The served generation of each ticker: a new verdict replaces the pointer; one that is not comparable keeps the generation."""
+    both = state.select("ticker", F.col("served").alias("__was"), F.col("comparable").alias("__c")).join(verdicts.select("ticker", F.col("generation").alias("__now"), F.col("comparable").alias("__ok")), "ticker", "full_outer")
+    served = F.when(F.col("__ok"), F.col("__now")).otherwise(F.coalesce("__was", "__now"))
+    return both.select("ticker", served.alias("served"), F.coalesce("__ok", "__c").alias("comparable"), F.col("__was").isNull().alias("inserted"))

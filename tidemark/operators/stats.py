@@ -136,7 +136,12 @@ def pooled_error_rate(frame: DataFrame, checked: DataFrame, stratum: str) -> Dat
 
 
 def sector_leaders(outcomes: DataFrame, sectors: DataFrame, least: int = 3) -> DataFrame:
-    """Per sector with enough purchases the member with the best mean alpha."""
-    per = outcomes.join(F.broadcast(sectors), "ticker").groupBy("sector", "member").agg(F.count(F.lit(1)).alias("n"), F.avg("alpha").alias("mean_alpha"))
+    """Per sector with enough purchases the member with the best mean alpha."""
+    per = outcomes.join(sectors, "ticker").groupBy("sector", "member").agg(F.count(F.lit(1)).alias("n"), F.avg("alpha").alias("mean_alpha"))
     w = Window.partitionBy("sector")
     return per.withColumns({"purchases": F.sum("n").over(w), "place": F.row_number().over(w.orderBy(F.desc("mean_alpha"), "member"))}).where((F.col("place") == 1) & (F.col("purchases") >= least)).drop("place")
+
+
+def attach_sector(rows: DataFrame, sectors: DataFrame) -> DataFrame:
+    """The sector of each row's ticker; unknown ones have none. Catalyst broadcasts the dimension if it is small."""
+    return rows.join(sectors.select("ticker", "sector").dropDuplicates(["ticker"]), "ticker", "left")

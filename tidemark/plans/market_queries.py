@@ -74,7 +74,7 @@ def _(rows):
     return C.recent_active_tickers(rows, _day(), 5)
 
 
-_RESOLVE = "CASE WHEN t IS NULL THEN 'unresolved' WHEN t IN ('SP', 'FUND', 'THE') THEN 'quarantined' WHEN t = 'SPCX' THEN 'pre_listing' WHEN t IN ('BRK.B', 'GOOG') THEN 'class_share' WHEN t = 'FB' THEN CASE WHEN d >= DATE '2022-06-09' THEN 'renamed' ELSE 'pre_rename' END WHEN t = 'ATVI' THEN CASE WHEN d < DATE '2023-10-13' THEN 'pre_acquisition' ELSE 'acquired' END WHEN t = 'ROBL' THEN 'pseudo' ELSE 'unverified' END"
+_RESOLVE = "CASE WHEN t IS NULL THEN 'unresolved' WHEN t IN ('SP', 'FUND', 'THE') THEN 'quarantined' WHEN t = 'SPCX' THEN 'pre_listing' WHEN t IN ('BRK.B', 'GOOG') THEN 'class_share' WHEN t = 'FB' THEN CASE WHEN d >= DATE '2022-06-09' THEN 'renamed' ELSE 'pre_rename' END WHEN t = 'ATVI' THEN CASE WHEN d <= DATE '2023-10-13' THEN 'pre_acquisition' ELSE 'acquired' END WHEN t = 'ROBL' THEN 'pseudo' ELSE 'unverified' END"
 
 
 @_query(
@@ -82,12 +82,12 @@ _RESOLVE = "CASE WHEN t IS NULL THEN 'unresolved' WHEN t IN ('SP', 'FUND', 'THE'
     f"""SELECT row_key, CASE WHEN s = 'class_share' THEN CASE t WHEN 'BRK.B' THEN 'BRK-B' ELSE t END WHEN s = 'renamed' THEN 'META' WHEN s = 'pseudo' THEN 'RBLX' ELSE t END AS symbol, s AS status,
  CASE WHEN s IN ('class_share', 'renamed', 'pre_rename', 'pre_acquisition') THEN 1.0::DOUBLE WHEN s = 'pseudo' THEN 0.8 ELSE 0.0 END AS confidence,
  CASE WHEN t IN ('FB') THEN 'META' WHEN t = 'BRK.B' THEN 'BRK-B' WHEN t = 'ROBL' THEN 'RBLX' ELSE t END AS family
-FROM (SELECT *, {_RESOLVE} AS s FROM (SELECT row_key, DATE '2020-01-01' + (row_key * 37 % 2000)::INT AS d, upper(nullif(CASE row_key % 9 WHEN 0 THEN 'fb' WHEN 1 THEN 'BRK.B' WHEN 2 THEN 'atvi' WHEN 3 THEN 'ROBL' WHEN 4 THEN 'SPCX' WHEN 5 THEN 'THE' WHEN 6 THEN 'AAPL' WHEN 7 THEN '' ELSE 'goog' END, '')) AS t FROM fx_text))""",
+FROM (SELECT *, {_RESOLVE} AS s FROM (SELECT row_key, CASE WHEN row_key % 5 = 0 THEN DATE '2023-10-13' ELSE DATE '2020-01-01' + (row_key * 37 % 2000)::INT END AS d, upper(nullif(CASE row_key % 9 WHEN 0 THEN 'fb' WHEN 1 THEN 'BRK.B' WHEN 2 THEN 'atvi' WHEN 3 THEN 'ROBL' WHEN 4 THEN 'SPCX' WHEN 5 THEN 'THE' WHEN 6 THEN 'AAPL' WHEN 7 THEN '' ELSE 'goog' END, '')) AS t FROM fx_text))""",
     "fx_text",
 )
 def _(rows):
     raw = F.element_at(F.array(*(F.lit(x) for x in ("fb", "BRK.B", "atvi", "ROBL", "SPCX", "THE", "AAPL", "", "goog"))), (F.col("row_key") % 9 + 1).cast("int"))
-    on = F.date_add(F.lit("2020-01-01").cast("date"), (F.col("row_key") * 37 % 2000).cast("int"))
+    on = F.when(F.col("row_key") % 5 == 0, _day("2023-10-13")).otherwise(F.date_add(_day("2020-01-01"), (F.col("row_key") * 37 % 2000).cast("int")))
     out = C.resolve_tickers(rows.select("row_key", raw.alias("told")), "told", on)
     return out.select("row_key", "symbol", F.col("symbol_status").alias("status"), F.col("symbol_confidence").alias("confidence"), "family")
 
@@ -192,18 +192,92 @@ def _(rows, prices):
     return P.price_path(ends, prices).groupBy("tx_id", "horizon").agg(F.count(F.lit(1)).alias("quotes"), F.min("close").alias("low"), F.max("close").alias("high"))
 
 
+# The benchmark has no quote on the 17th of a month, so paths hold days that it lacks.
+_GAPS = _ENDS.replace("fx_prices", "gappy").replace("days AS", "gappy AS (SELECT * FROM fx_prices WHERE ticker <> 'SPY' OR extract(day FROM date) <> 17),\ndays AS", 1)
+_MEANS = """path AS (SELECT l.tx_id, l.horizon, p.date, p.close, b.close AS bench, date_diff('day', l.entry_date, p.date) AS d FROM labels l JOIN gappy p ON p.ticker = l.ticker AND p.date BETWEEN l.entry_date AND l.exit_date AND p.close > 0 LEFT JOIN gappy b ON b.ticker = 'SPY' AND b.date = p.date WHERE reason IS NULL),
+steps AS (SELECT *, ln(close / lag(close) OVER w) AS own, ln(bench / lag(bench) OVER w) AS other, exp(-0.005 * (d + lag(d) OVER w) / 2) AS weight FROM path WHERE bench IS NOT NULL WINDOW w AS (PARTITION BY tx_id, horizon ORDER BY date)),
+means AS (SELECT tx_id, horizon, round(sum(own * weight) / sum(weight) * 100, 7) AS decayed_return, round(sum(other * weight) / sum(weight) * 100, 7) AS decayed_bench, round((sum(own * weight) - sum(other * weight)) / sum(weight) * 100, 7) AS decayed_alpha FROM steps GROUP BY 1, 2)"""
+
+
+def _gappy(prices: DataFrame) -> DataFrame:
+    return prices.where((F.col("ticker") != P.BENCHMARK) | (F.dayofmonth("date") != 17))
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.round(c, 7) for c in ("decayed_return", "decayed_bench", "decayed_alpha")})
+
+
+@_query("w11_decay_weighted_log_mean", f"WITH {_GAPS},\n{_MEANS} SELECT * FROM means", "fx_purchases", "fx_prices")
+def _(rows, prices):
+    days, prices = P.session_days(_sessions(rows.sparkSession)), _gappy(prices)
+    ends = P.exact_endpoints(P.explode_horizons(rows.select("tx_id", "ticker", "disclosure_date"), (30, 90)), prices, days).where("reason is null")
+    bench = prices.where(F.col("ticker") == P.BENCHMARK).select("date", F.col("close").alias("bench"))
+    path = P.price_path(ends.select("tx_id", "horizon", "ticker", "entry_date", "exit_date"), prices).join(bench, "date", "left")
+    return _rounded(P.decay_weighted_log_mean(path, ["tx_id", "horizon"]))
+
+
+_LABELS = f"""WITH {_GAPS},
+{_MEANS},
+shape AS (SELECT tx_id, horizon, max(close) AS peak, min(close) AS trough FROM path GROUP BY 1, 2)
+SELECT tx_id, horizon, total_return, alpha, peak, trough, decayed_return, decayed_bench, decayed_alpha, reason IS NULL AS complete FROM labels LEFT JOIN shape USING (tx_id, horizon) LEFT JOIN means USING (tx_id, horizon)"""
+
+
+def _labels(rows: DataFrame, prices: DataFrame) -> DataFrame:
+    labels = P.signal_labels(rows.select("tx_id", "ticker", "disclosure_date"), _gappy(prices), P.session_days(_sessions(rows.sparkSession)), "tx_id")
+    return _rounded(labels).select("tx_id", "horizon", "total_return", "alpha", "peak", "trough", "decayed_return", "decayed_bench", "decayed_alpha", "complete")
+
+
+@_query("w12_signal_labels", _LABELS, "fx_purchases", "fx_prices")
+def _(rows, prices):
+    return _labels(rows, prices)
+
+
+@_query("f06_completed_horizon", f"SELECT * FROM ({_LABELS}) WHERE horizon = 90 AND complete".replace("SELECT * FROM (WITH", "WITH", 1).replace("FROM labels LEFT JOIN shape USING (tx_id, horizon) LEFT JOIN means USING (tx_id, horizon))", "FROM labels LEFT JOIN shape USING (tx_id, horizon) LEFT JOIN means USING (tx_id, horizon)"), "fx_purchases", "fx_prices")
+def _(rows, prices):
+    return P.completed_horizon(_labels(rows, prices), 90)
+
+
+@_query("g02_consensus_candidates", f"SELECT ticker, count(DISTINCT member) AS num_buyers FROM fx_disclosures WHERE {_BUYS} AND disclosure_date BETWEEN DATE '{DAY}' - 28 AND DATE '{DAY}' GROUP BY ticker HAVING count(DISTINCT member) >= 2", "fx_disclosures")
+def _(rows):
+    return C.consensus_candidates(rows, _day(), min_buyers=2)
+
+
+@_query("c02_prepare_purchases", f"SELECT doc_id, source_row_id, part_key, supp_key, ticker AS symbol, ticker AS family, member AS buyer FROM fx_disclosures WHERE {_BUYS}", "fx_disclosures")
+def _(rows):
+    return C.prepare_purchases(rows).select("doc_id", "source_row_id", "part_key", "supp_key", "symbol", "family", "buyer")
+
+
+_OLD = "CASE WHEN part_key % 25 < 5 THEN CASE part_key % 5 WHEN 0 THEN 'FB' WHEN 1 THEN 'BRK.B' WHEN 2 THEN 'ROBL' WHEN 3 THEN 'SQ' ELSE 'META' END ELSE ticker END"
+
+
+@_query("j18_ticker_family", f"SELECT family, count(*) AS rows, count(DISTINCT raw) AS symbols FROM (SELECT raw, CASE raw WHEN 'FB' THEN 'META' WHEN 'BRK.B' THEN 'BRK-B' WHEN 'ROBL' THEN 'RBLX' WHEN 'SQ' THEN 'XYZ' ELSE raw END AS family FROM (SELECT {_OLD} AS raw FROM fx_disclosures)) GROUP BY family", "fx_disclosures")
+def _(rows):
+    out = C.resolve_tickers(rows.withColumn("raw_symbol", F.expr(_OLD)), "raw_symbol", F.col("transaction_date"))
+    return out.groupBy("family").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("raw_symbol").alias("symbols"))
+
+
+@_query(
+    "j09_entry_prices",
+    f"""WITH {_DAYS}, q AS (SELECT ticker, date, max(close) AS close FROM fx_prices WHERE close > 0 GROUP BY 1, 2), r AS (SELECT tx_id, CASE WHEN part_key % 3 = 0 THEN concat(ticker, 'Z') ELSE ticker END AS symbol, ticker, disclosure_date FROM fx_purchases)
+SELECT tx_id, next_session AS entry_date, coalesce(a.close, b.close) AS entry_price, CASE WHEN a.close IS NOT NULL THEN r.symbol ELSE r.ticker END AS entry_symbol FROM r JOIN days ON day = disclosure_date LEFT JOIN q a ON a.ticker = r.symbol AND a.date = next_session LEFT JOIN q b ON b.ticker = r.ticker AND b.date = next_session WHERE coalesce(a.close, b.close) IS NOT NULL""",
+    "fx_purchases", "fx_prices",
+)
+def _(rows, prices):
+    symbol = F.when(F.col("part_key") % 3 == 0, F.concat("ticker", F.lit("Z"))).otherwise(F.col("ticker"))
+    return P.entry_prices(rows.select("tx_id", symbol.alias("symbol"), "ticker", "disclosure_date"), prices, P.session_days(_sessions(rows.sparkSession))).select("tx_id", "entry_date", "entry_price", "entry_symbol")
+
+
 @_query(
-    "w12_signal_labels",
-    f"""WITH {_ENDS},
-path AS (SELECT l.tx_id, l.horizon, p.date, p.close, date_diff('day', l.entry_date, p.date) AS d FROM labels l JOIN fx_prices p ON p.ticker = l.ticker AND p.date BETWEEN l.entry_date AND l.exit_date AND p.close > 0 JOIN fx_prices b ON b.ticker = 'SPY' AND b.date = p.date WHERE reason IS NULL),
-steps AS (SELECT *, ln(close / lag(close) OVER w) AS step, exp(-0.005 * (d + lag(d) OVER w) / 2) AS weight FROM path WINDOW w AS (PARTITION BY tx_id, horizon ORDER BY date)),
-shape AS (SELECT tx_id, horizon, max(close) AS peak, min(close) AS trough, round(sum(step * weight) / sum(CASE WHEN step IS NOT NULL THEN weight END) * 100, 7) AS decayed_return FROM steps GROUP BY 1, 2)
-SELECT tx_id, horizon, total_return, alpha, peak, trough, decayed_return, reason IS NULL AS complete FROM labels LEFT JOIN shape USING (tx_id, horizon)""",
+    "j37_adjusted_filed_price",
+    """WITH f AS (SELECT ticker, date, max(close) / 64 AS factor FROM fx_prices WHERE extract(day FROM date) = 3 AND ticker > 'TB' GROUP BY 1, 2), r AS (SELECT tx_id, ticker, transaction_date AS day, CASE WHEN part_key % 7 <> 0 THEN quantity::DOUBLE END AS filed FROM fx_purchases),
+j AS (SELECT r.*, f.factor FROM r ASOF LEFT JOIN f ON f.ticker = r.ticker AND r.day >= f.date)
+SELECT tx_id, CASE WHEN filed > 0 AND factor IS NOT NULL THEN filed * factor END AS adjusted, CASE WHEN filed IS NULL THEN 'no_filed_price' WHEN factor IS NULL THEN 'no_adjustment_factor' END AS blocked FROM j""",
     "fx_purchases", "fx_prices",
 )
 def _(rows, prices):
-    labels = P.signal_labels(rows.select("tx_id", "ticker", "disclosure_date"), prices, P.session_days(_sessions(rows.sparkSession)), "tx_id")
-    return labels.select("tx_id", "horizon", "total_return", "alpha", "peak", "trough", F.round("decayed_return", 7).alias("decayed_return"), "complete")
+    factors = prices.where("day(date) = 3 AND ticker > 'TB'").groupBy("ticker", "date").agg((F.max("close") / 64).alias("factor"))
+    filed = rows.select("tx_id", "ticker", F.col("transaction_date").alias("day"), F.when(F.col("part_key") % 7 != 0, F.col("quantity").cast("double")).alias("filed"))
+    return P.adjusted_filed_price(filed, factors).select("tx_id", "adjusted", "blocked")
 
 
 @_query("w10_step_changes", "SELECT ticker, date, close / lag(close) OVER (PARTITION BY ticker ORDER BY date) AS step FROM (SELECT ticker, date, max(close) AS close FROM fx_prices WHERE close > 0 GROUP BY 1, 2)", "fx_prices")

@@ -169,15 +169,67 @@ def _(p, sessions, prices):
     return B.mark_positions(held, sessions, prices.where("close > 0").groupBy("ticker", "date").agg(F.max("close").alias("close")))
 
 
-@_query(
-    "g53_setup_scores",
-    f"""WITH e AS (SELECT ticker, member AS actor, (score + 1) / 24 AS weight, pow(0.5::DOUBLE, (tx_id % 60) / 90.0::DOUBLE) AS decay, 100.0::DOUBLE AS ref, 80.0::DOUBLE + tx_id % 40 AS price FROM {O} WHERE as_of BETWEEN DATE '1998-04-01' AND DATE '1998-06-01'),
+_SETUPS = f"""WITH e AS (SELECT ticker, member AS actor, (score + 1) / 24 AS weight, pow(0.5::DOUBLE, (tx_id % 60) / 90.0::DOUBLE) AS decay, 100.0::DOUBLE AS ref, 80.0::DOUBLE + tx_id % 40 AS price FROM {O} WHERE as_of BETWEEN DATE '1998-04-01' AND DATE '1998-06-01'),
 b AS (SELECT ticker, actor, max(weight * decay) AS c FROM e WHERE price <= 1.05 * ref GROUP BY 1, 2 HAVING max(weight * decay) >= 0.05),
-s AS (SELECT ticker, sum(c) AS total, count(*) AS actors, ticker LIKE '%X' AS corroborated FROM b GROUP BY 1), z AS (SELECT *, total * CASE WHEN corroborated THEN 1.5 ELSE 1.0 END AS score FROM s)
-SELECT ticker, round(total, 9) AS total, actors, corroborated, round(score, 9) AS score, score >= 1.0 OR (score > 0.25 AND (actors >= 2 OR corroborated)) AS ranked FROM z""",
-    O,
-)
-def _(o):
+s AS (SELECT ticker, sum(c) AS total, count(*) AS actors, ticker LIKE '%X' AS corroborated FROM b GROUP BY 1), z AS (SELECT *, total * CASE WHEN corroborated THEN 1.5 ELSE 1.0 END AS score FROM s)"""
+
+
+@_query("g53_setup_scores", f"{_SETUPS} SELECT ticker, round(total, 9) AS total, actors, corroborated, round(score, 9) AS score, score >= 1.0 OR (score > 0.25 AND (actors >= 2 OR corroborated)) AS ranked FROM z", O)
+def _setups(o):
     e = o.where("as_of BETWEEN DATE '1998-04-01' AND DATE '1998-06-01'").select("ticker", F.col("member").alias("actor"), ((F.col("score") + 1) / 24).alias("weight"), F.pow(F.lit(0.5), (F.col("tx_id") % 60) / 90.0).alias("decay"), F.lit(100.0).alias("ref"), (80.0 + F.col("tx_id") % 40).alias("price"))
     s = B.setup_scores(e, F.col("ticker").like("%X"))
     return s.withColumns({"total": F.round("total", 9), "score": F.round("score", 9)})
+
+
+@_query("k04_ranked_setups", f"{_SETUPS}, y AS (SELECT ticker, round(total, 9) AS total, actors, corroborated, round(score, 9) AS score, score >= 1.0 OR (score > 0.25 AND (actors >= 2 OR corroborated)) AS ranked FROM z) SELECT * FROM y WHERE ranked ORDER BY score DESC, ticker LIMIT 20", O)
+def _(o):
+    return B.ranked_setups(_setups(o), 20)
+
+
+@_query("k05_closest_before", f"WITH r AS (SELECT DISTINCT ticker, transaction_date AS day FROM {D} WHERE transaction_type = 'Sale'), b AS (SELECT DISTINCT ticker, disclosure_date AS bought FROM {P}) SELECT ticker, day, bought, date_diff('day', bought, day) AS gap FROM (SELECT r.ticker, r.day, b.bought FROM r ASOF JOIN b ON r.ticker = b.ticker AND r.day >= b.bought) WHERE date_diff('day', bought, day) <= 90", D, P)
+def _(d, p):
+    return B.closest_before(d.where("transaction_type = 'Sale'").select("ticker", F.col("transaction_date").alias("day")), p.select("ticker", F.col("disclosure_date").alias("day")), 90)
+
+
+@_query("f15_valid_sizing_rows", f"""WITH s AS (SELECT tx_id, as_of, ticker, CASE tx_id % 17 WHEN 0 THEN ' ' WHEN 1 THEN 'UNKNOWN' WHEN 2 THEN NULL ELSE member END AS member, CASE tx_id % 13 WHEN 0 THEN NULL ELSE score / 22 END AS p, (tx_id % 5)::DOUBLE AS win, (1 + tx_id % 3)::DOUBLE AS loss FROM {O})
+SELECT tx_id, reject FROM (SELECT tx_id, CASE WHEN p IS NULL THEN 'not_finite' WHEN NOT (p > 0 AND p < 1) THEN 'probability' WHEN win <= 0 THEN 'win_or_loss' WHEN trim(coalesce(member, '')) IN ('', 'UNKNOWN') THEN 'member' WHEN count(*) OVER (PARTITION BY as_of, ticker) > 1 THEN 'repeated' END AS reject FROM s) WHERE reject IS NOT NULL""", O)
+def _(o):
+    k = F.col("tx_id")
+    member = F.when(k % 17 == 0, " ").when(k % 17 == 1, "UNKNOWN").when(k % 17 == 2, None).otherwise(F.col("member"))
+    rows = o.select("tx_id", "as_of", "ticker", member.alias("member"), F.when(k % 13 != 0, F.col("score") / 22).alias("p"), (k % 5).cast("double").alias("win"), (1 + k % 3).cast("double").alias("loss"))
+    return B.sizing_rejects(rows).select("tx_id", "reject")
+
+
+@_query("g51_portfolio_share", f"WITH h AS (SELECT member, ticker, extract(year FROM transaction_date)::INT AS year, CASE WHEN max(part_key) % 61 <> 0 THEN sum(quantity)::DOUBLE END AS value FROM {D} GROUP BY 1, 2, 3) SELECT member, ticker, year, CASE WHEN bool_and(value IS NOT NULL) OVER w THEN value / sum(value) OVER w END AS share FROM h WINDOW w AS (PARTITION BY member, year)", D)
+def _(d):
+    h = d.groupBy("member", "ticker", F.year("transaction_date").alias("year")).agg(F.when(F.max("part_key") % 61 != 0, F.sum("quantity").cast("double")).alias("value"))
+    return B.portfolio_share(h, ["member", "year"]).select("member", "ticker", "year", "share")
+
+
+@_query("g50_latest_share_state", f"""WITH s AS (SELECT member, ticker, transaction_date AS d, CASE WHEN part_key % 19 <> 0 THEN (quantity - part_key % 3)::DOUBLE END AS shares, CASE WHEN part_key % 19 = 0 THEN 'shares_missing' END AS bad FROM {D} WHERE source = '13f' AND disclosure_date <= DATE '1998-06-01'),
+l AS (SELECT *, rank() OVER (PARTITION BY member, ticker ORDER BY d DESC) AS k FROM s)
+SELECT member, ticker, d AS snapshot_date, min(bad) AS reason, count(*) AS rows, CASE WHEN min(bad) IS NULL THEN sum(shares) END AS shares, CASE WHEN min(bad) IS NOT NULL THEN 'unavailable' WHEN sum(shares) > 0 THEN 'held' ELSE 'closed' END AS state FROM l WHERE k = 1 GROUP BY 1, 2, 3""", D)
+def _(d):
+    known = d.where("source = '13f' AND disclosure_date <= DATE '1998-06-01'")
+    bad = F.col("part_key") % 19 == 0
+    rows = known.select("member", "ticker", F.col("transaction_date").alias("snapshot_date"), F.when(~bad, (F.col("quantity") - F.col("part_key") % 3).cast("double")).alias("shares"), F.when(bad, "shares_missing").alias("bad"))
+    return B.latest_share_state(rows)
+
+
+@_query(
+    "g56_blotter_report",
+    f"""WITH f AS (SELECT ticker, kind, qty, price, row_number() OVER (PARTITION BY ticker ORDER BY member, n) AS n FROM (SELECT * FROM ({_TRADES.replace("t AS (", "", 1)[:-1]}) WHERE kind <> 'close')),
+s AS (SELECT ticker, kind, price, sum(qty) OVER (PARTITION BY ticker, kind ORDER BY n) - qty AS lo, sum(qty) OVER (PARTITION BY ticker, kind ORDER BY n) AS hi FROM f),
+m AS (SELECT b.ticker, sum(least(b.hi, s.hi) - greatest(b.lo, s.lo)) AS matched, round(sum((least(b.hi, s.hi) - greatest(b.lo, s.lo)) * (s.price - b.price)), 2) AS realised FROM s b JOIN s ON b.ticker = s.ticker AND b.kind = 'buy' AND s.kind = 'sell' AND greatest(b.lo, s.lo) < least(b.hi, s.hi) GROUP BY 1),
+a AS (SELECT ticker, count(*) AS fills, sum(qty) FILTER (WHERE kind = 'buy') AS bought, sum(qty) FILTER (WHERE kind = 'sell') AS sold, round(sum(qty * price) FILTER (WHERE kind = 'buy') / sum(qty) FILTER (WHERE kind = 'buy'), 6) AS mean_entry FROM f GROUP BY 1),
+g AS (SELECT r.ticker, r.day, min(date_diff('day', p.disclosure_date, r.day)) AS gap FROM (SELECT DISTINCT ticker, transaction_date AS day FROM {D} WHERE transaction_type = 'Sale') r JOIN {P} p ON p.ticker = r.ticker AND date_diff('day', p.disclosure_date, r.day) BETWEEN 0 AND 14 GROUP BY 1, 2),
+c AS (SELECT ticker, count(*) AS near, min(gap) AS closest FROM g GROUP BY 1), x AS (SELECT ticker, round(1 - exp(-count(*)::DOUBLE / 2400.0::DOUBLE * 14.0::DOUBLE), 9) AS chance FROM {P} GROUP BY 1)
+SELECT a.*, matched, realised, coalesce(near, 0) AS near, closest, chance, coalesce(bought, 0) - coalesce(matched, 0) AS open FROM a LEFT JOIN m USING (ticker) LEFT JOIN c USING (ticker) LEFT JOIN x USING (ticker)""",
+    D, P,
+)
+def _(d, p):
+    t = _trades(d).where("kind <> 'close'")
+    fills = t.withColumn("n", F.row_number().over(Window.partitionBy("ticker").orderBy("member", "n")))
+    refs = d.where("transaction_type = 'Sale'").select("ticker", F.col("transaction_date").alias("day"))
+    out = B.blotter_report(fills, refs, p.select("ticker", F.col("disclosure_date").alias("day")), 2400)
+    return out.withColumns({"mean_entry": F.round("mean_entry", 6), "realised": F.round("realised", 2), "chance": F.round("chance", 9)})

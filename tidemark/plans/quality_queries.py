@@ -169,17 +169,133 @@ def _(p):
     return Q.served_prices(values, state)
 
 
+_GENS = "v AS (SELECT *, CASE WHEN extract(year FROM date) % 2 = 0 THEN 'g1' ELSE 'g2' END AS generation FROM fx_prices)"
+
+
 @_query(
     "j32_decision_quote",
-    """WITH k AS (SELECT DISTINCT ticker, decision_date AS day FROM fx_decisions), a AS (SELECT k.*, p.date AS d1, p.close AS q1 FROM k ASOF LEFT JOIN (SELECT ticker, date, max(close) AS close FROM fx_prices WHERE close > 0 AND extract(day FROM date) < 20 GROUP BY 1, 2) p ON k.ticker = p.ticker AND k.day >= p.date),
-b AS (SELECT a.*, p.date AS d2, p.close AS q2 FROM a ASOF LEFT JOIN (SELECT ticker, date, max(close) AS close FROM fx_prices WHERE close > 0 GROUP BY 1, 2) p ON a.ticker = p.ticker AND a.day >= p.date),
-c AS (SELECT *, coalesce(date_diff('day', d1, day) > 5, true) AND d2 IS NOT NULL AND (d1 IS NULL OR d2 > d1) AS from_newer FROM b)
+    f"""WITH {_GENS}, served AS (SELECT ticker, date, max(close) AS close FROM v WHERE generation = CASE WHEN ticker < 'TK' THEN 'g1' ELSE 'g2' END AND ticker NOT LIKE 'TE%' AND close > 0 GROUP BY 1, 2),
+k AS (SELECT DISTINCT ticker, decision_date AS day FROM fx_decisions), a AS (SELECT k.*, p.date AS d1, p.close AS q1 FROM k ASOF LEFT JOIN (SELECT ticker, date, max(close) AS close FROM fx_prices WHERE close > 0 AND extract(day FROM date) < 20 AND (ticker > 'TC' OR date > DATE '1997-01-01') GROUP BY 1, 2) p ON k.ticker = p.ticker AND k.day >= p.date),
+b AS (SELECT a.*, p.date AS d2, p.close AS q2 FROM a ASOF LEFT JOIN served p ON a.ticker = p.ticker AND a.day >= p.date),
+c AS (SELECT *, coalesce(date_diff('day', d1, day) > 5 AND d2 > d1, false) AS from_newer FROM b)
 SELECT ticker, day, CASE WHEN from_newer THEN d2 ELSE d1 END AS quote_date, CASE WHEN from_newer THEN q2 ELSE q1 END AS quote, from_newer FROM c""",
     "fx_decisions", "fx_prices",
 )
 def _(k, p):
     keys, one = k.select("ticker", F.col("decision_date").alias("day")).distinct(), p.where("close > 0").groupBy("ticker", "date").agg(F.max("close").alias("close"))
-    return Q.decision_quote(P.price_asof(keys, one.where("day(date) < 20")), P.price_asof(keys, one))
+    state = p.select("ticker").distinct().select("ticker", F.when(F.col("ticker") < "TK", "g1").otherwise("g2").alias("served"), (~F.col("ticker").like("TE%")).alias("comparable"), F.lit("adjusted").alias("basis"))
+    served = Q.served_prices(one.withColumn("generation", F.when(F.year("date") % 2 == 0, "g1").otherwise("g2")), state)
+    return Q.decision_quote(P.price_asof(keys, one.where("day(date) < 20 AND (ticker > 'TC' OR date > DATE '1997-01-01')")), P.price_asof(keys, served))
+
+
+@_query("s17_unpromoted_rows", f"WITH {_ACC} SELECT doc_id, source_row_id, part_key, supp_key FROM {D} WHERE source NOT IN ('senate_efd', 'form4', '13f') AND doc_id NOT IN (SELECT doc_id FROM acc WHERE promoted)", D, R)
+def _(d, r):
+    return Q.unpromoted_rows(d, r).select("doc_id", "source_row_id", "part_key", "supp_key")
+
+
+@_query("w14_triage_priority", f"""WITH p AS (SELECT member, count(DISTINCT doc_id) AS n FROM {D} WHERE chamber = 'house' AND source = 'house_pdf' GROUP BY member), q AS (SELECT doc_id, min(disclosure_date) AS filing_date, min(member) AS member FROM {D} GROUP BY doc_id)
+SELECT doc_id, recency_rank, prominence, prominence * recency_rank AS priority FROM (SELECT doc_id, dense_rank() OVER (ORDER BY filing_date)::INT AS recency_rank, greatest(coalesce(n, 0), 1) AS prominence FROM q LEFT JOIN p USING (member))""", D)
+def _(d):
+    active = d.where("chamber = 'house' AND source = 'house_pdf'").groupBy("member").agg(F.count_distinct("doc_id").alias("prominence"))
+    docs = d.groupBy("doc_id").agg(F.min("disclosure_date").alias("filing_date"), F.min("member").alias("member")).join(active, "member", "left")
+    return Q.triage_priority(docs).select("doc_id", "recency_rank", "prominence", "priority")
+
+
+@_query("g19_scope_status", f"""WITH e AS (SELECT DISTINCT ingestion_generation, doc_id FROM {D}), s AS (SELECT ingestion_generation, doc_id, min(CASE status WHEN 'success' THEN 0 WHEN 'invalid' THEN 1 ELSE 2 END) AS st FROM {R} WHERE archive_year <> 1997 GROUP BY 1, 2)
+SELECT ingestion_generation, count(*) AS expected, count(*) FILTER (WHERE st = 0) AS done, count(*) FILTER (WHERE st = 1) AS rejected, count(*) FILTER (WHERE st IS NULL OR st = 2) AS open FROM e LEFT JOIN s USING (ingestion_generation, doc_id) GROUP BY 1""", D, R)
+def _(d, r):
+    return Q.scope_status(d, r.where("archive_year <> 1997"))
+
+
+@_query("g39_completeness_scope", f"""WITH i AS (SELECT DISTINCT ingestion_generation AS g, doc_id FROM {D} WHERE order_key % 97 <> 0), r AS (SELECT DISTINCT ingestion_generation AS g, doc_id FROM {R} WHERE status <> 'failed'), w AS (SELECT DISTINCT ingestion_generation AS g, doc_id FROM {D}),
+a AS (SELECT g, doc_id, max(i) AS i, max(r) AS r, max(w) AS w FROM (SELECT g, doc_id, 1 AS i, NULL AS r, NULL AS w FROM i UNION ALL SELECT g, doc_id, NULL, 1, NULL FROM r UNION ALL SELECT g, doc_id, NULL, NULL, 1 FROM w) GROUP BY 1, 2)
+SELECT g AS ingestion_generation, count(i) AS indexed, count(r) AS parsed, count(w) AS stored, count(*) FILTER (WHERE i IS NULL) AS unexpected, count(i) = count(r) AND count(i) = count(w) AND count(*) = count(i) AS complete FROM a GROUP BY g""", D, R)
+def _(d, r):
+    return Q.completeness_scope(d.where("order_key % 97 <> 0"), r.where("status <> 'failed'"), d, "ingestion_generation")
+
+
+_ORIGIN = """CASE part_key % 7 WHEN 0 THEN 'official' WHEN 1 THEN 'asset_description' WHEN 2 THEN 'unverified' WHEN 3 THEN 'non_equity' WHEN 4 THEN 'missing' WHEN 5 THEN 'invalid' ELSE 'guess' END AS ticker_origin,
+ CASE supp_key % 4 WHEN 0 THEN ticker WHEN 1 THEN 'NOTE' WHEN 2 THEN NULL ELSE 'lower' END AS ticker, CASE order_key % 4 WHEN 0 THEN NULL WHEN 1 THEN ticker WHEN 2 THEN 'BOND' ELSE '12' END AS ticker_candidate, CASE line_number % 5 WHEN 0 THEN NULL WHEN 1 THEN '--' WHEN 2 THEN lower(ticker) WHEN 3 THEN ' ' ELSE 'x9' END AS raw_ticker"""
+
+
+@_query(
+    "n34_ticker_origin_violations",
+    f"""WITH x AS (SELECT doc_id, source_row_id, part_key, supp_key, {_ORIGIN} FROM {D}), y AS (SELECT *, nullif(upper(trim(raw_ticker)), '') AS r, coalesce(regexp_full_match(ticker, '[A-Z]{{1,5}}([.-][A-Z]{{1,2}})?'), false) AS tv, coalesce(regexp_full_match(ticker_candidate, '[A-Z]{{1,5}}([.-][A-Z]{{1,2}})?'), false) AS cv, coalesce(ticker IN ('COUPON', 'BOND', 'BONDS', 'NOTE', 'NOTES', 'STOCK', 'TICKER'), false) AS tr, coalesce(ticker_candidate IN ('COUPON', 'BOND', 'BONDS', 'NOTE', 'NOTES', 'STOCK', 'TICKER'), false) AS cr FROM x),
+z AS (SELECT *, r IS NULL OR r = '--' AS blank, coalesce(regexp_full_match(r, '[A-Z]{{1,5}}([.-][A-Z]{{1,2}})?'), false) AS rv FROM y)
+SELECT doc_id, source_row_id, part_key, supp_key, CASE ticker_origin WHEN 'guess' THEN 'unknown_origin' ELSE ticker_origin || '_inconsistent' END AS rule FROM z
+WHERE NOT CASE ticker_origin WHEN 'official' THEN tv AND ticker_candidate IS NULL AND coalesce(r = ticker, false) WHEN 'asset_description' THEN tv AND NOT tr AND ticker_candidate IS NULL AND blank WHEN 'unverified' THEN ticker IS NULL AND cv AND NOT cr AND blank
+ WHEN 'non_equity' THEN ticker IS NULL AND ticker_candidate IS NULL AND blank WHEN 'missing' THEN ticker IS NULL AND ticker_candidate IS NULL AND blank WHEN 'invalid' THEN ticker IS NULL AND NOT (cv AND NOT cr) AND CASE WHEN ticker_candidate IS NULL THEN NOT blank AND NOT rv ELSE blank END ELSE false END""",
+    D,
+)
+def _(d):
+    return Q.ticker_origin_violations(d.select("doc_id", "source_row_id", "part_key", "supp_key", *_origin_columns())).select("doc_id", "source_row_id", "part_key", "supp_key", "rule")
+
+
+def _origin_columns():
+    pick = lambda c, n, xs: F.element_at(F.array(*xs), (F.col(c) % n + 1).cast("int"))
+    none, t = F.lit(None).cast("string"), F.col("ticker")
+    return [
+        pick("part_key", 7, [F.lit(x) for x in ("official", "asset_description", "unverified", "non_equity", "missing", "invalid", "guess")]).alias("ticker_origin"),
+        pick("supp_key", 4, [t, F.lit("NOTE"), none, F.lit("lower")]).alias("ticker"), pick("order_key", 4, [none, t, F.lit("BOND"), F.lit("12")]).alias("ticker_candidate"),
+        pick("line_number", 5, [none, F.lit("--"), F.lower(t), F.lit(" "), F.lit("x9")]).alias("raw_ticker"),
+    ]
+
+
+_REPORTS = f"""rep AS (SELECT doc_id AS report_id, CASE WHEN o % 23 = 0 THEN 'joint' ELSE ch END AS chamber, CASE WHEN o % 19 = 0 THEN 'lost' WHEN o % 5 = 0 THEN 'no_rows' ELSE 'rows' END AS outcome, n + CASE WHEN o % 11 = 0 THEN 1 ELSE 0 END AS stated, n - n // 3 AS accepted, n // 3 AS rejected, CASE WHEN o % 13 = 0 THEN upper(sha256(doc_id)) ELSE sha256(doc_id) END AS sha256, m AS member, f AS filed
+ FROM (SELECT doc_id, min(chamber) AS ch, max(order_key) AS o, count(*) AS n, min(member) AS m, min(disclosure_date) AS f FROM {D} GROUP BY doc_id))"""
+
+
+def _reports(d: DataFrame) -> DataFrame:
+    g = d.groupBy("doc_id").agg(F.min("chamber").alias("ch"), F.max("order_key").alias("o"), F.count(F.lit(1)).alias("n"), F.min("member").alias("member"), F.min("disclosure_date").alias("filed"))
+    third = F.floor(F.col("n") / 3)
+    return g.select(
+        F.col("doc_id").alias("report_id"), F.when(F.col("o") % 23 == 0, "joint").otherwise(F.col("ch")).alias("chamber"), F.when(F.col("o") % 19 == 0, "lost").when(F.col("o") % 5 == 0, "no_rows").otherwise("rows").alias("outcome"),
+        (F.col("n") + F.when(F.col("o") % 11 == 0, 1).otherwise(0)).alias("stated"), (F.col("n") - third).alias("accepted"), third.alias("rejected"),
+        F.when(F.col("o") % 13 == 0, F.upper(F.sha2("doc_id", 256))).otherwise(F.sha2("doc_id", 256)).alias("sha256"), "member", "filed",
+    )
+
+
+@_query("g15_report_violations", f"""WITH {_REPORTS} SELECT 'count_equation' AS rule, report_id FROM rep WHERE stated <> accepted + rejected UNION ALL SELECT 'no_rows_with_accepted', report_id FROM rep WHERE outcome <> 'rows' AND accepted > 0 UNION ALL SELECT 'unknown_outcome', report_id FROM rep WHERE outcome = 'lost'
+ UNION ALL SELECT 'unknown_chamber', report_id FROM rep WHERE chamber = 'joint' UNION ALL SELECT 'hash_form', report_id FROM rep WHERE NOT regexp_full_match(sha256, '[0-9a-f]{{64}}')""", D)
+def _(d):
+    return Q.report_violations(_reports(d))
+
+
+@_query("j35_report_binding_violations", f"""WITH {_REPORTS}, w AS (SELECT doc_id AS report_id, count(*) AS stored, count(DISTINCT member) AS ms, min(member) AS rm, min(disclosure_date) AS d0, max(disclosure_date) AS d1 FROM {D} WHERE part_key % 3 <> 0 GROUP BY 1), k AS (SELECT * FROM rep WHERE outcome <> 'lost'),
+b AS (SELECT coalesce(k.report_id, w.report_id) AS report_id, k.report_id IS NOT NULL AS known, accepted, member, filed, stored, ms, rm, d0, d1 FROM k FULL JOIN w ON k.report_id = w.report_id)
+SELECT * FROM (SELECT report_id, concat_ws(',', CASE WHEN NOT known THEN 'no_report' END, CASE WHEN known AND coalesce(stored, 0) <> accepted THEN 'count' END, CASE WHEN known AND stored > 0 AND (ms > 1 OR rm <> member) THEN 'member' END, CASE WHEN known AND stored > 0 AND (d0 <> filed OR d1 <> filed) THEN 'date' END) AS reasons FROM b) WHERE reasons <> ''""", D)
+def _(d):
+    return Q.report_binding_violations(d.where("part_key % 3 <> 0").withColumnRenamed("doc_id", "report_id"), _reports(d).where("outcome <> 'lost'"))
+
+
+_ENTRY = f"SELECT doc_id, CASE part_key % 6 WHEN 0 THEN 'FAIL' WHEN 1 THEN NULL WHEN 2 THEN 'maybe' ELSE 'pass' END AS verdict, CASE supp_key % 3 WHEN 0 THEN 'critical' WHEN 1 THEN 'Cosmetic' END AS severity FROM {D}"
+
+
+@_query("g32_audit_verdicts", f"""WITH e AS (SELECT doc_id, lower(verdict) AS v, lower(severity) AS s FROM ({_ENTRY})), p AS (SELECT doc_id, count(*) FILTER (WHERE v = 'fail') AS f, count(*) FILTER (WHERE v = 'pass') AS p, count(*) FILTER (WHERE v = 'fail' AND s = 'critical') AS c, count(*) FILTER (WHERE v = 'fail' AND s = 'cosmetic') AS m FROM e GROUP BY 1)
+SELECT doc_id, CASE WHEN f > 0 THEN 'fail' WHEN p > 0 THEN 'pass' ELSE 'unresolved' END AS verdict, CASE WHEN f > 0 THEN CASE WHEN c = 0 AND m > 0 THEN 'cosmetic' ELSE 'critical' END END AS severity, f > 0 AND c = 0 AND m = 0 AS unclassified FROM p""", D)
+def _(d):
+    v = F.when(F.col("part_key") % 6 == 0, "FAIL").when(F.col("part_key") % 6 == 1, None).when(F.col("part_key") % 6 == 2, "maybe").otherwise("pass")
+    s = F.when(F.col("supp_key") % 3 == 0, "critical").when(F.col("supp_key") % 3 == 1, "Cosmetic")
+    return Q.audit_verdicts(d.select("doc_id", v.alias("verdict"), s.alias("severity")))
+
+
+@_query("j28_attach_members", f"WITH i AS (SELECT doc_id, CASE WHEN max(order_key) % 31 = 0 THEN ' ' ELSE min(member) END AS member FROM {D} WHERE order_key % 17 <> 0 GROUP BY doc_id) SELECT d.doc_id, d.source_row_id, d.part_key, d.supp_key, i.member, CASE WHEN trim(coalesce(i.member, '')) = '' THEN 'no_index_row' END AS failed FROM {D} d LEFT JOIN i ON i.doc_id = d.doc_id", D)
+def _(d):
+    index = d.where("order_key % 17 <> 0").groupBy("doc_id").agg(F.when(F.max("order_key") % 31 == 0, " ").otherwise(F.min("member")).alias("member"), F.min("disclosure_date").alias("filing_date"))
+    return Q.attach_members(d.select("doc_id", "source_row_id", "part_key", "supp_key"), index).select("doc_id", "source_row_id", "part_key", "supp_key", "member", "failed")
+
+
+@_query("t07_accept_corrections", f"WITH n AS (SELECT {_RS}, count(*) AS n FROM {D} WHERE part_key % 4 <> 0 GROUP BY {_RS}), h AS (SELECT DISTINCT {_RS} FROM {D} WHERE part_key % 4 = 0) SELECT {_RS}, CASE WHEN hit THEN coalesce(n, 0) ELSE stated_count END AS stated_count, CASE WHEN hit THEN DATE '2002-01-01' ELSE parsed_at END AS parsed_at, hit AS rebound FROM (SELECT r.*, n.n, r.status = 'success' AND h.doc_id IS NOT NULL AS hit FROM {R} r LEFT JOIN n USING ({_RS}) LEFT JOIN h USING ({_RS}))", D, R)
+def _(d, r):
+    out = Q.accept_corrections(r, d.where("part_key % 4 <> 0"), d.where("part_key % 4 = 0"), _day("2002-01-01"))
+    return out.select(*Q.ROWSET, "stated_count", "parsed_at", "rebound")
+
+
+@_query("j15_carry_forward", f"WITH a AS (SELECT doc_id, max(order_key) AS o, min(member) AS m, CASE WHEN max(order_key) % 5 = 0 THEN NULL ELSE min(chamber) END AS c FROM {D} GROUP BY 1), same AS (SELECT doc_id FROM a WHERE o % 7 <> 0 AND o % 11 <> 0) SELECT doc_id, source_row_id, part_key, supp_key FROM {D} SEMI JOIN same USING (doc_id)", D)
+def _(d):
+    now = d.groupBy("doc_id").agg(F.max("order_key").alias("o"), F.min("member").alias("m"), F.min("chamber").alias("c")).withColumn("c", F.when(F.col("o") % 5 != 0, F.col("c"))).withColumn("artifact", F.sha2("doc_id", 256))
+    before = now.withColumns({"artifact": F.when(F.col("o") % 7 == 0, "other").otherwise(F.col("artifact")), "m": F.when(F.col("o") % 11 == 0, None).otherwise(F.col("m"))})
+    return Q.carry_forward(d, before, now, ["artifact", "m", "c"]).select("doc_id", "source_row_id", "part_key", "supp_key")
 
 
 @_query("g43_freshness_report", f"WITH n AS (SELECT 'prices' AS input, max(date) AS newest, 3 AS lim FROM fx_prices WHERE date <= DATE '2001-08-20' UNION ALL SELECT 'filings:' || source, max(disclosure_date), 10 FROM {D} WHERE disclosure_date <= DATE '2001-08-20' GROUP BY source) SELECT input, newest, CASE WHEN newest IS NULL THEN 'unknown' WHEN date_diff('day', newest, DATE '2001-08-20') <= lim THEN 'pass' ELSE 'fail' END AS state FROM n", D, "fx_prices")

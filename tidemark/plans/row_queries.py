@@ -110,18 +110,18 @@ def _(d):
     return R.changed_rows(a.drop("part_key"), a.withColumn("owner_code", F.when(F.col("part_key") % 5 == 0, "DC").otherwise(F.col("owner_code"))).drop("part_key"))
 
 
-@_query("u03_tables_equal", f"WITH a AS (SELECT ticker, source FROM {D} WHERE part_key % 2 = 0), b AS (SELECT ticker, source FROM {D} WHERE part_key % 3 = 0) SELECT (SELECT count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) AS only_in_a, (SELECT count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) AS only_in_b", D)
+@_query("u03_tables_equal", f"WITH a AS (SELECT ticker, source FROM {D}), b AS (SELECT CASE WHEN part_key % 3 = 0 THEN 'ZZ' ELSE ticker END AS ticker, source FROM {D}) SELECT (SELECT count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) AS only_in_a, (SELECT count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) AS only_in_b", D)
 def _(d):
-    return R.tables_equal(d.where("part_key % 2 = 0").select("ticker", "source"), d.where("part_key % 3 = 0").select("ticker", "source"))
+    return R.tables_equal(d.select("ticker", "source"), d.select(F.when(F.col("part_key") % 3 == 0, "ZZ").otherwise(F.col("ticker")).alias("ticker"), "source"))
 
 
 _FK = "source, chamber, source_record_id, source_row_id"
 
 
-@_query("u04_merge_append_only", f"WITH s AS (SELECT {_FK}, part_key FROM {D} WHERE part_key % 2 = 0), n AS (SELECT {_FK}, part_key FROM {D} WHERE part_key % 3 = 0) SELECT * FROM s UNION ALL SELECT * FROM n WHERE ({_FK}) NOT IN (SELECT {_FK} FROM s)", D)
+@_query("u04_merge_append_only", f"WITH s AS (SELECT {_FK}, part_key FROM {D} WHERE part_key % 2 = 0), n AS (SELECT {_FK}, part_key FROM {D} WHERE part_key % 2 <> 0) SELECT * FROM s UNION ALL SELECT * FROM n WHERE ({_FK}) NOT IN (SELECT {_FK} FROM s)", D)
 def _(d):
     cols = [*R.FILING, "part_key"]
-    return R.merge_append_only(d.where("part_key % 2 = 0").select(*cols), d.where("part_key % 3 = 0").select(*cols))
+    return R.merge_append_only(d.where("part_key % 2 = 0").select(*cols), d.where("part_key % 2 <> 0").select(*cols))
 
 
 @_query("u05_merge_chunks", f"SELECT doc_id, source_row_id, count(*) AS n, count(DISTINCT (ticker, owner_code)) AS contents, count(DISTINCT (ticker, owner_code)) > 1 AS conflict FROM (SELECT * FROM {D} WHERE part_key % 2 = 0 UNION ALL SELECT * FROM {D} WHERE part_key % 3 <> 0) GROUP BY 1, 2", D)
@@ -130,9 +130,9 @@ def _(d):
     return R.merge_chunks([c.where("part_key % 2 = 0").drop("part_key"), c.where("part_key % 3 <> 0").drop("part_key")], ["doc_id", "source_row_id"])
 
 
-@_query("u07_multiset_subset", f"SELECT ticker, source, n_a, coalesce(n_b, 0) AS n_b FROM (SELECT ticker, source, count(*) AS n_a FROM {D} WHERE part_key % 2 = 0 GROUP BY 1, 2) LEFT JOIN (SELECT ticker, source, count(*) AS n_b FROM {D} WHERE part_key % 3 = 0 GROUP BY 1, 2) USING (ticker, source) WHERE n_a > coalesce(n_b, 0)", D)
+@_query("u07_multiset_subset", f"SELECT ticker, source, n_a, coalesce(n_b, 0) AS n_b FROM (SELECT ticker, source, count(*) AS n_a FROM {D} WHERE part_key % 2 = 0 GROUP BY 1, 2) LEFT JOIN (SELECT ticker, source, count(*) AS n_b FROM {D} WHERE part_key % 2 <> 0 GROUP BY 1, 2) USING (ticker, source) WHERE n_a > coalesce(n_b, 0)", D)
 def _(d):
-    return R.multiset_subset(d.where("part_key % 2 = 0"), d.where("part_key % 3 = 0"), ["ticker", "source"])
+    return R.multiset_subset(d.where("part_key % 2 = 0"), d.where("part_key % 2 <> 0"), ["ticker", "source"])
 
 
 @_query("u08_common_dates", f"SELECT disclosure_date FROM {D} WHERE source = 'form4' INTERSECT SELECT disclosure_date FROM {D} WHERE source = 'senate_efd'", D)
@@ -154,10 +154,10 @@ def _(d):
     return R.upsert_by_identity(one("part_key % 2 = 0"), one("part_key % 3 = 0"), ["disclosure_date"])
 
 
-@_query("t02_drop_already_stored", f"WITH n AS (SELECT *, row_number() OVER (PARTITION BY {_FK} ORDER BY part_key) AS k FROM (SELECT {_FK}, part_key FROM {D} WHERE part_key % 3 = 0)) SELECT {_FK}, part_key FROM n WHERE k = 1 AND ({_FK}) NOT IN (SELECT {_FK} FROM {D} WHERE part_key % 2 = 0)", D)
+@_query("t02_drop_already_stored", f"WITH n AS (SELECT *, row_number() OVER (PARTITION BY {_FK} ORDER BY part_key) AS k FROM (SELECT {_FK}, part_key FROM {D} WHERE part_key % 2 <> 0)) SELECT {_FK}, part_key FROM n WHERE k = 1 AND ({_FK}) NOT IN (SELECT {_FK} FROM {D} WHERE part_key % 2 = 0)", D)
 def _(d):
     cols = [*R.FILING, "part_key"]
-    return R.drop_already_stored(d.where("part_key % 2 = 0").select(*cols), d.where("part_key % 3 = 0").select(*cols))
+    return R.drop_already_stored(d.where("part_key % 2 = 0").select(*cols), d.where("part_key % 2 <> 0").select(*cols))
 
 
 @_query("t03_replace_documents", f"WITH n AS (SELECT doc_id, ticker, 'new' AS origin FROM {D} WHERE order_key % 5 = 0 AND line_number = 1) SELECT doc_id, ticker, 'old' AS origin FROM {D} WHERE doc_id NOT IN (SELECT doc_id FROM n) UNION ALL SELECT * FROM n", D)
@@ -294,3 +294,37 @@ def _(o):
 def _(o):
     sectors = o.select("ticker", F.concat(F.substring("ticker", 3, 1), F.when(F.col("ticker") < "TM", "1").otherwise("2")).alias("sector")).distinct()
     return T.sector_leaders(o, sectors)
+
+
+@_query("j22_attach_sector", f"SELECT tx_id, o.ticker, sector FROM {O} o LEFT JOIN (SELECT DISTINCT ticker, substr(ticker, 3, 1) || CASE WHEN ticker < 'TM' THEN '1' ELSE '2' END AS sector FROM {O} WHERE ticker > 'TC') s ON s.ticker = o.ticker", O)
+def _(o):
+    sectors = o.where("ticker > 'TC'").select("ticker", F.concat(F.substring("ticker", 3, 1), F.when(F.col("ticker") < "TM", "1").otherwise("2")).alias("sector")).distinct()
+    return T.attach_sector(o.select("tx_id", "ticker"), sectors)
+
+
+@_query("s13_read_transactions", f"SELECT doc_id, source_row_id, part_key, supp_key FROM {D} WHERE extract(year FROM disclosure_date) = 1997 AND source IN ('senate_efd', 'form4') AND disclosure_date BETWEEN DATE '1997-02-01' AND DATE '1998-02-01'", D)
+def _(d):
+    return R.read_transactions(d, 1997, ("1997-02-01", "1998-02-01"), ["senate_efd", "form4"]).select("doc_id", "source_row_id", "part_key", "supp_key")
+
+
+@_query("s14_read_skill_history", f"SELECT doc_id, source_row_id, part_key, supp_key FROM {D} WHERE disclosure_date < DATE '1998-06-01' AND (source, member) IN (SELECT source, member FROM {D} WHERE disclosure_date = DATE '1998-06-01')", D)
+def _(d):
+    day = F.lit("1998-06-01").cast("date")
+    return R.read_skill_history(d, d.where(F.col("disclosure_date") == day), day).select("doc_id", "source_row_id", "part_key", "supp_key")
+
+
+_INDEX = f"(SELECT doc_id, min(member) AS member, min(disclosure_date) AS filed, max(order_key) AS o FROM {D} GROUP BY doc_id)"
+
+
+@_query("t04_replace_archive", f"WITH a AS (SELECT doc_id, member, filed FROM {_INDEX} WHERE o % 5 <> 0), b AS (SELECT doc_id, CASE WHEN o % 7 = 0 THEN 'RENAMED' ELSE member END AS member, filed FROM {_INDEX} WHERE o % 3 <> 0) SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'deleted' WHEN a.doc_id IS NULL THEN 'inserted' WHEN a.member = b.member THEN 'same' ELSE 'updated' END AS change, b.member, b.filed FROM a FULL JOIN b ON a.doc_id = b.doc_id", D)
+def _(d):
+    i = d.groupBy("doc_id").agg(F.min("member").alias("member"), F.min("disclosure_date").alias("filed"), F.max("order_key").alias("o"))
+    new = i.where("o % 3 <> 0").withColumn("member", F.when(F.col("o") % 7 == 0, "RENAMED").otherwise(F.col("member"))).drop("o")
+    return R.replace_archive(i.where("o % 5 <> 0").drop("o"), new)
+
+
+@_query("t10_served_state", f"WITH t AS (SELECT ticker, max(part_key) AS k, max(supp_key) AS s FROM {D} GROUP BY ticker), a AS (SELECT ticker, 'g' || k AS served, true AS comparable FROM t WHERE k % 4 <> 0), b AS (SELECT ticker, 'h' || s AS generation, s % 2 = 0 AS ok FROM t WHERE s % 5 <> 0) SELECT coalesce(a.ticker, b.ticker) AS ticker, CASE WHEN ok THEN generation ELSE coalesce(served, generation) END AS served, coalesce(ok, comparable) AS comparable, served IS NULL AS inserted FROM a FULL JOIN b ON a.ticker = b.ticker", D)
+def _(d):
+    t = d.groupBy("ticker").agg(F.max("part_key").alias("k"), F.max("supp_key").alias("s"))
+    state = t.where("k % 4 <> 0").select("ticker", F.concat(F.lit("g"), "k").alias("served"), F.lit(True).alias("comparable"))
+    return R.served_state(state, t.where("s % 5 <> 0").select("ticker", F.concat(F.lit("h"), "s").alias("generation"), (F.col("s") % 2 == 0).alias("comparable")))
