@@ -79,6 +79,10 @@ def test_a_join_with_hot_keys_is_a_join(spark):
     want = sorted(tuple(r) for r in rows.join(per.drop("n"), "k").collect())
     for bound in (0, 50, 1000):
         assert sorted(tuple(r) for r in shared.join_per_key(rows, per, "k", "n", 301, bound).collect()) == want
+    two, per2 = rows.withColumn("h", F.col("v") % 2), rows.where("k IS NOT NULL").groupBy("k", (F.col("v") % 2).alias("h")).agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("top"))
+    want = sorted(tuple(r) for r in two.join(per2.drop("n"), ["k", "h"]).select("k", "v", "h", "top").collect())
+    for bound in (0, 30, 1000):
+        assert sorted(tuple(r) for r in shared.join_per_key(two, per2, ["k", "h"], "n", 301, bound).collect()) == want
 
 
 def test_near_dedup_of_repeated_and_null_ids_and_empty_table(spark):

@@ -182,9 +182,7 @@ def repeated_runs(docs: DataFrame, *, least_words: int = LEAST_WORDS, id_col: st
     at = stored(places.join(shared, "print").groupBy("doc_id", "version").agg(F.collect_set("print").alias("shared")), "line-places")
     windows = stored(lined.dropDuplicates(["doc_id", "version"]).join(at, ["doc_id", "version"]).select("doc_id", "version", "hashes", "words", "shared").mapInArrow(_extend(least_words), "doc_id long, version long, start int, end int, hi long, lo long"), "line-windows")
     first = windows.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "version", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    # ``lo`` alone is joined on; windows that share it by chance stay apart by ``hi``.
-    one = first.groupBy("lo").agg(F.sum("n").alias("n"), F.collect_list(F.struct("hi", "first")).alias("firsts"))
-    met = join_per_key(windows, one, "lo", "n", windows.count()).select("doc_id", "version", "start", "end", F.filter("firsts", lambda f: f["hi"] == F.col("hi"))[0]["first"].alias("first"))
+    met = join_per_key(windows, first, ["lo", "hi"], "n", windows.count()).select("doc_id", "version", "start", "end", "first")
     later = met.where(F.struct("doc_id", "version", "start") > F.col("first"))
     return later.groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
 

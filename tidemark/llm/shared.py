@@ -60,24 +60,26 @@ def hot_bound(rows: int) -> int:
     return max(HOT_ROWS, rows // HOT_KEYS)
 
 
-def join_per_key(rows: DataFrame, per_key: DataFrame, key: str, count: str, total: int, bound: int | None = None) -> DataFrame:
-    """Inner join of ``rows`` with ``per_key``, one row per value of ``key`` (a long) and its number of ``rows`` in ``count``.
+def join_per_key(rows: DataFrame, per_key: DataFrame, keys: str | list[str], count: str, total: int, bound: int | None = None) -> DataFrame:
+    """Inner join of ``rows`` with ``per_key``: one row per value of ``keys`` (longs) and its number of ``rows`` in ``count``.
 
     Hot keys (more than ``bound`` rows; see ``hot_bound`` of the ``total`` number of rows) meet their rows by a
     broadcast of at most ``HOT_KEYS`` rows and are spread over all tasks; the others meet by a shuffle, as all do
     where the table is too small to have a hot key. ``count`` is left out of the result. Null keys match nothing.
     """
+    keys = [keys] if isinstance(keys, str) else keys
+    names = [c for c in per_key.columns if c not in (*keys, count)]
     bound = hot_bound(total) if bound is None else bound
     if total <= bound:
-        return rows.join(per_key.drop(count), key).select(*(F.col(f"`{c}`") for c in [*rows.columns, *(c for c in per_key.columns if c not in (key, count))]))
-    names = [c for c in per_key.columns if c not in (key, count)]
-    hot = per_key.where(F.col(count) > bound).select(F.col(key).alias("__hot"), F.struct(*names).alias("__a"))
-    cold = per_key.where(F.col(count) <= bound).select(F.col(key).alias("__cold"), F.struct(*names).alias("__b"))
-    out = rows.where(F.col(key).isNotNull()).join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
+        return rows.join(per_key.drop(count), keys).select(*(F.col(f"`{c}`") for c in [*rows.columns, *names]))
+    side = lambda where, n: per_key.where(where).select(*(F.col(k).alias(f"__{n}{i}") for i, k in enumerate(keys)), F.struct(*names).alias(f"__{n}"))
+    hot, cold = side(F.col(count) > bound, "hot"), side(F.col(count) <= bound, "cold")
+    out = rows.where(F.col(keys[0]).isNotNull()).join(F.broadcast(hot), [F.col(k) == F.col(f"__hot{i}") for i, k in enumerate(keys)], "left")
     # A hot row's key is replaced by a hash of the row, so that it goes to any task; what it meets there doesn't count.
-    spread = F.when(F.col("__a").isNull(), F.col(key)).otherwise(F.xxhash64(*(F.col(f"`{c}`") for c in rows.columns)))
-    out = out.withColumn("__spread", spread).join(cold, F.col("__spread") == F.col("__cold"), "left").where("__a IS NOT NULL OR __b IS NOT NULL")
-    found = F.coalesce("__a", "__b")
+    spread = F.when(F.col("__hot").isNull(), F.col(keys[0])).otherwise(F.xxhash64(*(F.col(f"`{c}`") for c in rows.columns)))
+    match = [F.col("__spread") == F.col("__cold0"), *(F.col(k) == F.col(f"__cold{i}") for i, k in enumerate(keys) if i)]
+    out = out.withColumn("__spread", spread).join(cold, match, "left").where("__hot IS NOT NULL OR __cold IS NOT NULL")
+    found = F.coalesce("__hot", "__cold")
     return out.select(*(F.col(f"`{c}`") for c in rows.columns), *(found[c].alias(c) for c in names))
 
 
