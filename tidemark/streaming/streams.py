@@ -2,22 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.rows import merge_append_only
-
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """A new path in the folder named by ``spark.checkpoint.dir``, which the driver and all executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="spark-stream-")
-        spark.sparkContext.setCheckpointDir(base)
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -69,24 +65,24 @@ def stream_latest_quote(events: DataFrame, symbol: str, at: str, value: str) ->
 
 def stream_enrich(events: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
     """ST5: columns of a small dimension on each row of the stream."""
-    return events.join(F.broadcast(dimension), key, "left")
+    return events.join(dimension, key, "left")  # Catalyst broadcasts it if it is small
 
 
 def stream_merge(events: DataFrame, key: Sequence[str]) -> DataFrame:
     """ST6: each micro-batch merged append-only into a table; rows whose key is stored are not taken again.
 
     Each batch is written under its own number, so that a batch that is run again after a failure replaces
-    itself; the table of a batch is all batches before it.
+    itself; a batch is held against the keys of all batches before it.
     """
     spark, out = events.sparkSession, shared_path(events.sparkSession, "merged")
     schema = events.schema
 
     def merge(batch: DataFrame, number: int) -> None:
-        before = spark.createDataFrame([], schema)
-        for n in range(number):
-            before = before.union(spark.read.schema(schema).parquet(f"{out}/batch={n}"))
-        one = batch.dropDuplicates(list(key))
-        merge_append_only(before, one, key).exceptAll(before).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        new = batch.dropDuplicates(list(key))
+        if number:  # only the keys of earlier batches are read
+            known = spark.read.schema(schema).parquet(*(f"{out}/batch={n}" for n in range(number))).select(*(F.col(k).alias(f"__{k}") for k in key))
+            new = new.join(known, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key], "left_anti")
+        new.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     query = events.writeStream.foreachBatch(merge).option("checkpointLocation", shared_path(spark, "merge-state")).trigger(availableNow=True).start()
     query.awaitTermination()
