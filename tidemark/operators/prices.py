@@ -39,10 +39,8 @@ def session_days(sessions: DataFrame) -> DataFrame:
     return spans.select(F.explode(F.sequence("session_date", F.date_sub("next_session", 1))).alias("day"), F.col("session_date").alias("prev_session"), "next_session")
 
 
-def exchange_sessions(first: str, last: str, spark) -> DataFrame:
-    """Weekdays without holidays, by rule: fixed days moved off weekends, nth weekdays, Good Friday, two one-off days."""
-    d = F.col("d")
-    days = spark.sql(f"SELECT explode(sequence(DATE '{first}', DATE '{last}', INTERVAL 1 DAY)) AS d")
+def exchange_closed(d: Column) -> Column:
+    """Weekends and holidays, by rule: fixed days moved off weekends, nth weekdays, Good Friday, two one-off days."""
     y, m, dom, dow = F.year(d), F.month(d), F.dayofmonth(d), F.dayofweek(d)  # Sunday is 1
 
     def nth(month: int, weekday: int, n: int) -> Column:
@@ -60,11 +58,16 @@ def exchange_sessions(first: str, last: str, spark) -> DataFrame:
     z = F.floor((a + 11 * h + 22 * k) / 451)
     n = h + k - 7 * z + 114
     good_friday = F.date_sub(F.make_date(y, F.floor(n / 31).cast("int"), (n % 31 + 1).cast("int")), 2)
-    closed = (
+    return (
         dow.isin(1, 7) | observed(1, 1, saturday=False) | nth(1, 2, 3) | nth(2, 2, 3) | (d == good_friday) | ((m == 5) & (dow == 2) & (dom > 24))
         | ((y >= 2022) & observed(6, 19)) | observed(7, 4) | nth(9, 2, 1) | nth(11, 5, 4) | observed(12, 25) | d.isin("2018-12-05", "2025-01-09")
     )
-    return days.where(~closed).select(d.alias("session_date"))
+
+
+def exchange_sessions(first: str, last: str, spark) -> DataFrame:
+    """The days from first to last on which the exchange is open."""
+    days = spark.sql(f"SELECT explode(sequence(DATE '{first}', DATE '{last}', INTERVAL 1 DAY)) AS session_date")
+    return days.where(~exchange_closed(F.col("session_date")))
 
 
 def exact_endpoints(rows: DataFrame, prices: DataFrame, days: DataFrame, benchmark: str = BENCHMARK) -> DataFrame:
@@ -220,10 +223,11 @@ def price_coverage(prices: DataFrame, sessions: DataFrame) -> DataFrame:
     return out.select("ticker", "first_date", "last_date", "days", (F.col("i1") - F.col("i0") + 1 - F.col("days")).alias("missing"))
 
 
-def missing_sessions(prices: DataFrame, sessions: DataFrame, tickers: DataFrame) -> DataFrame:
-    """(ticker, session) pairs of two dimensions without a valid price."""
-    wanted = tickers.crossJoin(sessions.select(F.col("session_date").alias("date")))
-    return wanted.join(prices.where(valid_price(F.col("close"))), ["ticker", "date"], "left_anti")
+def missing_sessions(prices: DataFrame, sessions: DataFrame, spans: DataFrame) -> DataFrame:
+    """Sessions without a valid price between a ticker's first_date and last_date: its days meet the calendar by equality."""
+    days = spans.select("ticker", F.explode(F.sequence("first_date", "last_date")).alias("date"))
+    wanted = days.join(sessions.select(F.col("session_date").alias("date")), "date")
+    return wanted.join(prices.where(valid_price(F.col("close"))), ["ticker", "date"], "left_anti").select("ticker", "date")
 
 
 def stale_series(prices: DataFrame, as_of: Column, most_days: int) -> DataFrame:

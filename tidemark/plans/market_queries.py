@@ -132,9 +132,12 @@ def _(rows, prices):
     return P.read_prices(prices, rows, _day("1997-01-01"), _day("1998-12-31"))
 
 
-@_query("s12_prices_wide_to_long", "SELECT date, ticker, close FROM (SELECT date, ticker, max(close) AS close FROM fx_prices WHERE ticker IN ('TAX', 'TBY', 'SPY') GROUP BY 1, 2) WHERE close > 0", "fx_prices")
+_WIDE = ["SPY", *(f"T{a}{b}" for a in "ABCDEFGHIJKLMNOPQRSTUVWXY" for b in "XY")]
+
+
+@_query("s12_prices_wide_to_long", "SELECT date, left(ticker, 3) AS ticker, max(close) AS close FROM fx_prices GROUP BY 1, 2 HAVING max(close) > 0", "fx_prices")
 def _(prices):
-    return P.prices_wide_to_long(prices.where(F.col("ticker").isin("TAX", "TBY", "SPY")).groupBy("date").pivot("ticker", ["TAX", "TBY", "SPY"]).agg(F.max("close")))
+    return P.prices_wide_to_long(prices.withColumn("series", F.left("ticker", F.lit(3))).groupBy("date").pivot("series", _WIDE).agg(F.max("close")))
 
 
 _DAYS = "days AS (SELECT unnest(generate_series(session_date, next_session - INTERVAL 1 DAY, INTERVAL 1 DAY))::DATE AS day, session_date AS prev_session, next_session FROM (SELECT session_date, lead(session_date) OVER (ORDER BY session_date) AS next_session FROM fx_sessions) WHERE next_session IS NOT NULL)"
@@ -155,16 +158,12 @@ ends AS (SELECT *, CASE WHEN entry_price IS NULL THEN 'entry_quote_unavailable'
 labels AS (SELECT *, CASE WHEN reason IS NULL THEN (exit_price / entry_price - 1) * 100 END AS total_return, CASE WHEN reason IS NULL THEN (exit_price / entry_price - 1) * 100 - (bench_exit / bench_entry - 1) * 100 END AS alpha FROM ends)"""
 
 
-@_query("j08_exact_endpoints", f"WITH {_ENDS} SELECT tx_id, ticker, horizon, entry_date, exit_date, entry_price, exit_price, total_return, alpha, reason FROM labels", "fx_purchases", "fx_prices")
-def _(rows, prices):
-    days = P.session_days(_sessions(rows.sparkSession))
+@_query("j08_exact_endpoints", f"WITH {_ENDS} SELECT tx_id, ticker, horizon, entry_date, exit_date, entry_price, exit_price, total_return, alpha, reason FROM labels", "fx_purchases", "fx_prices", "fx_sessions")
+def _(rows, prices, sessions):
+    days = P.session_days(sessions)
     return P.with_returns(P.exact_endpoints(P.explode_horizons(rows, (30, 90)), prices, days)).select("tx_id", "ticker", "horizon", "entry_date", "exit_date", "entry_price", "exit_price", "total_return", "alpha", "reason")
 
 
-def _sessions(spark: SparkSession) -> DataFrame:
-    return spark.sql("SELECT d AS session_date FROM (SELECT explode(sequence(DATE '1995-01-01', DATE '2002-06-30', INTERVAL 1 DAY)) AS d) WHERE dayofweek(d) NOT IN (1, 7)")
-
-
 @_query("j10_price_asof_backward", "SELECT k.ticker, k.day, p.date AS quote_date, p.close AS quote, date_diff('day', p.date, k.day) AS gap FROM (SELECT DISTINCT ticker, disclosure_date AS day FROM fx_purchases) k ASOF LEFT JOIN (SELECT * FROM fx_prices WHERE close > 0) p ON k.ticker = p.ticker AND k.day >= p.date", "fx_purchases", "fx_prices")
 def _(rows, prices):
     return P.price_asof(rows.select("ticker", F.col("disclosure_date").alias("day")).distinct(), prices)
@@ -185,9 +184,9 @@ def _(rows, prices):
     return P.price_nearest(rows.select("ticker", F.col("disclosure_date").alias("day")), prices, 5)
 
 
-@_query("j13_price_path", f"WITH {_ENDS} SELECT tx_id, horizon, count(*) AS quotes, min(p.close) AS low, max(p.close) AS high FROM labels l JOIN fx_prices p ON p.ticker = l.ticker AND p.date BETWEEN l.entry_date AND l.exit_date AND p.close > 0 WHERE reason IS NULL GROUP BY 1, 2", "fx_purchases", "fx_prices")
-def _(rows, prices):
-    days = P.session_days(_sessions(rows.sparkSession))
+@_query("j13_price_path", f"WITH {_ENDS} SELECT tx_id, horizon, count(*) AS quotes, min(p.close) AS low, max(p.close) AS high FROM labels l JOIN fx_prices p ON p.ticker = l.ticker AND p.date BETWEEN l.entry_date AND l.exit_date AND p.close > 0 WHERE reason IS NULL GROUP BY 1, 2", "fx_purchases", "fx_prices", "fx_sessions")
+def _(rows, prices, sessions):
+    days = P.session_days(sessions)
     ends = P.exact_endpoints(P.explode_horizons(rows, (30, 90)), prices, days).where("reason is null").select("tx_id", "horizon", "ticker", "entry_date", "exit_date")
     return P.price_path(ends, prices).groupBy("tx_id", "horizon").agg(F.count(F.lit(1)).alias("quotes"), F.min("close").alias("low"), F.max("close").alias("high"))
 
@@ -207,9 +206,9 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.round(c, 7) for c in ("decayed_return", "decayed_bench", "decayed_alpha")})
 
 
-@_query("w11_decay_weighted_log_mean", f"WITH {_GAPS},\n{_MEANS} SELECT * FROM means", "fx_purchases", "fx_prices")
-def _(rows, prices):
-    days, prices = P.session_days(_sessions(rows.sparkSession)), _gappy(prices)
+@_query("w11_decay_weighted_log_mean", f"WITH {_GAPS},\n{_MEANS} SELECT * FROM means", "fx_purchases", "fx_prices", "fx_sessions")
+def _(rows, prices, sessions):
+    days, prices = P.session_days(sessions), _gappy(prices)
     ends = P.exact_endpoints(P.explode_horizons(rows.select("tx_id", "ticker", "disclosure_date"), (30, 90)), prices, days).where("reason is null")
     bench = prices.where(F.col("ticker") == P.BENCHMARK).select("date", F.col("close").alias("bench"))
     path = P.price_path(ends.select("tx_id", "horizon", "ticker", "entry_date", "exit_date"), prices).join(bench, "date", "left")
@@ -222,19 +221,19 @@ shape AS (SELECT tx_id, horizon, max(close) AS peak, min(close) AS trough FROM p
 SELECT tx_id, horizon, total_return, alpha, peak, trough, decayed_return, decayed_bench, decayed_alpha, reason IS NULL AS complete FROM labels LEFT JOIN shape USING (tx_id, horizon) LEFT JOIN means USING (tx_id, horizon)"""
 
 
-def _labels(rows: DataFrame, prices: DataFrame) -> DataFrame:
-    labels = P.signal_labels(rows.select("tx_id", "ticker", "disclosure_date"), _gappy(prices), P.session_days(_sessions(rows.sparkSession)), "tx_id")
+def _labels(rows: DataFrame, prices: DataFrame, sessions: DataFrame) -> DataFrame:
+    labels = P.signal_labels(rows.select("tx_id", "ticker", "disclosure_date"), _gappy(prices), P.session_days(sessions), "tx_id")
     return _rounded(labels).select("tx_id", "horizon", "total_return", "alpha", "peak", "trough", "decayed_return", "decayed_bench", "decayed_alpha", "complete")
 
 
-@_query("w12_signal_labels", _LABELS, "fx_purchases", "fx_prices")
-def _(rows, prices):
-    return _labels(rows, prices)
+@_query("w12_signal_labels", _LABELS, "fx_purchases", "fx_prices", "fx_sessions")
+def _(rows, prices, sessions):
+    return _labels(rows, prices, sessions)
 
 
-@_query("f06_completed_horizon", f"SELECT * FROM ({_LABELS}) WHERE horizon = 90 AND complete".replace("SELECT * FROM (WITH", "WITH", 1).replace("FROM labels LEFT JOIN shape USING (tx_id, horizon) LEFT JOIN means USING (tx_id, horizon))", "FROM labels LEFT JOIN shape USING (tx_id, horizon) LEFT JOIN means USING (tx_id, horizon)"), "fx_purchases", "fx_prices")
-def _(rows, prices):
-    return P.completed_horizon(_labels(rows, prices), 90)
+@_query("f06_completed_horizon", f"SELECT * FROM ({_LABELS}) WHERE horizon = 90 AND complete".replace("SELECT * FROM (WITH", "WITH", 1).replace("FROM labels LEFT JOIN shape USING (tx_id, horizon) LEFT JOIN means USING (tx_id, horizon))", "FROM labels LEFT JOIN shape USING (tx_id, horizon) LEFT JOIN means USING (tx_id, horizon)"), "fx_purchases", "fx_prices", "fx_sessions")
+def _(rows, prices, sessions):
+    return P.completed_horizon(_labels(rows, prices, sessions), 90)
 
 
 @_query("g02_consensus_candidates", f"SELECT ticker, count(DISTINCT member) AS num_buyers FROM fx_disclosures WHERE {_BUYS} AND disclosure_date BETWEEN DATE '{DAY}' - 28 AND DATE '{DAY}' GROUP BY ticker HAVING count(DISTINCT member) >= 2", "fx_disclosures")
@@ -260,11 +259,11 @@ def _(rows):
     "j09_entry_prices",
     f"""WITH {_DAYS}, q AS (SELECT ticker, date, max(close) AS close FROM fx_prices WHERE close > 0 GROUP BY 1, 2), r AS (SELECT tx_id, CASE WHEN part_key % 3 = 0 THEN concat(ticker, 'Z') ELSE ticker END AS symbol, ticker, disclosure_date FROM fx_purchases)
 SELECT tx_id, next_session AS entry_date, coalesce(a.close, b.close) AS entry_price, CASE WHEN a.close IS NOT NULL THEN r.symbol ELSE r.ticker END AS entry_symbol FROM r JOIN days ON day = disclosure_date LEFT JOIN q a ON a.ticker = r.symbol AND a.date = next_session LEFT JOIN q b ON b.ticker = r.ticker AND b.date = next_session WHERE coalesce(a.close, b.close) IS NOT NULL""",
-    "fx_purchases", "fx_prices",
+    "fx_purchases", "fx_prices", "fx_sessions",
 )
-def _(rows, prices):
+def _(rows, prices, sessions):
     symbol = F.when(F.col("part_key") % 3 == 0, F.concat("ticker", F.lit("Z"))).otherwise(F.col("ticker"))
-    return P.entry_prices(rows.select("tx_id", symbol.alias("symbol"), "ticker", "disclosure_date"), prices, P.session_days(_sessions(rows.sparkSession))).select("tx_id", "entry_date", "entry_price", "entry_symbol")
+    return P.entry_prices(rows.select("tx_id", symbol.alias("symbol"), "ticker", "disclosure_date"), prices, P.session_days(sessions)).select("tx_id", "entry_date", "entry_price", "entry_symbol")
 
 
 @_query(
@@ -290,14 +289,27 @@ def _(sessions, prices):
     return P.price_coverage(prices, sessions)
 
 
-@_query("g41_missing_sessions", "SELECT t.ticker, session_date AS date FROM (SELECT DISTINCT ticker FROM fx_prices) t CROSS JOIN fx_sessions ANTI JOIN (SELECT ticker, date FROM fx_prices WHERE close > 0) p ON p.ticker = t.ticker AND p.date = session_date", "fx_sessions", "fx_prices")
+@_query("g41_missing_sessions", "SELECT t.ticker, session_date AS date FROM (SELECT ticker, min(date) AS lo, max(date) AS hi FROM fx_prices GROUP BY 1) t JOIN fx_sessions ON session_date BETWEEN lo AND hi ANTI JOIN (SELECT ticker, date FROM fx_prices WHERE close > 0) p ON p.ticker = t.ticker AND p.date = session_date", "fx_sessions", "fx_prices")
 def _(sessions, prices):
-    return P.missing_sessions(prices, sessions, prices.select("ticker").distinct())
+    return P.missing_sessions(prices, sessions, prices.groupBy("ticker").agg(F.min("date").alias("first_date"), F.max("date").alias("last_date")))
 
 
-@_query("g42_stale_series", "SELECT ticker, max(date) AS last_date, date_diff('day', max(date), DATE '2002-07-05') AS age FROM fx_prices WHERE close > 0 AND ticker < 'TP' GROUP BY ticker HAVING date_diff('day', max(date), DATE '2002-07-05') > 7", "fx_prices")
+@_query("g42_stale_series", "SELECT ticker, max(date) AS last_date, date_diff('day', max(date), DATE '2002-07-05') AS age FROM fx_prices WHERE close > 0 GROUP BY ticker HAVING date_diff('day', max(date), DATE '2002-07-05') > 7", "fx_prices")
 def _(prices):
-    return P.stale_series(prices.where("close > 0 AND ticker < 'TP'"), _day("2002-07-05"), 7)
+    return P.stale_series(prices.where("close > 0"), _day("2002-07-05"), 7)
+
+
+@_query(
+    "w18_exchange_sessions",
+    """WITH o AS (SELECT DISTINCT o_orderdate::DATE AS d FROM orders), c AS (SELECT d, month(d) AS m, day(d) AS n, dayofweek(d) AS w FROM o)
+SELECT d AS order_date, w IN (0, 6) OR (m = 1 AND (n = 1 AND w BETWEEN 1 AND 5 OR n = 2 AND w = 1 OR w = 1 AND n BETWEEN 15 AND 21)) OR (m = 2 AND w = 1 AND n BETWEEN 15 AND 21) OR (m = 5 AND w = 1 AND n >= 25)
+ OR (m = 7 AND (n = 4 AND w BETWEEN 1 AND 5 OR n = 3 AND w = 5 OR n = 5 AND w = 1)) OR (m = 9 AND w = 1 AND n <= 7) OR (m = 11 AND w = 4 AND n BETWEEN 22 AND 28) OR (m = 12 AND (n = 25 AND w BETWEEN 1 AND 5 OR n = 24 AND w = 5 OR n = 26 AND w = 1))
+ OR d IN ('1995-04-14', '1996-04-05', '1997-03-28', '1998-04-10', '1999-04-02', '2000-04-21', '2001-04-13', '2002-03-29') AS closed FROM c""",
+    "orders",
+)
+def _(orders):
+    d = F.col("o_orderdate").cast("date")
+    return orders.select(d.alias("order_date")).distinct().withColumn("closed", P.exchange_closed(F.col("order_date")))
 
 
 @_query(

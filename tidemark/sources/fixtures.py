@@ -12,6 +12,11 @@ def _pick(key: str, values: list[str | None]) -> str:
     return f"CASE {key} % {len(values)} {cases} END"
 
 
+_SECURITY = """concat('T', substr('ABCDEFGHIJKLMNOPQRSTUVWXY', cast(p_partkey % 25 as int) + 1, 1), substr('XY', cast(p_partkey % 2 as int) + 1, 1), CASE WHEN p_partkey < 50 THEN '' ELSE cast(cast(floor(p_partkey / 50) as int) as string) END)"""
+_LISTED = "CASE WHEN p_partkey < 50 THEN 0 ELSE p_partkey * 37 % 2600 END AS lo, CASE WHEN p_partkey < 50 THEN 5000 ELSE p_partkey * 37 % 2600 + 90 END AS hi"
+_CLOSE = "CAST(20 + (p_partkey * 7) % 80 AS double) + CAST((k * (p_partkey % 13 + 3)) % 41 - 20 AS double) * CAST(0.25 AS double)"
+_BENCH = "CAST(100 AS double) + CAST(k AS double) * CAST(0.03125 AS double) + CAST((k * 5) % 17 AS double) * CAST(0.125 AS double)"
+
 VIEWS: dict[str, str] = {
     "fx_disclosures": """
 SELECT concat('D', l_orderkey) AS doc_id, concat('D', l_orderkey) AS source_record_id, concat('R', l_linenumber) AS source_row_id,
@@ -41,15 +46,18 @@ SELECT p_partkey AS row_key,
  {_pick("p_partkey", ["bought 1,250 shares @ $17.35 today", "100 shares @ $5", "no lot", "3.5 shares at $10.00", "2,000 shares @ $ 12.5"])} AS lot_text,
  {_pick("p_partkey", ["House_PDF v2", "gemini-2.0-flash OCR", "senate efd 3", "form4 xml", "13f infotable", "unknown engine"])} AS parser_text
 FROM part""",
+    # Weekdays from the first order to eleven months after the last; k counts days from a Sunday.
     "fx_sessions@spark": """
-SELECT session_date, k FROM (SELECT d AS session_date, datediff(d, DATE '1995-01-01') AS k FROM (SELECT explode(sequence(DATE '1995-01-01', DATE '2002-06-30', INTERVAL 1 DAY)) AS d)) g WHERE k % 7 NOT IN (0, 6)""",
+SELECT session_date, k FROM (SELECT d AS session_date, datediff(d, DATE '1995-01-01') AS k FROM (SELECT explode(sequence(lo, hi, INTERVAL 1 DAY)) AS d FROM (SELECT CAST(min(o_orderdate) AS date) AS lo, date_add(CAST(max(o_orderdate) AS date), 333) AS hi FROM orders))) g WHERE k % 7 NOT IN (0, 6)""",
     "fx_sessions@duckdb": """
-SELECT session_date, k FROM (SELECT d AS session_date, CAST(datediff('day', DATE '1995-01-01', d) AS int) AS k FROM (SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '2002-06-30', INTERVAL 1 DAY)) AS date) AS d)) g WHERE k % 7 NOT IN (0, 6)""",
-    "fx_prices": """
-SELECT concat('T', substr('ABCDEFGHIJKLMNOPQRSTUVWXY', cast(p_partkey % 25 as int) + 1, 1), substr('XY', cast(p_partkey % 2 as int) + 1, 1)) AS ticker, session_date AS date,
- CAST(20 + (p_partkey * 7) % 80 AS double) + CAST((k * (p_partkey % 13 + 3)) % 41 - 20 AS double) * CAST(0.25 AS double) AS close
-FROM part CROSS JOIN fx_sessions WHERE p_partkey < 50 AND (k + p_partkey) % 37 <> 0
-UNION ALL SELECT 'SPY', session_date, CAST(100 AS double) + CAST(k AS double) * CAST(0.03125 AS double) + CAST((k * 5) % 17 AS double) * CAST(0.125 AS double) FROM fx_sessions""",
+SELECT session_date, k FROM (SELECT d AS session_date, CAST(datediff('day', DATE '1995-01-01', d) AS int) AS k FROM (SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS date) AS d FROM (SELECT CAST(min(o_orderdate) AS date) AS lo, CAST(max(o_orderdate) AS date) + 333 AS hi FROM orders))) g WHERE k % 7 NOT IN (0, 6)""",
+    # Every part is a security: the first fifty are quoted all the time (disclosures name them), the others for a quarter.
+    "fx_prices@spark": f"""
+SELECT ticker, session_date AS date, {_CLOSE} AS close FROM (SELECT p_partkey, ticker, explode(sequence(lo, hi)) AS k FROM (SELECT p_partkey, {_SECURITY} AS ticker, {_LISTED} FROM part)) p JOIN fx_sessions USING (k) WHERE (k + p_partkey) % 37 <> 0
+UNION ALL SELECT 'SPY', session_date, {_BENCH} FROM fx_sessions""",
+    "fx_prices@duckdb": f"""
+SELECT ticker, session_date AS date, {_CLOSE} AS close FROM (SELECT p_partkey, {_SECURITY} AS ticker, {_LISTED} FROM part) p JOIN fx_sessions ON k BETWEEN lo AND hi WHERE (k + p_partkey) % 37 <> 0
+UNION ALL SELECT 'SPY', session_date, {_BENCH} FROM fx_sessions""",
     "fx_purchases": """
 SELECT *, CAST(order_key * 10 + line_number AS bigint) * 1000000000 + part_key * 10000 + supp_key AS tx_id FROM fx_disclosures
 WHERE transaction_type = 'Purchase' AND source IN ('house_pdf', 'gemini_ocr', 'senate_efd') AND transaction_date <= disclosure_date AND amount_midpoint >= 1001 AND asset_description LIKE '%[ST]'""",
@@ -83,18 +91,22 @@ def _text(name: str, engine: str) -> str:
 def with_views(sql: str, *names: str) -> str:
     """DuckDB text of a query over the named views."""
     order: list[str] = []
-    for n in names:
+    for n in (n for n in names if n not in TABLES):
         for x in (*_NEEDS.get(n, []), n):
             if x not in order:
                 order.append(x)
     head = ",\n".join(f"{n} AS ({_text(n, 'duckdb')})" for n in order)
     sql = sql.strip()
+    if not order:
+        return sql
     first = "WITH RECURSIVE" if sql.startswith("WITH RECURSIVE ") else "WITH"
     return f"{first} {head}" + (f",\n{sql[len(first) + 1:]}" if sql.startswith("WITH ") else f"\n{sql}")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A fixture view over the tables in ``sf_dir``; sessions of several scales do not meet."""
+    if name in TABLES:
+        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     tag = f"t{abs(hash(sf_dir)) % 10**8}"
     text = _text(name, "spark")
     for t in TABLES:
@@ -103,6 +115,6 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
     for n in _NEEDS.get(name, []):
         view(spark, sf_dir, n).createOrReplaceTempView(f"{tag}_{n}")
-    known = [*TABLES, *VIEWS, "fx_sessions"]
+    known = [*TABLES, *(v.split("@")[0] for v in VIEWS)]
     text = re.sub(r"\b(?:FROM|JOIN)\s+(\w+)", lambda m: m[0].replace(m[1], f"{tag}_{m[1]}") if m[1] in known else m[0], text)
     return spark.sql(text)
