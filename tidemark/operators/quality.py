@@ -242,6 +242,45 @@ def ticker_origin_violations(rows: DataFrame) -> DataFrame:
     return rows.withColumn("rule", F.explode(F.array_compact(F.array(rule))))  # a filter would hold the rule twice
 
 
+GROUP = ["ingestion_generation", "source", "chamber"]
+OUTCOMES = ["parsed", "no_txs", "paper_only", "unavailable", "failed"]
+# Where paper filings are published, and the form of a SHA-256.
+PAPER_URL = "(?i)^https://efdsearch\\.senate\\.gov(?::443)?(?-i)/(?:media|search/view/paper|search/view/paper-filing)/[^?#]*$"
+HEX_64 = "^[0-9a-f]{64}$"
+
+
+def report_equation_violations(reports: DataFrame, rows: DataFrame) -> DataFrame:
+    """Groups with reports of no known outcome, and reports whose counts, hashes or stored rows break a rule; one row per rule.
+
+    ``reports`` has GROUP, source_record_id, outcome, raw, accepted, rejected, artifact_sha256, landing_sha256,
+    paper_url and paper_sha256; ``rows`` has GROUP, source_record_id and artifact_sha256. A group's row has no record id.
+    """
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    hashed = lambda c: F.col(c).rlike(HEX_64)
+    raw, accepted, rejected, outcome, chamber = F.col("raw"), F.col("accepted"), F.col("rejected"), F.col("outcome"), F.lower(F.trim("chamber"))
+    bound = hashed("artifact_sha256") & hashed("landing_sha256") & (F.col("artifact_sha256") == F.col("landing_sha256"))
+    counts = F.when(outcome == "parsed", (raw == accepted) & (accepted > 0) & (rejected == 0)).when(outcome.isin("no_txs", "paper_only"), (raw == 0) & (accepted == 0) & (rejected == 0)).when(outcome.isin("unavailable", "failed"), raw == accepted + rejected).otherwise(raw.isNotNull() & accepted.isNotNull() & rejected.isNotNull())
+    stored = rows.groupBy(*GROUP[:2], F.lower("chamber").alias("low"), "source_record_id", F.col("artifact_sha256").alias("sha")).agg(F.count(F.lit(1)).alias("live"))
+    r = reports.alias("r").join(stored.alias("s"), (F.col("r.ingestion_generation") == F.col("s.ingestion_generation")) & (F.col("r.source") == F.col("s.source")) & (F.lower("r.chamber") == F.col("s.low")) & (F.col("r.source_record_id") == F.col("s.source_record_id")) & F.col("r.artifact_sha256").eqNullSafe(F.col("s.sha")), "left").select("r.*", F.coalesce("s.live", F.lit(0)).alias("live"))
+    rules = {
+        "row_counts": no(counts),
+        "no_txs_provenance": (outcome == "no_txs") & no((chamber == "house") & bound),
+        "parsed_provenance": (outcome == "parsed") & no(bound),
+        "paper_fields": (outcome != "paper_only") & (F.col("paper_url").isNotNull() | F.col("paper_sha256").isNotNull()),
+        "paper_provenance": (outcome == "paper_only") & no((chamber == "senate") & bound & hashed("paper_sha256") & F.col("paper_url").rlike(PAPER_URL)),
+        "stored_rows": accepted != F.col("live"),
+    }
+    each = r.withColumn("rule", F.explode(F.array_compact(F.array(*(F.when(c, n) for n, c in rules.items()))))).select("rule", *GROUP, "source_record_id")
+    groups = reports.groupBy(*GROUP).agg(F.count_if(no(outcome.isin(*OUTCOMES))).alias("n")).where("n > 0")
+    return each.unionByName(groups.select(F.lit("group_equation").alias("rule"), *GROUP, F.lit(None).cast("string").alias("source_record_id")))
+
+
+def incomplete_groups(reports: DataFrame) -> DataFrame:
+    """Groups with failed or unavailable reports, and how many."""
+    per = reports.groupBy(*GROUP).agg(*(F.count_if(F.col("outcome") == o).alias(o) for o in ("failed", "unavailable")))
+    return per.where("failed > 0 OR unavailable > 0")
+
+
 def report_violations(reports: DataFrame) -> DataFrame:
     """Reports whose counts, hash, chamber or outcome break a rule, one row per rule.
 

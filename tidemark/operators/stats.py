@@ -75,14 +75,53 @@ def cluster_mean_stats(rows: DataFrame, group: str, cluster: str, x: str) -> Dat
     return out.select(group, "pooled_mean", "cluster_mean", "clusters", (F.col("cluster_mean") / (F.col("sd") / F.sqrt("clusters"))).alias("t"))
 
 
+# Cumulated Poisson probabilities of 0, 1, 2, ... with mean 1.
+POISSON = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676, 0.99998975]
+
+
+def bootstrap_means(means: DataFrame, keys: list[str], cluster: str, reps: int = 200, seed: int = 1) -> DataFrame:
+    """A 95 % interval of the mean of ``m`` over clusters, per ``keys``, one row for each cluster and keys.
+
+    How often a repetition draws a cluster is Poisson with mean 1, by a hash of seed, repetition and cluster. So no
+    cluster needs a place in an order, and repetitions are sums that combine before the shuffle.
+    """
+    text = F.md5(F.concat_ws("|", F.lit(seed), F.col("rep"), F.col(cluster).cast("string")).cast("binary"))
+    u = F.conv(F.substring(text, 1, 8), 16, 10).cast("double") / 2.0**32
+    times = sum((F.when(u >= p, 1).otherwise(0) for p in POISSON), F.lit(0))
+    draws = means.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("times", times)
+    per = draws.groupBy(*keys, "rep").agg((F.sum(F.col("times") * F.col("m")) / F.nullif(F.sum("times"), F.lit(0))).alias("m"))
+    return per.groupBy(*keys).agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"), F.count("m").alias("reps"))
+
+
 def cluster_bootstrap(rows: DataFrame, cluster: str, x: str, reps: int = 200, seed: int = 1) -> DataFrame:
-    """A 95 % interval of the mean of cluster means; draws come from a hash of seed, repetition and draw."""
-    means = rows.where(F.col(x).isNotNull()).groupBy(cluster).agg(F.avg(x).alias("m"))
-    n = means.agg(F.count(F.lit(1)).alias("n"))
-    placed = means.withColumn("i", F.row_number().over(Window.orderBy(cluster)) - 1)
-    draws = rows.sparkSession.range(reps).crossJoin(F.broadcast(n)).where("n > 0").withColumn("d", F.explode(F.expr("sequence(1L, n)"))).select("id", F.pmod(F.xxhash64(F.lit(seed), "id", "d"), F.col("n")).alias("i"))
-    per = draws.join(placed, "i").groupBy("id").agg(F.avg("m").alias("m"))
-    return per.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"), F.count(F.lit(1)).alias("reps"))
+    """A 95 % interval of the mean of cluster means."""
+    return bootstrap_means(rows.where(F.col(x).isNotNull()).groupBy(cluster).agg(F.avg(x).alias("m")), [], cluster, reps, seed)
+
+
+def cohort_summary(panel: DataFrame, reps: int = 200, seed: int = 1) -> DataFrame:
+    """Means over decision dates of groups and score quintiles, ranked less each baseline on common dates, and the verdict.
+
+    ``panel`` has as_of, ranked, entry_eligible, score_quintile (Q1 to Q5) and excess. A row can be in several groups;
+    rows without excess are in none. The verdict stands on the primary row, the top quintile against zero: PASS where
+    mean and lower bound are above zero, NOT VALIDATABLE below two dates.
+    """
+    ranked = F.coalesce("ranked", F.lit(False))
+    groups = F.array_compact(F.array(F.when(ranked, "ranked"), F.when(~ranked & F.col("entry_eligible"), "eligible_not_ranked"), F.when(~F.col("entry_eligible"), "ineligible"), F.col("score_quintile")))
+    means = panel.where("excess IS NOT NULL").select("as_of", "excess", F.explode(groups).alias("group_a")).groupBy("group_a", "as_of").agg(F.avg("excess").alias("m"), F.sum("excess").alias("s"), F.count(F.lit(1)).alias("n"))
+    of = lambda g: F.max(F.when(F.col("group_a") == g, F.struct("m", "s", "n")))
+    dates = means.groupBy("as_of").agg(of("ranked").alias("r"), of("eligible_not_ranked").alias("e"), of("ineligible").alias("i"))
+    sides = F.explode(F.array(F.struct(F.lit("eligible_not_ranked").alias("group_b"), F.col("e").alias("b")), F.struct(F.lit("ineligible").alias("group_b"), F.col("i").alias("b"))))
+    apart = dates.select("as_of", "r", sides.alias("x")).select(F.lit("ranked_minus_baseline").alias("metric"), F.lit("ranked").alias("group_a"), "x.group_b", "as_of", (F.col("r.m") - F.col("x.b.m")).alias("m"), F.col("r.s").alias("s"), F.col("r.n").alias("n"), F.col("x.b.s").alias("s2"), F.col("x.b.n").alias("n2"))
+    quintile = F.col("group_a").rlike("^Q[1-5]$")
+    primary = F.when(F.col("group_a") == "Q5", F.array(F.lit("score_quintile_mean"), F.lit("primary_top_quintile_vs_zero"))).when(quintile, F.array(F.lit("score_quintile_mean"))).otherwise(F.array(F.lit("group_mean")))
+    alone = means.withColumn("metric", F.explode(primary)).withColumn("group_b", F.when(F.col("metric").startswith("primary"), "zero").otherwise(""))
+    both, keys = alone.unionByName(apart, allowMissingColumns=True), ["metric", "group_a", "group_b"]
+    stats = both.groupBy(*keys).agg(F.sum("n").alias("n_ticker_dates"), F.count("m").alias("clusters"), (F.sum("s") / F.sum("n") - F.coalesce(F.sum("s2") / F.sum("n2"), F.lit(0.0))).alias("mean_pooled"), F.avg("m").alias("mean_cluster"), F.stddev_samp("m").alias("sd"))
+    mean, se = F.col("mean_cluster"), F.col("sd") / F.sqrt("clusters")
+    t = F.when(se > 0, mean / se).when(se.isNotNull() & (mean == 0), 0.0).when(se.isNotNull(), F.signum(mean) * float("inf"))
+    out = stats.join(bootstrap_means(both.where("m IS NOT NULL"), keys, "as_of", reps, seed), keys, "left")
+    verdict = F.when(F.col("clusters") < 2, "NOT VALIDATABLE").when((mean > 0) & (F.col("low") > 0), "PASS").otherwise("NOT VALIDATED")
+    return out.select(*keys, "n_ticker_dates", "clusters", "mean_pooled", "mean_cluster", t.alias("t"), "low", "high", F.when(F.col("metric").startswith("primary"), verdict).alias("verdict"))
 
 
 def within_actor_demean(rows: DataFrame, actor: str, cohort: str, x: str) -> DataFrame:

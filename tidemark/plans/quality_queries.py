@@ -301,3 +301,42 @@ def _(d):
 @_query("g43_freshness_report", f"WITH n AS (SELECT 'prices' AS input, max(date) AS newest, 3 AS lim FROM fx_prices WHERE date <= DATE '2001-08-20' UNION ALL SELECT 'filings:' || source, max(disclosure_date), 10 FROM {D} WHERE disclosure_date <= DATE '2001-08-20' GROUP BY source) SELECT input, newest, CASE WHEN newest IS NULL THEN 'unknown' WHEN date_diff('day', newest, DATE '2001-08-20') <= lim THEN 'pass' ELSE 'fail' END AS state FROM n", D, "fx_prices")
 def _(d, p):
     return Q.freshness_report(p, d, _day("2001-08-20"), {"prices": 3, "filings": 10})
+
+
+_STATED = f"""stated AS (SELECT doc_id AS source_record_id, source, chamber, ingestion_generation, o, n, CASE WHEN o % 19 = 0 THEN 'lost' WHEN o % 13 = 0 THEN 'failed' WHEN o % 11 = 0 THEN 'unavailable' WHEN o % 7 = 0 THEN 'paper_only' WHEN o % 5 = 0 THEN 'no_txs' ELSE 'parsed' END AS outcome FROM (SELECT doc_id, source, chamber, ingestion_generation, max(order_key) AS o, count(*) AS n FROM {D} GROUP BY ALL)),
+reps AS (SELECT *, CASE WHEN o % 17 <> 0 THEN CASE WHEN outcome IN ('no_txs', 'paper_only') AND o % 2 = 0 THEN 0 ELSE n END END AS raw, CASE WHEN outcome IN ('no_txs', 'paper_only') AND o % 2 = 0 THEN 0 WHEN outcome = 'failed' THEN 0 ELSE n + CASE WHEN o % 23 = 0 THEN 1 ELSE 0 END END AS accepted, CASE WHEN outcome = 'failed' THEN n ELSE 0 END AS rejected,
+ CASE WHEN o % 3 = 0 THEN NULL ELSE sha256(source_record_id) END AS artifact_sha256, CASE WHEN o % 29 = 0 THEN upper(sha256(source_record_id)) ELSE sha256(source_record_id) END AS landing_sha256,
+ CASE WHEN outcome = 'paper_only' OR o % 31 = 0 THEN CASE o % 4 WHEN 0 THEN 'https://efdsearch.senate.gov/media/' || o WHEN 1 THEN 'http://efdsearch.senate.gov/media/' || o WHEN 2 THEN 'https://efdsearch.senate.gov:443/search/view/paper/' || o ELSE 'https://efdsearch.senate.gov/media/' || o || '?x=1' END END AS paper_url, CASE WHEN outcome = 'paper_only' THEN sha256(source_record_id || 'p') END AS paper_sha256 FROM stated)"""
+
+
+def _stated(d: DataFrame) -> DataFrame:
+    g = d.groupBy(F.col("doc_id").alias("source_record_id"), "source", "chamber", "ingestion_generation").agg(F.max("order_key").alias("o"), F.count(F.lit(1)).alias("n"))
+    g = g.withColumn("outcome", F.expr("CASE WHEN o % 19 = 0 THEN 'lost' WHEN o % 13 = 0 THEN 'failed' WHEN o % 11 = 0 THEN 'unavailable' WHEN o % 7 = 0 THEN 'paper_only' WHEN o % 5 = 0 THEN 'no_txs' ELSE 'parsed' END"))
+    empty = "outcome IN ('no_txs', 'paper_only') AND o % 2 = 0"
+    return g.selectExpr(
+        "source_record_id", "source", "chamber", "ingestion_generation", "outcome", f"CASE WHEN o % 17 <> 0 THEN CASE WHEN {empty} THEN 0 ELSE n END END AS raw", f"CASE WHEN {empty} THEN 0 WHEN outcome = 'failed' THEN 0 ELSE n + CASE WHEN o % 23 = 0 THEN 1 ELSE 0 END END AS accepted", "CASE WHEN outcome = 'failed' THEN n ELSE 0 END AS rejected",
+        "CASE WHEN o % 3 = 0 THEN NULL ELSE sha2(source_record_id, 256) END AS artifact_sha256", "CASE WHEN o % 29 = 0 THEN upper(sha2(source_record_id, 256)) ELSE sha2(source_record_id, 256) END AS landing_sha256",
+        "CASE WHEN outcome = 'paper_only' OR o % 31 = 0 THEN CASE o % 4 WHEN 0 THEN concat('https://efdsearch.senate.gov/media/', o) WHEN 1 THEN concat('http://efdsearch.senate.gov/media/', o) WHEN 2 THEN concat('https://efdsearch.senate.gov:443/search/view/paper/', o) ELSE concat('https://efdsearch.senate.gov/media/', o, '?x=1') END END AS paper_url",
+        "CASE WHEN outcome = 'paper_only' THEN sha2(concat(source_record_id, 'p'), 256) END AS paper_sha256",
+    )
+
+
+_G = "ingestion_generation, source, chamber, source_record_id"
+_BOUND = "coalesce(regexp_full_match(artifact_sha256, '[0-9a-f]{64}') AND artifact_sha256 = landing_sha256, false)"
+
+
+@_query(
+    "g35_report_equation_violations",
+    f"""WITH {_STATED} SELECT 'row_counts' AS rule, {_G} FROM reps WHERE raw IS NULL OR (outcome = 'parsed' AND NOT (raw = accepted AND accepted > 0 AND rejected = 0)) OR (outcome IN ('no_txs', 'paper_only') AND NOT (raw = 0 AND accepted = 0 AND rejected = 0)) OR (outcome IN ('unavailable', 'failed') AND raw <> accepted + rejected)
+UNION ALL SELECT 'no_txs_provenance', {_G} FROM reps WHERE outcome = 'no_txs' AND NOT (chamber = 'house' AND {_BOUND}) UNION ALL SELECT 'parsed_provenance', {_G} FROM reps WHERE outcome = 'parsed' AND NOT {_BOUND} UNION ALL SELECT 'paper_fields', {_G} FROM reps WHERE outcome <> 'paper_only' AND paper_url IS NOT NULL
+UNION ALL SELECT 'paper_provenance', {_G} FROM reps WHERE outcome = 'paper_only' AND NOT (chamber = 'senate' AND {_BOUND} AND paper_url LIKE 'https://%' AND NOT contains(paper_url, '?')) UNION ALL SELECT 'stored_rows', {_G} FROM reps WHERE accepted <> n UNION ALL SELECT DISTINCT 'group_equation', ingestion_generation, source, chamber, NULL FROM reps WHERE outcome = 'lost'""",
+    D,
+)
+def _(d):
+    rows = d.select("ingestion_generation", "source", "chamber", F.col("doc_id").alias("source_record_id"), F.when(F.col("order_key") % 3 != 0, F.sha2("doc_id", 256)).alias("artifact_sha256"))
+    return Q.report_equation_violations(_stated(d), rows)
+
+
+@_query("g35_incomplete_groups", f"WITH {_STATED} SELECT ingestion_generation, source, chamber, count(*) FILTER (WHERE outcome = 'failed') AS failed, count(*) FILTER (WHERE outcome = 'unavailable') AS unavailable FROM reps GROUP BY 1, 2, 3 HAVING failed > 0 OR unavailable > 0", D)
+def _(d):
+    return Q.incomplete_groups(_stated(d))

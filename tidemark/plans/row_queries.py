@@ -243,9 +243,35 @@ def _(o):
     return c.select("treated", F.round("pooled_mean", 8).alias("pooled_mean"), F.round("cluster_mean", 8).alias("cluster_mean"), "clusters", F.round("t", 6).alias("t"))
 
 
-@_query("g25_cluster_bootstrap", None, O)
+_TIMES = "(" + " + ".join(f"(u >= {p:.8f}::DOUBLE)::INT" for p in T.POISSON) + ")"
+_DRAW = "('0x' || left(md5('1|' || rep || '|' || as_of), 8))::BIGINT / 4294967296.0::DOUBLE AS u"
+
+
+@_query("g25_cluster_bootstrap", f"""WITH c AS (SELECT as_of, avg(alpha) AS m FROM {O} GROUP BY 1), d AS (SELECT m, rep, {_DRAW} FROM c CROSS JOIN (SELECT unnest(range(1, 201)) AS rep)), p AS (SELECT rep, sum({_TIMES} * m) / sum({_TIMES}) AS m FROM d GROUP BY 1)
+SELECT round(quantile_cont(m, 0.025), 8) AS low, round(quantile_cont(m, 0.975), 8) AS high, count(*) AS reps FROM p""", O)
+def _(o):
+    return T.cluster_bootstrap(o, "as_of", "alpha").select(F.round("low", 8).alias("low"), F.round("high", 8).alias("high"), "reps")
+
+
+@_query(
+    "g26_cohort_summary",
+    f"""WITH o AS (SELECT as_of, score >= 15 AS ranked, CASE WHEN tx_id % 29 <> 0 THEN tx_id % 4 <> 0 END AS eligible, CASE WHEN tx_id % 31 <> 0 THEN 'Q' || (floor(score / 5) + 1)::INT END AS q, CASE WHEN tx_id % 17 <> 0 THEN alpha END AS excess FROM {O}),
+g AS (SELECT as_of, excess, 'group_mean' AS metric, 'ranked' AS group_a, '' AS group_b FROM o WHERE ranked UNION ALL SELECT as_of, excess, 'group_mean', 'eligible_not_ranked', '' FROM o WHERE NOT ranked AND eligible UNION ALL SELECT as_of, excess, 'group_mean', 'ineligible', '' FROM o WHERE NOT eligible
+ UNION ALL SELECT as_of, excess, 'score_quintile_mean', q, '' FROM o WHERE q IS NOT NULL UNION ALL SELECT as_of, excess, 'primary_top_quintile_vs_zero', q, 'zero' FROM o WHERE q = 'Q5'),
+c AS (SELECT metric, group_a, group_b, as_of, avg(excess) AS m, sum(excess) AS s, count(*) AS n, NULL::DOUBLE AS s2, NULL::BIGINT AS n2 FROM g WHERE excess IS NOT NULL GROUP BY ALL),
+x AS (SELECT * FROM c UNION ALL SELECT 'ranked_minus_baseline', 'ranked', b.group_a, as_of, a.m - b.m, a.s, a.n, b.s, b.n FROM (SELECT * FROM c WHERE group_a = 'ranked') a FULL JOIN (SELECT * FROM c WHERE group_a IN ('eligible_not_ranked', 'ineligible')) b USING (as_of) WHERE b.group_a IS NOT NULL
+ UNION ALL SELECT 'ranked_minus_baseline', 'ranked', k.name, a.as_of, NULL, a.s, a.n, NULL, NULL FROM c a CROSS JOIN (SELECT unnest(['eligible_not_ranked', 'ineligible']) AS name) k WHERE a.group_a = 'ranked' AND NOT EXISTS (SELECT 1 FROM c b WHERE b.group_a = k.name AND b.as_of = a.as_of)),
+st AS (SELECT metric, group_a, group_b, sum(n)::BIGINT AS n_ticker_dates, count(m) AS clusters, sum(s) / sum(n) - coalesce(sum(s2) / sum(n2), 0) AS mean_pooled, avg(m) AS mean_cluster, avg(m) / (stddev_samp(m) / sqrt(count(m))) AS t FROM x GROUP BY 1, 2, 3),
+d AS (SELECT metric, group_a, group_b, m, rep, {_DRAW} FROM x CROSS JOIN (SELECT unnest(range(1, 201)) AS rep) WHERE m IS NOT NULL), p AS (SELECT metric, group_a, group_b, rep, sum({_TIMES} * m) / sum({_TIMES}) AS m FROM d GROUP BY 1, 2, 3, 4),
+ci AS (SELECT metric, group_a, group_b, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM p GROUP BY 1, 2, 3)
+SELECT metric, group_a, group_b, n_ticker_dates, clusters, round(mean_pooled, 7) AS mean_pooled, round(mean_cluster, 7) AS mean_cluster, round(t, 5) AS t, round(low, 7) AS low, round(high, 7) AS high, CASE WHEN metric LIKE 'primary%' THEN CASE WHEN clusters < 2 THEN 'NOT VALIDATABLE' WHEN mean_cluster > 0 AND low > 0 THEN 'PASS' ELSE 'NOT VALIDATED' END END AS verdict FROM st LEFT JOIN ci USING (metric, group_a, group_b)""",
+    O,
+)
 def _(o):
-    return T.cluster_bootstrap(o, "as_of", "alpha")
+    kept = lambda n, c: F.when(F.col("tx_id") % n != 0, c)
+    panel = o.select("as_of", (F.col("score") >= 15).alias("ranked"), kept(29, F.col("tx_id") % 4 != 0).alias("entry_eligible"), kept(31, F.concat(F.lit("Q"), (F.floor(F.col("score") / 5) + 1).cast("string"))).alias("score_quintile"), kept(17, F.col("alpha")).alias("excess"))
+    s = T.cohort_summary(panel)
+    return s.withColumns({**{c: F.round(c, 7) for c in ("mean_pooled", "mean_cluster", "low", "high")}, "t": F.round("t", 5)})
 
 
 @_query("g30_within_actor_demean", f"SELECT tx_id, round(alpha - am, 8) AS within, round(avg(am) OVER (PARTITION BY as_of), 8) AS cohort_mean FROM (SELECT *, avg(alpha) OVER (PARTITION BY member) AS am FROM {O})", O)
