@@ -53,12 +53,13 @@ _add(
     "n04_amount_midpoint", "fx_text", ["row_key"], lambda: {"midpoint": S.amount_midpoint(_C("amount_text"), _C("row_key").cast("double"))},
     f"CASE WHEN trim(coalesce(amount_text, '')) LIKE '%-' THEN NULL WHEN len({_V}) >= 2 THEN ({_V}[1] + {_V}[2]) / 2 WHEN len({_V}) = 1 AND floor({_V}[1])::BIGINT % 1000 = 1 THEN NULL ELSE row_key::DOUBLE END AS midpoint",
 )
+_TOKENS = r"regexp_extract_all(coalesce(amount_text, ''), '\$([0-9.,]+)', 1)"
+_MONEY = f"list_transform({_TOKENS}, lambda x: replace(x, ',', '')::DOUBLE)"
+_KIND = rf"""CASE WHEN len({_TOKENS}) = 0 OR len(list_filter({_TOKENS}, lambda x: NOT regexp_full_match(x, '([0-9]{{1,3}}(,[0-9]{{3}})+|[0-9]+)(\.[0-9]{{2}})?'))) > 0 THEN 'unknown' WHEN amount_text ILIKE 'over %' OR amount_text LIKE '%-' THEN 'open' WHEN len({_TOKENS}) > 1 THEN 'range' ELSE 'exact' END"""
 _add(
     "n05_parse_amount", "fx_text", ["row_key"], lambda: {f"amount_{f}": S.parse_amount(_C("amount_text"))[f] for f in ("kind", "lower", "upper", "midpoint")},
-    """CASE amount_text WHEN '$1,001 - $15,000' THEN 'range' WHEN '$15,001 - $50,000' THEN 'range' WHEN '$1,000,001 - $5,000,000' THEN 'range' WHEN '$1,001 -' THEN 'open' WHEN 'Over $50,000,000' THEN 'open' WHEN '$50,001' THEN 'exact' WHEN '$12,345.67' THEN 'exact' ELSE 'unknown' END AS amount_kind,
- CASE amount_text WHEN '$1,001 - $15,000' THEN 1001.0::DOUBLE WHEN '$15,001 - $50,000' THEN 15001.0 WHEN '$1,000,001 - $5,000,000' THEN 1000001.0 WHEN '$1,001 -' THEN 1001.0 WHEN 'Over $50,000,000' THEN 50000000.0 WHEN '$50,001' THEN 50001.0 WHEN '$12,345.67' THEN 12345.67 END AS amount_lower,
- CASE amount_text WHEN '$1,001 - $15,000' THEN 15000.0::DOUBLE WHEN '$15,001 - $50,000' THEN 50000.0 WHEN '$1,000,001 - $5,000,000' THEN 5000000.0 WHEN '$50,001' THEN 50001.0 WHEN '$12,345.67' THEN 12345.67 END AS amount_upper,
- CASE amount_text WHEN '$1,001 - $15,000' THEN 8000.5::DOUBLE WHEN '$15,001 - $50,000' THEN 32500.5 WHEN '$1,000,001 - $5,000,000' THEN 3000000.5 WHEN '$50,001' THEN 50001.0 WHEN '$12,345.67' THEN 12345.67 END AS amount_midpoint""",
+    f"""{_KIND} AS amount_kind, CASE WHEN {_KIND} <> 'unknown' THEN {_MONEY}[1] END AS amount_lower, CASE {_KIND} WHEN 'range' THEN {_MONEY}[2] WHEN 'exact' THEN {_MONEY}[1] END AS amount_upper,
+ CASE {_KIND} WHEN 'range' THEN ({_MONEY}[1] + {_MONEY}[2]) / 2 WHEN 'exact' THEN {_MONEY}[1] END AS amount_midpoint""",
 )
 _add(
     "n06_parse_disclosure_date", "fx_text", ["row_key"], lambda: {"parsed": S.parse_disclosure_date(_C("date_text"))},
@@ -91,7 +92,7 @@ _add(
 )
 _add(
     "n15_filed_lot", "fx_text", ["row_key"], lambda: {f"lot_{f}": S.filed_lot(_C("lot_text"))[f] for f in ("shares", "price")},
-    "CASE WHEN lot_text LIKE 'bought%' THEN 1250.0::DOUBLE WHEN lot_text LIKE '100 sh%' THEN 100.0 WHEN lot_text LIKE '3.5%' THEN 3.5 WHEN lot_text LIKE '2,000%' THEN 2000.0 END AS lot_shares, CASE WHEN lot_text LIKE 'bought%' THEN 17.35::DOUBLE WHEN lot_text LIKE '100 sh%' THEN 5.0 WHEN lot_text LIKE '3.5%' THEN 10.0 WHEN lot_text LIKE '2,000%' THEN 12.5 END AS lot_price",
+    r"replace(nullif(regexp_extract(lower(lot_text), '([0-9][0-9.,]*) shares? ', 1), ''), ',', '')::DOUBLE AS lot_shares, replace(nullif(regexp_extract(lower(lot_text), 'shares? (?:@|at) \$ ?([0-9.,]+)', 1), ''), ',', '')::DOUBLE AS lot_price",
 )
 _add(
     "n16_row_identity_key", "fx_disclosures", ["doc_id", "source_row_id"],

@@ -12,6 +12,9 @@ def _pick(key: str, values: list[str | None]) -> str:
     return f"CASE {key} % {len(values)} {cases} END"
 
 
+_LOW = "p_partkey % 9 + 1, ',', lpad(cast(p_partkey * 37 % 1000 as string), 3, '0')"
+_HIGH = "p_partkey % 80 + 11, ',', lpad(cast(p_partkey * 53 % 1000 as string), 3, '0')"
+_CENTS = "lpad(cast(p_partkey % 100 as string), 2, '0')"
 _SECURITY = """concat('T', substr('ABCDEFGHIJKLMNOPQRSTUVWXY', cast(p_partkey % 25 as int) + 1, 1), substr('XY', cast(p_partkey % 2 as int) + 1, 1), CASE WHEN p_partkey < 50 THEN '' ELSE cast(cast(floor(p_partkey / 50) as int) as string) END)"""
 _LISTED = "CASE WHEN p_partkey < 50 THEN 0 ELSE p_partkey * 37 % 2600 END AS lo, CASE WHEN p_partkey < 50 THEN 5000 ELSE p_partkey * 37 % 2600 + 90 END AS hi"
 _CLOSE = "CAST(20 + (p_partkey * 7) % 80 AS double) + CAST((k * (p_partkey % 13 + 3)) % 41 - 20 AS double) * CAST(0.25 AS double)"
@@ -36,14 +39,15 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_
 SELECT p_partkey AS row_key,
  {_pick("p_partkey", ["P", "S (partial)", "Sale (Full)", "Purchase", "E", "buy and sell", "Exchange", "sold", "x", "purchase (partial)", None])} AS type_text,
  {_pick("p_partkey", ["Self", "SPOUSE", "Joint account", "Dependent child", "JT", "", None, "other", " dc "])} AS owner_text,
- {_pick("p_partkey", ["$1,001 - $15,000", "$15,001 - $50,000", "$1,001 -", "$50,001", "$12,345.67", "Over $50,000,000", "none", "$1,000,001 - $5,000,000", "", None, "$12,34"])} AS amount_text,
+ CASE p_partkey % 11 WHEN 0 THEN concat('$', {_LOW}, ' - $', {_HIGH}) WHEN 1 THEN concat('$', p_partkey % 9 + 1, ',001 - $', {_HIGH}) WHEN 2 THEN concat('$', {_LOW}, ' -') WHEN 3 THEN concat('$', p_partkey % 90 + 10, ',001') WHEN 4 THEN concat('$', {_HIGH}, '.', {_CENTS})
+  WHEN 5 THEN concat('Over $', {_HIGH}, ',000') WHEN 6 THEN 'none' WHEN 7 THEN concat('$', {_LOW}, ',001 - $', {_HIGH}, ',000') WHEN 8 THEN '' WHEN 10 THEN concat('$', p_partkey % 90 + 10, ',', {_CENTS}) END AS amount_text,
  CASE p_partkey % 6 WHEN 0 THEN concat(p_partkey % 12 + 1, '/', p_partkey % 28 + 1, '/2024') WHEN 1 THEN concat(p_partkey % 12 + 1, '/', p_partkey % 31 + 1, '/', p_partkey % 90 + 10)
   WHEN 2 THEN concat('filed 2023-0', p_partkey % 9 + 1, '-1', p_partkey % 10) WHEN 3 THEN '13/45/2024' WHEN 4 THEN 'n/a' END AS date_text,
  concat(p_name, {_pick("p_partkey", [" [ST]", " [OP] call option strike price $150.00 exp 01/19/2024", " (AAPL) [ST]", " Treasury Bills", " mutual fund", " corporate bond", " $MSFT shares", " stock put strike $20.50 exp 1/5/24", " TSLA: common", " [CT]", " [GS]", " simple agreement for future equity", " Inc. Common Stock", " Corp. Class A"])}) AS asset_text,
  {_pick("p_partkey", ["Hon. Renée Zellweger", "Dr. John Smith Jr.", "MICHAEL T. MCCAUL", "Neal Patrick Dunn MD, FACS", "J. D. Vance", "N/A", "", "José E. Serrano", "Lee Ann Ph.D.", "Unknown", "J.D. Vance", "  mike   McCaul "])} AS name_text,
  {_pick("p_partkey", [" aapl ", "BRK.B", "NaN", "none", "TOOLONG", "goog", "FUND", "b-c", "", "12AB", None])} AS ticker_text,
  {_pick("p_partkey", ["037833100", "037833101", "594918104", "38259P508", "1234", "88160R101", "G1151C101", "00000000X"])} AS cusip_text,
- {_pick("p_partkey", ["bought 1,250 shares @ $17.35 today", "100 shares @ $5", "no lot", "3.5 shares at $10.00", "2,000 shares @ $ 12.5"])} AS lot_text,
+ CASE p_partkey % 5 WHEN 0 THEN concat('bought ', {_LOW}, ' shares @ $', p_partkey % 50 + 1, '.', {_CENTS}, ' today') WHEN 1 THEN concat(p_partkey % 900 + 1, ' shares @ $', p_partkey % 7 + 1) WHEN 2 THEN 'no lot' WHEN 3 THEN concat(p_partkey % 30, '.5 Shares at $', {_HIGH}, '.', {_CENTS}) ELSE concat({_HIGH}, ' share @ $ ', p_partkey % 90 + 1, '.5') END AS lot_text,
  {_pick("p_partkey", ["House_PDF v2", "gemini-2.0-flash OCR", "senate efd 3", "form4 xml", "13f infotable", "unknown engine"])} AS parser_text
 FROM part""",
     # Weekdays from the first order to eleven months after the last; k counts days from a Sunday.
