@@ -66,14 +66,16 @@ _add(
     r"""coalesce(try_strptime(nullif(regexp_extract(date_text, '[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}'), ''), '%m/%d/%Y')::DATE, try_strptime(nullif(regexp_extract(date_text, '[0-9]{4}-[0-9]{2}-[0-9]{2}'), ''), '%Y-%m-%d')::DATE,
  CASE WHEN NOT regexp_matches(date_text, '/[0-9]{4}') AND regexp_matches(date_text, '^[0-9]+/[0-9]+/[0-9]{2}') THEN try_strptime(regexp_replace(date_text, '/([0-9]{2})$', '/' || CASE WHEN right(date_text, 2)::INT >= 50 THEN '19' ELSE '20' END || '\1'), '%m/%d/%Y')::DATE END) AS parsed""".replace("right(date_text, 2)::INT", "try_cast(right(date_text, 2) AS INT)"),
 )
-_add("n07_extract_ticker", "fx_text", ["row_key"], lambda: {"symbol": S.extract_ticker(_C("asset_text"))}, "CASE WHEN contains(asset_text, '(AAPL)') THEN 'AAPL' WHEN contains(asset_text, '$MSFT') THEN 'MSFT' WHEN contains(asset_text, ' TSLA:') THEN 'TSLA' END AS symbol")
+_SYMBOLS = ", ".join(f"CASE WHEN regexp_extract(asset_text, '{p}', 1) NOT IN ('', 'SP') THEN regexp_extract(asset_text, '{p}', 1) END" for p in (r"\(([A-Z]{1,5})\)", r"\$([A-Z]{1,5})\b", r"\b([A-Z]{1,5}):"))
+_add("n07_extract_ticker", "fx_text", ["row_key"], lambda: {"symbol": S.extract_ticker(_C("asset_text"))}, f"coalesce({_SYMBOLS}) AS symbol")
 _add(
     "n08_normalize_company_name", "fx_text", ["row_key"], lambda: {"company": S.normalize_company_name(_C("asset_text"))},
     r"trim(regexp_replace(trim(regexp_replace(upper(asset_text), '[^A-Z0-9]+', ' ', 'g')), '(\s+(INC|CORP|CORPORATION|CO|COMPANY|LTD|LLC|PLC|LP|SA|AG|NV|COMMON|STOCK|SHARES|ORDINARY|CLASS [A-C]|ADR|ST|OP|CT|GS))+$', '')) AS company",
 )
 _add(
     "n09_extract_option_terms", "fx_text", ["row_key"], lambda: {f"option_{f}": S.extract_option_terms(_C("asset_text"))[f] for f in ("strike", "expiry")},
-    "CASE WHEN contains(asset_text, 'strike price $150.00') THEN 150.0::DOUBLE WHEN contains(asset_text, 'strike $20.50') THEN 20.5 END AS option_strike, CASE WHEN contains(asset_text, 'exp 01/19/2024') THEN DATE '2024-01-19' WHEN contains(asset_text, 'exp 1/5/24') THEN DATE '2024-01-05' END AS option_expiry",
+    r"""replace(nullif(regexp_extract(asset_text, 'strike (?:price )?\$([0-9,]+\.[0-9]{2})', 1), ''), ',', '')::DOUBLE AS option_strike,
+ try_strptime(nullif(regexp_extract(asset_text, 'exp ([0-9]+/[0-9]+/)', 1) || CASE WHEN regexp_matches(asset_text, 'exp [0-9]+/[0-9]+/[0-9]{2}$') THEN '20' ELSE '' END || regexp_extract(asset_text, 'exp [0-9]+/[0-9]+/([0-9]+)', 1), ''), '%m/%d/%Y')::DATE AS option_expiry""",
 )
 _NAMES = {"Hon. Renée Zellweger": "RENEE ZELLWEGER", "Dr. John Smith Jr.": "JOHN SMITH", "MICHAEL T. MCCAUL": "MICHAEL T MCCAUL", "Neal Patrick Dunn MD, FACS": "NEAL PATRICK DUNN", "J. D. Vance": "JD VANCE", "José E. Serrano": "JOSE E SERRANO", "Lee Ann Ph.D.": "LEE ANN", "J.D. Vance": "JD VANCE", "  mike   McCaul ": "MIKE MCCAUL"}
 _key_sql = "CASE name_text " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in _NAMES.items()) + " ELSE '' END"
