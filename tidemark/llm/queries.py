@@ -14,9 +14,12 @@ from .line_dedup import line_dedup_digest
 from .mixing import mix_sources
 from .near_dedup import near_duplicate_groups
 from .neighbours import nearest_vectors
+from .phrases import collocations
 from .quality_lm import quality_by_perplexity
+from .recurrent_lm import score_documents
 from .shared import bucket_of, importable, stored
 from .toxicity import learn_toxicity, score_toxicity, training_labels
+from .vector_codes import compress_vectors
 from .warc_zip import round_trip
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -82,6 +85,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_by_perplexity(_table(spark, sf_dir, "documents"), trusted, quantile=0.99)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's first 2,000 collocations of 2 to 5 words. See ``collocations``."""
+    return collocations(_table(spark, sf_dir, "documents"), support=100, top=2000)
+
+
+def op12_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probabilities of every text under word counts and a gated recurrent model. See ``score_documents``."""
+    return score_documents(_table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes and errors of every vector. See ``compress_vectors``."""
+    return compress_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_toxicity": op2_toxicity,
@@ -93,9 +111,58 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest_vectors": op8_nearest_vectors,
     "op9_line_dedup": op9_line_dedup,
     "op10_quality": op10_quality,
+    "op11_collocations": op11_collocations,
+    "op12_recurrent_lm": op12_recurrent_lm,
+    "op13_vector_codes": op13_vector_codes,
 }
 
+
+def _codebook_rounds(rounds: int = 6) -> str:
+    """CTEs b<i> (entries) and a<i> (nearest entry of every part) of Lloyd's rounds."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (
+  SELECT rn, pos, part, min({{'d': d, 'k': k}}) AS best FROM (
+    SELECT rn, p.pos, part, k, list_sum(list_transform(list_zip(part, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM p JOIN b{i} b ON b.pos = p.pos)
+  GROUP BY ALL)""")
+        if i < rounds:
+            steps.append(f"""b{i + 1} AS MATERIALIZED (
+  SELECT b.pos, b.k, coalesce(m.c, b.c) AS c FROM b{i} b LEFT JOIN (
+    SELECT pos, k, list((s - ((s % n) + n) % n) // n ORDER BY j) AS c FROM (
+      SELECT pos, k, j, sum(x)::BIGINT AS s, count(*)::BIGINT AS n FROM (SELECT pos, best.k AS k, unnest(part) AS x, generate_subscripts(part, 1) AS j FROM a{i}) GROUP BY ALL)
+    GROUP BY ALL) m ON m.pos = b.pos AND m.k = b.k)""")
+    return ",\n".join(steps)
+
 ORACLES: dict[str, str] = {
+    "op11_collocations": r"""
+WITH p AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(str_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+s AS (SELECT lang, ws, k, unnest(generate_series(1, len(ws) - k + 1)) AS i FROM p, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(ws) >= k),
+c AS MATERIALIZED (SELECT lang, k, array_to_string(ws[i : i + k - 1], ' ') AS phrase, count(*) AS f FROM s GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM c WHERE k = 1 GROUP BY lang),
+f AS MATERIALIZED (SELECT lang, k, phrase, f, str_split(phrase, ' ') AS ws FROM c WHERE f >= 100),
+u AS (SELECT lang, phrase, f, ws, unnest(generate_series(1, k - 1)) AS j FROM f WHERE k > 1),
+v AS (
+  SELECT u.lang, u.phrase, u.f AS a, u.j, l.f AS l, r.f AS r, n.n, ((1000::HUGEINT * u.f * n.n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM u JOIN n ON n.lang = u.lang JOIN f l ON l.lang = u.lang AND l.phrase = array_to_string(u.ws[1:j], ' ') JOIN f r ON r.lang = u.lang AND r.phrase = array_to_string(u.ws[j + 1:], ' ')),
+best AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inner_size AS (SELECT lang, ws, f, k, unnest(generate_series(2, k - 1)) AS size FROM f WHERE k > 2),
+inner_at AS (SELECT lang, ws, f, size, unnest(generate_series(1, k - size + 1)) AS i FROM inner_size),
+covered AS (SELECT lang, array_to_string(ws[i : i + size - 1], ' ') AS phrase, max(f) AS longer FROM inner_at GROUP BY ALL)
+SELECT lang, row_number() OVER w AS rank, phrase, a, l, r, n, score
+FROM best LEFT JOIN covered USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a
+WINDOW w AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY row_number() OVER w <= 2000""",
+    "op13_vector_codes": rf"""
+WITH e AS MATERIALIZED (
+  SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS rn, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT rn, pos, v[pos * (len(v) // 8) + 1 : (pos + 1) * (len(v) // 8)] AS part FROM e, (SELECT unnest(range(8)) AS pos)),
+b0 AS (SELECT pos, rn - 1 AS k, part AS c FROM p WHERE rn <= 16),
+{_codebook_rounds()},
+t AS (SELECT rn, string_agg(printf('%02x', best.k), '' ORDER BY pos) AS code, sum(best.d)::BIGINT AS error FROM a6 GROUP BY rn),
+h AS (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY pos, k, j)) AS codebooks_sha256 FROM (SELECT pos, k, unnest(c) AS x, generate_subscripts(c, 1) AS j FROM b6))
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM e JOIN t USING (rn), h""",
     "op9_line_dedup": r"""
 WITH u AS (
   SELECT doc_id, pos, unit, trim(unit, chr(32) || chr(9) || chr(10) || chr(13)) AS line, len(regexp_extract_all(unit, '[^\x20\x09-\x0D]+')) AS words
