@@ -31,9 +31,11 @@ def _encode(block_words: int):
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal seq, size
-            for lang, (words, parts) in open_blocks.items():
+            while open_blocks:
+                lang, (words, parts) = open_blocks.popitem()
                 x, names = np.concatenate(parts), list(words.of)
                 n = np.bincount(x, minlength=len(names))
+                del words, parts
                 block, total = block_number(seq), len(x) - int(n[0])
                 seq += 1
                 for i in range(1, len(names), _ROWS):
@@ -41,7 +43,6 @@ def _encode(block_words: int):
                     k = len(some)
                     yield _row_batch([0] * k, [block] * k, [lang] * k, [total] * k, np.arange(i, i + k), some, n[i : i + k], [None] * k)
                 yield _row_batch([1], [block], [lang], [total], [None], [None], [None], [packed(x)])
-            open_blocks.clear()
             size = 0
 
         for batch in batches:
@@ -49,7 +50,9 @@ def _encode(block_words: int):
                 for part in slices(text.translate(_TABLE), BORDER):
                     found = part.replace(BORDER, b" \xff ").split()
                     if found:
-                        words, parts = open_blocks.setdefault(lang, (Numbering(BORDER), []))
+                        if lang not in open_blocks:
+                            open_blocks[lang] = Numbering(BORDER), []
+                        words, parts = open_blocks[lang]
                         found.append(BORDER)
                         parts.append(words.numbers(found))
                         size += len(found)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -41,8 +42,7 @@ class Numbering:
     """Words numbered by their first appearance."""
 
     def __init__(self, *first: bytes) -> None:
-        self.of: defaultdict[bytes, int] = defaultdict()
-        self.of.default_factory = self.of.__len__
+        self.of: defaultdict[bytes, int] = defaultdict(itertools.count().__next__)  # a factory that does not hold the dictionary: no cycle keeps it
         self.numbers(list(first))
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
