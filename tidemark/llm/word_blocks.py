@@ -12,7 +12,7 @@ import zstandard
 from pyspark import TaskContext
 
 #: Words of a block: its numbers are 4 bytes each, and a few arrays of that length are held at a time.
-BLOCK_WORDS = 4_000_000
+BLOCK_WORDS = 2_500_000
 #: Bytes of a text that are split into words at a time.
 SLICE_BYTES = 8_000_000
 #: Stands for a border inside a text; no UTF-8 text has this byte.

@@ -95,11 +95,12 @@ def resolve_tickers(rows: DataFrame, raw: str, on: Column) -> DataFrame:
     return out.withColumns({"symbol": mapped, "symbol_confidence": sure, "family": F.coalesce("rule_family", "__raw")}).drop("__raw", "__on", "raw", "rule", "mapped", "since", "rule_family")
 
 
-def prepare_purchases(rows: DataFrame) -> DataFrame:
-    """Eligible purchases with symbol, family and buyer; '' is a buyer that is not known."""
-    buys = valid_chronology(rows.where((F.col("transaction_type") == "Purchase") & F.col("source").isin(*CONGRESS)))
+def prepare_purchases(rows: DataFrame, sources: list[str] = CONGRESS, below_floor: bool = False) -> DataFrame:
+    """Eligible purchases with symbol, family and buyer; '' is a buyer that is not known. ``below_floor`` keeps those with a floor_reason."""
+    buys = valid_chronology(rows.where((F.col("transaction_type") == "Purchase") & F.col("source").isin(*sources)))
     buys = buys.where(eligible_equity(F.col("asset_description"), F.col("source"), F.lit(None).cast("string"), F.lit(None).cast("string")))
-    buys = buys.where(below_floor_reason(F.col("source"), F.col("transaction_type"), F.col("amount_midpoint")).isNull())
+    floor = below_floor_reason(F.col("source"), F.col("transaction_type"), F.col("amount_midpoint"))
+    buys = buys.withColumn("floor_reason", floor) if below_floor else buys.where(floor.isNull())
     t = normalize_ticker(F.col("ticker"))
     buys = resolve_tickers(buys.where(t.rlike(TICKER_FORM) & ~t.isin(*NON_EQUITY_TICKERS)), "ticker", F.col("transaction_date"))
     buys = buys.where(~F.col("symbol_status").isin("unresolved", "quarantined", "acquired", "date_required", "pre_listing"))

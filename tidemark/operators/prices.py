@@ -103,14 +103,14 @@ def explode_horizons(rows: DataFrame, horizons: Sequence[int]) -> DataFrame:
     return rows.withColumn("horizon", F.explode(F.array(*(F.lit(h) for h in horizons))))
 
 
-def price_asof(keys: DataFrame, prices: DataFrame, forward: bool = False, most_days: int | None = None) -> DataFrame:
+def price_asof(keys: DataFrame, prices: DataFrame, forward: bool = False, most_days: int | None = None, valid: bool = True) -> DataFrame:
     """Per (ticker, day) the last quote on or before the day, or the first on or after it, with its gap in days.
 
     Keys and quotes are laid in one order per ticker and year and the quote is carried along; what earlier (or later)
     years end with comes in from a table of one row per ticker and year. No range join, and no task holds more than
-    a year of a ticker. ``most_days`` turns farther quotes to null. Repeated keys are kept.
+    a year of a ticker. ``most_days`` turns farther quotes to null. Repeated keys are kept. Without ``valid`` any value that is not null is a quote.
     """
-    quotes = prices.where(valid_price(F.col("close"))).select("ticker", F.col("date").alias("at"), F.struct("date", "close").alias("q"), F.lit(0).alias("k"))
+    quotes = prices.where(valid_price(F.col("close")) if valid else F.col("close").isNotNull()).select("ticker", F.col("date").alias("at"), F.struct("date", "close").alias("q"), F.lit(0).alias("k"))
     asked = keys.select("ticker", F.col("day").alias("at"), F.lit(None).cast("struct<date:date,close:double>").alias("q"), F.lit(1).alias("k"))
     order = F.desc("at") if forward else F.asc("at")  # a quote comes before the keys of its day
     w = Window.partitionBy("ticker", "year").orderBy(order, "k").rowsBetween(Window.unboundedPreceding, 0)
@@ -199,12 +199,13 @@ def entry_prices(rows: DataFrame, prices: DataFrame, days: DataFrame) -> DataFra
 def adjusted_filed_price(rows: DataFrame, factors: DataFrame) -> DataFrame:
     """A filed price times the latest adjustment factor of the served generation on or before its day; else blocked, with the reason.
 
-    ``rows`` has ticker, day and filed; ``factors`` has ticker, date and factor.
+    ``rows`` has ticker, day and filed; ``factors`` has ticker, date and factor. The latest known factor counts: where it is not
+    valid, no older one takes its place.
     """
     known = factors.select("ticker", "date", F.col("factor").alias("close"))
-    at = price_asof(rows.select("ticker", "day").distinct(), known).select("ticker", "day", F.col("quote").alias("factor"))
+    at = price_asof(rows.select("ticker", "day").distinct(), known, valid=False).select("ticker", "day", F.col("quote").alias("factor"))
     out = rows.join(at, ["ticker", "day"], "left")
-    reason = F.when(~F.coalesce(F.col("filed") > 0, F.lit(False)), "no_filed_price").when(F.col("factor").isNull(), "no_adjustment_factor")
+    reason = F.when(~F.coalesce(F.col("filed") > 0, F.lit(False)), "no_filed_price").when(F.col("factor").isNull(), "no_adjustment_factor").when(~valid_price(F.col("factor")), "invalid_adjustment_factor")
     return out.withColumns({"adjusted": F.when(reason.isNull(), F.col("filed") * F.col("factor")), "blocked": reason})
 
 

@@ -268,13 +268,13 @@ def _(rows, prices, sessions):
 
 @_query(
     "j37_adjusted_filed_price",
-    """WITH f AS (SELECT ticker, date, max(close) / 64 AS factor FROM fx_prices WHERE extract(day FROM date) = 3 AND ticker > 'TB' GROUP BY 1, 2), r AS (SELECT tx_id, ticker, transaction_date AS day, CASE WHEN part_key % 7 <> 0 THEN quantity::DOUBLE END AS filed FROM fx_purchases),
+    """WITH f AS (SELECT ticker, date, CASE WHEN extract(month FROM date) % 4 = 0 THEN 0 ELSE max(close) / 64 END AS factor FROM fx_prices WHERE extract(day FROM date) = 3 AND ticker > 'TB' GROUP BY 1, 2), r AS (SELECT tx_id, ticker, transaction_date AS day, CASE WHEN part_key % 7 <> 0 THEN quantity::DOUBLE END AS filed FROM fx_purchases),
 j AS (SELECT r.*, f.factor FROM r ASOF LEFT JOIN f ON f.ticker = r.ticker AND r.day >= f.date)
-SELECT tx_id, CASE WHEN filed > 0 AND factor IS NOT NULL THEN filed * factor END AS adjusted, CASE WHEN filed IS NULL THEN 'no_filed_price' WHEN factor IS NULL THEN 'no_adjustment_factor' END AS blocked FROM j""",
+SELECT tx_id, CASE WHEN filed > 0 AND factor > 0 THEN filed * factor END AS adjusted, CASE WHEN filed IS NULL THEN 'no_filed_price' WHEN factor IS NULL THEN 'no_adjustment_factor' WHEN NOT factor > 0 THEN 'invalid_adjustment_factor' END AS blocked FROM j""",
     "fx_purchases", "fx_prices",
 )
 def _(rows, prices):
-    factors = prices.where("day(date) = 3 AND ticker > 'TB'").groupBy("ticker", "date").agg((F.max("close") / 64).alias("factor"))
+    factors = prices.where("day(date) = 3 AND ticker > 'TB'").groupBy("ticker", "date").agg((F.max("close") / 64).alias("factor")).withColumn("factor", F.when(F.month("date") % 4 == 0, 0.0).otherwise(F.col("factor")))
     filed = rows.select("tx_id", "ticker", F.col("transaction_date").alias("day"), F.when(F.col("part_key") % 7 != 0, F.col("quantity").cast("double")).alias("filed"))
     return P.adjusted_filed_price(filed, factors).select("tx_id", "adjusted", "blocked")
 

@@ -76,6 +76,21 @@ SELECT doc_id, source, ingestion_generation, concat('a', max(order_key) % 1000)
  CASE max(order_key) % 7 WHEN 0 THEN 'invalid' WHEN 1 THEN 'failed' ELSE 'success' END AS status, count(*) + CASE WHEN max(order_key) % 11 = 0 THEN 1 ELSE 0 END AS stated_count,
  max(order_key) % 5 <> 0 AS promoted, max(disclosure_date) + CAST(max(line_number) AS int) AS parsed_at
 FROM fx_disclosures GROUP BY doc_id, source, ingestion_generation""",
+    # Filings of all sources: symbols that rules change or bar, officers' lots, amounts below the floor, unknown members.
+    "fx_filings": """
+SELECT source_record_id, source_row_id, ingestion_generation, source, CASE WHEN part_key % 29 <> 0 THEN member END AS member,
+ CASE part_key % 41 WHEN 0 THEN 'FB' WHEN 1 THEN 'SP' WHEN 2 THEN 'CELG' WHEN 3 THEN 'BRK.B' WHEN 4 THEN NULL WHEN 5 THEN 'SPCX' ELSE ticker END AS ticker,
+ transaction_date, disclosure_date, transaction_type, raw_transaction_subtype, owner_code, CAST(CASE WHEN part_key % 23 = 0 THEN 500 WHEN part_key % 31 = 0 THEN NULL ELSE amount_midpoint END AS double) AS amount_midpoint, quantity, part_key, order_key, line_number, supp_key,
+ CASE WHEN source = 'form4' AND part_key % 3 <> 0 THEN concat('Common Stock ', CAST(part_key % 5 AS int), ',', lpad(CAST(CAST(line_number * 100 AS int) AS string), 3, '0'), ' shares @ $', CAST(part_key % 90 + 1 AS int)) ELSE asset_description END AS asset_description
+FROM fx_disclosures""",
+    "fx_reports": """
+SELECT ingestion_generation, source_record_id, CAST(count(*) * 40 AS bigint) AS accepted_row_count FROM fx_disclosures WHERE source = 'senate_efd' GROUP BY ingestion_generation, source_record_id""",
+    "fx_states": """
+SELECT ticker, 'g1' AS generation, CASE WHEN substr(ticker, 2, 1) IN ('B', 'C') THEN 'unknown' ELSE 'comparable' END AS comparability, CASE WHEN substr(ticker, 2, 1) = 'C' THEN 'generations diverge' END AS reason
+FROM (SELECT DISTINCT ticker FROM fx_prices WHERE ticker <> 'SPY' AND substr(ticker, 2, 1) <> 'A') t""",
+    "fx_factors": """
+SELECT ticker, generation, date, CASE generation WHEN 'g2' THEN CAST(9 AS double) ELSE CASE extract(day FROM date) WHEN 5 THEN CAST(0 AS double) WHEN 8 THEN NULL ELSE CAST(0.5 AS double) + CAST(extract(month FROM date) AS double) / CAST(16 AS double) END END AS factor
+FROM (SELECT DISTINCT ticker, date FROM fx_prices WHERE ticker <> 'SPY' AND extract(day FROM date) % 3 = 2) p, (SELECT 'g1' AS generation UNION ALL SELECT 'g2') g""",
     "fx_decisions": """
 SELECT DISTINCT ticker, disclosure_date AS decision_date FROM fx_purchases""",
 }
@@ -84,6 +99,10 @@ _NEEDS = {
     "fx_prices": ["fx_sessions"],
     "fx_purchases": ["fx_disclosures"],
     "fx_decisions": ["fx_disclosures", "fx_purchases"],
+    "fx_filings": ["fx_disclosures"],
+    "fx_reports": ["fx_disclosures"],
+    "fx_states": ["fx_sessions", "fx_prices"],
+    "fx_factors": ["fx_sessions", "fx_prices"],
     "fx_outcomes": ["fx_disclosures", "fx_purchases"],
     "fx_runs": ["fx_disclosures"],
 }
