@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import kelly_fraction, poisson_base_rate
+from ..functions.scalars import kelly_fraction
 
 
 def complete_baskets(rows: DataFrame, date: str = "as_of", ret: str = "ret") -> DataFrame:
@@ -106,24 +106,6 @@ def open_lots_fifo(trades: DataFrame, keys: list[str], order: list[str]) -> Data
     return run.withColumn("remaining", F.when(F.col("kind") == "buy", left)).where("remaining > 0").drop("net", "end", "low", "open", "segment", "last_segment")
 
 
-def fills_fifo(fills: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Realised profit per key: intervals of bought and sold quantity meet where they overlap.
-
-    Buckets of quantity keep the join an equality join; what is sold beyond what was bought is not matched.
-    """
-    size = 256.0
-
-    def spans(kind: str) -> DataFrame:
-        w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        part = fills.where(F.col("kind") == kind).withColumn("hi", F.sum("qty").over(w)).withColumn("lo", F.col("hi") - F.col("qty"))
-        return part.select(key, "lo", "hi", F.col("price"), F.explode(F.sequence(F.floor(F.col("lo") / size), F.floor(F.col("hi") / size))).alias("bucket"))
-
-    b, s = spans("buy"), spans("sell")
-    both = b.join(s.select(key, "bucket", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("price").alias("price2")), [key, "bucket"])
-    lo, hi = F.greatest("lo", "lo2", F.col("bucket") * size), F.least("hi", "hi2", (F.col("bucket") + 1) * size)
-    return both.where(lo < hi).groupBy(key).agg(F.sum(hi - lo).alias("matched"), F.sum((hi - lo) * (F.col("price2") - F.col("price"))).alias("realised"))
-
-
 def _near(refs: DataFrame, buys: DataFrame, most: int) -> DataFrame:
     """Pairs of a reference day and a buy of its symbol at most so many days before: they meet by symbol and bucket of that many days."""
     size = most + 1
@@ -151,15 +133,22 @@ def portfolio_share(holdings: DataFrame, keys: list[str]) -> DataFrame:
     return holdings.withColumn("share", F.when(whole, F.col("value") / F.sum("value").over(w)))
 
 
-def latest_share_state(rows: DataFrame) -> DataFrame:
-    """Per member and ticker the shares of the latest snapshot, summed over its rows; unavailable, with the reason, if one is malformed.
+def latest_share_state(rows: DataFrame, as_of: Column) -> DataFrame:
+    """Per member and ticker the shares that the latest known 13F report states, summed over its rows; unavailable, with the reason, if one is malformed.
 
-    ``rows`` has member, ticker, snapshot_date, shares and bad (the reason why a row's count cannot be read, or null).
+    ``rows``: member, ticker, snapshot_date, disclosure_date, source_record_id, shares, change, pct and bad (why a row cannot be read, or null). Known are
+    rows whose both dates are at most ``as_of``; the latest report is the last by snapshot, disclosure and record, so an amendment of a
+    quarter replaces what it amends. The share of the portfolio is null if one row has none.
     """
-    w = Window.partitionBy("member", "ticker").orderBy(F.desc("snapshot_date"))
-    last = rows.withColumn("__n", F.rank().over(w)).where("__n = 1")
-    out = last.groupBy("member", "ticker", "snapshot_date").agg(F.sum("shares").alias("__shares"), F.min("bad").alias("reason"), F.count(F.lit(1)).alias("rows"))
-    return out.withColumn("shares", F.when(F.col("reason").isNull(), F.col("__shares"))).withColumn("state", F.when(F.col("reason").isNotNull(), "unavailable").when(F.col("shares") > 0, "held").otherwise("closed")).drop("__shares")
+    known = rows.where((F.col("snapshot_date") <= as_of) & (F.col("disclosure_date") <= as_of))
+    report = F.struct("snapshot_date", "disclosure_date", "source_record_id")
+    per = known.groupBy("member", "ticker", report.alias("report")).agg(
+        F.sum("shares").alias("__shares"), F.sum("change").alias("__change"), F.when(F.bool_and(F.col("pct").isNotNull()), F.sum("pct")).alias("__pct"), F.min("bad").alias("reason"), F.count(F.lit(1)).alias("rows"))
+    last = per.groupBy("member", "ticker").agg(F.max_by(F.struct(*(c for c in per.columns if c not in ("member", "ticker"))), "report").alias("r")).select("member", "ticker", "r.*")
+    ok = F.col("reason").isNull()
+    state = F.when(~ok, "unavailable").when(F.col("__shares") > 0, "held").otherwise("absent")
+    why = F.coalesce("reason", F.when(state != "held", "corroboration unavailable: 13F position absent at as_of"))
+    return last.select("member", "ticker", "report.*", "rows", state.alias("state"), *(F.when(ok, F.col(f"__{c}")).alias(c) for c in ("shares", "change", "pct")), why.alias("reason"))
 
 
 def sizing_rejects(rows: DataFrame) -> DataFrame:
@@ -219,17 +208,3 @@ def setup_scores(rows: DataFrame, corroborated: Column) -> DataFrame:
 def ranked_setups(scores: DataFrame, n: int) -> DataFrame:
     """K4: the first n ranked setups by score, then ticker."""
     return scores.where("ranked").orderBy(F.desc("score"), "ticker").limit(n)
-
-
-def blotter_report(fills: DataFrame, refs: DataFrame, buys: DataFrame, span_days: int, window: int = 14) -> DataFrame:
-    """Per symbol fills, bought and sold quantity, average entry, realised profit, sells near an earlier buy, and the chance of that.
-
-    ``fills``: ticker, kind, qty, price and an order column n; ``refs`` and ``buys``: ticker and day.
-    """
-    bought = F.when(F.col("kind") == "buy", F.col("qty"))
-    base = fills.groupBy("ticker").agg(F.count(F.lit(1)).alias("fills"), F.sum(bought).alias("bought"), F.sum(F.when(F.col("kind") == "sell", F.col("qty"))).alias("sold"), (F.sum(bought * F.col("price")) / F.sum(bought)).alias("mean_entry"))
-    near = proximity_window(refs, buys, [window]).groupBy("ticker").agg(F.count(F.lit(1)).alias("near"), F.min("closest").alias("closest"))
-    rate = buys.groupBy("ticker").agg(poisson_base_rate(F.count(F.lit(1)).cast("double"), F.lit(float(span_days)), F.lit(float(window))).alias("chance"))
-    profit = fills_fifo(fills, "ticker", ["n"]).select("ticker", "matched", "realised")
-    out = base.join(profit, "ticker", "left").join(near, "ticker", "left").join(rate, "ticker", "left")
-    return out.withColumns({"near": F.coalesce("near", F.lit(0)), "open": F.coalesce("bought", F.lit(0.0)) - F.coalesce("matched", F.lit(0.0))})

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import fills as W
 from ..operators import portfolio as B
 from ..sources.fixtures import view, with_views
 
@@ -133,16 +134,41 @@ def _(d):
     return B.open_lots_fifo(_trades(d), ["member", "ticker"], ["n"]).select("member", "ticker", "n", "remaining")
 
 
-@_query(
-    "w08_fills_fifo",
-    f"""WITH f AS (SELECT ticker, kind, qty, price, row_number() OVER (PARTITION BY ticker ORDER BY member, n) AS m FROM (SELECT * FROM ({_TRADES.replace("t AS (", "", 1)[:-1]}) WHERE kind <> 'close')),
-s AS (SELECT ticker, kind, price, sum(qty) OVER (PARTITION BY ticker, kind ORDER BY m) - qty AS lo, sum(qty) OVER (PARTITION BY ticker, kind ORDER BY m) AS hi FROM f)
-SELECT b.ticker, sum(least(b.hi, s.hi) - greatest(b.lo, s.lo)) AS matched, round(sum((least(b.hi, s.hi) - greatest(b.lo, s.lo)) * (s.price - b.price)), 2) AS realised FROM s b JOIN s ON b.ticker = s.ticker AND b.kind = 'buy' AND s.kind = 'sell' AND greatest(b.lo, s.lo) < least(b.hi, s.hi) GROUP BY 1""",
-    D,
-)
+# Fills by symbol: exchanges are shorts, in symbols of their own; every third symbol of longs sells first.
+_FILLS = f"""fl AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date, n) AS m FROM (
+ SELECT CASE WHEN transaction_type = 'Exchange' THEN concat(ticker, 'S') ELSE ticker END AS ticker, CASE transaction_type WHEN 'Purchase' THEN 'BTO' WHEN 'Sale' THEN 'STC' ELSE CASE WHEN line_number % 2 = 0 THEN 'STO' ELSE 'BTC' END END AS side, quantity::DOUBLE AS qty, (part_key % 90 + 10)::DOUBLE AS price, transaction_date AS date,
+  concat(lpad(order_key::VARCHAR, 9, '0'), line_number, lpad(part_key::VARCHAR, 7, '0'), lpad(supp_key::VARCHAR, 7, '0'), lpad(quantity::INT::VARCHAR, 3, '0'), transaction_type) AS n FROM {D}))"""
+
+
+def _fills(d: DataFrame) -> DataFrame:
+    kind = F.col("transaction_type")
+    side = F.when(kind == "Purchase", "BTO").when(kind == "Sale", "STC").otherwise(F.when(F.col("line_number") % 2 == 0, "STO").otherwise("BTC"))
+    text = lambda c, n: F.lpad(F.col(c).cast("long").cast("string"), n, "0")
+    n = F.concat(text("order_key", 9), F.col("line_number").cast("string"), text("part_key", 7), text("supp_key", 7), text("quantity", 3), kind)
+    return d.select(F.when(kind == "Exchange", F.concat("ticker", F.lit("S"))).otherwise(F.col("ticker")).alias("ticker"), side.alias("side"), F.col("quantity").cast("double").alias("qty"), (F.col("part_key") % 90 + 10).cast("double").alias("price"), F.col("transaction_date").alias("date"), n.alias("n"))
+
+
+# Fill by fill, as a blotter is read: lots in a queue, and what exceeds them falls away.
+_QUEUE = f"""{_FILLS},
+qs AS (
+  SELECT ticker, 0::BIGINT AS m, []::STRUCT(p DOUBLE, q DOUBLE)[] AS lots, 0.0::DOUBLE AS realised, 0.0::DOUBLE AS matched, 0::BIGINT AS over_, 0.0::DOUBLE AS lost FROM (SELECT DISTINCT ticker FROM fl)
+  UNION ALL
+  SELECT ticker, m, CASE WHEN side IN ('BTO', 'STO') THEN list_append(lots, {{'p': price, 'q': qty}}) ELSE list_filter(list_transform(lots, lambda x, i: {{'p': x.p, 'q': x.q - took[i]}}), lambda z: z.q > 0) END,
+   CASE WHEN side IN ('BTO', 'STO') THEN realised ELSE realised + coalesce(list_sum(list_transform(lots, lambda x, i: took[i] * CASE side WHEN 'STC' THEN price - x.p ELSE x.p - price END)), 0) END,
+   CASE WHEN side IN ('BTO', 'STO') THEN matched ELSE matched + coalesce(list_sum(took), 0) END, CASE WHEN side NOT IN ('BTO', 'STO') AND coalesce(list_sum(took), 0) < qty THEN over_ + 1 ELSE over_ END, CASE WHEN side NOT IN ('BTO', 'STO') THEN lost + qty - coalesce(list_sum(took), 0) ELSE lost END
+  FROM (SELECT s.ticker, fl.m, s.lots, s.realised, s.matched, s.over_, s.lost, side, price, qty, list_transform(s.lots, lambda x, i: greatest(0.0, least(x.q, qty - coalesce(list_sum(list_transform(s.lots[1:i - 1], lambda y: y.q)), 0.0)))) AS took FROM qs s JOIN fl ON fl.ticker = s.ticker AND fl.m = s.m + 1)),
+qe AS MATERIALIZED (SELECT ticker, e.*, CASE WHEN e.side_ = 'STO' OR e.side_ = 'BTC' THEN -1 ELSE 1 END AS sg FROM (SELECT ticker, arg_max({{'lots': lots, 'realised': realised, 'matched': matched, 'over_': over_, 'lost': lost, 'side_': CASE WHEN ticker LIKE '%S' AND length(ticker) > 3 THEN 'STO' ELSE 'BTO' END}}, m) AS e FROM qs GROUP BY ticker)),
+qf AS (SELECT ticker, matched, realised, sg * coalesce(list_sum(list_transform(lots, lambda x: x.q)), 0) AS open_qty, CASE WHEN sg = 1 AND len(lots) > 0 THEN list_sum(list_transform(lots, lambda x: x.p * x.q)) / list_sum(list_transform(lots, lambda x: x.q)) ELSE 0 END AS open_entry, over_ AS over_closes, lost AS discarded FROM qe)"""
+
+
+@_query("w08_fills_fifo", f"WITH RECURSIVE {_QUEUE} SELECT ticker, matched, realised, open_qty, round(open_entry, 9) AS open_entry, over_closes, discarded FROM qf", D)
 def _(d):
-    t = _trades(d).where("kind <> 'close'")
-    return B.fills_fifo(t, "ticker", ["member", "n"]).withColumn("realised", F.round("realised", 2))
+    return W.fills_fifo(W.matched_fills(_fills(d), "ticker", "date", ["n"]), "ticker").withColumn("open_entry", F.round("open_entry", 9))
+
+
+@_query("w08_over_closes", f"WITH RECURSIVE {_QUEUE} SELECT fl.ticker, fl.date, fl.side, fl.qty, a.lost - b.lost AS excess FROM qs a JOIN qs b ON a.ticker = b.ticker AND a.m = b.m + 1 JOIN fl ON fl.ticker = a.ticker AND fl.m = a.m WHERE a.lost > b.lost", D)
+def _(d):
+    return W.over_closes(W.matched_fills(_fills(d), "ticker", "date", ["n"])).select("ticker", "date", "side", "qty", "excess")
 
 
 @_query("j27_proximity_window", f"SELECT r.ticker, r.day, count(*) FILTER (WHERE g <= 7) AS within_7, count(*) FILTER (WHERE g <= 30) AS within_30, min(g) AS closest FROM (SELECT r.ticker, r.day, date_diff('day', p.disclosure_date, r.day) AS g FROM (SELECT DISTINCT ticker, transaction_date AS day FROM {D} WHERE transaction_type = 'Sale') r JOIN {P} p ON p.ticker = r.ticker) r WHERE g BETWEEN 0 AND 30 GROUP BY 1, 2", D, P)
@@ -206,30 +232,43 @@ def _(d):
     return B.portfolio_share(h, ["member", "year"]).select("member", "ticker", "year", "share")
 
 
-@_query("g50_latest_share_state", f"""WITH s AS (SELECT member, ticker, transaction_date AS d, CASE WHEN part_key % 19 <> 0 THEN (quantity - part_key % 3)::DOUBLE END AS shares, CASE WHEN part_key % 19 = 0 THEN 'shares_missing' END AS bad FROM {D} WHERE source = '13f' AND disclosure_date <= DATE '1998-06-01'),
-l AS (SELECT *, rank() OVER (PARTITION BY member, ticker ORDER BY d DESC) AS k FROM s)
-SELECT member, ticker, d AS snapshot_date, min(bad) AS reason, count(*) AS rows, CASE WHEN min(bad) IS NULL THEN sum(shares) END AS shares, CASE WHEN min(bad) IS NOT NULL THEN 'unavailable' WHEN sum(shares) > 0 THEN 'held' ELSE 'closed' END AS state FROM l WHERE k = 1 GROUP BY 1, 2, 3""", D)
+# Reports of 13F: a quarter's report and its amendment are of one snapshot; a row may be malformed.
+_SHARES = f"""s AS (SELECT member, ticker, (date_trunc('quarter', transaction_date) + INTERVAL 3 MONTH - INTERVAL 1 DAY)::DATE AS snapshot_date, disclosure_date, source_record_id, CASE WHEN part_key % 19 <> 0 THEN (quantity - part_key % 3)::BIGINT END AS shares, (line_number - 3)::BIGINT AS change, CASE WHEN part_key % 7 <> 0 THEN quantity / 64.0::DOUBLE END AS pct,
+ CASE WHEN part_key % 19 = 0 THEN 'corroboration unavailable: malformed 13F share snapshot' END AS bad FROM {D} WHERE source = '13f')"""
+
+
+@_query("g50_latest_share_state", f"""WITH {_SHARES}, k AS (SELECT * FROM s WHERE snapshot_date <= DATE '2000-06-30' AND disclosure_date <= DATE '2000-06-30'),
+l AS (SELECT *, rank() OVER (PARTITION BY member, ticker ORDER BY snapshot_date DESC, disclosure_date DESC, source_record_id DESC) AS r FROM k)
+SELECT member, ticker, snapshot_date, disclosure_date, source_record_id, count(*) AS rows, CASE WHEN min(bad) IS NOT NULL THEN 'unavailable' WHEN sum(shares) > 0 THEN 'held' ELSE 'absent' END AS state, CASE WHEN min(bad) IS NULL THEN sum(shares) END::BIGINT AS shares, CASE WHEN min(bad) IS NULL THEN sum(change) END::BIGINT AS change,
+ CASE WHEN min(bad) IS NULL AND count(pct) = count(*) THEN sum(pct) END AS pct, coalesce(min(bad), CASE WHEN sum(shares) <= 0 THEN 'corroboration unavailable: 13F position absent at as_of' END) AS reason FROM l WHERE r = 1 GROUP BY 1, 2, 3, 4, 5""", D)
 def _(d):
-    known = d.where("source = '13f' AND disclosure_date <= DATE '1998-06-01'")
-    bad = F.col("part_key") % 19 == 0
-    rows = known.select("member", "ticker", F.col("transaction_date").alias("snapshot_date"), F.when(~bad, (F.col("quantity") - F.col("part_key") % 3).cast("double")).alias("shares"), F.when(bad, "shares_missing").alias("bad"))
-    return B.latest_share_state(rows)
+    bad, k = F.col("part_key") % 19 == 0, F.col("part_key")
+    quarter = F.date_sub(F.add_months(F.trunc("transaction_date", "quarter"), 3), 1)
+    rows = d.where("source = '13f'").select(
+        "member", "ticker", quarter.alias("snapshot_date"), "disclosure_date", "source_record_id", F.when(~bad, (F.col("quantity") - k % 3).cast("long")).alias("shares"), (F.col("line_number") - 3).cast("long").alias("change"),
+        F.when(k % 7 != 0, F.col("quantity") / 64.0).alias("pct"), F.when(bad, "corroboration unavailable: malformed 13F share snapshot").alias("bad"))
+    return B.latest_share_state(rows, F.lit("2000-06-30").cast("date"))
+
+
+_WINDOWS = (30, 45, 60, 90)
 
 
 @_query(
     "g56_blotter_report",
-    f"""WITH f AS (SELECT ticker, kind, qty, price, row_number() OVER (PARTITION BY ticker ORDER BY member, n) AS n FROM (SELECT * FROM ({_TRADES.replace("t AS (", "", 1)[:-1]}) WHERE kind <> 'close')),
-s AS (SELECT ticker, kind, price, sum(qty) OVER (PARTITION BY ticker, kind ORDER BY n) - qty AS lo, sum(qty) OVER (PARTITION BY ticker, kind ORDER BY n) AS hi FROM f),
-m AS (SELECT b.ticker, sum(least(b.hi, s.hi) - greatest(b.lo, s.lo)) AS matched, round(sum((least(b.hi, s.hi) - greatest(b.lo, s.lo)) * (s.price - b.price)), 2) AS realised FROM s b JOIN s ON b.ticker = s.ticker AND b.kind = 'buy' AND s.kind = 'sell' AND greatest(b.lo, s.lo) < least(b.hi, s.hi) GROUP BY 1),
-a AS (SELECT ticker, count(*) AS fills, sum(qty) FILTER (WHERE kind = 'buy') AS bought, sum(qty) FILTER (WHERE kind = 'sell') AS sold, round(sum(qty * price) FILTER (WHERE kind = 'buy') / sum(qty) FILTER (WHERE kind = 'buy'), 6) AS mean_entry FROM f GROUP BY 1),
-g AS (SELECT r.ticker, r.day, min(date_diff('day', p.disclosure_date, r.day)) AS gap FROM (SELECT DISTINCT ticker, transaction_date AS day FROM {D} WHERE transaction_type = 'Sale') r JOIN {P} p ON p.ticker = r.ticker AND date_diff('day', p.disclosure_date, r.day) BETWEEN 0 AND 14 GROUP BY 1, 2),
-c AS (SELECT ticker, count(*) AS near, min(gap) AS closest FROM g GROUP BY 1), x AS (SELECT ticker, round(1 - exp(-count(*)::DOUBLE / 2400.0::DOUBLE * 14.0::DOUBLE), 9) AS chance FROM {P} GROUP BY 1)
-SELECT a.*, matched, realised, coalesce(near, 0) AS near, closest, chance, coalesce(bought, 0) - coalesce(matched, 0) AS open FROM a LEFT JOIN m USING (ticker) LEFT JOIN c USING (ticker) LEFT JOIN x USING (ticker)""",
-    D, P,
+    f"""WITH RECURSIVE {_QUEUE},
+ba AS (SELECT ticker, count(*) AS fills, min(date) FILTER (WHERE side = 'BTO') AS first_buy, sum(price * qty) FILTER (WHERE side IN ('BTO', 'STO')) AS oc, sum(qty) FILTER (WHERE side IN ('BTO', 'STO')) AS oq, sum(price * qty) FILTER (WHERE side IN ('STC', 'BTC')) AS cc, sum(qty) FILTER (WHERE side IN ('STC', 'BTC')) AS cq FROM fl GROUP BY 1),
+tr AS (SELECT DISTINCT ticker, member, CASE WHEN part_key % 5 <> 0 THEN transaction_date END AS td, disclosure_date AS dd, transaction_type AS tt FROM {D}), de AS (SELECT tr.*, coalesce(td, dd) AS on_, first_buy - coalesce(td, dd) AS ahead FROM tr JOIN ba USING (ticker)),
+ne AS (SELECT ticker, count(*) AS trades, count(*) FILTER (WHERE tt = 'Purchase') AS n_buys, max(on_) - min(on_) AS span_days, {", ".join(f"count(*) FILTER (WHERE tt = 'Purchase' AND ahead BETWEEN 0 AND {n}) AS within_{n}" for n in _WINDOWS)}, min(ahead) FILTER (WHERE tt = 'Purchase' AND ahead >= 0) AS closest FROM de GROUP BY 1),
+pr AS (SELECT ticker, arg_max(close, date) AS current FROM (SELECT ticker, date, max(close) AS close FROM fx_prices WHERE ticker <= 'TT' GROUP BY 1, 2) GROUP BY 1),
+z AS (SELECT ba.*, qf.* EXCLUDE (ticker), current AS cur, coalesce(trades, 0) AS trades, coalesce(n_buys, 0) AS n_buys, coalesce(span_days, 0) AS span_days, {", ".join(f"coalesce(within_{n}, 0) AS within_{n}" for n in _WINDOWS)}, closest FROM ba JOIN qf USING (ticker) LEFT JOIN ne USING (ticker) LEFT JOIN pr USING (ticker))
+SELECT ticker, fills, CASE WHEN open_qty <> 0 THEN open_qty ELSE coalesce(oq, 0) END AS qty, round(CASE WHEN open_qty <> 0 THEN open_entry ELSE coalesce(oc / oq, 0) END, 8) AS entry, round(CASE WHEN open_qty <> 0 THEN cur ELSE cc / cq END, 8) AS current,
+ round(CASE WHEN open_qty > 0 THEN cur - open_entry WHEN open_qty < 0 THEN open_entry - cur WHEN oq > 0 THEN realised / oq WHEN realised <> 0 THEN 0 END, 8) AS pnl_unit, round(CASE WHEN open_qty > 0 THEN (cur - open_entry) * open_qty WHEN open_qty < 0 THEN (open_entry - cur) * -open_qty WHEN oq > 0 OR realised <> 0 THEN realised END, 5) AS pnl,
+ CASE WHEN open_qty > 0 AND cur IS NULL THEN 'OPEN (unrealized); market price unavailable' WHEN open_qty < 0 AND cur IS NULL THEN 'OPEN short (unrealized); market price unavailable' WHEN open_qty > 0 THEN 'open, unrealized' WHEN open_qty < 0 THEN 'open short, unrealized' WHEN oq > 0 OR realised <> 0 THEN 'CLOSED, realized' ELSE 'flat / no position' END AS note,
+ realised, over_closes, trades, n_buys, span_days, {", ".join(f"within_{n}" for n in _WINDOWS)}, {", ".join(f"CASE WHEN n_buys > 0 AND span_days > 0 THEN round(1 - exp(-n_buys::DOUBLE / span_days::DOUBLE * {n}.0::DOUBLE), 4) ELSE 0 END AS chance_{n}" for n in _WINDOWS)}, closest, within_60 > 0 AS proxy_hit FROM z""",
+    D, "fx_prices",
 )
-def _(d, p):
-    t = _trades(d).where("kind <> 'close'")
-    fills = t.withColumn("n", F.row_number().over(Window.partitionBy("ticker").orderBy("member", "n")))
-    refs = d.where("transaction_type = 'Sale'").select("ticker", F.col("transaction_date").alias("day"))
-    out = B.blotter_report(fills, refs, p.select("ticker", F.col("disclosure_date").alias("day")), 2400)
-    return out.withColumns({"mean_entry": F.round("mean_entry", 6), "realised": F.round("realised", 2), "chance": F.round("chance", 9)})
+def _(d, prices):
+    matched = W.matched_fills(_fills(d), "ticker", "date", ["n"])
+    trades = d.withColumn("transaction_date", F.when(F.col("part_key") % 5 != 0, F.col("transaction_date")))
+    last = prices.where("ticker <= 'TT'").groupBy("ticker", "date").agg(F.max("close").alias("close")).groupBy("ticker").agg(F.max_by("close", "date").alias("price"))
+    return W.blotter_report(matched, trades, last).withColumns({"entry": F.round("entry", 8), "current": F.round("current", 8), "pnl_unit": F.round("pnl_unit", 8), "pnl": F.round("pnl", 5)})
