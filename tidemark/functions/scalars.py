@@ -19,6 +19,10 @@ TICKER_FORM = "^[A-Z]{1,5}(?:[.-][A-Z]{1,2})?$"
 CURRENCY = "(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:[.][0-9]{2})?"
 
 
+# Fixed values.
+COMPANY_TAILS = ["CMN", "COMMON STOCK", "CLASS [ABC]", "INC", "INCORPORATED", "CORP", "CORPORATION", "COMPANY", "COS", "LLC", "LTD", "LIMITED", "PLC", "HOLDINGS", "HOLDING", "GROUP", "LP", "LLP", "PA", "NA"]
+
+
 def _text(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
@@ -142,10 +146,9 @@ def extract_ticker(c: Column) -> Column:
 
 
 def normalize_company_name(c: Column) -> Column:
-    """Upper case, punctuation to blanks, then trailing class and entity words taken off together."""
-    s = F.trim(F.regexp_replace(F.upper(_text(c)), "[^A-Z0-9]+", " "))
-    tail = "(?:\\s+(?:INC|CORP|CORPORATION|CO|COMPANY|LTD|LLC|PLC|LP|SA|AG|NV|COMMON|STOCK|SHARES|ORDINARY|CLASS [A-C]|ADR|ST|OP|CT|GS))+$"
-    return F.trim(F.regexp_replace(s, tail, ""))
+    """Upper case, & as AND, punctuation to blanks, then words for classes and legal forms off the end, one after the other; never the last word."""
+    s = F.trim(F.regexp_replace(F.replace(F.upper(_text(c)), F.lit("&"), F.lit(" AND ")), "[^A-Z0-9]+", " "))
+    return F.trim(F.regexp_replace(s, f"(?:\\s+(?:{'|'.join(COMPANY_TAILS)}))+$", ""))
 
 
 def canonical_member_key(c: Column) -> Column:

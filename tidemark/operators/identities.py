@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import normalize_company_name
+from ..functions.scalars import canonical_member_key, normalize_company_name
+from .lineage import written_once
 
 # Fixed values.
 NICKNAMES = {
@@ -15,6 +20,18 @@ NICKNAMES = {
     "HAL": "HAROLD", "DICK": "RICHARD", "NED": "EDWARD", "TED": "THEODORE",
 }
 UNRESOLVABLE = ["TREASURY", "T BILL", "T NOTE", "SWEEP", "MONEY MARKET", "MUTUAL FUND", "INDEX FUND", "INVESTMENT FUND", "ETF", "ETN", "FUND", "CASH", "BOND", "NOTE", "MTN", "FD"]
+#: Names of a dictionary that every task may hold as an automaton.
+MOST_NAMES = 200_000
+# Fixed values.
+ALIASES = {
+    "ZOETIS": "ZTS", "BIO TECHNE": "TECH", "DENNYS": "DENN", "VISHAY PRECISION GROUP": "VPG", "BANK OF AMERICA": "BAC", "AXALTA COATING SYSTEMS": "AXTA", "PAR PETROLEUM": "PARR",
+    "MICRON TECHNOLOGY": "MU", "DOORDASH": "DASH", "GE HEALTHCARE": "GEHC", "ALLSTATE": "ALL", "AMAZON": "AMZN", "URBAN OUTFITTERS": "URBN", "CTS CORP": "CTS", "ABBOTT LABORATORIES": "ABT",
+    "BOOKING HOLDINGS": "BKNG", "AMERICAN TOWER": "AMT", "SHERWIN WILLIAMS": "SHW", "FEDERAL SIGNAL": "FSS", "LOWES": "LOW", "REGENERON PHARMACEUTICALS": "REGN", "BAXTER INTERNATIONAL": "BAX",
+    "PFIZER": "PFE", "COMCAST": "CMCSA", "DANAHER": "DHR", "INTUITIVE SURGICAL": "ISRG", "GENERAL MOTORS": "GM", "SCHLUMBERGER": "SLB", "ELANCO ANIMAL HEALTH": "ELAN", "LINDE": "LIN",
+    "TAKE TWO INTERACTIVE": "TTWO", "ANTERO MIDSTREAM": "AM", "QUALCOMM": "QCOM", "CVS HEALTH": "CVS", "FIDELITY NATIONAL INFORMATION": "FIS", "INTUIT": "INTU", "WALMART": "WMT", "NETFLIX": "NFLX",
+    "TESLA": "TSLA", "SALESFORCE": "CRM", "UNION PACIFIC": "UNP", "PLAINS ALL AMERICAN PIPELINE": "PAA", "MERCK & CO": "MRK", "UNITEDHEALTH GROUP": "UNH", "JOHNSON & JOHNSON": "JNJ",
+    "COGNIZANT TECHNOLOGY SOLUTIONS": "CTSH", "CATERPILLAR": "CAT", "VISA": "V", "JPMORGAN CHASE": "JPM",
+}
 
 
 def _same_first(a: Column, b: Column) -> Column:
@@ -53,29 +70,79 @@ def member_identity_groups(keys: DataFrame) -> DataFrame:
     return out.select("key", F.when(F.col("__split"), "").otherwise(F.least("key", F.coalesce("least", "key"))).alias("identity"))
 
 
-def coalesce_actors(events: DataFrame, key: str, name: str) -> DataFrame:
-    """Adds identity and the most informative spelling of it (tokens, length, then name); the own key stays.
-
-    Ambiguous keys keep their own name. Spellings and identities are one row per key.
-    """
-    groups = member_identity_groups(events.select(F.col(key).alias("key")))
-    spelt = events.select(F.col(key).alias("key"), F.col(name).alias("spelling")).where("spelling IS NOT NULL").distinct().join(groups, "key")
-    best = spelt.where("identity <> ''").groupBy("identity").agg(F.max_by("spelling", F.struct(F.size(F.split("spelling", " ")), F.length("spelling"), F.col("spelling"))).alias("display"))
-    known = groups.join(best, "identity", "left").withColumnRenamed("key", key)
-    return events.join(known, key, "left").withColumn("display", F.coalesce("display", name))
+def same_actor(a: Column, b: Column) -> Column:
+    """Two canonical keys, as arrays of tokens, may be one initiator: the same last name, first names alike, middle names equal or missing."""
+    middle = lambda x: F.slice(x, 2, F.greatest(F.size(x) - 2, F.lit(0)))
+    free = (F.size(middle(a)) == 0) | (F.size(middle(b)) == 0) | (middle(a) == middle(b))
+    return (F.size(a) > 1) & (F.size(b) > 1) & (F.element_at(a, -1) == F.element_at(b, -1)) & _same_first(F.get(a, F.lit(0)), F.get(b, F.lit(0))) & free
 
 
-def match_company_names(texts: DataFrame, companies: DataFrame) -> DataFrame:
-    """(text, symbol) of distinct asset texts: the one symbol whose company is named in it, else null.
+def actor_representatives(actors: DataFrame) -> DataFrame:
+    """(actor, representative) of distinct actors, told in order: each takes the first representative before it that may be the same person, or becomes one.
 
-    ``companies``: (name, symbol), names normalised. A name inside a longer one that matched there does not
-    count. Without any name in the text, words of four letters and more may each begin the words of one company.
-    Names meet texts by their first word and place, abbreviations by the number of words and first four letters.
+    ``actors``: actor (kind:name), place (their order, distinct) and open (actors of open positions, which come first and are all representatives). The
+    rule is sequential, as likeness is not transitive; it is worked in rounds, each of which settles all actors that have no unsettled
+    likeness before them. Only members of congress meet, by surname, and what is joined are pairs of alike actors.
     """
-    t = texts.select("text").where("text IS NOT NULL").distinct().withColumn("norm", normalize_company_name(F.col("text"))).where("norm <> ''")
-    barred = F.col("norm").rlike("\\b(?:" + "|".join(UNRESOLVABLE) + ")S?\\b") | (F.col("norm") == "JT")
-    t = t.where(~barred).withColumn("words", F.split("norm", " "))
-    c = companies.select("name", "symbol").distinct().withColumn("parts", F.split("name", " "))
+    a = actors.select("actor", "place", "open", F.substring_index("actor", ":", 1).alias("kind"), canonical_member_key(F.substring_index("actor", ":", -1)).alias("key"))
+    a = a.withColumn("tokens", F.split("key", " ")).withColumn("surname", F.when((F.col("kind") == "congress") & (F.col("key") != ""), F.element_at("tokens", -1)))
+    x, y = (a.where("surname IS NOT NULL").select("surname", *(F.col(c).alias(f"{c}_{n}") for c in ("actor", "place", "open", "key", "tokens"))) for n in ("a", "b"))
+    alike = (F.col("key_a") == F.col("key_b")) | same_actor(F.col("tokens_a"), F.col("tokens_b"))
+    pairs = written_once(x.join(y, "surname").where((F.col("place_b") < F.col("place_a")) & ~(F.col("open_a") & F.col("open_b")) & alike).select("actor_a", "actor_b", "place_b"))
+    settled = written_once(a.join(pairs.select(F.col("actor_a").alias("actor")).distinct(), "actor", "left_anti").union(a.where("open")).select("actor", F.col("actor").alias("representative")).distinct())
+    left = written_once(pairs.join(settled.select(F.col("actor").alias("actor_a")), "actor_a", "left_anti"))
+    while not left.isEmpty():
+        known = left.join(settled.select(F.col("actor").alias("actor_b"), "representative"), "actor_b", "left")
+        own = F.when(F.col("representative") == F.col("actor_b"), F.struct("place_b", "representative"))
+        ready = known.groupBy("actor_a").agg(F.bool_and(F.col("representative").isNotNull()).alias("ready"), F.min(own).alias("first")).where("ready")
+        settled = written_once(settled.union(ready.select("actor_a", F.coalesce("first.representative", "actor_a"))))
+        left = written_once(left.join(ready.select("actor_a"), "actor_a", "left_anti"))
+    return settled
+
+
+def coalesce_actors(events: DataFrame, open_actors: DataFrame, actor: str, seen: str, spelling: str) -> DataFrame:
+    """Events with the identity of their actor and its most informative spelling (tokens, length, then name); the own actor stays.
+
+    ``open_actors``: actor of open positions, taken in the order of their names; then come the actors of events by their least ``seen``.
+    """
+    first = events.groupBy(F.col(actor).alias("actor")).agg(F.min(seen).alias("seen"))
+    both = first.join(open_actors.select("actor").distinct().withColumn("open", F.lit(True)), "actor", "full_outer").where("actor IS NOT NULL").withColumn("open", F.coalesce("open", F.lit(False)))
+    place = F.struct(~F.col("open"), F.when(F.col("open"), F.col("actor")).otherwise(F.lit("")), F.when(~F.col("open"), F.col("seen")), F.col("actor"))
+    groups = actor_representatives(both.select("actor", place.alias("place"), "open"))
+    spelt = events.select(F.col(actor).alias("actor"), F.col(spelling).alias("spelling")).where("spelling IS NOT NULL").distinct().join(groups, "actor")
+    best = spelt.groupBy("representative").agg(F.max_by("spelling", F.struct(F.size(F.split("spelling", " ")), F.length("spelling"), F.col("spelling"))).alias("display"))
+    known = groups.join(best, "representative", "left").select(F.col("actor").alias(actor), F.col("representative").alias("identity"), "display")
+    return events.join(known, actor, "left").withColumn("display", F.coalesce("display", spelling))
+
+
+def _named_by_automaton(t: DataFrame, names: list[tuple[str, list[str]]]) -> DataFrame:
+    """(text, found, symbol) of normalised texts: every name that lies in a text is told in one reading of it; names inside longer ones fall."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = ahocorasick.Automaton()
+        for name, symbols in names:
+            tree.add_word(f" {name} ", (len(name) + 2, symbols))
+        if names:
+            tree.make_automaton()
+        for batch in batches:
+            found, out = [], []
+            for norm in batch.column("norm").to_pylist():
+                spans = [(end - n, end, symbols) for end, (n, symbols) in tree.iter(f" {norm} ")] if names else []
+                spans.sort(key=lambda s: (s[0], -s[1]))
+                symbols, reach = set(), -1
+                for _, end, of in spans:  # from the left, longer first: what ends no later than one before it lies inside it
+                    if end > reach:
+                        symbols.update(of)
+                        reach = end
+                found.append(bool(spans))
+                out.append(symbols.pop() if len(symbols) == 1 else None)
+            yield pa.record_batch([batch.column("text"), pa.array(found), pa.array(out, pa.string())], ["text", "found", "symbol"])
+
+    return t.select("text", "norm").mapInArrow(run, "text string, found boolean, symbol string")
+
+
+def _named_by_joins(t: DataFrame, c: DataFrame) -> DataFrame:
+    """The same for dictionaries of any size: names meet texts by their first word and place."""
     at = t.select("text", "words", F.posexplode("words").alias("at", "word"))
     n = F.size("parts")
     met = at.join(c.withColumn("word", F.get("parts", F.lit(0))), "word").where(F.slice("words", F.col("at") + 1, n) == F.col("parts"))
@@ -83,7 +150,28 @@ def match_company_names(texts: DataFrame, companies: DataFrame) -> DataFrame:
     inside = lambda x, o: (o["at"] <= x["at"]) & (x["end"] <= o["end"]) & ((o["at"] != x["at"]) | (o["end"] != x["end"]))
     open_ = F.filter("s", lambda x: ~F.exists("s", lambda o: inside(x, o)))
     symbols = F.array_distinct(F.flatten(F.transform(open_, lambda x: x["symbols"])))
-    named = spans.select("text", F.when(F.size(symbols) == 1, symbols[0]).alias("symbol"))
+    return spans.select("text", F.lit(True).alias("found"), F.when(F.size(symbols) == 1, symbols[0]).alias("symbol"))
+
+
+def match_company_names(texts: DataFrame, companies: DataFrame, aliases: dict[str, str] = ALIASES, most_names: int = MOST_NAMES) -> DataFrame:
+    """(text, symbol) of distinct asset texts: the one symbol whose company is named in it, else null.
+
+    ``companies``: (name, symbol), names normalised; ``aliases`` are further names. Account and custodian remarks are taken off
+    a text first. A name inside a longer one that matched there does not count. Without any name in the text, words of four letters
+    and more may each begin the words of one company (not of an alias). Up to ``most_names`` names, counted, are one automaton in every
+    task; more meet the texts by joins. Abbreviations meet by the number of words and first four letters.
+    """
+    spark = texts.sparkSession
+    bare = F.regexp_replace("text", "(?i)\\s*\\[\\s*(?:ACCOUNT|CUSTODIAN)\\s*[:=][^\\]]*\\]|\\s*\\(\\s*(?:ACCOUNT|CUSTODIAN)\\s*[:=][^)]*\\)|(?:^|\\s+)(?:ACCOUNT|CUSTODIAN)\\s*[:=].*$", "")
+    t = texts.select("text").where("text IS NOT NULL").distinct().withColumn("norm", normalize_company_name(bare)).where("norm <> ''")
+    barred = F.col("norm").rlike("\\b(?:" + "|".join(UNRESOLVABLE) + ")S?\\b") | (F.col("norm") == "JT")
+    t = t.where(~barred).withColumn("words", F.split("norm", " "))
+    c = companies.select("name", "symbol").where("name <> ''").distinct().withColumn("parts", F.split("name", " "))
+    more = spark.createDataFrame(list(aliases.items()) or [("", "")], "name string, symbol string").where("name <> ''").select(normalize_company_name(F.col("name")).alias("name"), "symbol")
+    every = c.select("name", "symbol").union(more).groupBy("name").agg(F.collect_set("symbol").alias("symbols"))
+    few = every.limit(most_names + 1).collect()
+    named = _named_by_automaton(t, [(r.name, r.symbols) for r in few]) if len(few) <= most_names else _named_by_joins(t, every.select("name", F.explode("symbols").alias("symbol")).withColumn("parts", F.split("name", " ")))
+    named = written_once(named.where("found").select("text", "symbol"))
     rest = t.join(named.select("text"), "text", "left_anti").where(F.forall("words", lambda w: F.length(w) >= 4))
     head = lambda x: F.concat_ws(":", F.size(x), F.substring(F.get(x, F.lit(0)), 1, 4))
     begun = rest.withColumn("h", head(F.col("words"))).join(c.withColumn("h", head(F.col("parts"))), "h")
@@ -104,7 +192,8 @@ def clean_symbols(rows: DataFrame, prefixes: DataFrame, key: list[str]) -> DataF
     """Names that stand where a symbol should: the symbol of the longest prefix known; rows that then repeat another go;
     words for cash and funds become null; what matches nothing stays.
 
-    ``prefixes``: (name, symbol), a small dictionary that distinct symbols meet by their first four letters.
+    Names are taken in their order: a row goes if a row of the symbol, or of an earlier name of that symbol, has its key; a key with a null repeats
+    nothing. ``prefixes``: (name, symbol), a small dictionary that distinct symbols meet by their first four letters.
     """
     wrong = rows.select("ticker").where(F.col("ticker").isNotNull() & ~F.col("ticker").rlike("^[A-Z]{1,5}(\\.[AB])?$") & (F.length("ticker") > 5)).distinct()
     up = wrong.withColumn("u", F.upper("ticker"))
@@ -113,10 +202,12 @@ def clean_symbols(rows: DataFrame, prefixes: DataFrame, key: list[str]) -> DataF
     best = met.groupBy("ticker").agg(F.max_by("symbol", F.struct(F.length("name"), F.col("symbol"))).alias("__to"))
     cash = up.where("u RLIKE 'CASH|FUND|MONEY'").select("ticker").join(best, "ticker", "left_anti").select("ticker", F.lit(True).alias("__null"))
     out = rows.join(best, "ticker", "left").join(cash, "ticker", "left")
-    has = rows.join(wrong, "ticker", "left_anti").select(*(F.col(k).alias(f"__{k}") for k in [*key, "ticker"])).distinct()
-    twin = F.col("__to") == F.col("__ticker")
+    whole = F.lit(True)
     for k in key:
-        twin = twin & F.col(k).eqNullSafe(F.col(f"__{k}"))
-    kept = out.join(has, twin, "left_anti")
+        whole = whole & F.col(k).isNotNull()
+    out = out.withColumns({"__symbol": F.coalesce("__to", "ticker"), "__name": F.when(F.col("__to").isNotNull(), F.col("ticker")).otherwise("")})
+    claims = out.where(whole & F.col("__symbol").isNotNull()).join(best.select(F.col("__to").alias("__symbol")).distinct(), "__symbol", "left_semi")
+    first = claims.groupBy("__symbol", *key).agg(F.min("__name").alias("__first"))
+    kept = out.join(first, ["__symbol", *key], "left").where(F.col("__to").isNull() | F.col("__first").isNull() | (F.col("__first") == F.col("__name")))
     new = F.when(F.col("__to").isNotNull(), F.col("__to")).when(F.col("__null"), None).otherwise(F.col("ticker"))
     return kept.withColumn("ticker", new).select(*rows.columns)

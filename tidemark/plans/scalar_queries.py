@@ -70,7 +70,7 @@ _SYMBOLS = ", ".join(f"CASE WHEN regexp_extract(asset_text, '{p}', 1) NOT IN (''
 _add("n07_extract_ticker", "fx_text", ["row_key"], lambda: {"symbol": S.extract_ticker(_C("asset_text"))}, f"coalesce({_SYMBOLS}) AS symbol")
 _add(
     "n08_normalize_company_name", "fx_text", ["row_key"], lambda: {"company": S.normalize_company_name(_C("asset_text"))},
-    r"trim(regexp_replace(trim(regexp_replace(upper(asset_text), '[^A-Z0-9]+', ' ', 'g')), '(\s+(INC|CORP|CORPORATION|CO|COMPANY|LTD|LLC|PLC|LP|SA|AG|NV|COMMON|STOCK|SHARES|ORDINARY|CLASS [A-C]|ADR|ST|OP|CT|GS))+$', '')) AS company",
+    r"trim(regexp_replace(trim(regexp_replace(replace(upper(asset_text), '&', ' AND '), '[^A-Z0-9]+', ' ', 'g')), '(\s+(CMN|COMMON STOCK|CLASS [ABC]|INC|INCORPORATED|CORP|CORPORATION|COMPANY|COS|LLC|LTD|LIMITED|PLC|HOLDINGS|HOLDING|GROUP|LP|LLP|PA|NA))+$', '')) AS company",
 )
 _add(
     "n09_extract_option_terms", "fx_text", ["row_key"], lambda: {f"option_{f}": S.extract_option_terms(_C("asset_text"))[f] for f in ("strike", "expiry")},
