@@ -62,10 +62,11 @@ def found_rows(df):
     return sorted((r.lang, r["rank"], r.phrase, r.a, r.l, r.r, r.n, r.score) for r in df.collect())
 
 
-@pytest.mark.parametrize(("block_words", "hashes"), [(60, 2_000_000), (1000, 0)])
-def test_collocations_equal_brute_force(spark, monkeypatch, block_words, hashes):
-    """Small shards, whose share of the support is one or two occurrences, and no sending of candidates."""
+@pytest.mark.parametrize(("block_words", "hashes", "words"), [(60, 2_000_000, 300_000), (1000, 0, 0)])
+def test_collocations_equal_brute_force(spark, monkeypatch, block_words, hashes, words):
+    """Small shards, whose share of the support is one or two occurrences, and nothing sent to the tasks."""
     monkeypatch.setattr(phrases, "MOST_HASHES", hashes)
+    monkeypatch.setattr(phrases, "MOST_WORDS", words)
     rng = np.random.default_rng(5)
     words = ["the", "Of", "é", "New", "york", "|", "\x1c", "a b", "ß", "x"]
     docs = [("".join(rng.choice(words) + str(rng.choice([" ", " ", "\t ", ". ", ",", "\r\n", " \x0b"])) for _ in range(rng.integers(0, 60))), str(rng.choice(["en", "de", "und"]))) for _ in range(120)]

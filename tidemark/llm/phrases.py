@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ from .shared import bounded_batches, small_or_shuffled, stored
 from .word_blocks import BLOCK_WORDS, BORDER, Numbering, block_number, byte_table, packed, raw_texts, rows_of, slices, unpacked
 
 LONGEST = 5
+#: Frequent words that every task may hold (some 30 MB); where there are more, each block meets its own by a join.
+MOST_WORDS = 300_000
 #: Candidates are sent to the tasks that count them as hashes (16 MB) up to so many; beyond, all phrases of frequent words are counted.
 MOST_HASHES = 2_000_000
 #: Parts that a language's phrases are dealt to before its first ones are taken.
@@ -41,8 +44,8 @@ def _encode(block_words: int):
                 for i in range(1, len(names), _ROWS):
                     some = names[i : i + _ROWS]
                     k = len(some)
-                    yield _row_batch([0] * k, [block] * k, [lang] * k, [total] * k, np.arange(i, i + k), some, n[i : i + k], [None] * k)
-                yield _row_batch([1], [block], [lang], [total], [None], [None], [None], [packed(x)])
+                    yield _row_batch([0] * k, [block] * k, [lang] * k, [total] * k, np.arange(i, i + k), some, n[i : i + k], [None] * k, [None] * k)
+                yield _row_batch([1], [block], [lang], [total], [None], [None], [None], [packed(x)], [names[1:]])
             size = 0
 
         for batch in batches:
@@ -63,14 +66,14 @@ def _encode(block_words: int):
     return run
 
 
-_BLOCK = "kind int, block long, lang string, total long, word_number int, word string, n long, numbers binary"
+_BLOCK = "kind int, block long, lang string, total long, word_number int, word string, n long, numbers binary, dictionary array<binary>"
 
 
-def _row_batch(kind, block, lang, total, number, word, n, numbers) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.binary()]
-    columns = [pa.array(x, t) for x, t in zip((kind, block, lang, total, number, word, n, numbers), kinds, strict=True)]
+def _row_batch(kind, block, lang, total, number, word, n, numbers, dictionary) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.binary())]
+    columns = [pa.array(x, t) for x, t in zip((kind, block, lang, total, number, word, n, numbers, dictionary), kinds, strict=True)]
     columns[5] = columns[5].cast(pa.string())
-    return pa.record_batch(columns, ["kind", "block", "lang", "total", "word_number", "word", "n", "numbers"])
+    return pa.record_batch(columns, ["kind", "block", "lang", "total", "word_number", "word", "n", "numbers", "dictionary"])
 
 
 def _levels(x: np.ndarray, keep: Callable[[int, np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -111,28 +114,45 @@ _MINED = "kind int, block long, lang string, phrase string, hash long, words arr
 _MINED_TYPES = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("lang", pa.string()), ("phrase", pa.string()), ("hash", pa.int64()), ("words", pa.list_(pa.binary())), ("numbers", pa.binary())])
 
 
-def _mine(support: int):
-    """Phrases of one block that reach its share of ``support`` (kind 0), and the block in numbers of frequent words (kind 1)."""
+def _mined(row: dict, words: list[bytes], word_numbers: np.ndarray, support: int) -> pa.Table:
+    """Phrases of one block that reach its share of ``support`` (kind 0), and the block in numbers of its frequent words (kind 1)."""
+    x = unpacked(row["numbers"], np.int32)
+    number = np.zeros(int(x.max(initial=0)) + 1, np.int32)
+    number[word_numbers] = np.arange(1, len(words) + 1)
+    x, of_word = number[x], _word_hashes(words)
+    least = -(-support * row["total"] // row["lang_words"])
+    found = [(_texts_of(x, at, k, words), _hashes(x, at, k, of_word)) for k, at, _ in _levels(x, lambda k, at, n: n >= least)]
+    size = sum(len(h) for _, h in found)
+    phrases = pa.Table.from_arrays(
+        [pa.array(np.zeros(size, np.int32)), pa.array(np.full(size, row["block"])), pa.array([row["lang"]] * size, pa.string()), pa.concat_arrays([t for t, _ in found]) if found else pa.array([], pa.string())]
+        + [pa.array(np.concatenate([h for _, h in found]) if found else np.empty(0, np.int64)), pa.nulls(size, pa.list_(pa.binary())), pa.nulls(size, pa.binary())],
+        schema=_MINED_TYPES,
+    )
+    whole = pa.Table.from_pylist([{"kind": 1, "block": row["block"], "lang": row["lang"], "words": words, "numbers": packed(x)}], schema=_MINED_TYPES)
+    return pa.concat_tables([phrases, whole])
+
+
+def _mine_alone(support: int, frequent: Broadcast):
+    """Blocks one by one, the frequent words of each language at hand."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in rows_of(batch):
+                of_lang = frequent.value.get(row["lang"], ())
+                at = [i for i, w in enumerate(row["dictionary"], 1) if w in of_lang]
+                if at:
+                    yield from _mined(row, [row["dictionary"][i - 1] for i in at], np.array(at), support).to_batches(_ROWS)
+
+    return run
+
+
+def _mine_joined(support: int):
+    """A block with those of its words that are frequent, brought to it by a join."""
 
     def run(blocks: pa.Table, frequent: pa.Table) -> pa.Table:
         if not frequent.num_rows:  # no frequent word: no phrase
             return _MINED_TYPES.empty_table()
-        row = blocks.to_pylist()[0]
-        x = unpacked(row["numbers"], np.int32)
-        words = frequent.column("word").cast(pa.binary()).to_pylist()
-        number = np.zeros(int(x.max(initial=0)) + 1, np.int32)
-        number[frequent.column("word_number").to_numpy()] = np.arange(1, len(words) + 1)
-        x, of_word = number[x], _word_hashes(words)
-        least = -(-support * row["total"] // row["lang_words"])
-        found = [(_texts_of(x, at, k, words), _hashes(x, at, k, of_word)) for k, at, _ in _levels(x, lambda k, at, n: n >= least)]
-        size = sum(len(h) for _, h in found)
-        phrases = pa.Table.from_arrays(
-            [pa.array(np.zeros(size, np.int32)), pa.array(np.full(size, row["block"])), pa.array([row["lang"]] * size, pa.string()), pa.concat_arrays([t for t, _ in found]) if found else pa.array([], pa.string())]
-            + [pa.array(np.concatenate([h for _, h in found]) if found else np.empty(0, np.int64)), pa.nulls(size, pa.list_(pa.binary())), pa.nulls(size, pa.binary())],
-            schema=_MINED_TYPES,
-        )
-        whole = pa.Table.from_pylist([{"kind": 1, "block": row["block"], "lang": row["lang"], "words": words, "numbers": packed(x)}], schema=_MINED_TYPES)
-        return pa.concat_tables([phrases, whole])
+        return _mined(blocks.to_pylist()[0], frequent.column("word").cast(pa.binary()).to_pylist(), frequent.column("word_number").to_numpy(), support)
 
     return run
 
@@ -180,9 +200,15 @@ def phrase_counts(docs: DataFrame, *, support: int = 100, text_col: str = "text"
     words = stored(held.groupBy("lang", "word").agg(F.sum("n").alias("n")), "phrase-words")
     langs = stored(words.groupBy("lang").agg(F.sum("n").alias("lang_words")), "phrase-langs")
     frequent = stored(words.where(F.col("n") >= support).join(small_or_shuffled(langs), "lang"), "phrase-frequent")
-    known = held.drop("n").join(small_or_shuffled(frequent.select("lang", "word")), ["lang", "word"]).select("block", "word_number", "word").toDF("block", "word_number", "word")
-    shards = blocks.where("kind = 1").select("block", "lang", "total", "numbers").join(small_or_shuffled(langs), "lang")
-    mined = stored(shards.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_mine(support), _MINED), "phrase-mined")
+    shards = blocks.where("kind = 1").select("block", "lang", "total", "numbers", "dictionary").join(small_or_shuffled(langs), "lang")
+    if frequent.count() <= MOST_WORDS:
+        by_lang: dict[str, set[bytes]] = {}
+        for r in frequent.select("lang", "word").toLocalIterator():
+            by_lang.setdefault(r.lang, set()).add(r.word.encode("utf-8", "surrogatepass"))
+        mined = stored(shards.mapInArrow(_mine_alone(support, docs.sparkSession.sparkContext.broadcast(by_lang)), _MINED), "phrase-mined")
+    else:
+        known = held.drop("n").join(frequent.select("lang", "word"), ["lang", "word"]).select("block", "word_number", "word").toDF("block", "word_number", "word")
+        mined = stored(shards.drop("dictionary").groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_mine_joined(support), _MINED), "phrase-mined")
     candidates = stored(mined.where("kind = 0").select("hash").distinct(), "phrase-candidates")
     hashes = None
     if candidates.count() <= MOST_HASHES:
