@@ -73,7 +73,7 @@ def test_collocations_equal_brute_force(spark, monkeypatch, block_words, hashes,
     docs += [(None, "en"), ("", None), ("New york the the the the the the New york", None), ("x " * 700, "fr")] + [("alpha beta gamma delta epsilon zeta", "en")] * 9
     df = spark.createDataFrame([(t, lang, 1, "clash") for t, lang in docs], "text string, lang string, n long, word string").repartition(5)
     counts = phrases.phrase_counts
-    monkeypatch.setattr(phrases, "phrase_counts", lambda *a, **k: counts(*a, **k, block_words=block_words))
+    monkeypatch.setattr(phrases, "phrase_counts", lambda *a, **k: counts(*a, **k, block_words=block_words, shard_words=2 * block_words))
     want = brute_collocations(docs, 6, 40)
     assert found_rows(phrases.collocations(df, support=6, top=40)) == want and len(want) > 60
     assert phrases.collocations(df.where("false"), support=6).count() == 0

@@ -15,6 +15,8 @@ from .shared import bounded_batches, small_or_shuffled, stored
 from .word_blocks import BLOCK_WORDS, BORDER, Numbering, block_number, byte_table, packed, raw_texts, rows_of, slices, unpacked
 
 LONGEST = 5
+#: Words of a shard: what a task can mine at a time, in about ten arrays of that length.
+SHARD_WORDS = 4_000_000
 #: Frequent words that every task may hold (some 30 MB); where there are more, each block meets its own by a join.
 MOST_WORDS = 300_000
 #: Candidates are sent to the tasks that count them as hashes (16 MB) up to so many; beyond, all phrases of frequent words are counted.
@@ -114,34 +116,51 @@ _MINED = "kind int, block long, lang string, phrase string, hash long, words arr
 _MINED_TYPES = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("lang", pa.string()), ("phrase", pa.string()), ("hash", pa.int64()), ("words", pa.list_(pa.binary())), ("numbers", pa.binary())])
 
 
-def _mined(row: dict, words: list[bytes], word_numbers: np.ndarray, support: int) -> pa.Table:
-    """Phrases of one block that reach its share of ``support`` (kind 0), and the block in numbers of its frequent words (kind 1)."""
-    x = unpacked(row["numbers"], np.int32)
-    number = np.zeros(int(x.max(initial=0)) + 1, np.int32)
-    number[word_numbers] = np.arange(1, len(words) + 1)
-    x, of_word = number[x], _word_hashes(words)
-    least = -(-support * row["total"] // row["lang_words"])
-    found = [(_texts_of(x, at, k, words), _hashes(x, at, k, of_word)) for k, at, _ in _levels(x, lambda k, at, n: n >= least)]
-    size = sum(len(h) for _, h in found)
-    phrases = pa.Table.from_arrays(
-        [pa.array(np.zeros(size, np.int32)), pa.array(np.full(size, row["block"])), pa.array([row["lang"]] * size, pa.string()), pa.concat_arrays([t for t, _ in found]) if found else pa.array([], pa.string())]
-        + [pa.array(np.concatenate([h for _, h in found]) if found else np.empty(0, np.int64)), pa.nulls(size, pa.list_(pa.binary())), pa.nulls(size, pa.binary())],
-        schema=_MINED_TYPES,
-    )
-    whole = pa.Table.from_pylist([{"kind": 1, "block": row["block"], "lang": row["lang"], "words": words, "numbers": packed(x)}], schema=_MINED_TYPES)
-    return pa.concat_tables([phrases, whole])
+def _mined(x: np.ndarray, words: list[bytes], block: int, lang: str, total: int, lang_words: int, support: int) -> Iterator[pa.Table]:
+    """Phrases of a shard that reach its share of ``support`` (kind 0), and the shard in numbers of its frequent words (kind 1)."""
+    of_word, least = _word_hashes(words), -(-support * total // lang_words)
+    for k, at, _ in _levels(x, lambda k, at, n: n >= least):
+        for i in range(0, len(at), _ROWS):
+            some = at[i : i + _ROWS]
+            n = len(some)
+            columns = [pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, block)), pa.array([lang] * n, pa.string()), _texts_of(x, some, k, words), pa.array(_hashes(x, some, k, of_word)), pa.nulls(n, pa.list_(pa.binary())), pa.nulls(n, pa.binary())]
+            yield pa.Table.from_arrays(columns, schema=_MINED_TYPES)
+    yield pa.Table.from_pylist([{"kind": 1, "block": block, "lang": lang, "words": words, "numbers": packed(x)}], schema=_MINED_TYPES)
 
 
-def _mine_alone(support: int, frequent: Broadcast):
-    """Blocks one by one, the frequent words of each language at hand."""
+def _mine_alone(support: int, frequent: Broadcast, shard_words: int):
+    """Blocks of a language, as they lie in a task, put together to shards and mined; the frequent words of each language are at hand."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[np.ndarray] = []
+        first: dict = {}
+        total = 0
+
+        def mine() -> Iterator[pa.RecordBatch]:
+            nonlocal total
+            if parts:
+                x = np.concatenate(parts)
+                used = np.unique(x[x > 0])
+                if len(used):
+                    number = np.zeros(int(used[-1]) + 1, np.int32)
+                    number[used] = np.arange(1, len(used) + 1)
+                    names = frequent.value[first["lang"]][1]
+                    for table in _mined(number[x], [names[w - 1] for w in used.tolist()], first["block"], first["lang"], total, first["lang_words"], support):
+                        yield from table.to_batches()
+            parts.clear()
+            total = 0
+
         for batch in batches:
             for row in rows_of(batch):
-                of_lang = frequent.value.get(row["lang"], ())
-                at = [i for i, w in enumerate(row["dictionary"], 1) if w in of_lang]
-                if at:
-                    yield from _mined(row, [row["dictionary"][i - 1] for i in at], np.array(at), support).to_batches(_ROWS)
+                if parts and (row["lang"] != first["lang"] or total + row["total"] > shard_words):
+                    yield from mine()
+                if not parts:
+                    first = {k: row[k] for k in ("lang", "block", "lang_words")}
+                of_lang = frequent.value.get(row["lang"], ({}, []))[0]
+                number = np.array([0, *(of_lang.get(w, 0) for w in row["dictionary"])], np.int32)
+                parts.append(number[unpacked(row["numbers"], np.int32)])
+                total += row["total"]
+        yield from mine()
 
     return run
 
@@ -152,7 +171,11 @@ def _mine_joined(support: int):
     def run(blocks: pa.Table, frequent: pa.Table) -> pa.Table:
         if not frequent.num_rows:  # no frequent word: no phrase
             return _MINED_TYPES.empty_table()
-        return _mined(blocks.to_pylist()[0], frequent.column("word").cast(pa.binary()).to_pylist(), frequent.column("word_number").to_numpy(), support)
+        row, words = blocks.to_pylist()[0], frequent.column("word").cast(pa.binary()).to_pylist()
+        x = unpacked(row["numbers"], np.int32)
+        number = np.zeros(int(x.max(initial=0)) + 1, np.int32)
+        number[frequent.column("word_number").to_numpy()] = np.arange(1, len(words) + 1)
+        return pa.concat_tables(_mined(number[x], words, row["block"], row["lang"], row["total"], row["lang_words"], support))
 
     return run
 
@@ -181,12 +204,13 @@ def _count(candidates: np.ndarray | None):
     return run
 
 
-def phrase_counts(docs: DataFrame, *, support: int = 100, text_col: str = "text", lang_col: str = "lang", block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
+def phrase_counts(docs: DataFrame, *, support: int = 100, text_col: str = "text", lang_col: str = "lang", block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame]:
     """Words and phrases of 2 to 5 words with at least ``support`` occurrences in a language, each counted over all texts.
 
     Returns (words: lang, word, n, lang_words; phrases: lang, phrase, n). Texts are split as ``collocations`` says.
 
-    Documents are cut into shards of at most about ``block_words`` words of one language, long texts at the borders of pieces.
+    Documents are cut into blocks of about ``block_words`` words, long texts at the borders of pieces, and blocks of one language are put together to
+    shards of about ``shard_words``.
     A phrase with ``support`` occurrences in a language has in some shard at least that shard's share of them, so each shard is
     mined completely at its share, rounded up; the union of what was found is then counted in every shard. All words of
     such a phrase reach the support, so only those, counted beforehand, take part. Shuffled are distinct words and
@@ -202,10 +226,15 @@ def phrase_counts(docs: DataFrame, *, support: int = 100, text_col: str = "text"
     frequent = stored(words.where(F.col("n") >= support).join(small_or_shuffled(langs), "lang"), "phrase-frequent")
     shards = blocks.where("kind = 1").select("block", "lang", "total", "numbers", "dictionary").join(small_or_shuffled(langs), "lang")
     if frequent.count() <= MOST_WORDS:
-        by_lang: dict[str, set[bytes]] = {}
+        by_lang: dict[str, tuple[dict[bytes, int], list[bytes]]] = {}
         for r in frequent.select("lang", "word").toLocalIterator():
-            by_lang.setdefault(r.lang, set()).add(r.word.encode("utf-8", "surrogatepass"))
-        mined = stored(shards.mapInArrow(_mine_alone(support, docs.sparkSession.sparkContext.broadcast(by_lang)), _MINED), "phrase-mined")
+            number, names = by_lang.setdefault(r.lang, ({}, []))
+            names.append(r.word.encode("utf-8", "surrogatepass"))
+            number[names[-1]] = len(names)
+        # As many groups of a language's blocks as it has shards; a task mines one after the other.
+        group = F.pmod(F.xxhash64("block"), F.ceil(F.col("lang_words") / shard_words))
+        dealt = shards.withColumn("group", group).repartition("lang", "group").sortWithinPartitions("lang", "group").drop("group")
+        mined = stored(dealt.mapInArrow(_mine_alone(support, docs.sparkSession.sparkContext.broadcast(by_lang), shard_words), _MINED), "phrase-mined")
     else:
         known = held.drop("n").join(frequent.select("lang", "word"), ["lang", "word"]).select("block", "word_number", "word").toDF("block", "word_number", "word")
         mined = stored(shards.drop("dictionary").groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_mine_joined(support), _MINED), "phrase-mined")
