@@ -15,8 +15,8 @@ from .shared import bounded_batches, small_or_shuffled, stored
 from .word_blocks import BLOCK_WORDS, BORDER, Numbering, block_number, byte_table, packed, raw_texts, rows_of, slices, unpacked
 
 LONGEST = 5
-#: Words of a shard: what a task can mine at a time, in about ten arrays of that length.
-SHARD_WORDS = 4_000_000
+#: Words of a shard: what a task can mine at a time, in a few arrays of that length.
+SHARD_WORDS = 3_000_000
 #: Frequent words that every task may hold (some 30 MB); where there are more, each block meets its own by a join.
 MOST_WORDS = 300_000
 #: Candidates are sent to the tasks that count them as hashes (16 MB) up to so many; beyond, all phrases of frequent words are counted.
@@ -78,21 +78,29 @@ def _row_batch(kind, block, lang, total, number, word, n, numbers, dictionary) -
     return pa.record_batch(columns, ["kind", "block", "lang", "total", "word_number", "word", "n", "numbers", "dictionary"])
 
 
-def _levels(x: np.ndarray, keep: Callable[[int, np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Distinct phrases of 2 words and more, length by length: (length, a place of each, counts) of those to keep.
+def _levels(x: np.ndarray, least: int = 1, candidate: Callable[[int, np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Distinct phrases of 2 words and more, length by length, that are ``candidate`` and occur ``least`` times: (length, a place of each, counts).
 
     A phrase is looked at only where the two one word shorter that it is made of were kept.
     """
-    g, base = x.astype(np.int64), int(x.max(initial=0)) + 1
+    g, base = x, int(x.max(initial=0)) + 1
     for k in range(2, LONGEST + 1):
-        at = np.flatnonzero((g[:-1] > 0) & (g[1:] > 0))
+        at = np.flatnonzero((g[:-1] > 0) & (g[1:] > 0)).astype(np.int32)
+        if candidate is not None:
+            at = at[candidate(k, at)]
         if not len(at):
             return
-        _, first, inverse, n = np.unique(g[at] * base + x[at + k - 1], return_index=True, return_inverse=True, return_counts=True)
-        ok = keep(k, at[first], n)
-        yield k, at[first][ok], n[ok]
-        g = np.zeros(len(g) - 1, np.int64)
-        g[at] = (np.cumsum(ok) * ok)[inverse]
+        code = g[at] * np.int64(base) + x[at + (k - 1)]
+        order = np.argsort(code, kind="stable")
+        code, at = code[order], at[order]
+        del order
+        first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        del code
+        n = np.diff(np.append(first, len(at)))
+        ok = n >= least
+        yield k, at[first[ok]], n[ok]
+        g = np.zeros(len(g) - 1, np.int32)
+        g[at] = np.repeat((np.cumsum(ok) * ok).astype(np.int32), n)
 
 
 def _hashes(x: np.ndarray, at: np.ndarray, k: int, of_word: np.ndarray) -> np.ndarray:
@@ -119,7 +127,7 @@ _MINED_TYPES = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("lang",
 def _mined(x: np.ndarray, words: list[bytes], block: int, lang: str, total: int, lang_words: int, support: int) -> Iterator[pa.Table]:
     """Phrases of a shard that reach its share of ``support`` (kind 0), and the shard in numbers of its frequent words (kind 1)."""
     of_word, least = _word_hashes(words), -(-support * total // lang_words)
-    for k, at, _ in _levels(x, lambda k, at, n: n >= least):
+    for k, at, _ in _levels(x, least):
         for i in range(0, len(at), _ROWS):
             some = at[i : i + _ROWS]
             n = len(some)
@@ -189,14 +197,11 @@ def _count(candidates: np.ndarray | None):
                 x, words = unpacked(row["numbers"], np.int32), row["words"]
                 of_word = _word_hashes(words)
 
-                def keep(k: int, at: np.ndarray, n: np.ndarray, x=x, of_word=of_word) -> np.ndarray:
-                    if candidates is None:
-                        return np.ones(len(at), bool)
+                def known(k: int, at: np.ndarray, x=x, of_word=of_word) -> np.ndarray:
                     h = _hashes(x, at, k, of_word)
-                    place = np.minimum(np.searchsorted(candidates, h), len(candidates) - 1)
-                    return candidates[place] == h
+                    return candidates[np.minimum(np.searchsorted(candidates, h), len(candidates) - 1)] == h
 
-                for k, at, n in _levels(x, keep):
+                for k, at, n in _levels(x, candidate=None if candidates is None else known):
                     for i in range(0, len(at), _ROWS):
                         some = at[i : i + _ROWS]
                         yield pa.record_batch([pa.array([row["lang"]] * len(some), pa.string()), _texts_of(x, some, k, words), pa.array(n[i : i + _ROWS])], ["lang", "phrase", "n"])
