@@ -142,6 +142,39 @@ def test_neighbours_with_copies_and_bad_vectors(spark):
     assert sorted((r.query_id, r.rank) for r in neighbours.nearest_vectors(few).collect()) == [(0, 1), (0, 2)]
 
 
+def test_rare_lengths_lose_no_neighbour(spark, monkeypatch):
+    """A dozen vectors of another length among many blocks of others, and two whose length nobody else has but each other."""
+    monkeypatch.setattr(neighbours, "START_BLOCK", 40)
+    rng = np.random.default_rng(11)
+    rows = [(i, rng.normal(0, 1, 8).tolist()) for i in range(1, 1500)] + [(20_000 + 20 * i, rng.normal(0, 1, 4).tolist()) for i in range(12)] + [(40_000, [1.0]), (40_020, [2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest_vectors(df).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    vectors = dict(rows)
+    for q in (i for i in vectors if i % 20 == 0):
+        same = [i for i in vectors if i != q and len(vectors[i]) == len(vectors[q])]
+        assert len(got[q]) == min(20, len(same))
+        if len(same) < 20:
+            want = sorted(same, key=lambda i: (-float(np.dot(vectors[i], vectors[q])), i))
+            assert [v for _, v, _ in sorted(got[q])] == want
+
+
+def test_walks_that_end_early_are_completed(spark, monkeypatch):
+    """A graph without edges: all queries are held against all vectors, in blocks."""
+    monkeypatch.setattr(neighbours, "greedy_search", lambda graph, codes, queries: queries.select("query", queries["query"].alias("node"), F.lit(0.0).alias("score")))
+    rng = np.random.default_rng(12)
+    rows = [(i, rng.normal(0, 1, 6).tolist()) for i in range(200)] + [(1000 + i, [9.0] * 6) for i in range(70)]
+    got = {}
+    for r in neighbours.nearest_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    vectors = dict(rows)
+    for q in (i for i in vectors if i % 20 == 0):
+        want = sorted((i for i in vectors if i != q), key=lambda i: (-sum(a * b for a, b in zip(vectors[q], vectors[i], strict=True)), i))[:20]
+        assert [v for _, v in sorted(got[q])] == want
+
+
+
 # --- Audio ---------------------------------------------------------------------------------------------------
 
 

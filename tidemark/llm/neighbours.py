@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import join_per_key, stored
+from .shared import join_per_key, small_or_shuffled, stored
 
 #: Neighbours kept per node, reverse ones looked at, candidates passed on per node and join.
 NEIGHBOURS, REVERSE, PASSED = 40, 32, 6
@@ -141,17 +141,18 @@ def _reverse(graph: DataFrame, most: int, order) -> DataFrame:
 def neighbour_graph(codes: DataFrame, *, k: int = NEIGHBOURS, settled: float = 0.01, seed: int = 3) -> DataFrame:
     """NN-descent over (node, size, code, scale): edges (src, dst, score, fresh) to about the k nearest nodes of each.
 
-    Nodes start with the nearest of two random blocks of nodes of their size. In a round each node's neighbours, and up to
+    Nodes start with the nearest of two random blocks of nodes of their size; the nodes of a size that fit one block are all in it, however
+    many there are of other sizes. In a round each node's neighbours, and up to
     ``REVERSE`` nodes that it is a neighbour of, meet at it by a join, unless none of these edges is new; pairs
     with a new edge are scored there, and each member takes the best few that are nearer than its farthest
     neighbour. It goes on until under ``settled`` of all edges are new; scores only ever rise, so it ends. A
     shuffle holds at most (k + REVERSE) 8-bit vectors per node; a node that is many nodes' neighbour is sent to
     them by a broadcast.
     """
-    n = codes.count()
-    blocks = max(1, round(n / START_BLOCK))
-    turns = F.explode(F.sequence(F.lit(0), F.lit(START_BLOCKS - 1 if blocks > 1 else 0))).alias("turn")
-    dealt = codes.select("node", "size", "code", "scale", turns).select("node", "code", "scale", F.xxhash64(F.pmod(F.xxhash64("node", F.col("turn") + seed), F.lit(blocks)), "turn", "size").alias("block"))
+    per_size = stored(codes.groupBy("size").agg(F.greatest(F.lit(1), F.round(F.count(F.lit(1)) / START_BLOCK)).cast("long").alias("blocks")), "sizes")
+    turns = F.explode(F.sequence(F.lit(0), F.when(F.col("blocks") > 1, START_BLOCKS - 1).otherwise(0))).alias("turn")
+    sized = codes.join(small_or_shuffled(per_size), "size").select("node", "size", "code", "scale", "blocks", turns)
+    dealt = sized.select("node", "code", "scale", F.xxhash64(F.pmod(F.xxhash64("node", F.col("turn") + seed), F.col("blocks")), "turn", "size").alias("block"))
     start = _grouped(dealt, "block", _within_block(k), _EDGE).withColumn("old", F.lit(False))
     graph = stored(_grouped(start, "src", _nearest(k), f"{_EDGE}, fresh boolean"), "graph")
     for i in range(MOST_ROUNDS):
@@ -225,6 +226,50 @@ def greedy_search(graph: DataFrame, codes: DataFrame, queries: DataFrame, *, bea
     raise RuntimeError(f"walks did not end in {MOST_ROUNDS} rounds")
 
 
+def _nearest_of_all(queries: list[tuple[int, list[float]]], top: int):
+    """The ``top`` nearest nodes of each query among a task's nodes of its length, by brute force."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sides: dict[int, tuple[list[int], np.ndarray]] = {}
+        for n in {len(v) for _, v in queries}:
+            some = [(q, v) for q, v in queries if len(v) == n]
+            sides[n] = [q for q, _ in some], np.array([v for _, v in some])
+        held: dict[int, list[tuple[float, int]]] = {}
+        for batch in batches:
+            sizes = np.array([len(v) for v in batch.column(1)], int)
+            for n in set(sizes.tolist()) & set(sides):
+                at, (asked, m) = np.flatnonzero(sizes == n), sides[n]
+                nodes = batch.column(0).to_numpy()[at]
+                g = m @ batch.column(1).take(pa.array(at)).flatten().to_numpy().reshape(len(at), n).T
+                k = min(top, len(at))
+                best = np.argpartition(-g, k - 1, axis=1)[:, :k]
+                for q, row, b in zip(asked, g, best, strict=True):
+                    held[q] = sorted(held.get(q, []) + [(-float(row[i]), int(nodes[i])) for i in b])[:top]
+        rows = [(q, node) for q, some in held.items() for _, node in some]
+        yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["query", "node"])
+
+    return run
+
+
+def _whole(pairs: DataFrame, nodes: DataFrame, queries: DataFrame, top: int, block: int = 500) -> DataFrame:
+    """``pairs`` with what queries lack that have fewer than ``top`` candidates in them though there are more: they are held against all nodes, in blocks of queries."""
+    ids = nodes.select("node", F.size("v").alias("size"), F.size("ids").alias("n"))
+    there = stored(ids.groupBy("size").agg(F.sum("n").alias("there")), "sizes")  # ids beyond top + 1 of one vector do not count, and need not
+    got = pairs.distinct().join(ids.select("node", "n"), "node").groupBy("query").agg(F.sum("n").alias("got"))
+    need = queries.join(ids.select(F.col("node").alias("query"), "size"), "query").join(small_or_shuffled(there), "size").join(got, "query", "left")
+    short = stored(need.where(F.coalesce("got", F.lit(0)) < F.least(F.lit(top + 1), F.col("there"))).select(F.col("query").alias("node")).join(nodes.select("node", "v"), "node"), "short")
+    out, some = pairs, []
+
+    def met(asked: list) -> DataFrame:
+        return nodes.select("node", "v").mapInArrow(_nearest_of_all(asked, top + 1), "query long, node long")
+
+    for r in short.toLocalIterator():
+        some.append((r.node, list(r.v)))
+        if len(some) == block:
+            out, some = out.union(stored(met(some), "exact")), []
+    return out.union(stored(met(some), "exact")) if some else out
+
+
 def nearest_vectors(vectors: DataFrame, *, top: int = 20, every: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """The ``top`` nearest vectors by inner product of each one whose id is divisible by ``every``.
 
@@ -233,21 +278,24 @@ def nearest_vectors(vectors: DataFrame, *, top: int = 20, every: int = 20, id_co
     vectors rounded to 8 bits; the nodes found are scored again exactly.
 
     Null ids, null, zero and empty vectors and those with a null or non-finite component take no part. Vectors of
-    different lengths have no product: each is searched among those of its own length. Equal vectors are one
+    different lengths have no product: each is searched among those of its own length, be they few or many. Equal vectors are one
     node with its ``top + 1`` smallest ids, so copies in any number neither crowd the graph nor are lost.
-    Repeated rows of an id and vector count once; an id with several vectors stands for each of them. Fewer
-    candidates than ``top`` are all returned, as far as the graph reaches them.
+    Repeated rows of an id and vector count once; an id with several vectors stands for each of them. Every query has ``top`` rows, or all
+    candidates if they are fewer: what the walks leave short is searched for among all vectors, in blocks of queries.
     """
     v = F.transform(F.col(f"`{vec_col}`"), lambda x: x.cast("double"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & ~bad & F.exists("v", lambda x: x != 0))
-    few = rows.distinct().withColumn("place", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("place") <= top + 1)
-    nodes = stored(few.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")).select(F.xxhash64("v").alias("node"), "v", "ids"), "nodes")
+    # Copies are dealt to 64 groups, each of which sends its smallest ids only.
+    dealt = rows.distinct().withColumn("group", F.pmod(F.xxhash64("id"), F.lit(64)))
+    few = dealt.withColumn("place", F.row_number().over(Window.partitionBy("v", "group").orderBy("id"))).where(F.col("place") <= top + 1)
+    nodes = stored(few.groupBy("v").agg(F.slice(F.array_sort(F.collect_list("id")), 1, top + 1).alias("ids")).select(F.xxhash64("v").alias("node"), "v", "ids"), "nodes")
     codes = stored(nodes.select("node", "v").mapInArrow(_quantise, "node long, code binary, scale float").withColumn("size", F.octet_length("code")), "codes")
     asked = stored(rows.where(F.col("id") % every == 0).select("id", F.xxhash64("v").alias("query")).distinct(), "asked")
     queries = asked.select("query").distinct()
     found = greedy_search(neighbour_graph(codes), codes, queries)
-    pairs = found.select("query", "node").union(queries.select("query", F.col("query").alias("node")))  # copies of the query itself
+    pairs = stored(found.select("query", "node").union(queries.select("query", F.col("query").alias("node"))), "pairs")  # copies of the query itself
+    pairs = _whole(pairs, nodes, queries, top).distinct()
     exact = pairs.join(nodes.select(F.col("node").alias("query"), F.col("v").alias("q")), "query").join(nodes, "node")
     product = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     scored = exact.select("query", product.alias("score"), F.explode("ids").alias("vec_id"))
