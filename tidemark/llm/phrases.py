@@ -120,20 +120,18 @@ def _texts_of(x: np.ndarray, at: np.ndarray, k: int, words: list[bytes]) -> pa.A
     return pa.array([b" ".join([names[w] for w in row]) for row in x[at[:, None] + np.arange(k)].tolist()], pa.binary()).cast(pa.string())
 
 
-_MINED = "kind int, block long, lang string, phrase string, hash long, words array<binary>, numbers binary"
-_MINED_TYPES = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("lang", pa.string()), ("phrase", pa.string()), ("hash", pa.int64()), ("words", pa.list_(pa.binary())), ("numbers", pa.binary())])
+_MINED = "kind int, block long, lang string, hash long, n long, least long, words array<binary>, numbers binary"
+_MINED_TYPES = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("lang", pa.string()), ("hash", pa.int64()), ("n", pa.int64()), ("least", pa.int64()), ("words", pa.list_(pa.binary())), ("numbers", pa.binary())])
 
 
 def _mined(x: np.ndarray, words: list[bytes], block: int, lang: str, total: int, lang_words: int, support: int) -> Iterator[pa.Table]:
     """Phrases of a shard that reach its share of ``support`` (kind 0), and the shard in numbers of its frequent words (kind 1)."""
     of_word, least = _word_hashes(words), -(-support * total // lang_words)
-    for k, at, _ in _levels(x, least):
-        for i in range(0, len(at), _ROWS):
-            some = at[i : i + _ROWS]
-            n = len(some)
-            columns = [pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, block)), pa.array([lang] * n, pa.string()), _texts_of(x, some, k, words), pa.array(_hashes(x, some, k, of_word)), pa.nulls(n, pa.list_(pa.binary())), pa.nulls(n, pa.binary())]
-            yield pa.Table.from_arrays(columns, schema=_MINED_TYPES)
-    yield pa.Table.from_pylist([{"kind": 1, "block": block, "lang": lang, "words": words, "numbers": packed(x)}], schema=_MINED_TYPES)
+    for k, at, n in _levels(x, least):
+        m = len(at)
+        columns = [pa.array(np.zeros(m, np.int32)), pa.array(np.full(m, block)), pa.array([lang] * m, pa.string()), pa.array(_hashes(x, at, k, of_word)), pa.array(n.astype(np.int64)), pa.array(np.full(m, least)), pa.nulls(m, pa.list_(pa.binary())), pa.nulls(m, pa.binary())]
+        yield pa.Table.from_arrays(columns, schema=_MINED_TYPES)
+    yield pa.Table.from_pylist([{"kind": 1, "block": block, "lang": lang, "least": least, "words": words, "numbers": packed(x)}], schema=_MINED_TYPES)
 
 
 def _mine_alone(support: int, frequent: Broadcast, shard_words: int):
@@ -154,7 +152,7 @@ def _mine_alone(support: int, frequent: Broadcast, shard_words: int):
                     number[used] = np.arange(1, len(used) + 1)
                     names = frequent.value[first["lang"]][1]
                     for table in _mined(number[x], [names[w - 1] for w in used.tolist()], first["block"], first["lang"], total, first["lang_words"], support):
-                        yield from table.to_batches()
+                        yield from table.to_batches(_ROWS)
             parts.clear()
             total = 0
 
@@ -217,7 +215,8 @@ def phrase_counts(docs: DataFrame, *, support: int = 100, text_col: str = "text"
     Documents are cut into blocks of about ``block_words`` words, long texts at the borders of pieces, and blocks of one language are put together to
     shards of about ``shard_words``.
     A phrase with ``support`` occurrences in a language has in some shard at least that shard's share of them, so each shard is
-    mined completely at its share, rounded up; the union of what was found is then counted in every shard. All words of
+    mined completely at its share, rounded up; the union of what was found is then counted in every shard, but for phrases that fall short
+    of the support even if every other shard held them as often as it could unnoticed. All words of
     such a phrase reach the support, so only those, counted beforehand, take part. Shuffled are distinct words and
     phrases of a shard with their counts and the packed shards, never positions. Shards do not grow with the corpus:
     the larger it is, the lower a shard's share, down to one occurrence, when the union is all phrases of frequent words.
@@ -243,7 +242,10 @@ def phrase_counts(docs: DataFrame, *, support: int = 100, text_col: str = "text"
     else:
         known = held.drop("n").join(frequent.select("lang", "word"), ["lang", "word"]).select("block", "word_number", "word").toDF("block", "word_number", "word")
         mined = stored(shards.drop("dictionary").groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_mine_joined(support), _MINED), "phrase-mined")
-    candidates = stored(mined.where("kind = 0").select("hash").distinct(), "phrase-candidates")
+    # A shard in which a phrase was not found holds it at most one time less than its share: so much can be added to what was found.
+    unseen = small_or_shuffled(stored(mined.where("kind = 1").groupBy("lang").agg(F.sum(F.col("least") - 1).alias("unseen")), "phrase-unseen"))
+    found = mined.where("kind = 0").groupBy("lang", "hash").agg(F.sum("n").alias("n"), F.sum(F.col("least") - 1).alias("spared"))
+    candidates = stored(found.join(unseen, "lang").where(F.col("n") + F.col("unseen") - F.col("spared") >= support).select("hash").distinct(), "phrase-candidates")
     hashes = None
     if candidates.count() <= MOST_HASHES:
         hashes = np.sort(candidates.toArrow().column(0).to_numpy().astype(np.int64))
