@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..operators.consensus import distinct_buyer_score, rank_recommendations
 from ..sources.fixtures import view
-from . import activation_queries, certify_queries, extra_queries, identity_queries, market_queries, portfolio_queries, quality_queries, row_queries, scalar_queries, setup_queries, stream_queries
+from . import activation_queries, certify_queries, extra_queries, identity_queries, market_queries, portfolio_queries, quality_queries, row_queries, scalar_queries, setup_queries, source_queries, stream_queries
 
-_PARTS = (scalar_queries, market_queries, row_queries, portfolio_queries, quality_queries, stream_queries, extra_queries, identity_queries, certify_queries, setup_queries, activation_queries)
+_PARTS = (scalar_queries, market_queries, row_queries, portfolio_queries, quality_queries, stream_queries, extra_queries, identity_queries, certify_queries, setup_queries, activation_queries, source_queries)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for p in _PARTS for k, v in p.ORACLES.items()}
 

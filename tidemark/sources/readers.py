@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -34,39 +37,67 @@ def read_daily_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     return mine.where(good).select("cik", "accession", "filing_date", "path", "form"), mine.where(~F.coalesce(good, F.lit(False))).select("value")
 
 
-def read_form4(spark: SparkSession, path: str) -> DataFrame:
-    """Open-market purchases and sales (codes P and S) of ownership documents, with shares times price.
+def read_form4(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of ownership documents: open-market purchases and sales (codes P and S) with shares times price.
 
-    is_10b5_1: the checkbox, or else a footnote that names the rule and does not deny it.
+    is_10b5_1: the checkbox, or else a footnote that names the rule and does not deny it. One such transaction that lacks an owner, ticker, date, shares
+    or price, or cannot be read, rejects its document, with all reasons.
     """
     money = "struct<value: string>"
     schema = (
-        f"documentType string, issuer struct<issuerTradingSymbol: string>, aff10b5One string, footnotes struct<footnote: array<string>>, "
-        f"nonDerivativeTable struct<nonDerivativeTransaction: array<struct<transactionDate: {money}, transactionCoding: struct<transactionCode: string>, transactionAmounts: struct<transactionShares: {money}, transactionPricePerShare: {money}>>>>"
+        f"documentType string, issuer struct<issuerTradingSymbol: string>, reportingOwner struct<reportingOwnerId: struct<rptOwnerName: string>>, aff10b5One string, footnotes struct<footnote: array<string>>, "
+        f"nonDerivativeTable struct<nonDerivativeTransaction: array<struct<securityTitle: {money}, transactionDate: {money}, transactionCoding: struct<transactionCode: string>, transactionAmounts: struct<transactionShares: {money}, transactionPricePerShare: {money}>>>>"
     )
     docs = spark.read.format("xml").option("rowTag", "ownershipDocument").schema(schema).load(path).withColumn("file", F.col("_metadata.file_path"))
     notes = F.lower(F.array_join("footnotes.footnote", " "))
     plan = F.when(F.col("aff10b5One").isNotNull(), F.lower("aff10b5One").isin("1", "true")).otherwise(F.coalesce(notes.rlike("10b5-?1") & ~notes.rlike("not\\s+(?:made\\s+)?(?:pursuant|under)"), F.lit(False)))
-    t = docs.select("file", F.col("issuer.issuerTradingSymbol").alias("ticker"), plan.alias("is_10b5_1"), F.posexplode("nonDerivativeTable.nonDerivativeTransaction").alias("place", "t"))
-    shares, price = F.col("t.transactionAmounts.transactionShares.value").try_cast("decimal(18,4)"), F.col("t.transactionAmounts.transactionPricePerShare.value").try_cast("decimal(18,4)")
-    code = F.col("t.transactionCoding.transactionCode")
-    return t.where(code.isin("P", "S")).select("file", "place", "ticker", "is_10b5_1", F.when(code == "P", "Purchase").otherwise("Sale").alias("transaction_type"), F.try_to_date("t.transactionDate.value", "yyyy-MM-dd").alias("transaction_date"), shares.alias("shares"), price.alias("price"), (shares * price).cast("double").alias("amount"))
-
-
-def read_13f_holdings(spark: SparkSession, path: str) -> DataFrame:
-    """Holdings per file and CUSIP of information tables: shares only, no options; the total only if every value is there."""
-    schema = "nameOfIssuer string, cusip string, value double, putCall string, shrsOrPrnAmt struct<sshPrnamt: double, sshPrnamtType: string>"
+    owner, ticker = F.trim("reportingOwner.reportingOwnerId.rptOwnerName"), F.upper(F.trim("issuer.issuerTradingSymbol"))
+    transactions = F.transform("nonDerivativeTable.nonDerivativeTransaction", lambda t, i: F.struct(
+        (i + 1).alias("place"), F.upper(F.trim(t["transactionCoding"]["transactionCode"])).alias("code"), F.coalesce(F.trim(t["securityTitle"]["value"]), F.lit("Common Stock")).alias("title"),
+        F.try_to_date(t["transactionDate"]["value"], "yyyy-MM-dd").alias("day"), t["transactionAmounts"]["transactionShares"]["value"].try_cast("decimal(18,4)").alias("shares"), t["transactionAmounts"]["transactionPricePerShare"]["value"].try_cast("decimal(18,4)").alias("price")))
+    market = F.filter(transactions, lambda t: t["code"].isin("P", "S"))
+    docs = docs.select("file", owner.alias("owner"), ticker.alias("ticker"), plan.alias("is_10b5_1"), market.alias("market")).where(F.size("market") > 0)
+    lacks = lambda f: F.exists("market", lambda t: t[f].isNull())
+    empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    rules = {"owner name": empty("owner"), "ticker": empty("ticker"), "transaction date": lacks("day"), "shares": lacks("shares"), "price": lacks("price")}
+    docs = docs.withColumn("reasons", F.array_compact(F.array(*(F.when(c, n) for n, c in rules.items()))))
+    t = docs.where("size(reasons) = 0").select("file", "owner", "ticker", "is_10b5_1", F.explode("market").alias("t"))
+    plain = lambda c: F.regexp_replace(F.regexp_replace(c.cast("string"), "(\\.[0-9]*?)0+$", "$1"), "\\.$", "")
+    description = F.concat(F.col("t.title"), F.lit("; "), plain(F.col("t.shares")), F.lit(" shares @ $"), plain(F.col("t.price")), F.lit("; is_10b5_1="), F.col("is_10b5_1").cast("string"))
+    rows = t.select("file", F.col("t.place").alias("place"), F.col("owner").alias("member"), "ticker", "is_10b5_1", F.when(F.col("t.code") == "P", "Purchase").otherwise("Sale").alias("transaction_type"), F.col("t.day").alias("transaction_date"), F.col("t.shares").alias("shares"), F.col("t.price").alias("price"), (F.col("t.shares") * F.col("t.price")).cast("double").alias("amount"), description.alias("asset_description"))
+    return rows, docs.where("size(reasons) > 0").select("file", "owner", "ticker", "reasons")
+
+
+def read_13f_holdings(spark: SparkSession, path: str, report: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(holdings, rejects) of information tables: shares per report and CUSIP, with the report's total value.
+
+    Options and principal amounts hold no shares but count in the total, which is null if one entry has no value. A report is rejected, with its
+    reasons, if an entry lacks issuer, CUSIP or shares, has a bad number or kind of amount, if a CUSIP has two issuers, or if no entry
+    holds shares. ``report``: what tells reports apart, the file if not given (of ``_metadata.file_path`` in column file).
+    """
+    schema = "nameOfIssuer string, cusip string, value string, putCall string, shrsOrPrnAmt struct<sshPrnamt: string, sshPrnamtType: string>"
     rows = spark.read.format("xml").option("rowTag", "infoTable").schema(schema).load(path).withColumn("file", F.col("_metadata.file_path"))
-    rows = rows.where((F.col("shrsOrPrnAmt.sshPrnamtType") == "SH") & F.col("putCall").isNull())
-    per = rows.groupBy("file", F.upper(F.trim("cusip")).alias("cusip")).agg(F.sum("shrsOrPrnAmt.sshPrnamt").alias("shares"), F.sum("value").alias("value"), F.min("nameOfIssuer").alias("issuer"), (F.count_distinct(F.lower("nameOfIssuer")) > 1).alias("issuer_conflict"), F.bool_and(F.col("value").isNotNull()).alias("whole"))
-    total = per.groupBy("file").agg(F.when(F.bool_and("whole"), F.sum("value")).alias("portfolio_value"))
-    return per.drop("whole").join(total, "file")
-
-
-def read_trade_pages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """JSON pages of trades: the trades, and what is wrong with the pagination (a row per problem)."""
+    number = lambda c: F.regexp_replace(F.trim(c), ",", "").try_cast("long")
+    empty = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    rows = rows.select((F.col("file") if report is None else report).alias("report"), F.trim("nameOfIssuer").alias("issuer"), F.upper(F.trim("cusip")).alias("cusip"), "value", "putCall", F.upper(F.trim("shrsOrPrnAmt.sshPrnamtType")).alias("kind"), F.col("shrsOrPrnAmt.sshPrnamt").alias("amount"))
+    rows = rows.withColumns({"shares": number("amount"), "worth": number("value"), "held": (F.col("kind") == "SH") & empty("putCall")})
+    bad = {
+        "missing issuer, CUSIP or shares": empty("issuer") | empty("cusip") | empty("amount"), "unknown amount type": ~F.coalesce(F.col("kind").isin("SH", "PRN"), F.lit(False)),
+        "bad value": ~empty("value") & (F.col("worth").isNull() | (F.col("worth") < 0)), "bad shares": F.col("held") & ~empty("amount") & (F.col("shares").isNull() | (F.col("shares") < 0)),
+    }
+    per = rows.where("held").groupBy("report", "cusip").agg(F.min("issuer").alias("issuer"), F.count_distinct(F.lower("issuer")).alias("names"), F.sum("shares").alias("shares"), F.when(F.bool_and(F.col("worth").isNotNull()), F.sum("worth")).alias("value"))
+    told = rows.groupBy("report").agg(*(F.bool_or(c).alias(n) for n, c in bad.items()), F.bool_or("held").alias("held"), F.when(F.bool_and(F.col("worth").isNotNull()), F.sum("worth")).alias("portfolio_value"))
+    told = told.join(per.groupBy("report").agg(F.bool_or(F.col("names") > 1).alias("conflict")), "report", "left")
+    reasons = F.array_compact(F.array(*(F.when(F.col(f"`{n}`"), n) for n in bad), F.when(F.col("conflict"), "conflicting issuers"), F.when(~F.coalesce("held", F.lit(False)), "no usable share rows")))
+    told = told.withColumn("reasons", reasons)
+    good = told.where("size(reasons) = 0").select("report", "portfolio_value")
+    return per.drop("names").join(good, "report"), told.where("size(reasons) > 0").select("report", "reasons")
+
+
+def read_trade_pages(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
+    """JSON pages of trades, a file or else a line each: the trades, and what is wrong with the pagination (a row per problem)."""
     schema = "page int, pages int, total long, perPage int, trades array<struct<id: string, ticker: string, date: string, amount: string>>"
-    pages = spark.read.schema(schema).option("multiLine", True).json(path)
+    pages = spark.read.schema(schema).option("multiLine", multi_line).json(path)
     trades = pages.select("page", F.explode("trades").alias("t")).select("page", "t.*")
     s = pages.agg(F.count(F.lit(1)).alias("seen"), F.count_distinct("page").alias("different"), F.max("pages").alias("pages"), F.min("pages").alias("pages_low"), F.max("total").alias("total"), F.min("total").alias("total_low"), F.sum(F.size("trades")).alias("trades"))
     rules = {"page_count": F.col("different") != F.col("pages"), "pages_change": F.col("pages") != F.col("pages_low"), "total_changes": F.col("total") != F.col("total_low"), "trade_count": F.col("trades") != F.col("total"), "page_repeated": F.col("seen") != F.col("different")}
@@ -86,19 +117,22 @@ def read_third_party_trades(spark: SparkSession, path: str, form: str = "csv") -
 
 
 def read_broker_fills(spark: SparkSession, path: str, year: int) -> tuple[DataFrame, DataFrame]:
-    """Tab-separated fills ("100 BTO", "6/22, 4:30p") as symbol, side, signed quantity, price and date; others apart."""
+    """Tab-separated fills ("100 BTO", "6/22, 4:30p") as symbol, side, quantity, price and date; others apart.
+
+    Signs in the description are not trusted: opening a short is negative, all else positive. What follows the price's number is left out.
+    """
     rows = spark.read.schema("symbol string, price string, description string, time string, order_number string").option("sep", "\t").option("header", True).csv(path)
-    size, side = F.regexp_extract("description", "^\\s*([0-9,]+)\\s+(BTO|STO|BTC|STC)", 1), F.regexp_extract("description", "^\\s*([0-9,]+)\\s+(BTO|STO|BTC|STC)", 2)
+    size, side = F.regexp_extract("description", "(?i)^\\s*-?([0-9,]+)\\s+(BTO|STO|BTC|STC)\\b", 1), F.upper(F.regexp_extract("description", "(?i)^\\s*-?([0-9,]+)\\s+(BTO|STO|BTC|STC)\\b", 2))
     n, at = F.regexp_replace(size, ",", "").try_cast("double"), F.regexp_extract("time", "^([0-9]{1,2}/[0-9]{1,2})", 1)
-    out = rows.withColumns({"side": F.nullif(side, F.lit("")), "quantity": F.when(side.isin("BTO", "BTC"), n).otherwise(-n), "fill_price": F.regexp_replace("price", "[$,]", "").try_cast("double"), "day": F.try_to_date(F.concat_ws("/", at, F.lit(str(year))), "M/d/yyyy")})
+    out = rows.withColumns({"side": F.nullif(side, F.lit("")), "quantity": F.when(side == "STO", -n).otherwise(n), "fill_price": F.regexp_extract(F.regexp_replace("price", "[$,]", ""), "^\\s*(-?[0-9]+(?:\\.[0-9]+)?)", 1).try_cast("double"), "day": F.try_to_date(F.concat_ws("/", at, F.lit(str(year))), "M/d/yyyy")})
     good = F.coalesce(F.col("side").isNotNull() & F.col("quantity").isNotNull() & (F.col("fill_price") > 0) & F.col("day").isNotNull() & (F.trim("symbol") != ""), F.lit(False))
     return out.where(good).select(F.upper(F.trim("symbol")).alias("symbol"), "side", "quantity", F.col("fill_price").alias("price"), "day", "order_number"), out.where(~good).select(*rows.columns)
 
 
-def read_staged_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """JSON envelopes, one per document: the documents with their row counts, and the rows."""
+def read_staged_records(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
+    """JSON envelopes, a file or else a line per document: the documents with their row counts, and the rows."""
     schema = "doc_id string, status string, artifact_sha256 string, rows array<struct<source_row_id: string, ticker: string, transaction_type: string, amount_raw: string>>"
-    docs = spark.read.schema(schema).option("multiLine", True).json(path).withColumn("file", F.col("_metadata.file_path"))
+    docs = spark.read.schema(schema).option("multiLine", multi_line).json(path).withColumn("file", F.col("_metadata.file_path"))
     return docs.select("doc_id", "status", "artifact_sha256", "file", F.coalesce(F.size("rows"), F.lit(0)).alias("n_rows")), docs.select("doc_id", F.explode("rows").alias("r")).select("doc_id", "r.*")
 
 
@@ -110,7 +144,7 @@ def scan_document_inventory(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_results(df: DataFrame, path: str, form: str = "json") -> None:
-    """A result as JSON lines, CSV with a header, or Parquet."""
+    """A result as JSON lines, CSV with a header, or Parquet."""
     writer = df.write.mode("error")
     if form == "csv":
         writer.option("header", True).csv(path)
@@ -118,3 +152,33 @@ def write_results(df: DataFrame, path: str, form: str = "json") -> None:
         writer.parquet(path)
     else:
         writer.json(path)
+
+
+def write_price_snapshot(prices: DataFrame, folder: str) -> str:
+    """Write prices as a new table under ``folder`` and then point the manifest at it; returns the table's name.
+
+    Readers follow the manifest, a table of one row per snapshot of which the last counts: it is appended by one file that appears whole or
+    not at all. So a write that fails, at any moment before, leaves the snapshot that was current, and one that is read meanwhile stays whole.
+    """
+    spark, name = prices.sparkSession, f"prices-{uuid.uuid4().hex}"
+    prices.write.mode("error").parquet(f"{folder}/{name}")
+    n = spark.read.parquet(f"{folder}/{name}").count()
+    last = _snapshots(spark, folder)
+    number = 1 + (last.agg(F.max("number")).first()[0] or 0 if last is not None else 0)
+    spark.createDataFrame([(number, name, n)], "number long, name string, rows long").coalesce(1).write.mode("append").parquet(f"{folder}/manifest")
+    return name
+
+
+def _snapshots(spark: SparkSession, folder: str) -> DataFrame | None:
+    try:
+        return spark.read.schema("number long, name string, rows long").parquet(f"{folder}/manifest")
+    except AnalysisException:  # no snapshot was ever written
+        return None
+
+
+def read_price_snapshot(spark: SparkSession, folder: str) -> DataFrame:
+    """The prices that the manifest points at."""
+    known = _snapshots(spark, folder)
+    if known is None:
+        raise FileNotFoundError(f"no price snapshot in {folder}")
+    return spark.read.parquet(f"{folder}/{known.agg(F.max_by('name', 'number')).first()[0]}")
