@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .consensus import resolve_tickers
+
 BENCHMARK = "SPY"
 DECAY = 0.005
 #: Days of a bucket that range joins meet in.
@@ -182,11 +184,14 @@ def completed_horizon(labels: DataFrame, horizon: int, kind: str | None = None)
 
 
 def entry_prices(rows: DataFrame, prices: DataFrame, days: DataFrame) -> DataFrame:
-    """The close at the first session after disclosure, of the symbol that was tradable then, else of the raw one; rows with neither go.
+    """The close at the first session after disclosure, of the symbol that the raw one stood for then (J17), else of the raw one; rows with neither go.
 
-    ``rows`` has symbol, ticker and disclosure_date. Equality joins through the calendar.
+    ``rows``: ticker, transaction_date and disclosure_date. What was acquired, not listed yet or cannot be told without a date has no
+    entry, nor has a trade after its disclosure. Equality joins through the calendar.
     """
-    at = rows.join(days.select(F.col("day").alias("disclosure_date"), F.col("next_session").alias("entry_date")), "disclosure_date")
+    sound = rows.where(F.col("ticker").isNotNull() & (F.col("transaction_date").isNull() | (F.col("transaction_date") <= F.col("disclosure_date"))))
+    told = resolve_tickers(sound, "ticker", F.col("disclosure_date")).where(~F.col("symbol_status").isin("acquired", "date_required", "pre_listing")).drop("symbol_status", "symbol_confidence", "family")
+    at = told.join(days.select(F.col("day").alias("disclosure_date"), F.col("next_session").alias("entry_date")), "disclosure_date")
     good = prices.where(valid_price(F.col("close"))).groupBy("ticker", "date").agg(F.max("close").alias("close"))
 
     def quotes(symbol: str, name: str) -> DataFrame:

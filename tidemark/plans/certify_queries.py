@@ -108,9 +108,9 @@ def _(prices):
 
 @_query(
     "c05_outcome_labels",
-    f"""WITH {_DAYS}, served AS (SELECT ticker, date, max(close) AS close FROM fx_prices WHERE ticker NOT LIKE 'TC%' AND NOT (ticker LIKE 'TD%' AND extract(day FROM date) = 5) GROUP BY 1, 2),
-e AS (SELECT k.ticker, decision_date AS disclosure_date, d.next_session AS entry_date, x.prev_session AS exit_date FROM fx_decisions k LEFT JOIN days d ON d.day = decision_date LEFT JOIN days x ON x.day = d.next_session + 60),
-q AS (SELECT e.*, a.close AS p0, b.close AS p1, m.close AS b0, n.close AS b1 FROM e LEFT JOIN served a ON a.ticker = e.ticker AND a.date = entry_date LEFT JOIN served b ON b.ticker = e.ticker AND b.date = exit_date LEFT JOIN served m ON m.ticker = 'SPY' AND m.date = entry_date LEFT JOIN served n ON n.ticker = 'SPY' AND n.date = exit_date),
+    f"""WITH {_DAYS.replace("days AS (", "days AS MATERIALIZED (")}, served AS MATERIALIZED (SELECT ticker, date, max(close) AS close FROM fx_prices WHERE ticker NOT LIKE 'TC%' AND NOT (ticker LIKE 'TD%' AND extract(day FROM date) = 5) GROUP BY 1, 2),
+e AS MATERIALIZED (SELECT k.ticker, decision_date AS disclosure_date, d.next_session AS entry_date, x.prev_session AS exit_date FROM fx_decisions k LEFT JOIN days d ON d.day = decision_date LEFT JOIN days x ON x.day = d.next_session + 60),
+q AS MATERIALIZED (SELECT e.*, a.close AS p0, b.close AS p1, m.close AS b0, n.close AS b1 FROM e LEFT JOIN served a ON a.ticker = e.ticker AND a.date = entry_date LEFT JOIN served b ON b.ticker = e.ticker AND b.date = exit_date LEFT JOIN served m ON m.ticker = 'SPY' AND m.date = entry_date LEFT JOIN served n ON n.ticker = 'SPY' AND n.date = exit_date),
 r AS (SELECT *, CASE WHEN ticker LIKE 'TC%' THEN 'ticker_not_certified' WHEN p0 IS NULL THEN 'entry_quote_unavailable' WHEN p1 IS NULL THEN 'exit_quote_unavailable' WHEN b0 IS NULL OR b1 IS NULL THEN 'benchmark_quote_unavailable' END AS exclusion, round((p1 * 0.999 / (p0 * 1.001) - 1) * 100, 8) AS f, round((b1 * 0.999 / (b0 * 1.001) - 1) * 100, 8) AS b FROM q)
 SELECT ticker, disclosure_date, entry_date, CASE WHEN ticker LIKE 'TC%' THEN 'uncertifiable' WHEN exclusion IS NOT NULL THEN 'outcome_missing' ELSE 'available' END AS status, exclusion, CASE WHEN exclusion IS NULL THEN f END AS fwd, CASE WHEN exclusion IS NULL THEN b END AS bench FROM r""",
     "fx_decisions", "fx_prices", "fx_sessions",

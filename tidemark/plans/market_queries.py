@@ -255,15 +255,19 @@ def _(rows):
     return out.groupBy("family").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("raw_symbol").alias("symbols"))
 
 
+# Symbols that rules change: one has quotes under its new name, one under its old.
 @_query(
     "j09_entry_prices",
-    f"""WITH {_DAYS}, q AS (SELECT ticker, date, max(close) AS close FROM fx_prices WHERE close > 0 GROUP BY 1, 2), r AS (SELECT tx_id, CASE WHEN part_key % 3 = 0 THEN concat(ticker, 'Z') ELSE ticker END AS symbol, ticker, disclosure_date FROM fx_purchases)
-SELECT tx_id, next_session AS entry_date, coalesce(a.close, b.close) AS entry_price, CASE WHEN a.close IS NOT NULL THEN r.symbol ELSE r.ticker END AS entry_symbol FROM r JOIN days ON day = disclosure_date LEFT JOIN q a ON a.ticker = r.symbol AND a.date = next_session LEFT JOIN q b ON b.ticker = r.ticker AND b.date = next_session WHERE coalesce(a.close, b.close) IS NOT NULL""",
-    "fx_purchases", "fx_prices", "fx_sessions",
+    f"""WITH {_DAYS.replace("days AS (", "days AS MATERIALIZED (")}, q AS MATERIALIZED (SELECT ticker, date, max(close) AS close FROM (SELECT ticker, date, close FROM fx_prices WHERE close > 0 UNION ALL SELECT CASE ticker WHEN 'SPY' THEN 'BRK-B' ELSE 'FB' END, date, close FROM fx_prices WHERE ticker = 'SPY' OR ticker = 'TAX') GROUP BY 1, 2),
+r AS MATERIALIZED (SELECT order_key, line_number, part_key, supp_key, ticker, CASE ticker WHEN 'BRK.B' THEN 'BRK-B' ELSE ticker END AS symbol, disclosure_date FROM fx_filings WHERE ticker NOT IN ('SPCX') AND transaction_date <= disclosure_date)
+SELECT order_key, line_number, part_key, supp_key, next_session AS entry_date, coalesce(a.close, b.close) AS entry_price, CASE WHEN a.close IS NOT NULL THEN r.symbol ELSE r.ticker END AS entry_symbol FROM r JOIN days ON day = disclosure_date LEFT JOIN q a ON a.ticker = r.symbol AND a.date = next_session LEFT JOIN q b ON b.ticker = r.ticker AND b.date = next_session WHERE coalesce(a.close, b.close) IS NOT NULL""",
+    "fx_filings", "fx_prices", "fx_sessions",
 )
 def _(rows, prices, sessions):
-    symbol = F.when(F.col("part_key") % 3 == 0, F.concat("ticker", F.lit("Z"))).otherwise(F.col("ticker"))
-    return P.entry_prices(rows.select("tx_id", symbol.alias("symbol"), "ticker", "disclosure_date"), prices, P.session_days(sessions)).select("tx_id", "entry_date", "entry_price", "entry_symbol")
+    renamed = prices.where("ticker IN ('SPY', 'TAX')").select(F.when(F.col("ticker") == "SPY", "BRK-B").otherwise("FB").alias("ticker"), "date", "close")
+    columns = ["order_key", "line_number", "part_key", "supp_key"]
+    at = rows.select(*columns, "ticker", "transaction_date", "disclosure_date")
+    return P.entry_prices(at, prices.select("ticker", "date", "close").union(renamed), P.session_days(sessions)).select(*columns, "entry_date", "entry_price", "entry_symbol")
 
 
 @_query(
@@ -314,19 +318,19 @@ def _(orders):
 
 @_query(
     "g46_series_divergence",
-    """WITH a AS (SELECT ticker, date, max(close) AS x FROM fx_prices WHERE date < DATE '1998-01-01' GROUP BY 1, 2), b AS (SELECT ticker, date, max(close) * CASE WHEN ticker < 'TG' THEN 1.0::DOUBLE ELSE 1.0078125 END AS y FROM fx_prices WHERE date >= DATE '1996-01-01' GROUP BY 1, 2)
+    """WITH a AS (SELECT ticker, date, max(close) AS x FROM fx_prices WHERE ticker >= 'TC' OR date < DATE '1998-01-01' GROUP BY 1, 2), b AS (SELECT ticker, date, max(close) * CASE WHEN ticker < 'TG' THEN 1.0::DOUBLE ELSE 1.0078125 END AS y FROM fx_prices WHERE ticker >= 'TC' OR date >= DATE '1998-01-01' GROUP BY 1, 2)
 SELECT ticker, count(abs(x - y) / abs(y)) AS overlap, max(abs(x - y) / abs(y)) AS max_gap, count(*) AS merged_days, CASE WHEN count(abs(x - y) / abs(y)) = 0 THEN 'unknown' WHEN max(abs(x - y) / abs(y)) <= 0.001 THEN 'comparable' ELSE 'divergent' END AS verdict FROM a FULL JOIN b USING (ticker, date) GROUP BY ticker""",
     "fx_prices",
 )
 def _(prices):
     one = prices.groupBy("ticker", "date").agg(F.max("close").alias("close"))
-    other = one.where("date >= DATE '1996-01-01'").withColumn("close", F.col("close") * F.when(F.col("ticker") < "TG", 1.0).otherwise(1.0078125))
-    return P.series_divergence(one.where("date < DATE '1998-01-01'"), other)
+    other = one.where("ticker >= 'TC' OR date >= DATE '1998-01-01'").withColumn("close", F.col("close") * F.when(F.col("ticker") < "TG", 1.0).otherwise(1.0078125))
+    return P.series_divergence(one.where("ticker >= 'TC' OR date < DATE '1998-01-01'"), other)
 
 
-@_query("u06_coalesce_series", "WITH n AS (SELECT ticker, date, max(close) AS x FROM fx_prices WHERE ticker < 'TH' AND date > DATE '1997-01-01' GROUP BY 1, 2), o AS (SELECT ticker, date, min(close) AS y FROM fx_prices WHERE date < DATE '1999-01-01' GROUP BY 1, 2) SELECT ticker, date, coalesce(x, y) AS close FROM n FULL JOIN o USING (ticker, date)", "fx_prices")
+@_query("u06_coalesce_series", "WITH n AS (SELECT ticker, date, max(close) AS x FROM fx_prices WHERE ticker < 'TH' OR date > DATE '1997-01-01' GROUP BY 1, 2), o AS (SELECT ticker, date, min(close) AS y FROM fx_prices WHERE date < DATE '1999-01-01' GROUP BY 1, 2) SELECT ticker, date, coalesce(x, y) AS close FROM n FULL JOIN o USING (ticker, date)", "fx_prices")
 def _(prices):
-    new = prices.where("ticker < 'TH' AND date > DATE '1997-01-01'").groupBy("ticker", "date").agg(F.max("close").alias("close"))
+    new = prices.where("ticker < 'TH' OR date > DATE '1997-01-01'").groupBy("ticker", "date").agg(F.max("close").alias("close"))
     return P.coalesce_series(new, prices.where("date < DATE '1999-01-01'").groupBy("ticker", "date").agg(F.min("close").alias("close")))
 
 

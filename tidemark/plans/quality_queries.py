@@ -156,10 +156,10 @@ def _(d):
     return Q.preserve_resolved_fields(new, d.where("part_key % 3 <> 0"), ["doc_id", "source_row_id"], "ticker").select("doc_id", "source_row_id", "part_key", "supp_key", "ticker")
 
 
-@_query("g49_compare_coverage", "WITH a AS (SELECT ticker, count(*) AS before FROM fx_prices WHERE date < DATE '1997-01-01' AND ticker < 'TS' GROUP BY 1), b AS (SELECT ticker, count(*) AS after FROM fx_prices WHERE date >= DATE '1999-01-04' AND ticker > 'TC' GROUP BY 1) SELECT ticker, before, after, CASE WHEN before IS NULL THEN 'added' WHEN after IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b USING (ticker) WHERE before IS DISTINCT FROM after", "fx_prices")
+@_query("g49_compare_coverage", "WITH a AS (SELECT ticker, count(*) AS before FROM fx_prices WHERE date < DATE '1999-01-04' GROUP BY 1), b AS (SELECT ticker, count(*) AS after FROM fx_prices WHERE date >= DATE '1997-01-01' GROUP BY 1) SELECT ticker, before, after, CASE WHEN before IS NULL THEN 'added' WHEN after IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b USING (ticker) WHERE before IS DISTINCT FROM after", "fx_prices")
 def _(p):
     n = lambda c: p.where(c).groupBy("ticker").agg(F.count(F.lit(1)).alias("days"))
-    return Q.compare_coverage(n("date < DATE '1997-01-01' AND ticker < 'TS'"), n("date >= DATE '1999-01-04' AND ticker > 'TC'"))
+    return Q.compare_coverage(n("date < DATE '1999-01-04'"), n("date >= DATE '1997-01-01'"))
 
 
 @_query("j30_served_prices", "WITH v AS (SELECT *, CASE WHEN extract(year FROM date) % 2 = 0 THEN 'g1' ELSE 'g2' END AS generation FROM fx_prices) SELECT ticker, generation, date, close, 'adjusted' AS basis FROM v WHERE generation = CASE WHEN ticker < 'TK' THEN 'g1' ELSE 'g2' END AND ticker <> 'SPY'", "fx_prices")

@@ -124,10 +124,10 @@ def _(d):
     return R.merge_append_only(d.where("part_key % 2 = 0").select(*cols), d.where("part_key % 2 <> 0").select(*cols))
 
 
-@_query("u05_merge_chunks", f"SELECT doc_id, source_row_id, count(*) AS n, count(DISTINCT (ticker, owner_code)) AS contents, count(DISTINCT (ticker, owner_code)) > 1 AS conflict FROM (SELECT * FROM {D} WHERE part_key % 2 = 0 UNION ALL SELECT * FROM {D} WHERE part_key % 3 <> 0) GROUP BY 1, 2", D)
+@_query("u05_merge_chunks", f"SELECT doc_id, source_row_id, count(*) AS n, count(DISTINCT (ticker, owner_code)) AS contents, count(DISTINCT (ticker, owner_code)) > 1 AS conflict FROM (SELECT * FROM {D} WHERE part_key % 2 = 0 UNION ALL SELECT * FROM {D} WHERE part_key % 2 <> 0 OR part_key % 3 = 1) GROUP BY 1, 2", D)
 def _(d):
     c = d.select("doc_id", "source_row_id", "ticker", "owner_code", "part_key")
-    return R.merge_chunks([c.where("part_key % 2 = 0").drop("part_key"), c.where("part_key % 3 <> 0").drop("part_key")], ["doc_id", "source_row_id"])
+    return R.merge_chunks([c.where("part_key % 2 = 0").drop("part_key"), c.where("part_key % 2 <> 0 OR part_key % 3 = 1").drop("part_key")], ["doc_id", "source_row_id"])
 
 
 @_query("u07_multiset_subset", f"SELECT ticker, source, n_a, coalesce(n_b, 0) AS n_b FROM (SELECT ticker, source, count(*) AS n_a FROM {D} WHERE part_key % 2 = 0 GROUP BY 1, 2) LEFT JOIN (SELECT ticker, source, count(*) AS n_b FROM {D} WHERE part_key % 2 <> 0 GROUP BY 1, 2) USING (ticker, source) WHERE n_a > coalesce(n_b, 0)", D)
@@ -145,13 +145,13 @@ _ONE = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {_ID} ORDER B
 
 @_query(
     "t01_upsert_by_identity",
-    f"SELECT {_ID}, CASE WHEN n.k IS NOT NULL THEN n.disclosure_date ELSE s.disclosure_date END AS disclosure_date, coalesce(s.raw_transaction_subtype, n.raw_transaction_subtype) AS raw_transaction_subtype, CASE WHEN s.k IS NULL THEN 'inserted' WHEN n.k IS NOT NULL THEN 'updated' ELSE 'kept' END AS change FROM {_ONE.format('part_key % 2 = 0')} s FULL JOIN {_ONE.format('part_key % 3 = 0')} n USING ({_ID})",
+    f"SELECT {_ID}, CASE WHEN n.k IS NOT NULL THEN n.disclosure_date ELSE s.disclosure_date END AS disclosure_date, coalesce(s.raw_transaction_subtype, n.raw_transaction_subtype) AS raw_transaction_subtype, CASE WHEN s.k IS NULL THEN 'inserted' WHEN n.k IS NOT NULL THEN 'updated' ELSE 'kept' END AS change FROM {_ONE.format('part_key % 3 <> 0')} s FULL JOIN {_ONE.format('(part_key % 2 = 0 OR part_key % 3 = 0)')} n USING ({_ID})",
     D,
 )
 def _(d):
     cols = [*R.IDENTITY, "disclosure_date", "raw_transaction_subtype"]
     one = lambda c: R.latest_per_key(d.where(c), R.IDENTITY, _order()).select(*cols)
-    return R.upsert_by_identity(one("part_key % 2 = 0"), one("part_key % 3 = 0"), ["disclosure_date"])
+    return R.upsert_by_identity(one("part_key % 3 <> 0"), one("(part_key % 2 = 0 OR part_key % 3 = 0)"), ["disclosure_date"])
 
 
 @_query("t02_drop_already_stored", f"WITH n AS (SELECT *, row_number() OVER (PARTITION BY {_FK} ORDER BY part_key) AS k FROM (SELECT {_FK}, part_key FROM {D} WHERE part_key % 2 <> 0)) SELECT {_FK}, part_key FROM n WHERE k = 1 AND ({_FK}) NOT IN (SELECT {_FK} FROM {D} WHERE part_key % 2 = 0)", D)
@@ -166,10 +166,10 @@ def _(d):
     return R.replace_documents(d.select("doc_id", "ticker", F.lit("old").alias("origin")), new)
 
 
-@_query("t05_upsert_last_wins", "WITH o AS (SELECT ticker, date, max(close) AS close FROM fx_prices WHERE date < DATE '1997-01-01' GROUP BY 1, 2), n AS (SELECT ticker, date, min(close) AS close FROM fx_prices WHERE date >= DATE '1996-06-01' AND ticker < 'TH' GROUP BY 1, 2) SELECT ticker, date, coalesce(n.close, o.close) AS close FROM o FULL JOIN n USING (ticker, date)", "fx_prices")
+@_query("t05_upsert_last_wins", "WITH o AS (SELECT ticker, date, max(close) AS close FROM fx_prices WHERE date < DATE '1997-01-01' OR ticker >= 'TH' GROUP BY 1, 2), n AS (SELECT ticker, date, min(close) AS close FROM fx_prices WHERE date >= DATE '1996-06-01' GROUP BY 1, 2) SELECT ticker, date, coalesce(n.close, o.close) AS close FROM o FULL JOIN n USING (ticker, date)", "fx_prices")
 def _(p):
-    old = p.where("date < DATE '1997-01-01'").groupBy("ticker", "date").agg(F.max("close").alias("close"))
-    return R.upsert_last_wins(old, p.where("date >= DATE '1996-06-01' AND ticker < 'TH'").groupBy("ticker", "date").agg(F.min("close").alias("close")), ["ticker", "date"])
+    old = p.where("date < DATE '1997-01-01' OR ticker >= 'TH'").groupBy("ticker", "date").agg(F.max("close").alias("close"))
+    return R.upsert_last_wins(old, p.where("date >= DATE '1996-06-01'").groupBy("ticker", "date").agg(F.min("close").alias("close")), ["ticker", "date"])
 
 
 @_query("t06_retire_removed_documents", f"""SELECT doc_id, '{{"source_row_id":"' || source_row_id || '","ticker":"' || ticker || '"}}' AS row_json, 'removed_from_archive' AS reason FROM {D} WHERE order_key % 9 = 0""", D)

@@ -16,6 +16,7 @@ _LOW = "p_partkey % 9 + 1, ',', lpad(cast(p_partkey * 37 % 1000 as string), 3, '
 _HIGH = "p_partkey % 80 + 11, ',', lpad(cast(p_partkey * 53 % 1000 as string), 3, '0')"
 _CENTS = "lpad(cast(p_partkey % 100 as string), 2, '0')"
 _SYMBOL = "substr('ABCDEFGHIJKLMNOPQRSTUVWXY', cast(p_partkey % 25 as int) + 1, 1), 'Q', substr('JKLMNVWXYZ', cast(p_partkey % 10 as int) + 1, 1)"
+_SURNAME = "concat('Q', translate(cast(cast(p_partkey as int) as string), '0123456789', 'abcdefghij'))"
 _SECURITY = """concat('T', substr('ABCDEFGHIJKLMNOPQRSTUVWXY', cast(p_partkey % 25 as int) + 1, 1), substr('XY', cast(p_partkey % 2 as int) + 1, 1), CASE WHEN p_partkey < 50 THEN '' ELSE cast(cast(floor(p_partkey / 50) as int) as string) END)"""
 _LISTED = "CASE WHEN p_partkey < 50 THEN 0 ELSE p_partkey * 37 % 2600 END AS lo, CASE WHEN p_partkey < 50 THEN 5000 ELSE p_partkey * 37 % 2600 + 90 END AS hi"
 _CLOSE = "CAST(20 + (p_partkey * 7) % 80 AS double) + CAST((k * (p_partkey % 13 + 3)) % 41 - 20 AS double) * CAST(0.25 AS double)"
@@ -46,7 +47,8 @@ SELECT p_partkey AS row_key,
   WHEN 2 THEN concat('filed 2023-0', p_partkey % 9 + 1, '-1', p_partkey % 10) WHEN 3 THEN '13/45/2024' WHEN 4 THEN 'n/a' END AS date_text,
  concat(p_name, CASE p_partkey % 14 WHEN 1 THEN concat(' [OP] call option strike price $', p_partkey % 400 + 1, '.', {_CENTS}, ' exp ', p_partkey % 12 + 1, '/', p_partkey % 28 + 1, '/2024') WHEN 2 THEN concat(' (', {_SYMBOL}, ') [ST]') WHEN 6 THEN concat(' $', {_SYMBOL}, ' shares')
   WHEN 7 THEN concat(' stock put strike $', {_HIGH}, '.', {_CENTS}, ' exp ', p_partkey % 9 + 1, '/', p_partkey % 28 + 1, '/', p_partkey % 20 + 20) WHEN 8 THEN concat(' ', {_SYMBOL}, ': common') WHEN 9 THEN ' (SP) [CT]' ELSE {_pick("p_partkey", [" [ST]", None, None, " Treasury Bills", " mutual fund", " corporate bond", None, None, None, None, " [GS]", " simple agreement for future equity", " Inc. Common Stock", " Corp. Class A"])} END) AS asset_text,
- {_pick("p_partkey", ["Hon. Renée Zellweger", "Dr. John Smith Jr.", "MICHAEL T. MCCAUL", "Neal Patrick Dunn MD, FACS", "J. D. Vance", "N/A", "", "José E. Serrano", "Lee Ann Ph.D.", "Unknown", "J.D. Vance", "  mike   McCaul "])} AS name_text,
+ CASE p_partkey % 12 WHEN 0 THEN concat('Hon. Renée ', {_SURNAME}) WHEN 1 THEN concat('Dr. John ', {_SURNAME}, ' Jr.') WHEN 2 THEN concat('MICHAEL T. ', upper({_SURNAME})) WHEN 3 THEN concat('Neal Patrick ', {_SURNAME}, ' MD, FACS') WHEN 4 THEN concat('J. D. ', {_SURNAME}) WHEN 5 THEN 'N/A' WHEN 6 THEN ''
+  WHEN 7 THEN concat('José E. ', {_SURNAME}) WHEN 8 THEN concat('Lee ', {_SURNAME}, ' Ph.D.') WHEN 9 THEN 'Unknown' WHEN 10 THEN concat('J.D. ', {_SURNAME}) ELSE concat('  mike   ', {_SURNAME}, ' ') END AS name_text,
  {_pick("p_partkey", [" aapl ", "BRK.B", "NaN", "none", "TOOLONG", "goog", "FUND", "b-c", "", "12AB", None])} AS ticker_text,
  {_pick("p_partkey", ["037833100", "037833101", "594918104", "38259P508", "1234", "88160R101", "G1151C101", "00000000X"])} AS cusip_text,
  CASE p_partkey % 5 WHEN 0 THEN concat('bought ', {_LOW}, ' shares @ $', p_partkey % 50 + 1, '.', {_CENTS}, ' today') WHEN 1 THEN concat(p_partkey % 900 + 1, ' shares @ $', p_partkey % 7 + 1) WHEN 2 THEN 'no lot' WHEN 3 THEN concat(p_partkey % 30, '.5 Shares at $', {_HIGH}, '.', {_CENTS}) ELSE concat({_HIGH}, ' share @ $ ', p_partkey % 90 + 1, '.5') END AS lot_text,
