@@ -65,7 +65,7 @@ def found_rows(df):
 @pytest.mark.parametrize(("block_words", "hashes", "words"), [(60, 2_000_000, 300_000), (1000, 0, 0)])
 def test_collocations_equal_brute_force(spark, monkeypatch, block_words, hashes, words):
     """Small shards, whose share of the support is one or two occurrences, and nothing sent to the tasks."""
-    monkeypatch.setattr(phrases, "MOST_HASHES", hashes)
+    monkeypatch.setattr(phrases, "MOST_CANDIDATES", hashes)
     monkeypatch.setattr(phrases, "MOST_WORDS", words)
     rng = np.random.default_rng(5)
     words = ["the", "Of", "é", "New", "york", "|", "\x1c", "a b", "ß", "x"]

@@ -19,12 +19,13 @@ LONGEST = 5
 SHARD_WORDS = 3_000_000
 #: Frequent words that every task may hold (some 30 MB); where there are more, each block meets its own by a join.
 MOST_WORDS = 300_000
-#: Candidates are sent to the tasks that count them as hashes (16 MB) up to so many; beyond, all phrases of frequent words are counted.
-MOST_HASHES = 2_000_000
+#: Candidates are sent to the tasks that count them, as hashes (48 MB), up to so many; beyond, all phrases of frequent words are counted by their texts.
+MOST_CANDIDATES = 2_000_000
 #: Parts that a language's phrases are dealt to before its first ones are taken.
 DEALT = 64
 _TABLE = byte_table(b".,;:!?\n\x0b\x0c\r")
 _ROWS = 1 << 16
+_PIECE = 4096
 
 
 def _encode(block_words: int):
@@ -111,8 +112,10 @@ def _hashes(x: np.ndarray, at: np.ndarray, k: int, of_word: np.ndarray) -> np.nd
     return h.view(np.int64)
 
 
-def _word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.array([0, *map(xxhash.xxh64_intdigest, words)], np.uint64)
+def _word_hashes(words: list[bytes], lang: str, seed: int) -> np.ndarray:
+    """Hashes of a language's words; two seeds make 128 bits, which name a phrase until its text is told."""
+    own = xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"), seed)
+    return np.array([0, *(xxhash.xxh64_intdigest(w, own) for w in words)], np.uint64)
 
 
 def _texts_of(x: np.ndarray, at: np.ndarray, k: int, words: list[bytes]) -> pa.Array:
@@ -120,16 +123,17 @@ def _texts_of(x: np.ndarray, at: np.ndarray, k: int, words: list[bytes]) -> pa.A
     return pa.array([b" ".join([names[w] for w in row]) for row in x[at[:, None] + np.arange(k)].tolist()], pa.binary()).cast(pa.string())
 
 
-_MINED = "kind int, block long, lang string, hash long, n long, least long, words array<binary>, numbers binary"
-_MINED_TYPES = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("lang", pa.string()), ("hash", pa.int64()), ("n", pa.int64()), ("least", pa.int64()), ("words", pa.list_(pa.binary())), ("numbers", pa.binary())])
+_MINED = "kind int, block long, lang string, hash long, twin long, n long, least long, words array<binary>, numbers binary"
+_MINED_TYPES = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("lang", pa.string()), ("hash", pa.int64()), ("twin", pa.int64()), ("n", pa.int64()), ("least", pa.int64()), ("words", pa.list_(pa.binary())), ("numbers", pa.binary())])
 
 
 def _mined(x: np.ndarray, words: list[bytes], block: int, lang: str, total: int, lang_words: int, support: int) -> Iterator[pa.Table]:
     """Phrases of a shard that reach its share of ``support`` (kind 0), and the shard in numbers of its frequent words (kind 1)."""
-    of_word, least = _word_hashes(words), -(-support * total // lang_words)
+    first, second = (_word_hashes(words, lang, seed) for seed in (0, 1))
+    least = -(-support * total // lang_words)
     for k, at, n in _levels(x, least):
         m = len(at)
-        columns = [pa.array(np.zeros(m, np.int32)), pa.array(np.full(m, block)), pa.array([lang] * m, pa.string()), pa.array(_hashes(x, at, k, of_word)), pa.array(n.astype(np.int64)), pa.array(np.full(m, least)), pa.nulls(m, pa.list_(pa.binary())), pa.nulls(m, pa.binary())]
+        columns = [pa.array(np.zeros(m, np.int32)), pa.array(np.full(m, block)), pa.array([lang] * m, pa.string()), pa.array(_hashes(x, at, k, first)), pa.array(_hashes(x, at, k, second)), pa.array(n.astype(np.int64)), pa.array(np.full(m, least)), pa.nulls(m, pa.list_(pa.binary())), pa.nulls(m, pa.binary())]
         yield pa.Table.from_arrays(columns, schema=_MINED_TYPES)
     yield pa.Table.from_pylist([{"kind": 1, "block": block, "lang": lang, "least": least, "words": words, "numbers": packed(x)}], schema=_MINED_TYPES)
 
@@ -186,23 +190,67 @@ def _mine_joined(support: int):
     return run
 
 
-def _count(candidates: np.ndarray | None):
-    """Occurrences of the candidates (all phrases, where there are none) in each block."""
+def _count_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Occurrences of all phrases of frequent words in each shard, by their texts."""
+    for batch in batches:
+        for row in rows_of(batch):
+            x = unpacked(row["numbers"], np.int32)
+            for k, at, n in _levels(x):
+                for i in range(0, len(at), _ROWS):
+                    some = at[i : i + _ROWS]
+                    yield pa.record_batch([pa.array([row["lang"]] * len(some), pa.string()), _texts_of(x, some, k, row["words"]), pa.array(n[i : i + _ROWS])], ["lang", "phrase", "n"])
+
+
+_COUNTED = "kind int, place long, numbers binary, lang string, phrase string"
+
+
+def _count_candidates(candidates: Broadcast):
+    """Occurrences of the candidates in a task's shards, as pieces of one array (kind 0), and the text of each from the shard that is its home (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, twins, home = candidates.value
+        total = np.zeros(len(hashes), np.int64)
         for batch in batches:
             for row in rows_of(batch):
-                x, words = unpacked(row["numbers"], np.int32), row["words"]
-                of_word = _word_hashes(words)
+                x = unpacked(row["numbers"], np.int32)
+                first, second = (_word_hashes(row["words"], row["lang"], seed) for seed in (0, 1))
+
+                def place(k: int, at: np.ndarray, x=x, first=first) -> np.ndarray:
+                    return np.minimum(np.searchsorted(hashes, _hashes(x, at, k, first)), len(hashes) - 1)
+
+                def known(k: int, at: np.ndarray, x=x, first=first, second=second) -> np.ndarray:
+                    ok = hashes[place(k, at)] == _hashes(x, at, k, first)
+                    ok[ok] = twins[place(k, at[ok])] == _hashes(x, at[ok], k, second)
+                    return ok
+
+                for k, at, n in _levels(x, candidate=known):
+                    found = place(k, at)
+                    total[found] += n
+                    own = home[found] == row["block"]
+                    at, found = at[own], found[own]
+                    if len(at):
+                        m = len(at)
+                        yield pa.record_batch([pa.array(np.ones(m, np.int32)), pa.array(found.astype(np.int64)), pa.nulls(m, pa.binary()), pa.array([row["lang"]] * m, pa.string()), _texts_of(x, at, k, row["words"])], ["kind", "place", "numbers", "lang", "phrase"])
+        for i in range(0, len(total), _PIECE):
+            some = total[i : i + _PIECE]
+            if some.any():
+                yield pa.record_batch([pa.array([0], pa.int32()), pa.array([i // _PIECE], pa.int64()), pa.array([some.tobytes()], pa.binary()), pa.nulls(1, pa.string()), pa.nulls(1, pa.string())], ["kind", "place", "numbers", "lang", "phrase"])
 
-                def known(k: int, at: np.ndarray, x=x, of_word=of_word) -> np.ndarray:
-                    h = _hashes(x, at, k, of_word)
-                    return candidates[np.minimum(np.searchsorted(candidates, h), len(candidates) - 1)] == h
+    return run
 
-                for k, at, n in _levels(x, candidate=None if candidates is None else known):
-                    for i in range(0, len(at), _ROWS):
-                        some = at[i : i + _ROWS]
-                        yield pa.record_batch([pa.array([row["lang"]] * len(some), pa.string()), _texts_of(x, some, k, words), pa.array(n[i : i + _ROWS])], ["lang", "phrase", "n"])
+
+def _sum_pieces(support: int):
+    """Sums of pieces as they stream in: (place, n) of candidates that reach the support."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for piece, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                some = np.frombuffer(data, np.int64)
+                total[piece] = total[piece] + some if piece in total else some
+        for piece, n in total.items():
+            at = np.flatnonzero(n >= support)
+            yield pa.record_batch([pa.array(at + piece * _PIECE), pa.array(n[at])], ["place", "n"])
 
     return run
 
@@ -244,15 +292,22 @@ def phrase_counts(docs: DataFrame, *, support: int = 100, text_col: str = "text"
         mined = stored(shards.drop("dictionary").groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_mine_joined(support), _MINED), "phrase-mined")
     # A shard in which a phrase was not found holds it at most one time less than its share: so much can be added to what was found.
     unseen = small_or_shuffled(stored(mined.where("kind = 1").groupBy("lang").agg(F.sum(F.col("least") - 1).alias("unseen")), "phrase-unseen"))
-    found = mined.where("kind = 0").groupBy("lang", "hash").agg(F.sum("n").alias("n"), F.sum(F.col("least") - 1).alias("spared"))
-    candidates = stored(found.join(unseen, "lang").where(F.col("n") + F.col("unseen") - F.col("spared") >= support).select("hash").distinct(), "phrase-candidates")
-    hashes = None
-    if candidates.count() <= MOST_HASHES:
-        hashes = np.sort(candidates.toArrow().column(0).to_numpy().astype(np.int64))
-        if not len(hashes):
-            hashes = np.zeros(1, np.int64)
-    counted = mined.where("kind = 1").select("lang", "words", "numbers").mapInArrow(_count(hashes), "lang string, phrase string, n long")
-    return frequent, stored(counted.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= support), "phrase-counts")
+    found = mined.where("kind = 0").groupBy("lang", "hash", "twin").agg(F.sum("n").alias("n"), F.sum(F.col("least") - 1).alias("spared"), F.min("block").alias("home"))
+    candidates = stored(found.join(unseen, "lang").where(F.col("n") + F.col("unseen") - F.col("spared") >= support).select("hash", "twin", "home"), "phrase-candidates")
+    shards = mined.where("kind = 1").select("block", "lang", "words", "numbers")
+    n_candidates = candidates.count()
+    if not n_candidates:
+        return frequent, docs.sparkSession.createDataFrame([], "lang string, phrase string, n long")
+    if n_candidates > MOST_CANDIDATES:
+        counted = shards.select("lang", "words", "numbers").mapInArrow(_count_all, "lang string, phrase string, n long")
+        return frequent, stored(counted.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= support), "phrase-counts")
+    named = [c.to_numpy() for c in candidates.toArrow().columns]
+    order = np.argsort(named[0], kind="stable")
+    sent = docs.sparkSession.sparkContext.broadcast(tuple(c[order] for c in named))
+    counted = stored(shards.mapInArrow(_count_candidates(sent), _COUNTED), "phrase-counted")
+    sums = counted.where("kind = 0").select("place", "numbers").repartition("place").mapInArrow(_sum_pieces(support), "place long, n long")
+    texts = counted.where("kind = 1").select("place", "lang", "phrase")
+    return frequent, stored(sums.join(texts, "place").select("lang", "phrase", "n"), "phrase-counts")
 
 
 def _floor_ratio(a: Column, n: Column, left: Column, right: Column) -> Column:
