@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import TICKER_FORM
+from ..functions.scalars import TICKER_FORM, canonical_member_key, parse_disclosure_date
 
 # Words that have the form of a ticker and are none.
 RESERVED = ["COUPON", "BOND", "BONDS", "NOTE", "NOTES", "STOCK", "TICKER"]
@@ -281,33 +281,73 @@ def incomplete_groups(reports: DataFrame) -> DataFrame:
     return per.where("failed > 0 OR unavailable > 0")
 
 
-def report_violations(reports: DataFrame) -> DataFrame:
-    """Reports whose counts, hash, chamber or outcome break a rule, one row per rule.
+def report_violations(reports: DataFrame, generation: str, chamber: str) -> DataFrame:
+    """(rule, report_id), one row per rule that a report of a replacement breaks.
 
-    ``reports``: report_id, chamber, outcome (rows, no_rows, failed), stated, accepted, rejected, sha256.
+    ``reports``: ingestion_generation, chamber, source_record_id, outcome, raw, accepted and rejected (row counts), artifact_sha256, landing_sha256,
+    paper_artifact_sha256, paper_artifact_url, report_path, member, filed_text. Outcomes are parsed, no_txs, paper_only, unavailable and
+    failed; a replacement may hold none of the last two.
     """
+    raw, ok, no = (F.col(c).cast("double") for c in ("raw", "accepted", "rejected"))
+    is_ = lambda x: F.coalesce(F.col("outcome") == x, F.lit(False))
+    empty = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    whole = lambda c: F.coalesce((c >= 0) & (c % 1 == 0), F.lit(False))
+    same = F.coalesce(F.col("artifact_sha256") == F.col("landing_sha256"), F.lit(False))
+    hashed = lambda c: F.col(c).isNull() | F.col(c).rlike("^[0-9a-f]{64}$")
+    house = lambda x: F.coalesce(F.lower(F.trim("chamber")) == x, F.lit(False))
+    paper = is_("paper_only")
+    none = (raw == 0) & (ok == 0) & (no == 0)
+    again = reports.groupBy("source_record_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("source_record_id", F.lit(True).alias("__again"))
+    reports, twice = reports.join(again, "source_record_id", "left"), F.col("__again")
+    known = is_("parsed") | is_("no_txs") | paper | is_("unavailable") | is_("failed")
+    url = F.coalesce(F.col("paper_artifact_url").rlike("^https://(?i:efdsearch\\.senate\\.gov)(?::443)?(?:/media/|/search/view/paper/|/search/view/paper-filing/)[^?#]*$"), F.lit(False))
     rules = {
-        "count_equation": F.col("stated") != F.col("accepted") + F.col("rejected"),
-        "negative_count": F.least("stated", "accepted", "rejected") < 0,
-        "rows_without_accepted": (F.col("outcome") == "rows") & (F.col("accepted") <= 0),
-        "no_rows_with_accepted": (F.col("outcome") != "rows") & (F.col("accepted") > 0),
-        "unknown_outcome": ~F.col("outcome").isin("rows", "no_rows", "failed"),
-        "unknown_chamber": ~F.coalesce(F.col("chamber").isin("house", "senate"), F.lit(False)),
-        "hash_form": ~F.coalesce(F.col("sha256").rlike("^[0-9a-f]{64}$"), F.lit(False)),
+        "required": F.col("ingestion_generation").isNull() | F.col("chamber").isNull() | F.col("source_record_id").isNull() | F.col("outcome").isNull(),
+        "other_generation": F.col("ingestion_generation") != generation, "other_chamber": F.col("chamber") != chamber, "blank_id": empty("source_record_id"), "repeated_id": twice,
+        "counts": ~(whole(raw) & whole(ok) & whole(no)), "hash_form": ~(hashed("artifact_sha256") & hashed("landing_sha256") & hashed("paper_artifact_sha256")),
+        "parsed_counts": is_("parsed") & ((ok <= 0) | (no != 0) | (raw != ok)), "parsed_hashes": is_("parsed") & ~same,
+        "no_txs_chamber": is_("no_txs") & ~house("house"), "no_txs_counts": is_("no_txs") & ~none, "no_txs_hashes": is_("no_txs") & ~same,
+        "paper_chamber": paper & ~house("senate"), "paper_counts": paper & ~none, "paper_hashes": paper & (~same | F.col("paper_artifact_sha256").isNull()), "paper_url": paper & ~url,
+        "paper_fields": ~paper & (F.col("paper_artifact_url").isNotNull() | F.col("paper_artifact_sha256").isNotNull()),
+        "count_equation": known & ~is_("parsed") & ~paper & (raw != ok + no), "unknown_outcome": F.col("outcome").isNotNull() & ~known, "not_replaceable": is_("unavailable") | is_("failed"),
+        "report_path": empty("report_path"), "member": empty("member") | (F.col("member") != F.trim("member")), "filing_date": parse_disclosure_date(F.col("filed_text")).isNull(),
     }
-    return reports.withColumn("rule", F.explode(F.array_compact(F.array(*(F.when(c, n) for n, c in rules.items()))))).select("rule", "report_id")
-
-
-def report_binding_violations(rows: DataFrame, reports: DataFrame) -> DataFrame:
-    """Per report whether its stored rows are those it accepted: member, date and number; rows of unknown reports as well."""
-    per = rows.groupBy("report_id").agg(F.count(F.lit(1)).alias("stored"), F.count_distinct("member").alias("members"), F.min("member").alias("row_member"), F.min("disclosure_date").alias("row_date"), F.max("disclosure_date").alias("last_date"))
-    both = reports.select("report_id", "accepted", F.col("member").alias("report_member"), F.col("filed").alias("report_date"), F.lit(True).alias("known")).join(per, "report_id", "full_outer")
-    why = F.array_compact(F.array(
-        F.when(F.col("known").isNull(), "no_report"), F.when(F.col("known") & (F.coalesce("stored", F.lit(0)) != F.col("accepted")), "count"),
-        F.when(F.col("known") & (F.col("stored") > 0) & ((F.col("members") > 1) | (F.col("row_member") != F.col("report_member"))), "member"),
-        F.when(F.col("known") & (F.col("stored") > 0) & ((F.col("row_date") != F.col("report_date")) | (F.col("last_date") != F.col("report_date"))), "date"),
-    ))
-    return both.select("report_id", F.array_join(why, ",").alias("reasons")).where("reasons <> ''")
+    broken = F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), n) for n, c in rules.items())))
+    return reports.withColumn("rules", broken).select(F.explode("rules").alias("rule"), F.col("source_record_id").alias("report_id"))
+
+
+def report_binding_violations(rows: DataFrame, reports: DataFrame, source: str, chamber: str) -> DataFrame:
+    """(report_id, reasons) of reports whose rows are not those they accepted: path, member and its keys, document, hash, dates, number, outcome.
+
+    ``rows``: source_record_id, source_report_path, doc_id, member, member_key, chamber_member_key, artifact_sha256, official_filing_date, available_date,
+    disclosure_date; ``reports``: source_record_id, report_path, member, landing_sha256, official_filing_date, accepted, outcome. Every
+    binding is a flag of a row, so that rows are aggregated once before they are told; a date that is missing is a violation.
+    """
+    r = reports.select("source_record_id", *(F.col(c).alias(f"__{c}") for c in ("report_path", "member", "landing_sha256", "official_filing_date", "accepted", "outcome")), F.lit(True).alias("__known"))
+    met = rows.join(r, "source_record_id", "full_outer").withColumn("__row", F.col("doc_id").isNotNull() | F.col("member").isNotNull() | F.col("source_report_path").isNotNull())
+    key = canonical_member_key(F.col("member"))
+    differs = lambda a, b: ~F.col(a).eqNullSafe(F.col(b))
+    dates = ("official_filing_date", "available_date", "disclosure_date")
+    missing = F.col("__official_filing_date").isNull()
+    other = F.lit(False)
+    for d in dates:
+        missing, other = missing | F.col(d).isNull(), other | (F.col(d) != F.col("__official_filing_date"))
+    told = F.col("__known") & F.col("__row")
+    flags = {
+        "no_report": F.col("__known").isNull(), "path": told & differs("source_report_path", "__report_path"), "member": told & differs("member", "__member"),
+        "member_keys": told & (~F.col("member_key").eqNullSafe(key) | ~F.col("chamber_member_key").eqNullSafe(F.concat(F.lit(f"{chamber.strip().lower()}:"), key))),
+        "doc_id": told & F.lit(source == "senate_efd") & differs("doc_id", "source_record_id"), "hash": told & differs("artifact_sha256", "__landing_sha256"),
+        "dates": told & missing, "date": told & ~missing & F.coalesce(other, F.lit(False)),
+    }
+    path = F.concat(F.lit("/search/view/ptr/"), F.col("source_record_id"), F.lit("/"))
+    form = F.col("source_record_id").rlike("^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$") & (F.col("__path") == path)
+    per = met.groupBy("source_record_id").agg(*(F.coalesce(F.bool_or(c), F.lit(False)).alias(n) for n, c in flags.items()), F.count_if("__row").alias("stored"), F.max("__accepted").alias("__accepted"), F.max("__outcome").alias("__outcome"), F.max("__report_path").alias("__path"), F.bool_or("__known").alias("__known"))
+    more = {
+        "report_path": F.col("__known") & F.lit(source == "senate_efd") & ~F.coalesce(form, F.lit(False)), "count": F.col("__known") & (F.col("stored") != F.col("__accepted")),
+        "outcome": F.col("__known") & (F.col("stored") > 0) & ~F.coalesce(F.col("__outcome") == "parsed", F.lit(False)),
+    }
+    why = F.array_compact(F.array(*(F.when(F.col(n), n) for n in flags), *(F.when(F.coalesce(c, F.lit(False)), n) for n, c in more.items())))
+    return per.select(F.col("source_record_id").alias("report_id"), F.array_join(why, ",").alias("reasons")).where("reasons <> ''")
 
 
 def audit_verdicts(entries: DataFrame) -> DataFrame:

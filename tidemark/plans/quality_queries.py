@@ -241,31 +241,53 @@ def _origin_columns():
     ]
 
 
-_REPORTS = f"""rep AS (SELECT doc_id AS report_id, CASE WHEN o % 23 = 0 THEN 'joint' ELSE ch END AS chamber, CASE WHEN o % 19 = 0 THEN 'lost' WHEN o % 5 = 0 THEN 'no_rows' ELSE 'rows' END AS outcome, n + CASE WHEN o % 11 = 0 THEN 1 ELSE 0 END AS stated, n - n // 3 AS accepted, n // 3 AS rejected, CASE WHEN o % 13 = 0 THEN upper(sha256(doc_id)) ELSE sha256(doc_id) END AS sha256, m AS member, f AS filed
- FROM (SELECT doc_id, min(chamber) AS ch, max(order_key) AS o, count(*) AS n, min(member) AS m, min(disclosure_date) AS f FROM {D} GROUP BY doc_id))"""
+# Reports of a replacement, each with faults by its number, and rows bound to reports; the texts run in both engines.
+_ID = "concat(substr(md5(doc_id), 1, 8), '-', substr(md5(doc_id), 9, 4), '-', substr(md5(doc_id), 13, 4), '-', substr(md5(doc_id), 17, 4), '-', substr(md5(doc_id), 21, 12))"
+_HASH = "concat(md5(doc_id), md5(concat(doc_id, 'x')))"
+_FILED = f"SELECT doc_id, {_ID} AS id, {_HASH} AS h, CAST(max(order_key) AS bigint) AS k, CAST(count(*) AS double) AS n, min(member) AS member, min(disclosure_date) AS filed FROM {D} GROUP BY doc_id"
+_SUBMITTED = """SELECT CASE WHEN k % 13 = 0 THEN 'g9' ELSE 'g1' END AS ingestion_generation, CASE WHEN k % 11 = 0 THEN 'house' ELSE 'senate' END AS chamber, CASE WHEN k % 101 = 0 THEN ' ' WHEN k % 103 = 0 THEN NULL ELSE id END AS source_record_id, o AS outcome,
+ CASE WHEN k % 29 = 0 THEN CAST(1.5 AS double) WHEN o IN ('no_txs', 'paper_only') THEN CASE WHEN k % 19 = 0 THEN CAST(2 AS double) ELSE CAST(0 AS double) END ELSE n + CASE WHEN k % 17 = 0 THEN 1 ELSE 0 END END AS raw, CASE WHEN o IN ('no_txs', 'paper_only') THEN CAST(0 AS double) WHEN o = 'failed' THEN n - 1 ELSE n END AS accepted,
+ CASE WHEN k % 23 = 0 THEN CAST(-1 AS double) WHEN o = 'failed' THEN CAST(1 AS double) ELSE CAST(0 AS double) END AS rejected, CASE WHEN k % 61 = 0 THEN upper(h) ELSE h END AS artifact_sha256, CASE WHEN k % 31 = 0 THEN NULL WHEN k % 37 = 0 THEN concat(substr(h, 2, 63), 'a') ELSE h END AS landing_sha256,
+ CASE WHEN o = 'paper_only' AND k % 41 <> 0 OR o <> 'paper_only' AND k % 43 = 0 THEN h END AS paper_artifact_sha256, CASE WHEN k % 47 = 0 THEN 'http://efdsearch.senate.gov/media/x' WHEN k % 53 = 0 THEN 'https://efdsearch.senate.gov/search/view/paper/1?q' WHEN o = 'paper_only' OR k % 59 = 0 THEN 'https://efdsearch.senate.gov/media/x' END AS paper_artifact_url,
+ CASE WHEN k % 67 = 0 THEN '' ELSE concat('/search/view/ptr/', id, '/') END AS report_path, CASE WHEN k % 71 = 0 THEN concat(member, ' ') ELSE member END AS member, CASE WHEN k % 73 = 0 THEN 'soon' ELSE CAST(filed AS varchar(10)) END AS filed_text
+FROM (SELECT *, CASE WHEN k % 7 = 0 THEN 'no_txs' WHEN k % 7 = 1 THEN 'paper_only' WHEN k % 35 = 2 THEN 'failed' WHEN k % 35 = 3 THEN 'lost' ELSE 'parsed' END AS o FROM fd) x, (SELECT 1 AS i UNION ALL SELECT 2) t WHERE i = 1 OR k % 79 = 0"""
+_URL = "^https://efdsearch[.]senate[.]gov(/media/|/search/view/paper/|/search/view/paper-filing/)[^?#]*$"
 
 
-def _reports(d: DataFrame) -> DataFrame:
-    g = d.groupBy("doc_id").agg(F.min("chamber").alias("ch"), F.max("order_key").alias("o"), F.count(F.lit(1)).alias("n"), F.min("member").alias("member"), F.min("disclosure_date").alias("filed"))
-    third = F.floor(F.col("n") / 3)
-    return g.select(
-        F.col("doc_id").alias("report_id"), F.when(F.col("o") % 23 == 0, "joint").otherwise(F.col("ch")).alias("chamber"), F.when(F.col("o") % 19 == 0, "lost").when(F.col("o") % 5 == 0, "no_rows").otherwise("rows").alias("outcome"),
-        (F.col("n") + F.when(F.col("o") % 11 == 0, 1).otherwise(0)).alias("stated"), (F.col("n") - third).alias("accepted"), third.alias("rejected"),
-        F.when(F.col("o") % 13 == 0, F.upper(F.sha2("doc_id", 256))).otherwise(F.sha2("doc_id", 256)).alias("sha256"), "member", "filed",
-    )
+@_query(
+    "g15_report_violations",
+    f"""WITH fd AS ({_FILED}), r AS MATERIALIZED ({_SUBMITTED}), z AS (SELECT *, count(*) OVER (PARTITION BY source_record_id) AS again, coalesce(artifact_sha256 = landing_sha256, false) AS same, raw = 0 AND accepted = 0 AND rejected = 0 AS none FROM r)
+SELECT source_record_id AS report_id, unnest(list_filter([CASE WHEN source_record_id IS NULL THEN 'required' END, CASE WHEN ingestion_generation <> 'g1' THEN 'other_generation' END, CASE WHEN chamber <> 'senate' THEN 'other_chamber' END, CASE WHEN trim(coalesce(source_record_id, '')) = '' THEN 'blank_id' END, CASE WHEN source_record_id IS NOT NULL AND again > 1 THEN 'repeated_id' END,
+ CASE WHEN raw % 1 <> 0 OR rejected < 0 THEN 'counts' END, CASE WHEN artifact_sha256 <> lower(artifact_sha256) THEN 'hash_form' END, CASE WHEN outcome = 'parsed' AND (accepted <= 0 OR rejected <> 0 OR raw <> accepted) THEN 'parsed_counts' END, CASE WHEN outcome = 'parsed' AND NOT same THEN 'parsed_hashes' END,
+ CASE WHEN outcome = 'no_txs' AND chamber <> 'house' THEN 'no_txs_chamber' END, CASE WHEN outcome = 'no_txs' AND NOT none THEN 'no_txs_counts' END, CASE WHEN outcome = 'no_txs' AND NOT same THEN 'no_txs_hashes' END, CASE WHEN outcome = 'paper_only' AND chamber <> 'senate' THEN 'paper_chamber' END, CASE WHEN outcome = 'paper_only' AND NOT none THEN 'paper_counts' END,
+ CASE WHEN outcome = 'paper_only' AND (NOT same OR paper_artifact_sha256 IS NULL) THEN 'paper_hashes' END, CASE WHEN outcome = 'paper_only' AND NOT coalesce(regexp_matches(paper_artifact_url, '{_URL}'), false) THEN 'paper_url' END, CASE WHEN outcome <> 'paper_only' AND (paper_artifact_url IS NOT NULL OR paper_artifact_sha256 IS NOT NULL) THEN 'paper_fields' END,
+ CASE WHEN outcome IN ('no_txs', 'failed') AND raw <> accepted + rejected THEN 'count_equation' END, CASE WHEN outcome = 'lost' THEN 'unknown_outcome' END, CASE WHEN outcome = 'failed' THEN 'not_replaceable' END, CASE WHEN report_path = '' THEN 'report_path' END, CASE WHEN member <> trim(member) THEN 'member' END, CASE WHEN filed_text = 'soon' THEN 'filing_date' END], lambda x: x IS NOT NULL)) AS rule FROM z""",
+    D,
+)
+def _(d):
+    spark = d.sparkSession
+    fd = spark.sql(_FILED.replace(D, "{d}"), d=d)
+    return Q.report_violations(spark.sql(_SUBMITTED.replace("FROM fd", "FROM {fd}"), fd=fd), "g1", "senate")
 
 
-@_query("g15_report_violations", f"""WITH {_REPORTS} SELECT 'count_equation' AS rule, report_id FROM rep WHERE stated <> accepted + rejected UNION ALL SELECT 'no_rows_with_accepted', report_id FROM rep WHERE outcome <> 'rows' AND accepted > 0 UNION ALL SELECT 'unknown_outcome', report_id FROM rep WHERE outcome = 'lost'
- UNION ALL SELECT 'unknown_chamber', report_id FROM rep WHERE chamber = 'joint' UNION ALL SELECT 'hash_form', report_id FROM rep WHERE NOT regexp_full_match(sha256, '[0-9a-f]{{64}}')""", D)
-def _(d):
-    return Q.report_violations(_reports(d))
+_BOUND_ROWS = f"SELECT CASE WHEN order_key % 149 = 0 THEN NULL ELSE {_ID} END AS source_record_id, concat('/search/view/ptr/', {_ID}, CASE WHEN part_key % 79 = 0 THEN '' ELSE '/' END) AS source_report_path, CASE WHEN part_key % 83 = 0 THEN doc_id ELSE {_ID} END AS doc_id, CASE WHEN part_key % 89 = 0 THEN 'OTHER' ELSE member END AS member, CASE WHEN part_key % 97 = 0 THEN NULL WHEN part_key % 89 = 0 THEN 'OTHER' ELSE member END AS member_key, concat('senate:', CASE WHEN part_key % 89 = 0 THEN 'OTHER' ELSE member END) AS chamber_member_key, CASE WHEN part_key % 107 <> 0 THEN {_HASH} END AS artifact_sha256, disclosure_date AS official_filing_date, CASE WHEN part_key % 109 <> 0 THEN disclosure_date END AS available_date, disclosure_date, order_key AS k FROM {D}"
+_HELD_REPORTS = "SELECT id AS source_record_id, CASE WHEN k % 67 = 0 THEN '/search' ELSE concat('/search/view/ptr/', id, '/') END AS report_path, member, h AS landing_sha256, CASE WHEN k % 127 <> 0 THEN filed END AS official_filing_date, CAST(n + CASE WHEN k % 131 = 0 THEN 1 ELSE 0 END AS bigint) AS accepted, CASE WHEN k % 137 = 0 THEN 'failed' ELSE 'parsed' END AS outcome FROM fd WHERE k % 139 <> 0"
 
 
-@_query("j35_report_binding_violations", f"""WITH {_REPORTS}, w AS (SELECT doc_id AS report_id, count(*) AS stored, count(DISTINCT member) AS ms, min(member) AS rm, min(disclosure_date) AS d0, max(disclosure_date) AS d1 FROM {D} WHERE part_key % 3 <> 0 GROUP BY 1), k AS (SELECT * FROM rep WHERE outcome <> 'lost'),
-b AS (SELECT coalesce(k.report_id, w.report_id) AS report_id, k.report_id IS NOT NULL AS known, accepted, member, filed, stored, ms, rm, d0, d1 FROM k FULL JOIN w ON k.report_id = w.report_id)
-SELECT * FROM (SELECT report_id, concat_ws(',', CASE WHEN NOT known THEN 'no_report' END, CASE WHEN known AND coalesce(stored, 0) <> accepted THEN 'count' END, CASE WHEN known AND stored > 0 AND (ms > 1 OR rm <> member) THEN 'member' END, CASE WHEN known AND stored > 0 AND (d0 <> filed OR d1 <> filed) THEN 'date' END) AS reasons FROM b) WHERE reasons <> ''""", D)
+@_query(
+    "j35_report_binding_violations",
+    f"""WITH fd AS ({_FILED}), r AS MATERIALIZED ({_HELD_REPORTS}), w AS MATERIALIZED ({_BOUND_ROWS}), m AS (SELECT w.*, r.source_record_id AS rid, report_path, r.member AS rm, landing_sha256, r.official_filing_date AS rd FROM w LEFT JOIN r ON r.source_record_id = w.source_record_id),
+f AS (SELECT source_record_id AS report_id, bool_or(rid IS NULL) AS f0, bool_or(rid IS NOT NULL AND source_report_path <> report_path) AS f1, bool_or(rid IS NOT NULL AND member <> rm) AS f2, bool_or(rid IS NOT NULL AND (member_key IS DISTINCT FROM member OR chamber_member_key <> concat('senate:', member))) AS f3, bool_or(rid IS NOT NULL AND doc_id <> source_record_id) AS f4,
+  bool_or(rid IS NOT NULL AND artifact_sha256 IS DISTINCT FROM landing_sha256) AS f5, bool_or(rid IS NOT NULL AND (rd IS NULL OR available_date IS NULL)) AS f6, bool_or(rid IS NOT NULL AND rd IS NOT NULL AND available_date IS NOT NULL AND disclosure_date <> rd) AS f7, count(*) AS stored FROM m GROUP BY 1),
+b AS (SELECT coalesce(f.report_id, r.source_record_id) AS report_id, f.*, r.source_record_id AS rid, report_path, accepted, outcome FROM f FULL JOIN r ON r.source_record_id = f.report_id)
+SELECT * FROM (SELECT report_id, concat_ws(',', CASE WHEN f0 THEN 'no_report' END, CASE WHEN f1 THEN 'path' END, CASE WHEN f2 THEN 'member' END, CASE WHEN f3 THEN 'member_keys' END, CASE WHEN f4 THEN 'doc_id' END, CASE WHEN f5 THEN 'hash' END, CASE WHEN f6 THEN 'dates' END, CASE WHEN f7 THEN 'date' END,
+ CASE WHEN rid IS NOT NULL AND report_path <> concat('/search/view/ptr/', rid, '/') THEN 'report_path' END, CASE WHEN rid IS NOT NULL AND coalesce(stored, 0) <> accepted THEN 'count' END, CASE WHEN rid IS NOT NULL AND stored > 0 AND outcome <> 'parsed' THEN 'outcome' END) AS reasons FROM b) WHERE reasons <> ''""",
+    D,
+)
 def _(d):
-    return Q.report_binding_violations(d.where("part_key % 3 <> 0").withColumnRenamed("doc_id", "report_id"), _reports(d).where("outcome <> 'lost'"))
+    spark = d.sparkSession
+    held = spark.sql(_HELD_REPORTS.replace("FROM fd", "FROM {fd}"), fd=spark.sql(_FILED.replace(D, "{d}"), d=d))
+    return Q.report_binding_violations(spark.sql(_BOUND_ROWS.replace(D, "{d}"), d=d), held, "senate_efd", "senate")
 
 
 _ENTRY = f"SELECT doc_id, CASE part_key % 6 WHEN 0 THEN 'FAIL' WHEN 1 THEN NULL WHEN 2 THEN 'maybe' ELSE 'pass' END AS verdict, CASE supp_key % 3 WHEN 0 THEN 'critical' WHEN 1 THEN 'Cosmetic' END AS severity FROM {D}"
