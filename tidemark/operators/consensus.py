@@ -95,36 +95,41 @@ def resolve_tickers(rows: DataFrame, raw: str, on: Column) -> DataFrame:
     return out.withColumns({"symbol": mapped, "symbol_confidence": sure, "family": F.coalesce("rule_family", "__raw")}).drop("__raw", "__on", "raw", "rule", "mapped", "since", "rule_family")
 
 
-def prepare_purchases(rows: DataFrame, sources: list[str] = CONGRESS, below_floor: bool = False) -> DataFrame:
-    """Eligible purchases with symbol, family and buyer; '' is a buyer that is not known. ``below_floor`` keeps those with a floor_reason."""
+def eligible_purchases(rows: DataFrame, sources: list[str] = CONGRESS, below_floor: bool = False) -> DataFrame:
+    """C2 without the buyer: eligible purchases with symbol and family. ``below_floor`` keeps those with a floor_reason."""
     buys = valid_chronology(rows.where((F.col("transaction_type") == "Purchase") & F.col("source").isin(*sources)))
     buys = buys.where(eligible_equity(F.col("asset_description"), F.col("source"), F.lit(None).cast("string"), F.lit(None).cast("string")))
     floor = below_floor_reason(F.col("source"), F.col("transaction_type"), F.col("amount_midpoint"))
     buys = buys.withColumn("floor_reason", floor) if below_floor else buys.where(floor.isNull())
     t = normalize_ticker(F.col("ticker"))
     buys = resolve_tickers(buys.where(t.rlike(TICKER_FORM) & ~t.isin(*NON_EQUITY_TICKERS)), "ticker", F.col("transaction_date"))
-    buys = buys.where(~F.col("symbol_status").isin("unresolved", "quarantined", "acquired", "date_required", "pre_listing"))
-    return buys.withColumn("buyer", canonical_member_key(F.col("member")))
+    return buys.where(~F.col("symbol_status").isin("unresolved", "quarantined", "acquired", "date_required", "pre_listing"))
+
 
+def prepare_purchases(rows: DataFrame, sources: list[str] = CONGRESS, below_floor: bool = False) -> DataFrame:
+    """Eligible purchases with symbol, family and buyer; '' is a buyer that is not known."""
+    return eligible_purchases(rows, sources, below_floor).withColumn("buyer", canonical_member_key(F.col("member")))
 
-def _score(groups, min_buyers: int) -> DataFrame:
+
+def _counted_purchases(rows: DataFrame, *keys: str) -> DataFrame:
+    """Eligible purchases counted per family, ``keys``, buyer (null: not known) and lag. Names are counted as filed first, so a name's key is worked out once and not per row."""
     lag = F.datediff("disclosure_date", "transaction_date")
-    known = F.when(F.col("buyer") != "", F.col("buyer"))
-    out = groups.agg(
-        F.count_distinct(known).alias("num_buyers"),
-        F.array_join(F.slice(F.array_sort(F.collect_set(known)), 1, 3), ", ").alias("buyers"),
-        F.max(lag).alias("max_lag"),
-        F.median(lag).alias("median_lag"),
-        F.max("disclosure_date").alias("latest_disclosure_date"),
-        F.min("transaction_date").alias("oldest_transaction_date"),
-    )
-    return out.withColumn("signal_score", F.when(F.col("num_buyers") >= min_buyers, F.col("num_buyers").cast("double")).otherwise(0.0))
+    filed = eligible_purchases(rows).groupBy("family", *keys, "member", lag.alias("lag")).agg(F.count(F.lit(1)).alias("rows"), F.max("disclosure_date").alias("newest"), F.min("transaction_date").alias("oldest"))
+    key = canonical_member_key(F.col("member"))
+    return filed.withColumn("buyer", F.when(key != "", key)).drop("member")
+
+
+def _score(counted: DataFrame, keys: list[str], min_buyers: int) -> DataFrame:
+    """Per group the distinct buyers, the first three of them, and lags by their counts: one partial aggregate, without a distinct count."""
+    out = counted.groupBy(*keys).agg(F.array_sort(F.collect_set("buyer")).alias("__b"), F.max("lag").alias("max_lag"), F.percentile("lag", 0.5, F.col("rows")).alias("median_lag"), F.max("newest").alias("latest_disclosure_date"), F.min("oldest").alias("oldest_transaction_date"))
+    n = F.size("__b").cast("long")
+    return out.select(
+        *keys, n.alias("num_buyers"), F.array_join(F.slice("__b", 1, 3), ", ").alias("buyers"), "max_lag", "median_lag", "latest_disclosure_date", "oldest_transaction_date", F.when(n >= min_buyers, n.cast("double")).otherwise(0.0).alias("signal_score"))
 
 
 def distinct_buyer_score(rows: DataFrame, as_of: Column, days: int = LOOKBACK_DAYS, min_buyers: int = MIN_BUYERS) -> DataFrame:
     """Per security family the distinct buyers disclosed in the window; too few score 0."""
-    bought = prepare_purchases(disclosure_window(rows, as_of, days))
-    return _score(bought.groupBy(F.col("family").alias("ticker")), min_buyers)
+    return _score(_counted_purchases(disclosure_window(rows, as_of, days)).withColumnRenamed("family", "ticker"), ["ticker"], min_buyers)
 
 
 def consensus_candidates(rows: DataFrame, as_of: Column, days: int = LOOKBACK_DAYS, min_buyers: int = 1) -> DataFrame:
@@ -137,23 +142,14 @@ def consensus_over_dates(rows: DataFrame, dates: DataFrame, days: int = LOOKBACK
 
     ``dates``: one row of first and last decision date.
     """
-    lag = F.datediff("disclosure_date", "transaction_date")
-    bought = prepare_purchases(rows).groupBy("family", F.when(F.col("buyer") != "", F.col("buyer")).alias("buyer"), "disclosure_date", lag.alias("lag")).agg(F.count(F.lit(1)).alias("rows"), F.min("transaction_date").alias("oldest"))
+    bought = _counted_purchases(rows, "disclosure_date")
     bought = bought.crossJoin(F.broadcast(dates))  # of one row
     first = F.greatest(F.lit(0), F.ceil(F.datediff("disclosure_date", "first") / step)).cast("int")
     last = F.least(F.floor(F.datediff("last", "first") / step), F.floor((F.datediff("disclosure_date", "first") + days) / step)).cast("int")
     seen = bought.where(first <= last).withColumn("n", F.explode(F.sequence(first, last))).withColumn("as_of", F.expr(f"date_add(first, n * {step})"))
     # A window holds at most ``days`` days of disclosure, so the lags of a group are a short list with counts.
-    per = seen.groupBy("as_of", F.col("family").alias("ticker"), "buyer", "lag").agg(F.sum("rows").alias("rows"), F.max("disclosure_date").alias("newest"), F.min("oldest").alias("oldest"))
-    out = per.groupBy("as_of", "ticker").agg(
-        F.size(F.collect_set("buyer")).cast("long").alias("num_buyers"),
-        F.array_join(F.slice(F.array_sort(F.collect_set("buyer")), 1, 3), ", ").alias("buyers"),
-        F.max("lag").alias("max_lag"),
-        F.percentile("lag", 0.5, F.col("rows")).alias("median_lag"),
-        F.max("newest").alias("latest_disclosure_date"),
-        F.min("oldest").alias("oldest_transaction_date"),
-    )
-    return out.where(F.col("num_buyers") >= min_buyers).withColumn("signal_score", F.col("num_buyers").cast("double"))
+    per = seen.groupBy("as_of", F.col("family").alias("ticker"), "buyer", "lag").agg(F.sum("rows").alias("rows"), F.max("newest").alias("newest"), F.min("oldest").alias("oldest"))
+    return _score(per, ["as_of", "ticker"], min_buyers).where(F.col("num_buyers") >= min_buyers)
 
 
 def rank_recommendations(scored: DataFrame, n: int, date: str | None = None) -> DataFrame:

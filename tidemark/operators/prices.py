@@ -164,16 +164,22 @@ def signal_labels(rows: DataFrame, prices: DataFrame, days: DataFrame, key: str,
     Peak and trough are those of the security's own window; decayed means are over days that the benchmark has too.
     """
     ends = with_returns(exact_endpoints(explode_horizons(rows, horizons), prices, days, benchmark))
-    done = ends.where("reason is null").select(key, "horizon", "ticker", "entry_date", "exit_date")
+    # A row's path is taken once, to its last complete horizon; each horizon's figures are of the quotes up to its own exit.
+    exits = [F.max(F.when(F.col("horizon") == h, F.col("exit_date"))).alias(f"exit_{h}") for h in horizons]
+    done = ends.where("reason is null").groupBy(key, "ticker", "entry_date").agg(*exits, F.max("exit_date").alias("exit_date"))
     bench = prices.where((F.col("ticker") == benchmark) & valid_price(F.col("close"))).select("date", F.col("close").alias("bench"))
     path = price_path(done, prices).join(bench, "date", "left")
     # Days without the benchmark are a partition of their own, so one shuffle serves both kinds of figures.
     common = F.col("bench").isNotNull()
-    w = Window.partitionBy(key, "horizon", common).orderBy("date")
+    w = Window.partitionBy(key, common).orderBy("date")
     d = F.datediff("date", "entry_date")
     path = path.withColumns({"weight": F.when(common, F.exp(-decay * (d + F.lag(d).over(w)) / 2)), "own": F.log(F.col("close") / F.lag("close").over(w)), "other": F.log(F.col("bench") / F.lag("bench").over(w))})
-    mean = lambda c: F.sum(F.col(c) * F.col("weight")) / F.sum("weight") * 100
-    shape = path.groupBy(key, "horizon").agg(F.max("close").alias("peak"), F.min("close").alias("trough"), mean("own").alias("decayed_return"), mean("other").alias("decayed_bench"))
+    figures = []
+    for h in horizons:
+        inside = lambda c, h=h: F.when(F.col("date") <= F.col(f"exit_{h}"), c)
+        mean = lambda c, inside=inside: F.sum(inside(F.col(c) * F.col("weight"))) / F.sum(inside(F.col("weight"))) * 100
+        figures.append(F.struct(F.lit(h).alias("horizon"), F.max(inside(F.col("close"))).alias("peak"), F.min(inside(F.col("close"))).alias("trough"), mean("own").alias("decayed_return"), mean("other").alias("decayed_bench")))
+    shape = path.groupBy(key).agg(F.array(*figures).alias("f")).select(key, F.explode("f").alias("f")).select(key, "f.*").where("peak IS NOT NULL")
     return ends.join(shape, [key, "horizon"], "left").withColumns({"complete": F.col("reason").isNull(), "decayed_alpha": F.col("decayed_return") - F.col("decayed_bench")})
 
 
