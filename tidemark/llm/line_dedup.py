@@ -178,8 +178,9 @@ def repeated_runs(docs: DataFrame, *, least_words: int = LEAST_WORDS, id_col: st
     places = lined.select("doc_id", "version", F.explode(F.arrays_zip("prints", "twice")).alias("p")).select("doc_id", "version", F.col("p.prints").alias("print"), "p.twice")
     # A text has each fingerprint once here, with a mark if it has it at several places. A repeated row of an id
     # counts as another place, which only lets more windows be looked at.
-    shared = places.groupBy("print").agg(F.count(F.lit(1)).alias("n"), F.max("twice").alias("t")).where("n > 1 OR t").select("print")
-    at = stored(places.join(shared, "print").groupBy("doc_id", "version").agg(F.collect_set("print").alias("shared")), "line-places")
+    shared = stored(places.groupBy("print").agg(F.count(F.lit(1)).alias("n"), F.max("twice").alias("t")).where("n > 1 OR t").select("print", "n", "t"), "line-prints")
+    total = lined.agg(F.coalesce(F.sum(F.size("prints")), F.lit(0))).first()[0]
+    at = stored(join_per_key(places.select("doc_id", "version", "print"), shared, "print", "n", total).groupBy("doc_id", "version").agg(F.collect_set("print").alias("shared")), "line-places")
     windows = stored(lined.dropDuplicates(["doc_id", "version"]).join(at, ["doc_id", "version"]).select("doc_id", "version", "hashes", "words", "shared").mapInArrow(_extend(least_words), "doc_id long, version long, start int, end int, hi long, lo long"), "line-windows")
     first = windows.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "version", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     met = join_per_key(windows, first, ["lo", "hi"], "n", windows.count()).select("doc_id", "version", "start", "end", "first")
