@@ -123,18 +123,22 @@ def _texts_of(x: np.ndarray, at: np.ndarray, k: int, words: list[bytes]) -> pa.A
     return pa.array([b" ".join([names[w] for w in row]) for row in x[at[:, None] + np.arange(k)].tolist()], pa.binary()).cast(pa.string())
 
 
-_MINED = "kind int, block long, lang string, hash long, twin long, n long, least long, words array<binary>, numbers binary"
-_MINED_TYPES = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("lang", pa.string()), ("hash", pa.int64()), ("twin", pa.int64()), ("n", pa.int64()), ("least", pa.int64()), ("words", pa.list_(pa.binary())), ("numbers", pa.binary())])
+#: Local phrases of a shard leave it in so many pieces by their hash.
+_PIECES = 64
+_MINED = "kind int, block long, lang string, piece int, named binary, least long, words array<binary>, numbers binary"
+_MINED_TYPES = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("lang", pa.string()), ("piece", pa.int32()), ("named", pa.binary()), ("least", pa.int64()), ("words", pa.list_(pa.binary())), ("numbers", pa.binary())])
 
 
 def _mined(x: np.ndarray, words: list[bytes], block: int, lang: str, total: int, lang_words: int, support: int) -> Iterator[pa.Table]:
-    """Phrases of a shard that reach its share of ``support`` (kind 0), and the shard in numbers of its frequent words (kind 1)."""
+    """Hashes and counts of a shard's phrases that reach its share of ``support`` (kind 0), and the shard in numbers of its frequent words (kind 1)."""
     first, second = (_word_hashes(words, lang, seed) for seed in (0, 1))
     least = -(-support * total // lang_words)
     for k, at, n in _levels(x, least):
-        m = len(at)
-        columns = [pa.array(np.zeros(m, np.int32)), pa.array(np.full(m, block)), pa.array([lang] * m, pa.string()), pa.array(_hashes(x, at, k, first)), pa.array(_hashes(x, at, k, second)), pa.array(n.astype(np.int64)), pa.array(np.full(m, least)), pa.nulls(m, pa.list_(pa.binary())), pa.nulls(m, pa.binary())]
-        yield pa.Table.from_arrays(columns, schema=_MINED_TYPES)
+        named = np.stack([_hashes(x, at, k, first), _hashes(x, at, k, second), n.astype(np.int64)])
+        piece = (named[0] & (_PIECES - 1)).astype(np.int32)
+        named = named[:, np.argsort(piece, kind="stable")]
+        cut = np.searchsorted(np.sort(piece), np.arange(_PIECES + 1))
+        yield pa.Table.from_pylist([{"kind": 0, "block": block, "lang": lang, "piece": i, "named": packed(named[:, cut[i] : cut[i + 1]]), "least": least} for i in range(_PIECES) if cut[i + 1] > cut[i]], schema=_MINED_TYPES)
     yield pa.Table.from_pylist([{"kind": 1, "block": block, "lang": lang, "least": least, "words": words, "numbers": packed(x)}], schema=_MINED_TYPES)
 
 
@@ -190,6 +194,38 @@ def _mine_joined(support: int):
     return run
 
 
+def _possible(support: int, unseen: dict[str, int]):
+    """(hash, twin, home) of phrases that can reach the support, of one piece of a language after the other; home is the first shard that found it.
+
+    A shard in which a phrase was not found holds it at most one time less than its share: so much can be added to what was found.
+    """
+
+    def told(lang: str, rows: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+        named = np.concatenate([x for _, _, x in rows], axis=1)
+        size = [x.shape[1] for _, _, x in rows]
+        spared, block = (np.repeat(np.array([r[i] for r in rows]) - d, size) for i, d in ((0, 1), (1, 0)))
+        order = np.lexsort((block, named[1], named[0]))
+        named, spared, block = named[:, order], spared[order], block[order]
+        first = np.flatnonzero(np.concatenate([[True], (named[:2, 1:] != named[:2, :-1]).any(axis=0)]))
+        ok = np.add.reduceat(named[2] - spared, first) + unseen[lang] >= support
+        at = first[ok]
+        return pa.record_batch([pa.array(named[0][at]), pa.array(named[1][at]), pa.array(block[at])], ["hash", "twin", "home"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+        for batch in batches:
+            for row in rows_of(batch):
+                if key != (row["lang"], row["piece"]) and rows:
+                    yield told(key[0], rows)
+                    rows = []
+                key = row["lang"], row["piece"]
+                rows.append((row["least"], row["block"], unpacked(row["named"], np.int64).reshape(3, -1)))
+        if rows:
+            yield told(key[0], rows)
+
+    return run
+
+
 def _count_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Occurrences of all phrases of frequent words in each shard, by their texts."""
     for batch in batches:
@@ -265,8 +301,8 @@ def phrase_counts(docs: DataFrame, *, support: int = 100, text_col: str = "text"
     A phrase with ``support`` occurrences in a language has in some shard at least that shard's share of them, so each shard is
     mined completely at its share, rounded up; the union of what was found is then counted in every shard, but for phrases that fall short
     of the support even if every other shard held them as often as it could unnoticed. All words of
-    such a phrase reach the support, so only those, counted beforehand, take part. Shuffled are distinct words and
-    phrases of a shard with their counts and the packed shards, never positions. Shards do not grow with the corpus:
+    such a phrase reach the support, so only those, counted beforehand, take part. Shuffled are distinct words of blocks with their counts,
+    phrases of shards as packed hashes with counts, and the packed shards, never positions. Shards do not grow with the corpus:
     the larger it is, the lower a shard's share, down to one occurrence, when the union is all phrases of frequent words.
     """
     bounded_batches(docs.sparkSession)
@@ -290,10 +326,9 @@ def phrase_counts(docs: DataFrame, *, support: int = 100, text_col: str = "text"
     else:
         known = held.drop("n").join(frequent.select("lang", "word"), ["lang", "word"]).select("block", "word_number", "word").toDF("block", "word_number", "word")
         mined = stored(shards.drop("dictionary").groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_mine_joined(support), _MINED), "phrase-mined")
-    # A shard in which a phrase was not found holds it at most one time less than its share: so much can be added to what was found.
-    unseen = small_or_shuffled(stored(mined.where("kind = 1").groupBy("lang").agg(F.sum(F.col("least") - 1).alias("unseen")), "phrase-unseen"))
-    found = mined.where("kind = 0").groupBy("lang", "hash", "twin").agg(F.sum("n").alias("n"), F.sum(F.col("least") - 1).alias("spared"), F.min("block").alias("home"))
-    candidates = stored(found.join(unseen, "lang").where(F.col("n") + F.col("unseen") - F.col("spared") >= support).select("hash", "twin", "home"), "phrase-candidates")
+    unseen = {r.lang: r.unseen for r in mined.where("kind = 1").groupBy("lang").agg(F.sum(F.col("least") - 1).alias("unseen")).toLocalIterator()}
+    found = mined.where("kind = 0").select("lang", "piece", "block", "least", "named").repartition("lang", "piece").sortWithinPartitions("lang", "piece")
+    candidates = stored(found.mapInArrow(_possible(support, unseen), "hash long, twin long, home long"), "phrase-candidates")
     shards = mined.where("kind = 1").select("block", "lang", "words", "numbers")
     n_candidates = candidates.count()
     if not n_candidates:
