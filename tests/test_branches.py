@@ -95,3 +95,12 @@ def test_cohort_panels_feed_the_summary(spark):
     scored = cohorts.score_quintiles(panel)
     assert {r.score_quintile for r in scored.where("ranked").collect()} <= {f"Q{i}" for i in range(1, 6)} and scored.where("NOT ranked AND score_quintile IS NOT NULL").count() == 0
     assert {r.metric for r in cohort_summary(scored, reps=20).collect()} == {"group_mean", "score_quintile_mean", "primary_top_quintile_vs_zero", "ranked_minus_baseline"}
+
+
+def test_targets_are_ranked_by_value_then_score(spark):
+    rows = [(DAY, "A", "X", 1.0, 0.6, 2.0, 1.0, None), (DAY, "B", "Y", 2.0, 0.6, 2.0, 1.0, 0.5), (DAY, "C", "Z", 5.0, 0.9, 2.0, 1.0, 0.2), (DAY, "D", "nan", 5.0, 0.9, 2.0, 1.0, 0.2), (DAY, "E", "V", 0.0, 0.9, 2.0, 1.0, 0.2), (DAY, "F", "U", 1.0, 0.34, 2.0, 1.0, 0.0)]
+    df = spark.createDataFrame(rows, "as_of date, ticker string, member string, score double, p double, win double, loss double, crash double")
+    got = portfolio.portfolio_targets(df, per_member=1.0).orderBy("rank").collect()
+    assert [(r.ticker, round(r.kelly, 6)) for r in got] == [("C", 0.425), ("B", 0.2), ("A", 0.2)] and got[1].position_value == got[2].position_value == pytest.approx(20_000)
+    guarded = portfolio.portfolio_targets(df, per_member=1.0, crash_guard=True).orderBy("rank").collect()
+    assert [(r.ticker, round(r.kelly, 6)) for r in guarded] == [("C", 0.34), ("B", 0.1)]

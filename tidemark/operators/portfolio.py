@@ -45,12 +45,25 @@ def cap_group_weights(rows: DataFrame, weight: str, keys: list[str], cap: float)
     return rows.withColumn(weight, F.col(weight) * F.least(F.lit(1.0), F.lit(cap) / total))
 
 
-def portfolio_targets(rows: DataFrame, floor: float = 0.01, per_ticker: float = 0.20, per_member: float = 0.05, in_all: float = 1.0) -> DataFrame:
-    """Half-Kelly weights of valid rows above the floor, capped per ticker, per member, then in all."""
-    good = rows.where("p > 0 AND p < 1 AND win > 0 AND loss > 0 AND member IS NOT NULL").withColumn("weight", kelly_fraction(F.col("p"), F.col("win"), F.col("loss"))).where(F.col("weight") > floor)
+def portfolio_targets(rows: DataFrame, floor: float = 0.01, per_ticker: float = 0.20, per_member: float = 0.05, in_all: float = 1.0, capital: float = 100_000.0, crash_guard: bool = False) -> DataFrame:
+    """Half-Kelly weights of valid rows above the floor, capped per ticker, per member, then in all, and their place in the day's order.
+
+    ``rows``: as_of, ticker, member, score, p, win, loss and crash (probability of a crash). A row counts if all numbers are finite, the score is positive, the chance inside
+    0 and 1, and the member is known. With ``crash_guard`` a fraction shrinks by its crash probability, which must be known and within 0 and 1;
+    without it crash is only carried. Rank is by position value, then score, both falling, then ticker and member.
+    """
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf"))
+    member, ticker = F.trim("member"), F.trim("ticker")
+    ok = finite("score") & finite("p") & finite("win") & finite("loss") & (F.col("score") > 0) & (F.col("p") > 0) & (F.col("p") < 1) & (F.col("win") > 0) & (F.col("loss") > 0)
+    ok = ok & (ticker != "") & (member != "") & ~F.lower(member).isin("unknown", "none", "nan")
+    fraction = kelly_fraction(F.col("p"), F.col("win"), F.col("loss"))
+    if crash_guard:
+        ok, fraction = ok & finite("crash") & F.col("crash").between(0, 1), fraction * (1 - F.col("crash"))
+    good = rows.where(ok).withColumns({"ticker": ticker, "member": member, "crash": F.coalesce("crash", F.lit(0.0)), "kelly": fraction}).where(F.col("kelly") > floor).withColumn("weight", F.col("kelly"))
     for keys, cap in ((["as_of", "ticker"], per_ticker), (["as_of", "member"], per_member), (["as_of"], in_all)):
         good = cap_group_weights(good, "weight", keys, cap)
-    return good
+    place = F.row_number().over(Window.partitionBy("as_of").orderBy(F.desc("position_value"), F.desc("score"), "ticker", "member"))
+    return good.withColumn("position_value", F.col("weight") * capital).withColumn("rank", place)
 
 
 def running_drawdown(curve: DataFrame, key: str, date: str, value: str) -> DataFrame:

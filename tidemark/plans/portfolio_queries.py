@@ -65,17 +65,30 @@ def _(o, prices, sessions):
     return B.backtest_summary(_panel(o, prices, sessions)).withColumns({c: F.round(c, 9) for c in ("mean_return", "mean_net_alpha")})
 
 
-@_query(
-    "g57_portfolio_targets",
-    f"""WITH s AS (SELECT tx_id, as_of, ticker, member, (score + 1) / 32 AS p, (1 + tx_id % 5)::DOUBLE AS win, (1 + tx_id % 3)::DOUBLE AS loss FROM {O}),
-k AS (SELECT *, greatest((p * (win / loss) - (1 - p)) / (win / loss), 0.0) * 0.5 AS w0 FROM s), g AS (SELECT * FROM k WHERE w0 > 0.01),
+_SIZED = f"""SELECT tx_id, as_of, ticker, CASE tx_id % 29 WHEN 0 THEN ' Unknown ' WHEN 1 THEN '' WHEN 2 THEN NULL ELSE member END AS member, CAST(CASE WHEN tx_id % 31 = 0 THEN 0 ELSE tx_id % 17 + 1 END AS double) AS score, (score + 1) / CAST(32 AS double) AS p, CAST(1 + tx_id % 5 AS double) AS win, CAST(tx_id % 37 % 4 AS double) AS loss,
+ CASE WHEN tx_id % 41 = 0 THEN NULL WHEN tx_id % 43 = 0 THEN CAST(1.5 AS double) ELSE CAST(tx_id % 8 AS double) / CAST(16 AS double) END AS crash FROM {O}"""
+
+
+def _sized_sql(guard: bool) -> str:
+    keep, shrink = (" AND crash BETWEEN 0 AND 1", " * (1 - crash)") if guard else ("", "")
+    return f"""WITH s AS ({_SIZED}), k AS (SELECT *, greatest((p * (win / loss) - (1 - p)) / (win / loss), 0.0) * 0.5{shrink} AS w0 FROM s WHERE score > 0 AND loss > 0 AND p > 0 AND p < 1 AND trim(member) <> '' AND lower(trim(member)) <> 'unknown'{keep}), g AS (SELECT * FROM k WHERE w0 > 0.01),
 a AS (SELECT *, w0 * least(1.0::DOUBLE, 0.2::DOUBLE / sum(w0) OVER (PARTITION BY as_of, ticker)) AS w1 FROM g), b AS (SELECT *, w1 * least(1.0::DOUBLE, 0.05::DOUBLE / sum(w1) OVER (PARTITION BY as_of, member)) AS w2 FROM a)
-SELECT tx_id, round(w2 * least(1.0::DOUBLE, 1.0::DOUBLE / sum(w2) OVER (PARTITION BY as_of)), 10) AS weight FROM b""",
-    O,
-)
+SELECT tx_id, coalesce(crash, 0) AS crash, round(w2 * least(1.0::DOUBLE, 1.0::DOUBLE / sum(w2) OVER (PARTITION BY as_of)), 10) AS weight FROM b"""
+
+
+def _sized(o: DataFrame, guard: bool) -> DataFrame:
+    rows = o.sparkSession.sql(_SIZED.replace(O, "{o}"), o=o)
+    return B.portfolio_targets(rows, crash_guard=guard).select("tx_id", "crash", F.round("weight", 10).alias("weight"))
+
+
+@_query("g57_portfolio_targets", _sized_sql(False), O)
+def _(o):
+    return _sized(o, False)
+
+
+@_query("g57_crash_guarded_targets", _sized_sql(True), O)
 def _(o):
-    rows = o.select("tx_id", "as_of", "ticker", "member", ((F.col("score") + 1) / 32).alias("p"), (1 + F.col("tx_id") % 5).cast("double").alias("win"), (1 + F.col("tx_id") % 3).cast("double").alias("loss"))
-    return B.portfolio_targets(rows).select("tx_id", F.round("weight", 10).alias("weight"))
+    return _sized(o, True)
 
 
 _CURVE = "c AS (SELECT ticker, date, max(close) AS value FROM fx_prices WHERE close > 0 GROUP BY 1, 2)"
