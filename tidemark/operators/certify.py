@@ -99,6 +99,40 @@ def merge_price_refresh(new: DataFrame, old: DataFrame, eligible: DataFrame, tol
     return old.select("ticker", "date", "close").unionByName(added), report
 
 
+def refresh_states(new: DataFrame, old: DataFrame, states: DataFrame, eligible: DataFrame, generation: str, unresolved: DataFrame | None = None, tolerance: float = 0.001) -> DataFrame:
+    """(ticker, served, comparability, alternate, reason) of refreshed tickers after a merge.
+
+    Where shared days agree the new generation is served. Where they do not, or ``unresolved`` (ticker, reason) says so, the old one of ``states``
+    (ticker, served) stays, unknown, with the new one as its alternate and the reason.
+    """
+    fresh = new.join(eligible.select("ticker").distinct(), "ticker", "left_semi")
+    held = old.select("ticker", "date", F.col("close").alias("held"))
+    off = F.abs(F.col("held") - F.col("close")) / F.nullif(F.abs("close"), F.lit(0))
+    per = fresh.join(held, ["ticker", "date"], "left").groupBy("ticker").agg(F.count_if(off > tolerance).alias("rows"), F.max(off).alias("most"))
+    told = F.format_string(f"price comparability unknown: %d overlaps exceed {tolerance * 100:g}%% (max %.5f%%)", "rows", F.col("most") * 100)
+    per = per.withColumn("why", F.when(F.col("rows") > 0, told))
+    if unresolved is not None:
+        per = per.join(unresolved.select("ticker", F.col("reason").alias("__open")), "ticker", "left").withColumn("why", F.coalesce("why", "__open"))
+    good = F.col("why").isNull()
+    return per.join(states.select("ticker", F.col("served").alias("base")), "ticker", "left").select(
+        "ticker", F.when(good, generation).otherwise(F.col("base")).alias("served"), F.when(good, "comparable").otherwise("unknown").alias("comparability"), F.when(~good, generation).alias("alternate"), F.col("why").alias("reason"))
+
+
+def merge_dividends(new: DataFrame, old: DataFrame, eligible: DataFrame) -> DataFrame:
+    """Old dividends with those new (ticker, ex_date) of eligible tickers that they lack; of several amounts the largest."""
+    one = new.join(eligible.select("ticker").distinct(), "ticker", "left_semi").groupBy("ticker", "ex_date").agg(F.max("cash_amount").alias("cash_amount"))
+    return old.select("ticker", "ex_date", "cash_amount").unionByName(one.join(old, ["ticker", "ex_date"], "left_anti"))
+
+
+def refresh_missing(new: DataFrame, merged: DataFrame, states: DataFrame, eligible: DataFrame, new_dividends: DataFrame, merged_dividends: DataFrame) -> DataFrame:
+    """(kind, ticker, date) that a refresh brought and the merged tables, read again, do not have; prices of unknown state are not meant to be there. Empty is verified."""
+    mine = eligible.select("ticker").distinct()
+    barred = states.where("comparability = 'unknown'").select("ticker")
+    prices = new.join(mine, "ticker", "left_semi").join(barred, "ticker", "left_anti").select("ticker", "date").join(merged, ["ticker", "date"], "left_anti")
+    dividends = new_dividends.join(mine, "ticker", "left_semi").select("ticker", "ex_date").distinct().join(merged_dividends, ["ticker", "ex_date"], "left_anti")
+    return prices.select(F.lit("price").alias("kind"), "ticker", "date").union(dividends.select(F.lit("dividend"), "ticker", "ex_date"))
+
+
 def outcome_labels(asks: DataFrame, values: DataFrame, state: DataFrame, days: DataFrame, horizon: int, entry_cost: float = 0.0, exit_cost: float = 0.0, benchmark: str = "SPY") -> DataFrame:
     """Return over the horizon after each (ticker, disclosure_date) on certified prices, that of the benchmark, and their difference, in percent.
 
