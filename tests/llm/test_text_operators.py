@@ -167,6 +167,17 @@ def taught(spark):
     return toxicity.learn_toxicity(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
 
 
+def test_quotation_marks_pair():
+    quoted = lambda t: [t[a + 1 : b] for a, b in toxicity.quoted_spans(t)]
+    assert quoted('It is 5" wide, you idiot, and 7" tall.') == []
+    assert quoted("She called him 'idiot' yesterday") == ["idiot"]
+    assert quoted('he said "you\nidiot", then left') == ["you\nidiot"]
+    assert quoted("don't, dogs' idiot isn't") == [] and quoted("'tis an idiot\nof the dogs'") == []
+    assert quoted("er sagte „Idiot“ und “fool”, « sot » (\"ass\")") == ["Idiot", "fool", " sot ", "ass"]
+    assert quoted('"open idiot') == [] and quoted('idiot"') == [] and quoted('"' + "x" * 600 + '"') == [] and quoted("") == []
+    assert quoted('a "b" 5" c "d"') == ["b", "d"]
+
+
 def test_quotation_and_misspelling_change_the_score(spark):
     model = taught(spark)
     assert {t.text for t in model.terms} == {"blastard", "scumbag", LONG_INSULT}  # whole words, however long

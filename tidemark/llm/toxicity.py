@@ -36,7 +36,9 @@ REPORTS = frozenset("said says called calls wrote word term phrase quote quoted
 DENIALS = frozenset("not never isn nicht kein keine keinen pas jamais nunca".split())
 ADDRESS = frozenset("you your yours du dich dir dein deine ihr euch tu te toi ton vous votre usted ustedes tú vosotros".split())
 _WORD = re.compile(r"\w+")
-_QUOTES = re.compile("[\"“”„«»]")
+_QUOTES = re.compile("[\"“”„«»‹›'‘’]")
+#: Characters between paired marks at most, of all kinds and of single marks (which apostrophes look like).
+QUOTED_CHARS, SINGLE_CHARS = 500, 80
 _SEEN_LIMIT = 400_000
 
 
@@ -166,6 +168,32 @@ class Hit:
     counts: float
 
 
+def quoted_spans(text: str) -> list[tuple[int, int]]:
+    """Places of paired quotation marks: (opening, closing).
+
+    A mark opens after a blank, an opening bracket or a dash and before what is no blank, and closes after what is no blank and before a blank, a closing bracket
+    or punctuation; guillemets open and close by their form. A closing mark pairs with the last open one of its kind (double, single, guillemets), on
+    the same line or another, if at most ``QUOTED_CHARS`` lie between; single marks pair on one line and within ``SINGLE_CHARS``. Inch marks, apostrophes and marks without a partner quote nothing.
+    """
+    spans, opened = [], {}
+    for q in _QUOTES.finditer(text):
+        i, c = q.start(), q.group()
+        kind = "guillemet" if c in "«»‹›" else "single" if c in "'‘’" else "double"
+        before, after = text[i - 1 : i], text[i + 1 : i + 2]
+        if kind == "guillemet":
+            opens, closes = c in "«‹", c in "»›"
+        else:
+            opens = (not before or before.isspace() or before in "([{<-–—") and bool(after) and not after.isspace()
+            closes = bool(before) and not before.isspace() and (not after or after.isspace() or not (after.isalnum() or after == "_"))
+        if closes and not opens and kind in opened:
+            start = opened.pop(kind)
+            if i - start <= (SINGLE_CHARS if kind == "single" else QUOTED_CHARS) and not (kind == "single" and "\n" in text[start:i]):
+                spans.append((start, i))
+        elif opens:
+            opened[kind] = i
+    return spans
+
+
 class _Scorer:
     """Context features of whole texts: what their hits count, and what share of it quotation, report and denial take."""
 
@@ -193,15 +221,12 @@ class _Scorer:
         if not found:
             return []
         out, low = [], text.lower()
-        quotes = np.array([q.start() for q in _QUOTES.finditer(low)] or [-1])
+        spans = quoted_spans(low)
         for i, m in enumerate(_WORD.finditer(low)):
             hit = found.get(m.group())
             if hit is None:
                 continue
-            line, end = low.rfind("\n", 0, m.start()), low.find("\n", m.end())
-            before = int(((quotes > line) & (quotes < m.start())).sum())
-            after = int(((quotes >= m.end()) & (quotes < (end if end >= 0 else len(low)))).sum())
-            quoted = before % 2 == 1 and after > 0
+            quoted = any(s < m.start() and m.end() <= e for s, e in spans)
             off = TAKEN_OFF * (not REPORTS.isdisjoint(words[max(0, i - REPORT_WINDOW) : i])) + TAKEN_OFF * (not DENIALS.isdisjoint(words[max(0, i - DENIAL_WINDOW) : i]))
             addressed = not ADDRESS.isdisjoint(words[max(0, i - WINDOW) : i + WINDOW + 1])
             out.append(Hit(hit[0], quoted, addressed, 0.0 if quoted else BY_EDITS[hit[0]] * (1 - off)))
@@ -516,7 +541,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, threshold: float =
     """Score every whole text; nothing is shuffled.
 
     Returns one row per input row: doc_id, score (0 to 1), predicted (1 if score >= threshold), n_hits,
-    n_misspelled, n_quoted. A hit in quotation marks of its line counts nothing, one after a word of report or
+    n_misspelled, n_quoted. A hit in paired quotation marks (``quoted_spans``) counts nothing, one after a word of report or
     denial half. Null and empty texts have no hits and get the score of a text without hits. Null ids and repeated rows
     are kept (the query's held_out is null for a null id); other columns are ignored.
     """
