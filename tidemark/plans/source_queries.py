@@ -179,6 +179,17 @@ def _(folder, d):
     return held.select("doc_id", "status", F.col("n_rows").cast("long").alias("n_rows")).join(n, "doc_id", "left")
 
 
+# A file of every document: some are web pages, some have no trailer, some have it too far from the end.
+_PDF = "SELECT doc_id, CAST(extract(year FROM filed) AS int) AS year, CASE WHEN k % 7 = 0 THEN '<html>%%EOF' WHEN k % 11 = 0 THEN concat('%PDF-1.4 ', member) WHEN k % 13 = 0 THEN concat('%PDF-1.4 %%EOF', repeat('x', 1100)) ELSE concat('%PDF-1.7 ', doc_id, repeat(' ', CAST(k % 1000 AS int)), '%%EOF ') END AS content, k % 7 <> 0 AND k % 11 <> 0 AND k % 13 <> 0 AS fine FROM docs"
+
+
+@_query("s10_document_inventory", f"WITH docs AS ({_DOCS}) SELECT year, doc_id, sha256(content) AS artifact_sha256, fine AS is_valid_pdf FROM ({_PDF})", D)
+def _(folder, d):
+    files = _sql(_PDF, docs=_docs(d)).select(F.concat(F.col("year").cast("string"), F.lit("/pdfs/"), "doc_id", F.lit(".pdf")).alias("path"), "content")
+    R.write_documents(files, folder)
+    return R.scan_document_inventory(d.sparkSession, folder)
+
+
 @_query("s15_price_snapshot", "SELECT ticker, count(*) AS days, max(close) AS high FROM fx_prices WHERE close > 0 GROUP BY 1", "fx_prices")
 def _(folder, prices):
     R.write_price_snapshot(prices.where("ticker < 'TC'"), folder)

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -143,6 +146,28 @@ def scan_document_inventory(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.regexp_extract("path", "/([0-9]{4})/pdfs/", 1).cast("int").alias("year"), F.regexp_extract("path", "([^/]+)[.]pdf$", 1).alias("doc_id"), F.sha2("content", 256).alias("artifact_sha256"), F.coalesce(valid, F.lit(False)).alias("is_valid_pdf"))
 
 
+def write_documents(documents: DataFrame, folder: str) -> int:
+    """Write ``content`` of each row to ``path`` below ``folder``, a file each, from the tasks; returns how many. ``folder`` must be a path or URI that all executors can open.
+
+    A task that runs again writes the same files again.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        made: set[str] = set()
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                parent = f"{base}/{path}".rsplit("/", 1)[0]
+                if parent not in made:
+                    files.create_dir(parent, recursive=True)
+                    made.add(parent)
+                with files.open_output_stream(f"{base}/{path}") as out:
+                    out.write(content)
+            yield pa.record_batch([pa.array([batch.num_rows])], ["n"])
+
+    return documents.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def write_results(df: DataFrame, path: str, form: str = "json") -> None:
     """A result as JSON lines, CSV with a header, or Parquet."""
     writer = df.write.mode("error")
