@@ -4,6 +4,7 @@ import base64
 import io
 import math
 import zipfile
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -226,6 +227,43 @@ def test_all_partners_and_offsets_are_returned(spark):
     assert sorted(r.rec_id for r in got if r.rec_id) == [1, 2, 2, 3, 50] and all(r.match_id is None for r in got if r.rec_id)
 
 
+def test_landmarks_that_no_query_has_are_not_shuffled(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    tones = audio_prints._tones()
+    song = lambda n: rng.integers(0, len(tones), n)
+    passages, rows = [song(25) for _ in range(4)], []
+    for i in range(200):
+        rows.append((i, tones[np.concatenate([song(int(rng.integers(5, 60))), passages[i % 4] if i % 9 == 5 or i % 50 == 0 else song(25), song(20)])].tobytes()))
+    prints = audio_prints.fingerprints(spark.createDataFrame(rows, "rec_id long, pcm binary"))
+    codes, marks = {r.rec_id: np.frombuffer(r.codes, np.uint32) for r in prints.collect()}, {}
+    for i, c in codes.items():
+        pairs = list(zip(c[: -audio_prints.STRIDE].tolist(), c[audio_prints.STRIDE :].tolist(), strict=True))
+        marks[i] = [(m, at) for at, m in enumerate(pairs) if at == 0 or pairs[at - 1] != m]
+    votes = Counter((q, o, to - at) for q in range(0, 200, 50) for o in codes if o != q for m, at in marks[q] for k, to in marks[o] if m == k)
+    want = set()
+    for (q, o, d), n in votes.items():
+        a, b = codes[q][max(0, -d) :], codes[o][max(0, d) :]
+        size = min(len(a), len(b))
+        w = max(min(16, size), size // 4)
+        wrong = [int(x).bit_count() for x in a[:size] ^ b[:size]]
+        if n >= audio_prints.LEAST_VOTES and min(sum(wrong[i : i + w]) for i in range(size - w + 1)) / (32 * w) <= audio_prints.MOST_ERRORS:
+            want.add((q, o, d, n))
+    written = {}
+    keep = audio_prints.stored
+
+    def stored(df, name):
+        out = keep(df, name)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(audio_prints, "stored", stored)
+    got = audio_prints.align(prints).where("match_id is not null").collect()
+    assert len(want) > 10 and {(r.rec_id, r.match_id, r.shift, r.votes) for r in got} == want and len(got) == len(want)
+    asked = {m for q in range(0, 200, 50) for m, _ in marks[q]}
+    shared = sum(m in asked for i in marks for m, _ in marks[i])
+    assert shared <= written["audio-marks"] < shared + 0.05 * sum(map(len, marks.values()))
+
+
 def test_recording_ids_are_unique_and_ask_for_every_turn(spark):
     turns = spark.range(60).selectExpr("id AS conv_id").crossJoin(spark.range(130).selectExpr("id AS turn")).withColumn("text", F.lit("a"))
     ids = [r.rec_id for r in audio_prints.sung_texts(turns).select("rec_id").collect()]

@@ -8,10 +8,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, hot_bound, stored
+from .shared import BROADCAST_IDS, bounded_batches, hot_bound, stored
 
 RATE = 1000
 #: Samples of a frame and between frames; frames that one code spans.
@@ -21,6 +22,8 @@ LOWEST_HZ, OCTAVES = 110.0, 2
 STRIDE, LEAST_VOTES, MOST_ERRORS = 8, 3, 0.15
 #: Landmarks that a task hands on at once.
 MARKS_AT_ONCE = 100_000
+#: The sieve of the landmarks that are asked for: bits for each, bits at least and at most (128 MB) as powers of two, and bits of a piece of it.
+SIEVE_BITS, SIEVE_LEAST, SIEVE_MOST, SIEVE_PIECE = 16, 16, 30, 16
 
 
 def _pitch_map() -> np.ndarray:
@@ -110,27 +113,83 @@ def fingerprints(recordings: DataFrame, *, id_col: str = "rec_id", audio_col: st
     return recordings.select(F.col(id_col).cast("long"), F.col(audio_col)).mapInArrow(_fingerprint, "rec_id long, n_codes long, codes binary, fp_sha256 string")
 
 
-def _landmarks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def packed() -> pa.RecordBatch:
-        out = pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], ["rec_id", "mark", "place"])
-        held.clear()
-        return out
+def _sieve_places(marks: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two places of each landmark among 2**``bits``."""
+    x = marks.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    y = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    down = np.uint64(64 - bits)
+    return (x >> down).astype(np.int64), (y >> down).astype(np.int64)
 
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    size = 0
+
+def _sieve_pieces(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = np.unique(np.concatenate(_sieve_places(batch.column(0).to_numpy(), bits)))
+            cut = np.flatnonzero(np.diff(at >> SIEVE_PIECE, prepend=-1))
+            for some in np.split(at, cut[1:]) if len(at) else []:
+                held = pieces.setdefault(int(some[0]) >> SIEVE_PIECE, np.zeros(1 << SIEVE_PIECE - 3, np.uint8))
+                np.bitwise_or.at(held, (some & (1 << SIEVE_PIECE) - 1) >> 3, (1 << (some & 7)).astype(np.uint8))
+        for piece, held in pieces.items():
+            yield pa.record_batch([pa.array([piece]), pa.array([held.tobytes()], pa.binary())], ["piece", "bits"])
+
+    return run
+
+
+def _sieve_union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
     for batch in batches:
-        for rec, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            c = np.frombuffer(raw.as_py(), np.uint32).astype(np.int64)
-            if len(c) > STRIDE:
-                mark = (c[:-STRIDE] << 32) | c[STRIDE:]
-                at = np.flatnonzero(np.concatenate([[True], mark[1:] != mark[:-1]]))  # a held tone counts once
-                held.append((np.full(len(at), rec, np.int64), mark[at], at.astype(np.int32)))
-                size += len(at)
-                if size >= MARKS_AT_ONCE:
-                    size = 0
-                    yield packed()
-    if held:
-        yield packed()
+        for piece, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            more = np.frombuffer(data, np.uint8)
+            total[piece] = total[piece] | more if piece in total else more
+    for piece, held in total.items():
+        yield pa.record_batch([pa.array([piece]), pa.array([held.tobytes()], pa.binary())], ["piece", "bits"])
+
+
+def _sieve(asked: DataFrame, n: int) -> tuple[Broadcast, int]:
+    """A broadcast Bloom filter of the ``n`` landmarks of ``asked``: tasks set bits in pieces, which other tasks unite; at most 128 MB come to the driver.
+
+    Whatever is asked for passes; of the others about one in a hundred, and more (never all) where the bound on bits is met.
+    """
+    bits = min(max(SIEVE_LEAST, (SIEVE_BITS * n).bit_length()), SIEVE_MOST)
+    pieces = asked.select("mark").mapInArrow(_sieve_pieces(bits), "piece long, bits binary").repartition("piece").mapInArrow(_sieve_union, "piece long, bits binary")
+    held = np.zeros((1 << bits - SIEVE_PIECE, 1 << SIEVE_PIECE - 3), np.uint8)
+    for r in pieces.toLocalIterator():
+        held[r.piece] = np.frombuffer(r.bits, np.uint8)
+    return asked.sparkSession.sparkContext.broadcast(held.tobytes()), bits
+
+
+def _landmarks(sieve: tuple[Broadcast, int] | None = None):
+    """Landmarks of recordings (number, codes): all, or those that pass the ``sieve``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed() -> pa.RecordBatch:
+            rec, mark, place = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            if sieve:
+                x, y = _sieve_places(mark, sieve[1])
+                keep = np.flatnonzero((bits[x >> 3] >> (x & 7)) & (bits[y >> 3] >> (y & 7)) & 1)
+                rec, mark, place = rec[keep], mark[keep], place[keep]
+            return pa.record_batch([pa.array(rec), pa.array(mark), pa.array(place)], ["rec_id", "mark", "place"])
+
+        bits = np.frombuffer(sieve[0].value, np.uint8) if sieve else None
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
+        for batch in batches:
+            for rec, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                c = np.frombuffer(raw.as_py(), np.uint32).astype(np.int64)
+                if len(c) > STRIDE:
+                    mark = (c[:-STRIDE] << 32) | c[STRIDE:]
+                    at = np.flatnonzero(np.concatenate([[True], mark[1:] != mark[:-1]]))  # a held tone counts once
+                    held.append((np.full(len(at), rec, np.int64), mark[at], at.astype(np.int32)))
+                    size += len(at)
+                    if size >= MARKS_AT_ONCE:
+                        size = 0
+                        yield packed()
+        if held:
+            yield packed()
+
+    return run
 
 
 def _bit_errors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +213,7 @@ def align(prints: DataFrame, *, every: int = 50) -> DataFrame:
     """All alignments of each recording whose id is divisible by ``every`` with other recordings, best first.
 
     Equal fingerprints are one, named by the smallest rec_id. Pairs of codes a stride apart are landmarks;
-    each that a query shares with others votes for an offset; all offsets with votes enough are held to the bit
+    each that a query shares with others votes for an offset (those of others than queries pass a Bloom filter of the queries' ones first, so that few are shuffled); all offsets with votes enough are held to the bit
     errors of the aligned codes. Returns one row per input row, and for queries that align more than once one
     per partner and offset: rec_id, n_codes, fp_sha256, first_copy (smallest rec_id of the same fingerprint),
     match_rank (from 1), match_id, shift (codes that the match begins later), votes, bit_error. For others than
@@ -169,9 +228,10 @@ def align(prints: DataFrame, *, every: int = 50) -> DataFrame:
     first = stored(first.withColumn("no", F.monotonically_increasing_id()), "audio-first")
     one = prints.join(first.withColumnRenamed("fp_sha256", "fp"), (F.col("fp_sha256") == F.col("fp")) & (F.col("rec_id") == F.col("first_copy")))
     one = stored(one.dropDuplicates(["fp_sha256"]).select("no", "first_copy", "asked", "codes"), "audio-one")
-    marks = stored(one.select("no", "codes").mapInArrow(_landmarks, "rec_id long, mark long, place int"), "audio-marks")
-    asking = one.where("asked = 1").select(F.col("no").alias("asker"))
-    asked = stored(marks.join(asking, marks.rec_id == asking.asker).select(F.col("rec_id").alias("query"), "mark", F.col("place").alias("q")), "audio-asked")
+    # Landmarks that nobody asks for are left out where they arise, as far as the sieve knows them; the join on landmarks stays what decides.
+    landmarks = lambda of, sieve=None: of.select("no", "codes").mapInArrow(_landmarks(sieve), "rec_id long, mark long, place int")
+    asked = stored(landmarks(one.where("asked = 1")).select(F.col("rec_id").alias("query"), "mark", F.col("place").alias("q")), "audio-asked")
+    marks = stored(landmarks(one, _sieve(asked, asked.count())), "audio-marks")
     # A common landmark's carriers are dealt to shares by their number, and meet its queries share by share.
     bound = hot_bound(marks.count())
     common = F.broadcast(marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bound).select("mark", F.ceil(F.col("n") / bound).cast("int").alias("shares")))
@@ -180,7 +240,11 @@ def align(prints: DataFrame, *, every: int = 50) -> DataFrame:
     asked = asked.join(common, "mark", "left").select("query", "mark", "q", F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"))
     votes = asked.join(carriers, ["mark", "share"]).where("query != other")
     votes = votes.groupBy("query", "other", (F.col("o") - F.col("q")).alias("shift")).agg(F.count(F.lit(1)).alias("votes")).where(F.col("votes") >= LEAST_VOTES)
-    pairs = votes.join(one.select(F.col("no").alias("query"), F.col("codes").alias("codes_q")), "query").join(one.select(F.col("no").alias("other"), F.col("codes").alias("codes_o")), "other")
+    votes = stored(votes, "audio-votes")
+    pairs = votes.join(one.where("asked = 1").select(F.col("no").alias("query"), F.col("codes").alias("codes_q")), "query")
+    partners = votes.select("other").distinct()
+    partners = F.broadcast(partners) if votes.count() <= BROADCAST_IDS else partners
+    pairs = pairs.join(one.join(partners, F.col("no") == F.col("other"), "left_semi").select(F.col("no").alias("other"), F.col("codes").alias("codes_o")), "other")
     held = pairs.select("query", "other", "shift", "votes", "codes_q", "codes_o").mapInArrow(_bit_errors, "query long, other long, shift int, votes long, overlap long, bit_error double").where(F.col("bit_error") <= MOST_ERRORS)
     held = held.join(one.select(F.col("no").alias("other"), F.col("first_copy").alias("match_id")), "other")
     best = held.withColumn("match_rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("votes"), "bit_error", "match_id", "shift", "other")))
