@@ -239,6 +239,34 @@ def test_bpe_equals_the_library_and_round_trips(spark):
     assert bpe.encode_bytes(rows.where("false"), path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_pieces_are_remembered_and_decoded_by_their_ids():
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        table = bpe.PieceTable(f.read())
+    db, sent = table.db, []
+
+    class Counted:
+        def register(self, name, rows):
+            sent.append(rows.num_rows * (name == "pieces"))
+            return db.register(name, rows)
+
+        def __getattr__(self, name):
+            return getattr(db, name)
+
+    table.db = Counted()
+    parts = [{f"q{i:x}z" for i in range(k * 90_000, (k + 1) * 90_000)} for k in range(3)]
+    for part in parts:
+        table.learn(part)
+    before = sum(sent)
+    table.learn(parts[0])
+    assert before > 260_000 and sum(sent) == before, "pieces met 180,000 others ago are not encoded again"
+    assert parts[0] <= table.known.keys() and not table.changed
+    token = table.ranks[b" the"]
+    db.execute(f"UPDATE tokens SET hex = '58' WHERE id = {token}")
+    table.known.clear(), table.older.clear()
+    table.learn({" the", " them"})
+    assert table.changed[" the"] == b"X" and table.known[" the"] == str(token).encode()
+
+
 def test_bpe_of_long_texts_and_copies(spark):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}

@@ -8,6 +8,7 @@ import re
 from collections.abc import Iterator
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -18,8 +19,9 @@ from .shared import bounded_batches
 LONG_PIECE = 96
 #: Steps of one recursive query over long pieces; unfinished ones start again from where they are.
 LONG_STEPS = 24
-#: Pieces that a worker remembers between documents, and bytes of text read before new pieces are encoded.
-REMEMBERED = 80_000
+#: Pieces that a worker remembers between documents, new ones that are encoded together, and bytes of text read before that.
+REMEMBERED = 100_000
+PIECES_PER_PASS = 50_000
 TEXT_PER_PASS = 4_000_000
 
 # For texts of these letters, numbers and spaces alone the split pattern is spelled out with
@@ -46,7 +48,7 @@ class PieceTable:
 
     def __init__(self, rank_lines: bytes):
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in rank_lines.splitlines() if line.strip())}
-        self.single = [ranks[bytes([b])] for b in range(256)]
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         merges = [(a, b, r) for t, r in ranks.items() for i in range(1, len(t)) if (a := ranks.get(t[:i])) is not None and (b := ranks.get(t[i:])) is not None]
         # A token that takes part in a merge of lower rank than its own could be followed by that merge at once,
         # so only one pair that makes it may be contracted in a step.
@@ -57,8 +59,10 @@ class PieceTable:
         self.db.register("token_rows", pa.table({"id": pa.array(ranks.values(), pa.int32()), "hex": pa.array([t.hex() for t in ranks]), "alone": pa.array([r in alone for r in ranks.values()])}))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merge_rows; CREATE TABLE tokens AS SELECT * FROM token_rows")
         self.ranks = ranks
-        self.known: dict[str, tuple[str, int, bytes]] = {}
-        self.older: dict[str, tuple[str, int, bytes]] = {}
+        #: Ids in decimal of the pieces met last and before, and what ids stand for where that is not the piece itself (never, by a sound rank file).
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.changed: dict[str, bytes] = {}
 
     def learn(self, pieces: set[str]) -> None:
         """Encode and decode pieces that are not known yet; what was not met for long is forgotten."""
@@ -70,25 +74,31 @@ class PieceTable:
                 self.known[p] = was
             else:
                 new.append(p)
-        if not new:
-            return
-        raw = [p.encode("utf-8", "replace") for p in new]
-        whole = [self.ranks.get(b) for b in raw]
-        start = [[t] if t is not None else [self.single[x] for x in b] for t, b in zip(whole, raw, strict=True)]
-        ids = self._contract([i for i, t in enumerate(whole) if t is None], start)
-        for i, t in enumerate(whole):
-            if t is not None:
-                ids[i] = [t]
-        for i, text, n, data in self._decode(ids):
-            self.known[new[i]] = (text, n, data)
-
-    def _contract(self, todo: list[int], start: list[list[int]]) -> dict[int, list[int]]:
+        for at in range(0, len(new), PIECES_PER_PASS):
+            some = new[at : at + PIECES_PER_PASS]
+            raw = [p.encode("utf-8", "replace") for p in some]
+            for i, ids, data in zip(*self._encode(raw), strict=True):
+                self.known[some[i]] = ids
+                if data != raw[i]:
+                    self.changed[some[i]] = data
+
+    def _encode(self, raw: list[bytes]) -> list[list]:
+        """Numbers of the pieces, their ids as text, and the bytes that those stand for."""
+        size = np.fromiter(map(len, raw), np.int32, len(raw))
+        ids = self.single[np.frombuffer(b"".join(raw), np.uint8)]
+        ready = {i: [t] for i, t in enumerate(map(self.ranks.get, raw)) if t is not None}
+        short = size <= LONG_PIECE
+        short[list(ready)] = False
+        begin = np.concatenate([[0], np.cumsum(size)])
+        ready |= self._contract_long({i: ids[begin[i] : begin[i + 1]].tolist() for i in np.flatnonzero(size > LONG_PIECE).tolist() if i not in ready})
+        rows = np.flatnonzero(short)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size[rows])]), pa.int32()), pa.array(ids[np.repeat(short, size)]))
+        self.db.register("pieces", pa.table({"w": pa.array(rows, pa.int32()), "ids": lists}))
+        self.db.register("ready", pa.table({"w": pa.array(list(ready), pa.int32()), "ids": pa.array(list(ready.values()), pa.list_(pa.int32()))}))
+        return [c.to_pylist() for c in self.db.sql(_CODED).to_arrow_table().columns]
+
+    def _contract_long(self, state: dict[int, list[int]]) -> dict[int, list[int]]:
         done: dict[int, list[int]] = {}
-        short = [i for i in todo if len(start[i]) <= LONG_PIECE]
-        state = {i: start[i] for i in todo if len(start[i]) > LONG_PIECE}
-        if short:
-            self.db.register("pieces", pa.table({"w": pa.array(short, pa.int32()), "ids": pa.array([start[i] for i in short], pa.list_(pa.int32()))}))
-            done |= dict(self.db.execute(_CONTRACT).fetchall())
         while state:
             self.db.register("pieces", pa.table({"w": pa.array(list(state), pa.int32()), "ids": pa.array(list(state.values()), pa.list_(pa.int32()))}))
             rows = self.db.execute(_CONTRACT_LONG, [LONG_STEPS]).fetchall()
@@ -96,13 +106,10 @@ class PieceTable:
             done |= {w: ids for w, ids, steps in rows if steps < LONG_STEPS}
         return done
 
-    def _decode(self, ids: dict[int, list[int]]) -> list[tuple[int, str, int, bytes]]:
-        self.db.register("coded", pa.table({"w": pa.array(list(ids), pa.int32()), "ids": pa.array(list(ids.values()), pa.list_(pa.int32()))}))
-        return self.db.execute(_DECODE).fetchall()
 
-
-#: One pair of each piece a step: the leftmost of minimum rank. Token-position rows meet the merge table.
-_CONTRACT = """
+#: One pair of each piece a step: the leftmost of minimum rank. Token-position rows meet the merge table. Then per piece,
+#: and for those that are ``ready``: its ids as text, and the bytes that they stand for.
+_CODED = """
 WITH RECURSIVE step(i, w, ids) AS (
   SELECT 0, w, ids FROM pieces
   UNION ALL
@@ -111,8 +118,12 @@ WITH RECURSIVE step(i, w, ids) AS (
     SELECT w, (k // 1048576)::INT AS r, (k % 1048576)::INT AS p FROM (
       SELECT x.w, min(m.r::BIGINT * 1048576 + x.p) AS k
       FROM (SELECT w, unnest(ids[:-2]) AS a, unnest(ids[2:]) AS b, generate_subscripts(ids[:-2], 1) AS p FROM step) x
-      JOIN merges m ON m.a = x.a AND m.b = x.b GROUP BY x.w)) y ON y.w = s.w)
-SELECT w, arg_max(ids, i) FROM step GROUP BY w"""
+      JOIN merges m ON m.a = x.a AND m.b = x.b GROUP BY x.w)) y ON y.w = s.w),
+coded AS MATERIALIZED (SELECT w, arg_max(ids, i) AS ids FROM step GROUP BY w UNION ALL SELECT w, ids FROM ready),
+decoded AS (
+  SELECT w, string_agg(hex, '' ORDER BY p) AS hex
+  FROM (SELECT w, unnest(ids) AS t, generate_subscripts(ids, 1) AS p FROM coded) x JOIN tokens ON tokens.id = x.t GROUP BY w)
+SELECT c.w, encode(array_to_string(c.ids, ',')), unhex(d.hex) FROM coded c JOIN decoded d ON d.w = c.w"""
 
 #: The same for long pieces: in a step, every other pair of each run of pairs of the minimum rank (or the first
 #: such pair only, if its token can take part in a merge of lower rank), for a stated number of steps.
@@ -135,11 +146,6 @@ WITH RECURSIVE step(i, w, p, t) AS (
   WHERE NOT gone)
 SELECT w, list(t ORDER BY p), any_value(i) FROM (SELECT *, max(i) OVER (PARTITION BY w) AS last FROM step) WHERE i = last GROUP BY w"""
 
-#: Per piece: its ids as text, their number, and the bytes that they stand for.
-_DECODE = """
-SELECT w, string_agg(t::VARCHAR, ',' ORDER BY p), count(*), unhex(string_agg(hex, '' ORDER BY p))
-FROM (SELECT w, unnest(ids) AS t, generate_subscripts(ids, 1) AS p FROM coded) x JOIN tokens ON tokens.id = x.t GROUP BY w"""
-
 _TABLES: dict[str, PieceTable] = {}
 
 
@@ -162,16 +168,15 @@ def _encoder(rank_file: str, pattern: str, with_ids: bool, with_text: bool):
             for pieces in split:
                 distinct.update(pieces)
             table.learn(distinct)
-            known, out = table.known, {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": [], "decoded": []}
+            known, changed, out = table.known, table.changed, {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": [], "decoded": []}
             for pieces in split:
-                found = [known[p] for p in pieces]
-                ids = ",".join([x[0] for x in found])
-                data = b"".join([x[2] for x in found])
-                out["n_tokens"].append(sum([x[1] for x in found]))
-                out["ids_sha256"].append(hashlib.sha256(ids.encode()).hexdigest())
+                ids = b",".join(map(known.__getitem__, pieces))
+                data = b"".join([changed[p] if p in changed else p.encode("utf-8", "replace") for p in pieces]) if changed else "".join(pieces).encode("utf-8", "replace")
+                out["n_tokens"].append(ids.count(b",") + 1 if ids else 0)
+                out["ids_sha256"].append(hashlib.sha256(ids).hexdigest())
                 out["decoded_sha256"].append(hashlib.sha256(data).hexdigest())
                 if with_ids:
-                    out["ids"].append([int(x) for x in ids.split(",")] if ids else [])
+                    out["ids"].append([int(x) for x in ids.split(b",")] if ids else [])
                 if with_text:
                     out["decoded"].append(data)
             return out
@@ -209,7 +214,8 @@ def encode_bytes(docs: DataFrame, rank_file: str, pattern: str, *, with_ids: boo
 
     In each task the distinct pieces of about 4 MB of text go to an in-process DuckDB at a time: a recursive
     query joins their adjacent tokens with the merge table and contracts the leftmost pair of minimum rank of
-    each piece until none is left; an ordered aggregation over the token table gives the bytes back. A document
+    each piece until none is left; an ordered aggregation over the token table gives the bytes back, which are
+    held against the piece's own, so that only those that differ are kept beside it. A document
     is the sequence of its pieces, so its ids and bytes are those of its pieces in order. Nothing is shuffled.
 
     Returns one row per input row: doc_id, n_tokens, ids_sha256 (ids in decimal, joined by commas),
