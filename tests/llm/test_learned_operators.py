@@ -177,6 +177,15 @@ def test_scores_equal_brute_force(spark, data_dir):
         assert g[:3] == w[:3] and g[3] == pytest.approx(w[3], rel=1e-9) and g[4] == pytest.approx(w[4], rel=1e-4)
 
 
+def test_thousands_of_words_have_a_vector_of_their_own(spark):
+    rows = [(i, " ".join(f"w{j}" for j in range(i % 5, 6000, 5)) + f" once{i}") for i in range(10)]
+    texts, v = recurrent_lm.number_texts(recurrent_lm.training_share(spark.createDataFrame(rows, "doc_id long, text string")))
+    learned = {w for i, t in rows if crc32(str(i).encode()) % 7 != 2 for w in t.split()}
+    assert set(v.words) == learned and len(learned) > 4800 and (v.rare_tokens, v.rare_distinct) == (0, 0)
+    scores = recurrent_lm.score_texts(texts, recurrent_lm.train_model(texts, v, state=4)).collect()
+    assert len(scores) == 10 and all(math.isfinite(r.score) and r.score < 0 for r in scores)
+
+
 def test_model_reads_unseen_documents_better_than_counts(spark, data_dir):
     rows = recurrent_lm.score_documents(spark.read.parquet(f"{data_dir.replace('sf0.001', 'sf0.01')}/documents.parquet")).where("held_out").collect()
     words, gained = sum(r.n_tokens for r in rows), sum(r.score - r.base_score for r in rows)

@@ -16,7 +16,7 @@ from .shared import bounded_batches, bucket_of, stored
 from .word_blocks import BLOCK_WORDS, Numbering, block_number, byte_table, packed, raw_texts, rows_of, slices, unpacked
 
 #: Words with a vector of their own, classes that they are dealt to, units of the state, steps that errors flow back.
-VOCABULARY, CLASSES, STATE, WINDOW = 1024, 16, 16, 16
+VOCABULARY, CLASSES, STATE, WINDOW = 8192, 64, 16, 16
 #: Documents that are read side by side, in scoring; training takes fewer where a block has few words.
 LANES = 1024
 #: Every training document is learned from once; the copies of the model that tasks train are averaged after each of these parts.
@@ -309,7 +309,7 @@ def _stretches(lengths: np.ndarray, most: int) -> np.ndarray:
 
 
 def _train(model: GatedModel, number: int, rounds: int, window: int, rate: float):
-    """One part of the training documents of each block: Adam over windows, the state carried from one to the next. Sends the weighted model in pieces.
+    """One part of the training documents of each block: Adam over windows, the state carried from one to the next. Sends the model in pieces, with the weight.
 
     A document longer than the lanes would be side by side is learned from in stretches that each begin with a cleared state.
     """
@@ -336,13 +336,19 @@ def _train(model: GatedModel, number: int, rounds: int, window: int, rate: float
                     step += 1
                     n = valid.sum()
                     slow = rate * math.sqrt(1 - 0.99**step) / (1 - 0.9**step)
+                    rows = np.flatnonzero(np.bincount(before[s:e, :b].ravel(), minlength=len(mine["into"])))
                     for k, g in grads.items():
-                        g /= n
-                        m[k] += 0.1 * (g - m[k])
-                        u[k] += 0.01 * (g * g - u[k])
-                        mine[k] -= slow * m[k] / (np.sqrt(u[k]) + 1e-6)
+                        at = rows if k == "into" else slice(None)  # only words that were read have gradients there
+                        g = g[at] / n
+                        mk, uk = m[k][at], u[k][at]
+                        mk += 0.1 * (g - mk)
+                        g *= g
+                        uk += 0.01 * (g - uk)
+                        if k == "into":
+                            m[k][at], u[k][at] = mk, uk
+                        mine[k][at] -= slow * mk / (np.sqrt(uk) + 1e-6)
         if weight:
-            flat = np.concatenate([mine[k].ravel() for k in sorted(mine)]).astype(np.float64) * weight
+            flat = np.concatenate([mine[k].ravel() for k in sorted(mine)])
             pieces = [flat[i : i + _PIECE] for i in range(0, len(flat), _PIECE)]
             yield pa.record_batch([pa.array(np.arange(len(pieces))), pa.array([weight] * len(pieces)), pa.array([x.tobytes() for x in pieces], pa.binary())], ["piece", "weight", "numbers"])
 
@@ -350,12 +356,12 @@ def _train(model: GatedModel, number: int, rounds: int, window: int, rate: float
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of pieces as they stream in; a task holds one array for each of its pieces."""
+    """Sums of pieces by their weights as they stream in; a task holds one array for each of its pieces."""
     total: dict[int, list] = {}
     for batch in batches:
         for piece, weight, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             held = total.setdefault(piece, [0, 0.0])
-            held[0], held[1] = held[0] + weight, held[1] + np.frombuffer(data, np.float64)
+            held[0], held[1] = held[0] + weight, held[1] + weight * np.frombuffer(data, np.float32).astype(np.float64)
     if total:
         yield pa.record_batch([pa.array(list(total)), pa.array([w for w, _ in total.values()]), pa.array([x.tobytes() for _, x in total.values()], pa.binary())], ["piece", "weight", "numbers"])
 
@@ -412,7 +418,7 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """log10 probabilities of whole texts under a gated recurrent model: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Texts lower-cased in A-Z have the words between blanks and control characters 9 to 13, and an end. The model learns from all documents whose
-    crc32 of the id modulo 7 is not 2: first the counts of all words, which give ``base_score`` (add one, log10), then a GRU over the 1,024 most frequent
+    crc32 of the id modulo 7 is not 2: first the counts of all words, which give ``base_score`` (add one, log10), then a GRU over the 8,192 most frequent
     words, the end and a class of all others, with a softmax over classes and one over the words of a class, by back-propagation through 16 steps.
     A rare or unknown word has the probability of its class times (c + 1) / (N' + V' + 1), N' and V' being the rare training words, so the
     unknown ones together have the share of one, as in the base.
