@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 from collections import Counter
 from zlib import crc32
 
@@ -186,6 +187,48 @@ def test_thousands_of_words_have_a_vector_of_their_own(spark):
     assert len(scores) == 10 and all(math.isfinite(r.score) and r.score < 0 for r in scores)
 
 
+def test_words_are_numbered_without_a_loop_over_them():
+    odd = [b"", b"  ", b"A b\x0b\tB  c ", b"\n", b"x", "é\xa0É q".encode(), b" x\x0cA"]
+    found, n = word_blocks.numbered_words(odd, recurrent_lm._TABLE)
+    want = [[w.encode() for w in words_of(t.decode())] for t in odd]
+    assert [w[:-1] for w in found.to_pylist()] == [w for ws in want for w in ws] and n.tolist() == [len(ws) for ws in want]
+    text, numbering = b" ".join(b"w%d" % (i * i % 9973) for i in range(200_000)), word_blocks.Numbering()
+
+    def seconds(do):
+        times = []
+        for _ in range(5):
+            begin = time.process_time()
+            do()
+            times.append(time.process_time() - begin)
+        return min(times)
+
+    assert seconds(lambda: word_blocks.numbered_words([text], recurrent_lm._TABLE)) < seconds(lambda: numbering.numbers(text.translate(recurrent_lm._TABLE).split()))
+
+
+def test_lanes_hold_no_more_than_the_documents():
+    lengths = np.array([200_000, *[3] * 1000])
+    y = np.arange(lengths.sum()).astype(np.uint16)
+    lanes, seen = recurrent_lm.Lanes(y, lengths, 1024), np.zeros(len(lengths), int)
+    assert sum(x.size for x in vars(lanes).values()) < 3 * len(y)  # with every lane as long as the longest: 200 million
+    for s, e, b in lanes.windows(16, 16 * 1024):
+        after, before, doc = lanes.window(s, e, b)
+        assert after.size <= 17 * 1024
+        seen += np.bincount(doc[doc >= 0], minlength=len(lengths))
+    assert (seen == lengths).all()
+
+
+def test_large_outputs_stay_finite():
+    model = recurrent_lm.GatedModel(small_vocabulary(), state=4, classes=3)
+    model.p["to_word"] *= 300
+    model.p["to_class"] *= 300
+    z, y = np.random.default_rng(2).normal(0, 1, (40, 4)).astype(np.float32), np.arange(40) % 10
+    got, grads, dz = model.predict(z, y, True)
+    model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    want, exact, dz64 = model.predict(z.astype(np.float64), y, True, True)
+    assert got == pytest.approx(want, rel=1e-4, abs=1e-3) and dz == pytest.approx(dz64, rel=1e-2, abs=1e-1)
+    assert all(np.isfinite(g).all() and g == pytest.approx(exact[k], rel=1e-2, abs=1e-2) for k, g in grads.items())
+
+
 def test_model_reads_unseen_documents_better_than_counts(spark, data_dir):
     rows = recurrent_lm.score_documents(spark.read.parquet(f"{data_dir.replace('sf0.001', 'sf0.01')}/documents.parquet")).where("held_out").collect()
     words, gained = sum(r.n_tokens for r in rows), sum(r.score - r.base_score for r in rows)

@@ -9,11 +9,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import bounded_batches, bucket_of, stored
-from .word_blocks import BLOCK_WORDS, Numbering, block_number, byte_table, packed, raw_texts, rows_of, slices, unpacked
+from .word_blocks import BLOCK_WORDS, block_number, byte_table, numbered_words, packed, raw_texts, rows_of, slices, unpacked
 
 #: Words with a vector of their own, classes that they are dealt to, units of the state, steps that errors flow back.
 VOCABULARY, CLASSES, STATE, WINDOW = 8192, 64, 16, 16
@@ -23,9 +24,14 @@ LANES = 1024
 ROUNDS = 3
 RATE = 0.01
 END = 0
-_TABLE = byte_table()
+#: Lower-cases A-Z and turns control characters 9 to 13 into blanks.
+_TABLE = byte_table(blanks=b"\t\n\x0b\x0c\r")
+#: Bytes of texts whose words are numbered at a time: their dictionary then stays in a core's cache.
+_BYTES = 1 << 20
 _ROWS = 1 << 16
 _PIECE = 4096
+#: Rows of an output that are worked on at a time: they and their gradients then stay in a core's cache.
+_CHUNK = 1024
 
 
 # --- texts as numbers ----------------------------------------------------------------------------------------
@@ -35,32 +41,44 @@ def _encode(block_words: int):
     """Blocks: a row (kind 1) with ids, learn flags, lengths and word numbers of its documents, and one (kind 0) per distinct word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, parts, docs = Numbering(), [], []
-        seq = 0
+        pieces, of, size, parts, docs, seq = [], [], 0, [], [], 0
+
+        def number() -> None:
+            nonlocal pieces, of, size
+            found, n = numbered_words(pieces, _TABLE)
+            parts.append(found)
+            for i, k in zip(of, n.tolist(), strict=True):
+                docs[i][2] += k
+            pieces, of, size = [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal words, parts, docs, seq
-            x, names, block = np.concatenate([np.empty(0, np.int32), *parts]), list(words.of), block_number(seq)
+            nonlocal parts, docs, seq
+            numbers = pa.chunked_array(parts).unify_dictionaries()
+            x, names, block = np.concatenate([c.indices.to_numpy() for c in numbers.chunks]), pc.binary_slice(numbers.chunk(0).dictionary, 0, -1), block_number(seq)
             learn = np.array([d[1] for d in docs], bool)
             n = np.bincount(x[np.repeat(learn, [d[2] for d in docs])], minlength=len(names))
             for i in range(0, len(names), _ROWS):
-                some = pa.array(names[i : i + _ROWS], pa.binary()).cast(pa.string())
+                some = names[i : i + _ROWS].cast(pa.binary()).cast(pa.string())
                 k = len(some)
                 yield pa.record_batch([pa.array([0] * k, pa.int32()), pa.array([block] * k), pa.array(np.arange(i, i + k), pa.int32()), some, pa.array(n[i : i + k], pa.int64()), *(pa.nulls(k, t) for t in _LISTS)], _NAMES)
             ids, flags, lengths = zip(*docs, strict=True)
+            del names, numbers
             yield pa.record_batch([pa.array([1], pa.int32()), pa.array([block]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.string()), pa.array([int(learn.sum())], pa.int64()), *(pa.array([v], t) for v, t in zip((list(ids), list(flags), list(lengths), packed(x)), _LISTS, strict=True))], _NAMES)
-            words, parts, docs, seq = Numbering(), [], [], seq + 1
+            parts, docs, seq = [], [], seq + 1
 
-        size = 0
         for batch in batches:
             for i, learn, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw_texts(batch.column(2)), strict=True):
-                found = [words.numbers(part.split()) for part in slices(text.translate(_TABLE), b" ")]
-                parts += found
-                docs.append((i, learn, sum(map(len, found))))
-                size += docs[-1][2] + 1
-                if size >= block_words:
+                docs.append([i, learn, 0])
+                for piece in slices(text, b" ", _BYTES):
+                    pieces.append(piece)
+                    of.append(len(docs) - 1)
+                    size += len(piece) + 1
+                    if size >= min(_BYTES, 4 * block_words):
+                        number()
+                if not pieces and sum(map(len, parts)) + len(docs) >= block_words:
                     yield from flush()
-                    size = 0
+        if pieces:
+            number()
         if docs:
             yield from flush()
 
@@ -146,15 +164,21 @@ def number_texts(rows: DataFrame, *, vocabulary: int = VOCABULARY, block_words:
 # --- the model -----------------------------------------------------------------------------------------------
 
 
-def _softmax(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``a``, its powers of e and their sums; shifted by the largest of each row only where that is needed to stay finite."""
-    e = np.exp(a)
-    total = e.sum(axis=1)
-    if not (total.max(initial=1) < 1e30 and total.min(initial=1) > 1e-30):
-        a = a - a.max(axis=1, keepdims=True)
-        e = np.exp(a)
-        total = e.sum(axis=1)
-    return a, e, total
+def _softmax(z: np.ndarray, w: np.ndarray, at: np.ndarray, shift: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of ``z @ w``: the number that ``at`` names in each row, the powers of e and their sums; with ``shift`` of what is left after the largest of a row."""
+    a = z @ w
+    if shift:
+        a -= a.max(axis=1, keepdims=True)
+    picked = a.ravel()[at + np.arange(0, a.size, a.shape[1])]
+    np.exp(a, out=a)
+    return picked, a, a @ np.ones(a.shape[1], a.dtype)
+
+
+def _softmax_errors(z: np.ndarray, w: np.ndarray, at: np.ndarray, e: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradients of the sum of -ln P by ``w``, transposed, and by ``z``, from what ``_softmax`` returned; ``e`` is used up."""
+    e *= (1 / total)[:, None]
+    e.ravel()[at + np.arange(0, e.size, e.shape[1])] -= 1
+    return e.T @ z, e @ w.T
 
 
 class GatedModel:
@@ -169,7 +193,7 @@ class GatedModel:
         mass = np.sqrt(np.array(v.counts, float)).cumsum()
         of = np.minimum((mass / mass[-1] * classes).astype(int), classes - 1) if len(mass) else np.empty(0, int)
         _, of = np.unique(of, return_inverse=True)
-        self.class_of = np.concatenate([[0], of + 1, [(of.max(initial=-1)) + 2]])
+        self.class_of = np.concatenate([[0], of + 1, [(of.max(initial=-1)) + 2]]).astype(np.uint16)
         self.starts = np.searchsorted(self.class_of, np.arange(self.class_of[-1] + 2))
         rng, number = np.random.default_rng(seed), np.array([v.ends, *v.counts, v.rare_tokens], float) + 1
         self.p = {
@@ -181,56 +205,83 @@ class GatedModel:
         }
 
     def read(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        """States after each of the steps ``x`` (steps, lanes), from ``h``; the edge of a text clears the state first."""
+        """States before each of the steps ``x`` (steps, lanes) and after the last, from ``h``, with the gates (reset, update) and candidates; the edge of a text clears the state first.
+
+        Each gate has an array of its own, so that numpy goes over whole arrays and not over 16 numbers at a time.
+        """
         (t, b), s, p = x.shape, self.state, self.p
-        own, held, gates, cand = p["into"][x], np.empty((t + 1, b, s), h.dtype), np.empty((t, b, 2 * s), h.dtype), np.empty((t, b, s), h.dtype)
-        goes_on = x != END
+        own = p["into"].reshape(-1, 3, s).swapaxes(0, 1).copy()
+        own[:2] *= -1  # of the gates the negative is needed
+        own, weights = own.take(x, axis=1), -p["gates"].reshape(s, 2, s).swapaxes(0, 1)
+        held, gates, cand = np.empty((t + 1, b, s), h.dtype), np.empty((2, t, b, s), h.dtype), np.empty((t, b, s), h.dtype)
+        held[0], edges = h, self.edges(x)
         for i in range(t):
-            h = h * goes_on[i, :, None]
-            held[i] = h
-            g = h @ p["gates"]
-            g += own[i, :, : 2 * s]
-            np.negative(g, out=g), np.exp(g, out=g)
+            h, g, c, to = held[i], gates[:, i], cand[i], held[i + 1]
+            h[edges[i]] = 0
+            np.matmul(h, weights, out=g)
+            g += own[:2, i]
+            np.exp(g, out=g)
             g += 1
             np.reciprocal(g, out=g)
-            c = (g[:, :s] * h) @ p["candidate"]
-            c += own[i, :, 2 * s :]
+            np.multiply(g[0], h, out=to)
+            np.matmul(to, p["candidate"], out=c)
+            c += own[2, i]
             np.tanh(c, out=c)
-            gates[i], cand[i] = g, c
-            h = c + g[:, s:] * (h - c)
-        held[t] = h
+            np.subtract(h, c, out=to)
+            to *= g[1]
+            to += c
         return held, gates, cand
 
+    def edges(self, x: np.ndarray) -> list[np.ndarray]:
+        """The lanes of each step where a text begins."""
+        step, lane = np.nonzero(x == END)
+        return np.split(lane, np.searchsorted(step, np.arange(1, len(x))))
+
     def states(self, held: np.ndarray, gates: np.ndarray, cand: np.ndarray) -> np.ndarray:
         """The states after each step, from what ``read`` keeps."""
-        return cand + gates[:, :, self.state :] * (held[:-1] - cand)
-
-    def predict(self, z: np.ndarray, y: np.ndarray, grow: bool) -> tuple[np.ndarray, dict[str, np.ndarray] | None, np.ndarray | None]:
-        """ln P(y) after the states ``z``; with ``grow`` also gradients of their sum, negated, by weights and states."""
-        n, p = len(y), self.p
-        z = np.concatenate([z, np.ones((n, 1), z.dtype)], axis=1)
-        k = self.class_of[y]
-        a, e, total = _softmax(z @ p["to_class"])
-        out = a[np.arange(n), k] - np.log(total)
+        out = held[:-1] - cand
+        out *= gates[1]
+        out += cand
+        return out
+
+    def predict(self, z: np.ndarray, y: np.ndarray, grow: bool, shift: bool = False) -> tuple[np.ndarray, dict[str, np.ndarray] | None, np.ndarray | None]:
+        """ln P(y) after the states ``z``; with ``grow`` also gradients of their sum, negated, by weights and states.
+
+        Rows are laid in the order of their classes, so that those of a class lie together. Everything is done again with ``shift`` where that is needed
+        for powers of e to stay finite.
+        """
+        n, p, k = len(y), self.p, self.class_of[y]
         order = np.argsort(k, kind="stable")
-        cut = np.searchsorted(k[order], np.arange(len(self.starts)))
-        grads, dz = None, None
-        if grow:
-            e /= total[:, None]
-            e[np.arange(n), k] -= 1
-            grads, dz = {"to_class": z.T @ e, "to_word": np.zeros_like(p["to_word"])}, e @ p["to_class"].T
-        for c in np.flatnonzero((cut[1:] > cut[:-1]) & (np.diff(self.starts) > 1)):
-            at, s, f = order[cut[c] : cut[c + 1]], self.starts[c], self.starts[c + 1]
-            zc, w = z[at], p["to_word"][s:f]
-            a, e, total = _softmax(zc @ w.T)
-            row = np.arange(len(at))
-            out[at] += a[row, y[at] - s] - np.log(total)
+        cut = np.concatenate([[0], np.cumsum(np.bincount(k, minlength=len(self.starts) - 1))])
+        own, z = z, np.ones((n, self.state + 1), z.dtype)
+        z[:, :-1] = own.take(order, axis=0)
+        at_class, at_word = k[order].astype(np.int64), y[order] - self.starts[k[order]]
+        ln, total, total_in = np.empty(n, z.dtype), np.empty(n, z.dtype), np.ones(n, z.dtype)
+        grads, dz = ({k: np.zeros_like(p[k]) for k in ("to_class", "to_word")}, np.empty_like(z)) if grow else (None, None)
+        for i in range(0, n, _CHUNK):
+            at = slice(i, i + _CHUNK)
+            ln[at], e, total[at] = _softmax(z[at], p["to_class"], at_class[at], shift)
             if grow:
-                e /= total[:, None]
-                e[row, y[at] - s] -= 1
-                grads["to_word"][s:f] = e.T @ zc
-                dz[at] += e @ w
-        return out, grads, None if dz is None else dz[:, :-1]
+                by_class, dz[at] = _softmax_errors(z[at], p["to_class"], at_class[at], e, total[at])
+                grads["to_class"] += by_class.T
+        for c in np.flatnonzero((cut[1:] > cut[:-1]) & (np.diff(self.starts) > 1)).tolist():
+            words = slice(self.starts[c], self.starts[c + 1])
+            w = p["to_word"][words].T
+            for i in range(cut[c], cut[c + 1], _CHUNK):
+                at = slice(i, min(i + _CHUNK, cut[c + 1]))
+                picked, e, total_in[at] = _softmax(z[at], w, at_word[at], shift)
+                ln[at] += picked
+                if grow:
+                    by_word, errors = _softmax_errors(z[at], w, at_word[at], e, total_in[at])
+                    grads["to_word"][words] += by_word
+                    dz[at] += errors
+        if not shift and not all(x.max(initial=1) < 1e30 and x.min(initial=1) > 1e-30 for x in (total, total_in)):
+            return self.predict(own, y, grow, True)
+        ln -= np.log(total)
+        ln -= np.log(total_in)
+        back = np.empty_like(order)
+        back[order] = np.arange(n)
+        return ln[back], grads, dz.take(back, axis=0)[:, :-1] if grow else None
 
     def gradients(self, x: np.ndarray, y: np.ndarray, valid: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
         """Of -ln P summed over the valid steps of one window, errors flowing back to its beginning; and the state to go on from."""
@@ -242,62 +293,92 @@ class GatedModel:
         from_output = np.zeros((t * b, s), after.dtype)
         from_output[at] = some
         from_output = from_output.reshape(t, b, s)
-        into, dh, goes_on = np.empty((t, b, 3 * s), after.dtype), np.zeros((b, s), after.dtype), x != END
-        r, u, before = np.ascontiguousarray(gates[:, :, :s]), np.ascontiguousarray(gates[:, :, s:]), held[:-1]
-        by_update, by_candidate, by_reset = u * (1 - u) * (before - cand), (1 - u) * (1 - cand * cand), r * (1 - r) * before
+        into, dh, edges = np.empty((3, t, b, s), after.dtype), np.zeros((b, s), after.dtype), self.edges(x)
+        weights, candidate, through, back = p["gates"].T.reshape(2, s, s).copy(), p["candidate"].T.copy(), np.empty_like(dh), np.empty((2, b, s), dh.dtype)
         for i in range(t - 1, -1, -1):
+            (r, u), c, h = gates[:, i], cand[i], held[i]
             dh += from_output[i]
-            dc = dh * by_candidate[i]
-            through = dc @ p["candidate"].T
-            into[i, :, :s] = through * by_reset[i]
-            into[i, :, s : 2 * s] = dh * by_update[i]
-            into[i, :, 2 * s :] = dc
-            dh *= u[i]
-            through *= r[i]
+            to = np.multiply(c, c, out=into[2, i])  # becomes dh * (1 - u) * (1 - c * c)
+            np.subtract(1, to, out=to)
+            not_u = 1 - u
+            dc = dh * not_u
+            to *= dc
+            dc *= u
+            np.subtract(h, c, out=into[1, i])  # times dh * u * (1 - u)
+            into[1, i] *= dc
+            np.matmul(to, candidate, out=through)
+            through *= r
+            np.subtract(1, r, out=into[0, i])  # times the error before the reset gate, r and h
+            into[0, i] *= through
+            into[0, i] *= h
+            np.matmul(into[:2, i], weights, out=back)
+            dh *= u
             dh += through
-            dh += into[i, :, : 2 * s] @ p["gates"].T
-            dh *= goes_on[i, :, None]
-        flat, before = into.reshape(-1, 3 * s), held[:-1].reshape(-1, s)
-        grads["gates"] = before.T @ flat[:, : 2 * s]
-        grads["candidate"] = (r.reshape(-1, s) * before).T @ flat[:, 2 * s :]
+            dh += back[0]
+            dh += back[1]
+            dh[edges[i]] = 0
+        before, r = held[:-1], gates[0]
+        into, before = into.reshape(3, -1, s), before.reshape(-1, s)
+        grads["gates"] = np.concatenate([before.T @ into[0], before.T @ into[1]], axis=1)
+        grads["candidate"] = (r.reshape(-1, s) * before).T @ into[2]
         order = np.argsort(x.ravel(), kind="stable")
         words = x.ravel()[order]
         first = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
+        pairs = into.dtype if s % 2 else np.result_type(into, np.complex64)  # two numbers are added at a time
         grads["into"] = np.zeros_like(p["into"])
-        grads["into"][words[first]] = np.add.reduceat(flat[order], first, axis=0)
+        grads["into"][words[first]] = np.add.reduceat(into.take(order, axis=1).view(pairs), first, axis=1).view(into.dtype).swapaxes(0, 1).reshape(-1, 3 * s)
         return grads, held[-1]
 
 
-def lanes_of(y: np.ndarray, lengths: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Documents side by side: (steps, lanes) of words, of the words before them (``END`` at a beginning) and of document numbers (-1: none).
+class Lanes:
+    """Documents side by side: the longest are dealt first, each to the shortest lane; lanes are in order of falling length.
 
-    The longest documents are dealt first, each to the shortest lane; lanes are in order of falling length.
+    Words lie lane by lane, so what is held is as long as the documents, however much longer one is than the others.
     """
-    count = max(1, min(count, len(lengths)))
-    heap, lane = [(0, i) for i in range(count)], [[] for _ in range(count)]
-    for d in np.argsort(-lengths, kind="stable").tolist():
-        n, i = heapq.heappop(heap)
-        lane[i].append(d)
-        heapq.heappush(heap, (n + int(lengths[d]), i))
-    size = [int(lengths[ds].sum()) for ds in lane]
-    begin = np.concatenate([[0], np.cumsum(lengths)])
-    steps = max(size, default=0)
-    after, before, doc = np.zeros((steps, count), np.uint16), np.zeros((steps, count), np.uint16), np.full((steps, count), -1, np.int32)
-    for to, i in enumerate(np.argsort(-np.array(size), kind="stable").tolist()):
-        if lane[i]:
-            ys = np.concatenate([y[begin[d] : begin[d + 1]] for d in lane[i]])
-            after[: len(ys), to], before[1 : len(ys), to] = ys, ys[:-1]
-            doc[: len(ys), to] = np.repeat(lane[i], lengths[lane[i]])
-    return after, before, doc
-
-
-def _windows(doc: np.ndarray, window: int, cells: int = 0) -> Iterator[tuple[int, int, int]]:
-    """Stretches of ``window`` steps, or more where few lanes are left so that they hold about ``cells`` words, and how many lanes (they fall in length) still have words there."""
-    s = 0
-    while s < len(doc):
-        lanes = int((doc[s] >= 0).sum())
-        yield s, min(s + max(window, cells // lanes), len(doc)), lanes
-        s += max(window, cells // lanes)
+
+    def __init__(self, y: np.ndarray, lengths: np.ndarray, count: int) -> None:
+        count = max(1, min(count, len(lengths)))
+        heap, lane = [(0, i) for i in range(count)], [[] for _ in range(count)]
+        for d in np.argsort(-lengths, kind="stable").tolist():
+            n, i = heapq.heappop(heap)
+            lane[i].append(d)
+            heapq.heappush(heap, (n + int(lengths[d]), i))
+        size = np.array([int(lengths[ds].sum()) for ds in lane])
+        order = np.argsort(-size, kind="stable")
+        self.size, docs = size[order], np.array([d for i in order for d in lane[i]], np.int32)
+        self.begin, at = np.cumsum(self.size) - self.size, np.concatenate([[0], np.cumsum(lengths)])
+        self.after = np.concatenate([np.empty(0, np.uint16), *(y[at[d] : at[d + 1]] for d in docs)])
+        self.doc = np.repeat(docs, lengths[docs])
+
+    def window(self, s: int, e: int, lanes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(steps, lanes) of words, of the words before them (``END`` at a beginning) and of document numbers (-1: none)."""
+        at = self.begin[:lanes] + np.arange(s, e)[:, None]
+        none = None if self.size[lanes - 1] >= e else np.arange(s, e)[:, None] >= self.size[:lanes]
+        if none is not None:
+            at[none] = 0
+        after, doc = self.after[at], self.doc[at]
+        if none is not None:
+            after[none], doc[none] = END, -1
+        before = np.empty_like(after)
+        before[0], before[1:] = self.after[at[0] - 1] if s else END, after[:-1]
+        if none is not None:
+            before[none] = END
+        return after, before, doc
+
+    def windows(self, window: int, cells: int = 0) -> Iterator[tuple[int, int, int]]:
+        """Stretches of ``window`` steps, or more where few lanes are left so that they hold about ``cells`` words, and how many lanes still have words there."""
+        s = 0
+        while s < self.size[0]:
+            lanes = int((self.size > s).sum())
+            e = min(s + max(window, cells // lanes), int(self.size[0]))
+            yield s, e, lanes
+            s = e
+
+
+def lanes_of(y: np.ndarray, lengths: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All of ``Lanes`` in one window."""
+    lanes = Lanes(y, lengths, count)
+    return lanes.window(0, int(lanes.size[0]), len(lanes.size))
 
 
 def _stretches(lengths: np.ndarray, most: int) -> np.ndarray:
@@ -308,6 +389,21 @@ def _stretches(lengths: np.ndarray, most: int) -> np.ndarray:
     return out
 
 
+def _adam(p: np.ndarray, m: np.ndarray, u: np.ndarray, g: np.ndarray, slow: float, n: int) -> None:
+    """One step of Adam in place, from the gradients ``g`` summed over ``n`` words, which are used up."""
+    g *= 0.1 / n
+    m *= 0.9
+    m += g
+    np.square(g, out=g)
+    u *= 0.99
+    u += g
+    np.sqrt(u, out=g)
+    g += 1e-6
+    np.divide(m, g, out=g)
+    g *= slow
+    p -= g
+
+
 def _train(model: GatedModel, number: int, rounds: int, window: int, rate: float):
     """One part of the training documents of each block: Adam over windows, the state carried from one to the next. Sends the model in pieces, with the weight.
 
@@ -328,25 +424,24 @@ def _train(model: GatedModel, number: int, rounds: int, window: int, rate: float
                     continue
                 weight += len(y)
                 lanes = min(LANES, max(4, len(y) // (64 * window)))
-                after, before, doc = lanes_of(y, _stretches(lengths[use], max(window, len(y) // lanes)), lanes)
-                h = np.zeros((doc.shape[1], model.state), np.float32)
-                for s, e, b in _windows(doc, window):
-                    valid = doc[s:e, :b] >= 0
-                    grads, h = trained.gradients(before[s:e, :b], after[s:e, :b], valid, h[:b])
+                dealt = Lanes(y, _stretches(lengths[use], max(window, len(y) // lanes)), lanes)
+                h = np.zeros((len(dealt.size), model.state), np.float32)
+                for s, e, b in dealt.windows(window):
+                    after, before, doc = dealt.window(s, e, b)
+                    valid = doc >= 0
+                    grads, h = trained.gradients(before, after, valid, h[:b])
                     step += 1
-                    n = valid.sum()
                     slow = rate * math.sqrt(1 - 0.99**step) / (1 - 0.9**step)
-                    rows = np.flatnonzero(np.bincount(before[s:e, :b].ravel(), minlength=len(mine["into"])))
+                    into, rows = grads.pop("into"), np.flatnonzero(np.bincount(before.ravel()))
+                    for i in range(0, len(rows), _CHUNK // 4):
+                        at = rows[i : i + _CHUNK // 4]  # only words that were read have gradients there
+                        some = [held[at] for held in (mine["into"], m["into"], u["into"])]
+                        _adam(*some, into[at], slow, int(valid.sum()))
+                        mine["into"][at], m["into"][at], u["into"][at] = some
                     for k, g in grads.items():
-                        at = rows if k == "into" else slice(None)  # only words that were read have gradients there
-                        g = g[at] / n
-                        mk, uk = m[k][at], u[k][at]
-                        mk += 0.1 * (g - mk)
-                        g *= g
-                        uk += 0.01 * (g - uk)
-                        if k == "into":
-                            m[k][at], u[k][at] = mk, uk
-                        mine[k][at] -= slow * mk / (np.sqrt(uk) + 1e-6)
+                        for i in range(0, len(g), _CHUNK):
+                            at = slice(i, i + _CHUNK)
+                            _adam(mine[k][at], m[k][at], u[k][at], g[at], slow, int(valid.sum()))
         if weight:
             flat = np.concatenate([mine[k].ravel() for k in sorted(mine)])
             pieces = [flat[i : i + _PIECE] for i in range(0, len(flat), _PIECE)]
@@ -391,13 +486,14 @@ def _score(model: GatedModel, window: int):
         for batch in batches:
             for row in rows_of(batch):
                 lengths = np.array(row["lengths"], np.int64)
-                after, before, doc = lanes_of(unpacked(row["numbers"], np.uint16), lengths, LANES)
-                h, total = np.zeros((doc.shape[1], model.state), np.float32), np.zeros(len(lengths))
-                for s, e, b in _windows(doc, window, window * LANES):
-                    held, gates, cand = model.read(before[s:e, :b], h[:b])
-                    h, d = held[-1], doc[s:e, :b].ravel()
+                dealt = Lanes(unpacked(row["numbers"], np.uint16), lengths, LANES)
+                h, total = np.zeros((len(dealt.size), model.state), np.float32), np.zeros(len(lengths))
+                for s, e, b in dealt.windows(window, window * LANES):
+                    after, before, doc = dealt.window(s, e, b)
+                    held, gates, cand = model.read(before, h[:b])
+                    h, d = held[-1], doc.ravel()
                     at = np.flatnonzero(d >= 0)
-                    got, _, _ = model.predict(model.states(held, gates, cand).reshape(-1, model.state)[at], after[s:e, :b].ravel()[at], False)
+                    got, _, _ = model.predict(model.states(held, gates, cand).reshape(-1, model.state)[at], after.ravel()[at], False)
                     np.add.at(total, d[at], got) if len(at) < 64 else total.__iadd__(np.bincount(d[at], weights=got, minlength=len(total)))
                 yield pa.record_batch([pa.array(row["ids"], pa.int64()), pa.array(lengths), pa.array(row["known"], pa.int64()), pa.array(row["base"], pa.float64()), pa.array(total / math.log(10) + np.array(row["inside"]))], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 

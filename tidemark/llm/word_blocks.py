@@ -20,9 +20,9 @@ BORDER = b"\xff"
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def byte_table(borders: bytes = b"") -> bytes:
-    """Lower-cases A-Z and turns ``borders`` into the border byte."""
-    return bytes(0xFF if c in borders else _LOWER[c] for c in range(256))
+def byte_table(borders: bytes = b"", blanks: bytes = b"") -> bytes:
+    """Lower-cases A-Z and turns ``borders`` into the border byte and ``blanks`` into blanks."""
+    return bytes(0xFF if c in borders else 32 if c in blanks else _LOWER[c] for c in range(256))
 
 
 def slices(raw: bytes, cut: bytes, size: int | None = None) -> Iterator[bytes]:
@@ -49,6 +49,21 @@ class Numbering:
         return np.fromiter(map(self.of.__getitem__, words), np.int32, len(words))
 
 
+def numbered_words(pieces: list[bytes], table: bytes) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """Words between blanks of all ``pieces`` after ``table``, each with one blank behind it and numbered by their first appearance; and how many each piece has."""
+    data = np.frombuffer(b" ".join([*pieces, b""]).translate(table), np.uint8)
+    blank = data == 32
+    ends = np.flatnonzero(blank[1:] & ~blank[:-1]) + 1
+    n = np.diff(np.searchsorted(ends, np.cumsum([len(p) + 1 for p in pieces]) - 1, side="right"), prepend=0)
+    if blank.sum() > len(ends):  # of several blanks the first stays
+        keep = ~blank
+        keep[ends] = True
+        data = data[keep]
+        ends = np.flatnonzero(data == 32)
+    words = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.append(0, ends + 1)), pa.py_buffer(data)])
+    return words.dictionary_encode(), n
+
+
 def block_number(seq: int) -> int:
     """A number for the ``seq``-th block of this task; a table of blocks is written before it is used, so a task that ran twice counts once."""
     return TaskContext.get().partitionId() << 32 | seq
