@@ -81,6 +81,7 @@ def _encode(block_words: int):
             number()
         if docs:
             yield from flush()
+        pa.default_memory_pool().release_unused()  # the worker goes on to other stages
 
     return run
 
