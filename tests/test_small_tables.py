@@ -1,11 +1,14 @@
 """Queries against their twins over a few rows that the given tables rarely have."""
 
 import datetime as dt
+import re
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 
 from tests.compare import connect, same
+from tidemark.operators import certify
 from tidemark.plans import queries as plans
 
 
@@ -26,3 +29,21 @@ def test_purchases_of_congress_without_an_amount_amend_nothing(spark, tmp_path):
     got = plans.QUERIES["c03_holdings_candidates"](spark, data)
     assert {r.filing_refs for r in got.collect()} == {"house_pdf|D42|R1", "house_pdf|D86|R1"}
     same(got, connect(data), plans.ORACLES["c03_holdings_candidates"])
+
+
+@pytest.mark.parametrize(("name", "most"), [("g47_certify_series", 1)])
+def test_generations_of_prices_are_dealt_out_once(spark, data_dir, name, most):
+    df = plans.QUERIES[name](spark, data_dir)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    dealt = [line for line in plan.split("\n") if re.match(r"\W*Exchange hash", line)]
+    assert len(dealt) <= most and len([line for line in dealt if "REPARTITION_BY_COL" in line]) == 1
+
+
+def test_bad_values_end_no_certification_by_an_error(spark):
+    day = [dt.date(2024, 1, d) for d in range(1, 5)]
+    rows = [("A", g, d, 10.0 * s, s) for g, s in (("g1", 1.0), ("g2", 2.0)) for d in day] + [("A", "g3", d, 10.0, 0.0 if d == day[1] else 1.0) for d in day]
+    values = spark.createDataFrame(rows, "ticker string, generation string, date date, close double, adjustment_factor double")
+    paid = spark.createDataFrame([("A", None, 1.0), ("B", day[1], 1.0)], "ticker string, ex_date date, cash_amount double")
+    got = certify.certify_series(values, paid).collect()
+    assert [(r.keeper, r.fetches, r.splits, r.reason) for r in got] == [("g3", 3, 0, "invalid_values")]

@@ -31,38 +31,46 @@ def certify_series(values: DataFrame, dividends: DataFrame, *more_keys: str) ->
     cash_amount. Reasons in order: too few generations, repeated days or values that are null or not positive, pairs
     that share fewer than two days, closes or factors that differ after scaling to the last shared day, repeated
     ex-dates, ex-dates without a price on them and before, dividends above the price, factor steps that are neither
-    dividend nor split, jumps of the raw close without a split. Generations of a ticker meet by (ticker, date), and
+    dividend nor split, jumps of the raw close without a split. Generations of a ticker meet on the same day, and
     steps are lags within a generation. ``more_keys`` tell several sets of generations of a ticker apart.
+
+    All windows and groups are parts of a ticker, and dividends come by the ticker, so values that are dealt out by ticker
+    are not shuffled again; only a row for each of ``keys`` is.
     """
     keys = ["ticker", *more_keys]
-    good = valid_price(F.col("close")) & valid_price(F.col("adjustment_factor")) & F.col("date").isNotNull()
-    gens = values.groupBy(*keys, "generation").agg(F.min("date").alias("first"), F.max("date").alias("last"), F.count(F.lit(1)).alias("n"), F.count_distinct("date").alias("days"), F.count_if(~F.coalesce(good, F.lit(False))).alias("bad"))
-    per = gens.groupBy(*keys).agg(F.count(F.lit(1)).alias("fetches"), F.max(F.struct("last", "n", "generation"))["generation"].alias("keeper"), F.max((F.col("bad") > 0) | (F.col("days") < F.col("n"))).alias("invalid"))
-    sound = values.where(good).select(*keys, "generation", "date", "close", "adjustment_factor")
-
-    other = sound.select(*keys, "date", F.col("generation").alias("g2"), F.col("close").alias("c2"), F.col("adjustment_factor").alias("f2"))
-    shared = sound.join(other, [*keys, "date"]).where("generation < g2")
-    pairs = shared.groupBy(*keys, "generation", "g2").agg(F.count(F.lit(1)).alias("n"), _off(F.col("close") / F.col("c2")).alias("close_off"), _off(F.col("adjustment_factor") / F.col("f2")).alias("factor_off"))
+    good = F.coalesce(valid_price(F.col("close")) & valid_price(F.col("adjustment_factor")) & F.col("date").isNotNull(), F.lit(False))
+    rows = values.select(*keys, "generation", "date", "close", "adjustment_factor").withColumn("good", good)
+
+    w = Window.partitionBy(*keys, "date")
+    met = F.struct(F.col("generation").alias("g2"), F.col("close").alias("c2"), F.col("adjustment_factor").alias("f2"))
+    shared = rows.where("good").withColumn("met", F.collect_list(met).over(w)).select("*", F.explode(F.filter("met", lambda x: x["g2"] > F.col("generation"))).alias("o"))
+    pairs = shared.groupBy(*keys, "generation", "o.g2").agg(F.count(F.lit(1)).alias("n"), _off(F.col("close") / F.col("o.c2")).alias("close_off"), _off(F.col("adjustment_factor") / F.col("o.f2")).alias("factor_off"))
     agree = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("pairs"), F.min("n").alias("least_shared"), F.max("close_off").alias("close_off"), F.max("factor_off").alias("factor_off"))
 
-    twice = dividends.groupBy("ticker").agg((F.count(F.lit(1)) > F.count_distinct("ex_date")).alias("repeated_ex"))
-    paid = dividends.groupBy("ticker", F.col("ex_date").alias("date")).agg(F.max("cash_amount").alias("cash"))
-    w = Window.partitionBy(*keys, "generation").orderBy("date")
-    raw = F.col("close") / F.col("adjustment_factor")
-    steps = sound.withColumns({"raw": raw, "raw_before": F.lag(raw).over(w), "close_before": F.lag("close").over(w), "factor_before": F.lag("adjustment_factor").over(w)}).join(paid, ["ticker", "date"], "left")
+    paid = dividends.groupBy("ticker", "ex_date").agg(F.max("cash_amount").alias("cash"), F.count(F.lit(1)).alias("n"))
+    paid = paid.groupBy("ticker").agg((F.sum("n") > F.count("ex_date")).alias("repeated_ex"), F.collect_list(F.when(F.col("ex_date").isNotNull(), F.struct("ex_date", "cash"))).alias("paid"))
+    w = Window.partitionBy(*keys, "generation").orderBy(F.desc("good"), "date")  # bad rows come last, so no step starts at one
+    step = lambda c: F.when(F.col("good"), c)
+    raw = step(F.col("close") / F.col("adjustment_factor"))
+    steps = rows.join(paid.select("ticker", F.map_from_entries("paid").alias("by_day")), "ticker", "left")
+    steps = steps.withColumns({"raw": raw, "raw_before": F.lag(raw).over(w), "close_before": F.lag("close").over(w), "factor_before": F.lag("adjustment_factor").over(w), "day_before": F.lag("date").over(w), "cash": step(F.element_at("by_day", F.col("date")))})
     haircut = 1 - F.col("cash") / F.col("raw_before")
     expected = F.coalesce(F.when(haircut > 0, 1 / haircut), F.lit(1.0))
-    steps = steps.withColumns({"change": F.col("adjustment_factor") / F.col("factor_before") / expected, "raw_change": F.col("raw") / F.col("raw_before"), "close_change": F.col("close") / F.col("close_before")})
+    steps = steps.withColumns({"change": step(F.col("adjustment_factor") / F.col("factor_before") / expected), "raw_change": step(F.col("raw") / F.col("raw_before")), "close_change": step(F.col("close") / F.col("close_before"))})
     moved = F.abs(F.col("change") - 1) > FACTOR_TOLERANCE
     split = moved & _is_split(F.col("change")) & (F.col("raw_change") * F.col("change")).between(0.5, 2) & F.col("close_change").between(0.5, 2)
     steps = steps.withColumns({"moved": moved, "split": split})
-    told = steps.groupBy(*keys).agg(
+    gens = steps.groupBy(*keys, "generation").agg(
+        F.min("date").alias("first"), F.max("date").alias("last"), F.count(F.lit(1)).alias("n"), F.max(~F.col("good") | F.coalesce(F.col("date") == F.col("day_before"), F.lit(False))).alias("invalid"),
         F.count_if(F.col("cash").isNotNull() & F.col("raw_before").isNotNull()).alias("placed"), F.max(F.col("cash").isNotNull() & ~F.coalesce(haircut > 0, F.lit(True))).alias("impossible"),
         F.max(F.coalesce(F.col("moved") & ~F.col("split"), F.lit(False))).alias("unexplained"), F.max(F.coalesce(((F.col("raw_change") <= 0.5) | (F.col("raw_change") >= 2)) & ~F.coalesce("split", F.lit(False)), F.lit(False))).alias("jump"), F.count_if("split").alias("splits"),
-    )
-    due = gens.join(paid, "ticker").where(F.col("date").between(F.col("first"), F.col("last"))).groupBy(*keys).agg(F.count(F.lit(1)).alias("due"))
+    ).join(paid, "ticker", "left")
+    due = F.coalesce(F.size(F.filter("paid", lambda x: x["ex_date"].between(F.col("first"), F.col("last")))), F.lit(0))
+    per = gens.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("fetches"), F.max(F.struct("last", "n", "generation"))["generation"].alias("keeper"), *(F.max(c).alias(c) for c in ("invalid", "impossible", "unexplained", "jump", "repeated_ex")),
+        *(F.sum(c).alias(c) for c in ("placed", "splits")), F.sum(F.greatest(due, F.lit(0))).alias("due"))
 
-    out = per.join(agree, keys, "left").join(twice, "ticker", "left").join(told, keys, "left").join(due, keys, "left")
+    out = per.join(agree, keys, "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     every_pair = F.col("fetches") * (F.col("fetches") - 1) / 2
     tests = [
