@@ -31,7 +31,7 @@ def test_purchases_of_congress_without_an_amount_amend_nothing(spark, tmp_path):
     same(got, connect(data), plans.ORACLES["c03_holdings_candidates"])
 
 
-@pytest.mark.parametrize(("name", "most"), [("g47_certify_series", 1)])
+@pytest.mark.parametrize(("name", "most"), [("g47_certify_series", 1), ("g48_rebaseline_plan", 5)])
 def test_generations_of_prices_are_dealt_out_once(spark, data_dir, name, most):
     df = plans.QUERIES[name](spark, data_dir)
     df.collect()
@@ -47,3 +47,5 @@ def test_bad_values_end_no_certification_by_an_error(spark):
     paid = spark.createDataFrame([("A", None, 1.0), ("B", day[1], 1.0)], "ticker string, ex_date date, cash_amount double")
     got = certify.certify_series(values, paid).collect()
     assert [(r.keeper, r.fetches, r.splits, r.reason) for r in got] == [("g3", 3, 0, "invalid_values")]
+    plan = certify.rebaseline_plan(values, paid.where("ticker = 'B'"), spark.createDataFrame([("A", "g1"), ("C", "g1")], "ticker string, keeper string")).collect()
+    assert sorted(map(tuple, plan)) == [("A", "g1", "g2", "g3"), ("C", "g1", "", "")]

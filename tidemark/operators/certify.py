@@ -84,9 +84,9 @@ def certify_series(values: DataFrame, dividends: DataFrame, *more_keys: str) ->
 
 def rebaseline_plan(values: DataFrame, dividends: DataFrame, keepers: DataFrame) -> DataFrame:
     """Per ticker the generations that certify together with its keeper, and those that do not; keepers as (ticker, keeper)."""
-    rest = values.select("ticker", "generation").distinct().join(keepers, "ticker").where("generation <> keeper")
-    own = values.join(rest.select("ticker", F.col("generation").alias("against"), F.col("keeper").alias("generation")), ["ticker", "generation"])
-    sets = values.join(keepers, "ticker").where("generation <> keeper").drop("keeper").withColumn("against", F.col("generation")).unionByName(own)
+    others = values.groupBy("ticker", "generation").agg(F.count(F.lit(1)).alias("n")).join(keepers, "ticker").groupBy("ticker", "keeper").agg(F.collect_list(F.when(F.col("generation") != F.col("keeper"), F.col("generation"))).alias("others"))
+    own = F.col("generation") == F.col("keeper")
+    sets = values.join(others, "ticker").withColumn("against", F.explode(F.when(own, F.col("others")).when(~own, F.array("generation"))))
     verdicts = certify_series(sets, dividends, "against")
     pick = lambda c: F.array_join(F.array_sort(F.collect_list(F.when(c, F.col("against")))), ",")
     plan = verdicts.groupBy("ticker").agg(pick(F.col("certified")).alias("kept"), pick(~F.col("certified")).alias("deleted"))
