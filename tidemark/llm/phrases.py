@@ -1,12 +1,12 @@
-"""Collocations: phrases mined shard by shard at a support lowered in proportion, then counted exactly over all shards."""
+"""Collocations: phrases counted length by length over all texts, where the shorter ones that they are made of are frequent."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+from pyspark import TaskContext
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,17 +15,18 @@ from .shared import bounded_batches, small_or_shuffled, stored
 from .word_blocks import BLOCK_WORDS, BORDER, Numbering, block_number, byte_table, packed, raw_texts, rows_of, slices, unpacked
 
 LONGEST = 5
-#: Words of a shard: what a task can mine at a time, in a few arrays of that length.
-SHARD_WORDS = 3_000_000
+#: Phrases of one length that a task holds with their counts before it sends them (16 bytes each).
+SHARD_WORDS = 1_500_000
+#: Words of a row of numbers: a few arrays of that length are held at a time.
+ROW_WORDS = 500_000
 #: Frequent words that every task may hold (some 30 MB); where there are more, each block meets its own by a join.
 MOST_WORDS = 300_000
-#: Candidates are sent to the tasks that count them, as hashes (48 MB), up to so many; beyond, all phrases of frequent words are counted by their texts.
-MOST_CANDIDATES = 2_000_000
+#: Frequent phrases are sent to the tasks that count longer ones, as codes (96 MB), up to so many; beyond, all phrases of frequent words are counted by their words.
+MOST_CANDIDATES = 12_000_000
 #: Parts that a language's phrases are dealt to before its first ones are taken.
 DEALT = 64
 _TABLE = byte_table(b".,;:!?\n\x0b\x0c\r")
 _ROWS = 1 << 16
-_PIECE = 4096
 
 
 def _encode(block_words: int):
@@ -79,270 +80,262 @@ def _row_batch(kind, block, lang, total, number, word, n, numbers, dictionary) -
     return pa.record_batch(columns, ["kind", "block", "lang", "total", "word_number", "word", "n", "numbers", "dictionary"])
 
 
-def _levels(x: np.ndarray, least: int = 1, candidate: Callable[[int, np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Distinct phrases of 2 words and more, length by length, that are ``candidate`` and occur ``least`` times: (length, a place of each, counts).
+#: Counts of phrases leave a task in so many pieces by their code.
+_PIECES = 512
+_SHARD = "numbers binary"
+_COUNTED = "piece int, codes binary, counts binary"
 
-    A phrase is looked at only where the two one word shorter that it is made of were kept.
-    """
-    g, base = x, int(x.max(initial=0)) + 1
-    for k in range(2, LONGEST + 1):
-        at = np.flatnonzero((g[:-1] > 0) & (g[1:] > 0)).astype(np.int32)
-        if candidate is not None:
-            at = at[candidate(k, at)]
-        if not len(at):
-            return
-        code = g[at] * np.int64(base) + x[at + (k - 1)]
-        order = np.argsort(code, kind="stable")
-        code, at = code[order], at[order]
-        del order
-        first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-        del code
-        n = np.diff(np.append(first, len(at)))
-        ok = n >= least
-        yield k, at[first[ok]], n[ok]
-        g = np.zeros(len(g) - 1, np.int32)
-        g[at] = np.repeat((np.cumsum(ok) * ok).astype(np.int32), n)
-
-
-def _hashes(x: np.ndarray, at: np.ndarray, k: int, of_word: np.ndarray) -> np.ndarray:
-    h = of_word[x[at]]
-    for j in range(1, k):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + of_word[x[at + j]]
-        h ^= h >> np.uint64(29)
-    return h.view(np.int64)
-
-
-def _word_hashes(words: list[bytes], lang: str, seed: int) -> np.ndarray:
-    """Hashes of a language's words; two seeds make 128 bits, which name a phrase until its text is told."""
-    own = xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"), seed)
-    return np.array([0, *(xxhash.xxh64_intdigest(w, own) for w in words)], np.uint64)
-
-
-def _texts_of(x: np.ndarray, at: np.ndarray, k: int, words: list[bytes]) -> pa.Array:
-    names = [b"", *words]
-    return pa.array([b" ".join([names[w] for w in row]) for row in x[at[:, None] + np.arange(k)].tolist()], pa.binary()).cast(pa.string())
-
-
-#: Local phrases of a shard leave it in so many pieces by their hash.
-_PIECES = 64
-_MINED = "kind int, block long, lang string, piece int, named binary, least long, words array<binary>, numbers binary"
-_MINED_TYPES = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("lang", pa.string()), ("piece", pa.int32()), ("named", pa.binary()), ("least", pa.int64()), ("words", pa.list_(pa.binary())), ("numbers", pa.binary())])
-
-
-def _mined(x: np.ndarray, words: list[bytes], block: int, lang: str, total: int, lang_words: int, support: int) -> Iterator[pa.Table]:
-    """Hashes and counts of a shard's phrases that reach its share of ``support`` (kind 0), and the shard in numbers of its frequent words (kind 1)."""
-    first, second = (_word_hashes(words, lang, seed) for seed in (0, 1))
-    least = -(-support * total // lang_words)
-    for k, at, n in _levels(x, least):
-        named = np.stack([_hashes(x, at, k, first), _hashes(x, at, k, second), n.astype(np.int64)])
-        piece = (named[0] & (_PIECES - 1)).astype(np.int32)
-        named = named[:, np.argsort(piece, kind="stable")]
-        cut = np.searchsorted(np.sort(piece), np.arange(_PIECES + 1))
-        yield pa.Table.from_pylist([{"kind": 0, "block": block, "lang": lang, "piece": i, "named": packed(named[:, cut[i] : cut[i + 1]]), "least": least} for i in range(_PIECES) if cut[i + 1] > cut[i]], schema=_MINED_TYPES)
-    yield pa.Table.from_pylist([{"kind": 1, "block": block, "lang": lang, "least": least, "words": words, "numbers": packed(x)}], schema=_MINED_TYPES)
-
-
-def _mine_alone(support: int, frequent: Broadcast, shard_words: int):
-    """Blocks of a language, as they lie in a task, put together to shards and mined; the frequent words of each language are at hand."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[np.ndarray] = []
-        first: dict = {}
-        total = 0
-
-        def mine() -> Iterator[pa.RecordBatch]:
-            nonlocal total
-            if parts:
-                x = np.concatenate(parts)
-                used = np.unique(x[x > 0])
-                if len(used):
-                    number = np.zeros(int(used[-1]) + 1, np.int32)
-                    number[used] = np.arange(1, len(used) + 1)
-                    names = frequent.value[first["lang"]][1]
-                    for table in _mined(number[x], [names[w - 1] for w in used.tolist()], first["block"], first["lang"], total, first["lang_words"], support):
-                        yield from table.to_batches(_ROWS)
-            parts.clear()
-            total = 0
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers packed byte by byte of all: those of small numbers are zeros that take no room."""
+    return packed(np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), -1).T))
+
+
+def _from_planes(data: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(unpacked(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _dense(x: np.ndarray) -> np.ndarray:
+    """Word numbers with one 0 between stretches; words without a neighbour, which are in no phrase, go."""
+    there = np.concatenate([[False], x > 0, [False]])
+    kept = there[1:-1] & (there[:-2] | there[2:])
+    return x[kept | (np.concatenate([[False], kept])[:-1] & ~kept)]
+
+
+def _rows_of_numbers(x: np.ndarray) -> list[bytes]:
+    """Word numbers in rows of about ``ROW_WORDS``, each cut between stretches."""
+    x, out, at = _dense(x), [], 0
+    cuts = np.flatnonzero(x == 0)
+    while len(x) - at > ROW_WORDS and (i := np.searchsorted(cuts, at + ROW_WORDS)) < len(cuts):
+        out.append(packed(x[at : cuts[i]]))
+        at = int(cuts[i]) + 1
+    return [*out, packed(x[at:])]
+
+
+def _renumbered(frequent: Broadcast):
+    """Blocks in numbers of frequent words, which are at hand; 0 stands for all else."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in rows_of(batch):
-                if parts and (row["lang"] != first["lang"] or total + row["total"] > shard_words):
-                    yield from mine()
-                if not parts:
-                    first = {k: row[k] for k in ("lang", "block", "lang_words")}
-                of_lang = frequent.value.get(row["lang"], ({}, []))[0]
+                of_lang = frequent.value[0].get(row["lang"], {})
                 number = np.array([0, *(of_lang.get(w, 0) for w in row["dictionary"])], np.int32)
-                parts.append(number[unpacked(row["numbers"], np.int32)])
-                total += row["total"]
-        yield from mine()
+                yield pa.record_batch([pa.array(_rows_of_numbers(number[unpacked(row["numbers"], np.int32)]), pa.binary())], ["numbers"])
 
     return run
 
 
-def _mine_joined(support: int):
-    """A block with those of its words that are frequent, brought to it by a join."""
+def _renumbered_joined(blocks: pa.Table, frequent: pa.Table) -> pa.Table:
+    """A block in numbers of those of its words that are frequent, brought to it by a join."""
+    x = unpacked(blocks.column("numbers")[0].as_py(), np.int32) if blocks.num_rows else np.zeros(0, np.int32)
+    number = np.zeros(int(x.max(initial=0)) + 1, np.int32)
+    if len(x):
+        number[frequent.column("word_number").to_numpy()] = frequent.column("number").to_numpy()
+    return pa.table({"numbers": pa.array(_rows_of_numbers(number[x]), pa.binary())})
 
-    def run(blocks: pa.Table, frequent: pa.Table) -> pa.Table:
-        if not frequent.num_rows:  # no frequent word: no phrase
-            return _MINED_TYPES.empty_table()
-        row, words = blocks.to_pylist()[0], frequent.column("word").cast(pa.binary()).to_pylist()
-        x = unpacked(row["numbers"], np.int32)
-        number = np.zeros(int(x.max(initial=0)) + 1, np.int32)
-        number[frequent.column("word_number").to_numpy()] = np.arange(1, len(words) + 1)
-        return pa.concat_tables(_mined(number[x], words, row["block"], row["lang"], row["total"], row["lang_words"], support))
 
-    return run
+def _places(codes: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Place of each code among sorted ``keys``, from 1; 0 where it is none of them."""
+    if not len(keys):
+        return np.zeros(len(codes), np.int64)
+    at = np.minimum(np.searchsorted(keys, codes), len(keys) - 1)
+    return (at + 1) * (keys[at] == codes)
 
 
-def _possible(support: int, unseen: dict[str, int]):
-    """(hash, twin, home) of phrases that can reach the support, of one piece of a language after the other; home is the first shard that found it.
+def _next(x: np.ndarray, g: np.ndarray, k: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and codes of the phrases of ``k`` words whose first and last k - 1 words are frequent phrases, whose numbers are ``g``.
 
-    A shard in which a phrase was not found holds it at most one time less than its share: so much can be added to what was found.
+    A code is the number of the phrase without its last word times ``base``, and that word's number.
     """
+    at = np.flatnonzero((g[:-1] > 0) & (g[1:] > 0))
+    return at, g[at] * np.int64(base) + x[at + (k - 1)]
+
+
+def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of counts by code, sorted."""
+    codes, n = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+    order = np.argsort(codes, kind="stable")
+    codes, n = codes[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.zeros(0, np.int64)
+    return codes[first], np.add.reduceat(n, first) if len(codes) else n
+
+
+def _count_level(known: Broadcast, base: int, most: int):
+    """Occurrences of phrases one word longer than those ``known``, summed over a task's blocks, in pieces: sorted codes as differences, and counts."""
 
-    def told(lang: str, rows: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
-        named = np.concatenate([x for _, _, x in rows], axis=1)
-        size = [x.shape[1] for _, _, x in rows]
-        spared, block = (np.repeat(np.array([r[i] for r in rows]) - d, size) for i, d in ((0, 1), (1, 0)))
-        order = np.lexsort((block, named[1], named[0]))
-        named, spared, block = named[:, order], spared[order], block[order]
-        first = np.flatnonzero(np.concatenate([[True], (named[:2, 1:] != named[:2, :-1]).any(axis=0)]))
-        ok = np.add.reduceat(named[2] - spared, first) + unseen[lang] >= support
-        at = first[ok]
-        return pa.record_batch([pa.array(named[0][at]), pa.array(named[1][at]), pa.array(block[at])], ["hash", "twin", "home"])
+    def told(codes: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        piece = ((codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(55)).astype(np.int32)
+        order = np.argsort(piece, kind="stable")
+        cut = np.searchsorted(piece[order], np.arange(_PIECES + 1))
+        for i in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
+            own = order[cut[i] : cut[i + 1]]
+            yield pa.record_batch([pa.array([i], pa.int32()), pa.array([_planes(np.diff(codes[own], prepend=0))], pa.binary()), pa.array([_planes(n[own])], pa.binary())], ["piece", "codes", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
         for batch in batches:
             for row in rows_of(batch):
-                if key != (row["lang"], row["piece"]) and rows:
-                    yield told(key[0], rows)
-                    rows = []
-                key = row["lang"], row["piece"]
-                rows.append((row["least"], row["block"], unpacked(row["named"], np.int64).reshape(3, -1)))
-        if rows:
-            yield told(key[0], rows)
+                x = unpacked(row["numbers"], np.int32)
+                g = x.astype(np.int64)
+                for k, keys in enumerate(known.value, 2):
+                    at, codes = _next(x, g, k, base)
+                    g = np.zeros(max(0, len(g) - 1), np.int64)
+                    g[at] = _places(codes, keys)
+                held.append(np.unique(_next(x, g, len(known.value) + 2, base)[1], return_counts=True))
+                size += len(held[-1][0])
+                if size > most:
+                    held = [_merged(held)]
+                    size = len(held[0][0])
+                    if size > most // 2:
+                        yield from told(*held[0])
+                        held, size = [], 0
+        if held:
+            yield from told(*_merged(held))
 
     return run
 
 
-def _count_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrences of all phrases of frequent words in each shard, by their texts."""
-    for batch in batches:
-        for row in rows_of(batch):
-            x = unpacked(row["numbers"], np.int32)
-            for k, at, n in _levels(x):
-                for i in range(0, len(at), _ROWS):
-                    some = at[i : i + _ROWS]
-                    yield pa.record_batch([pa.array([row["lang"]] * len(some), pa.string()), _texts_of(x, some, k, row["words"]), pa.array(n[i : i + _ROWS])], ["lang", "phrase", "n"])
+def _sum_pieces(support: int):
+    """Sums of one piece after the other: (code, n) of phrases that reach the support."""
+
+    def told(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        codes, n = _merged(held)
+        return pa.record_batch([pa.array(codes[n >= support]), pa.array(n[n >= support])], ["code", "n"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for row in rows_of(batch):
+                if row["piece"] != now and held:
+                    yield told(held)
+                    held = []
+                now = row["piece"]
+                held.append((np.cumsum(_from_planes(row["codes"], np.int64)), _from_planes(row["counts"], np.int64)))
+                if len(held) >= 64:
+                    held = [_merged(held)]
+        if held:
+            yield told(held)
 
-_COUNTED = "kind int, place long, numbers binary, lang string, phrase string"
+    return run
 
 
-def _count_candidates(candidates: Broadcast):
-    """Occurrences of the candidates in a task's shards, as pieces of one array (kind 0), and the text of each from the shard that is its home (kind 1)."""
+def _words_of(known: Broadcast, base: int):
+    """Codes of phrases one word longer than those ``known`` to the numbers of their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, twins, home = candidates.value
-        total = np.zeros(len(hashes), np.int64)
         for batch in batches:
-            for row in rows_of(batch):
-                x = unpacked(row["numbers"], np.int32)
-                first, second = (_word_hashes(row["words"], row["lang"], seed) for seed in (0, 1))
-
-                def place(k: int, at: np.ndarray, x=x, first=first) -> np.ndarray:
-                    return np.minimum(np.searchsorted(hashes, _hashes(x, at, k, first)), len(hashes) - 1)
-
-                def known(k: int, at: np.ndarray, x=x, first=first, second=second) -> np.ndarray:
-                    ok = hashes[place(k, at)] == _hashes(x, at, k, first)
-                    ok[ok] = twins[place(k, at[ok])] == _hashes(x, at[ok], k, second)
-                    return ok
-
-                for k, at, n in _levels(x, candidate=known):
-                    found = place(k, at)
-                    total[found] += n
-                    own = home[found] == row["block"]
-                    at, found = at[own], found[own]
-                    if len(at):
-                        m = len(at)
-                        yield pa.record_batch([pa.array(np.ones(m, np.int32)), pa.array(found.astype(np.int64)), pa.nulls(m, pa.binary()), pa.array([row["lang"]] * m, pa.string()), _texts_of(x, at, k, row["words"])], ["kind", "place", "numbers", "lang", "phrase"])
-        for i in range(0, len(total), _PIECE):
-            some = total[i : i + _PIECE]
-            if some.any():
-                yield pa.record_batch([pa.array([0], pa.int32()), pa.array([i // _PIECE], pa.int64()), pa.array([some.tobytes()], pa.binary()), pa.nulls(1, pa.string()), pa.nulls(1, pa.string())], ["kind", "place", "numbers", "lang", "phrase"])
+            code, words = batch.column(0).to_numpy(), []
+            for keys in reversed(known.value):
+                words.append(code % base)
+                code = keys[code // base - 1]
+            words = np.stack([code // base, code % base, *reversed(words)], axis=1).astype(np.int32)
+            yield pa.record_batch([pa.array([w.tobytes() for w in words], pa.binary()), batch.column(1)], ["words", "n"])
 
     return run
 
 
-def _sum_pieces(support: int):
-    """Sums of pieces as they stream in: (place, n) of candidates that reach the support."""
+def _count_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Occurrences of all phrases of frequent words in each block, by the numbers of their words."""
+    for batch in batches:
+        for row in rows_of(batch):
+            x = unpacked(row["numbers"], np.int32)
+            for k in range(2, LONGEST + 1):
+                windows = np.lib.stride_tricks.sliding_window_view(x, k) if len(x) >= k else np.zeros((0, k), np.int32)
+                words, n = np.unique(windows[(windows > 0).all(axis=1)], axis=0, return_counts=True)
+                for i in range(0, len(words), _ROWS):
+                    yield pa.record_batch([pa.array([w.tobytes() for w in words[i : i + _ROWS]], pa.binary()), pa.array(n[i : i + _ROWS])], ["words", "n"])
+
+
+def _spelled(frequent: Broadcast):
+    """Phrases by the numbers of their words to language and text; the frequent words are at hand."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
+        _, langs, names = frequent.value
         for batch in batches:
-            for piece, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                some = np.frombuffer(data, np.int64)
-                total[piece] = total[piece] + some if piece in total else some
-        for piece, n in total.items():
-            at = np.flatnonzero(n >= support)
-            yield pa.record_batch([pa.array(at + piece * _PIECE), pa.array(n[at])], ["place", "n"])
+            rows = [np.frombuffer(w, np.int32).tolist() for w in batch.column(0).to_pylist()]
+            texts = pa.array([b" ".join([names[i] for i in r]) for r in rows], pa.binary()).cast(pa.string())
+            yield pa.record_batch([pa.array([langs[r[0]] for r in rows], pa.string()), texts, batch.column(1)], ["lang", "phrase", "n"])
 
     return run
 
 
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each word of a phrase."""
+    for batch in batches:
+        rows = [(w, n, i, x) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for i, x in enumerate(np.frombuffer(w, np.int32).tolist())]
+        yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.binary(), pa.int64(), pa.int32(), pa.int32()))], ["words", "n", "place", "number"])
+
+
+def _counted_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with their task and their place in it, from 1."""
+    n = 1
+    for batch in batches:
+        k = batch.num_rows
+        yield pa.record_batch([*batch.columns, pa.array([TaskContext.get().partitionId()] * k, pa.int32()), pa.array(np.arange(n, n + k, dtype=np.int32))], [*batch.schema.names, "task", "at"])
+        n += k
+
+
 def phrase_counts(docs: DataFrame, *, support: int = 100, text_col: str = "text", lang_col: str = "lang", block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame]:
     """Words and phrases of 2 to 5 words with at least ``support`` occurrences in a language, each counted over all texts.
 
     Returns (words: lang, word, n, lang_words; phrases: lang, phrase, n). Texts are split as ``collocations`` says.
 
-    Documents are cut into blocks of about ``block_words`` words, long texts at the borders of pieces, and blocks of one language are put together to
-    shards of about ``shard_words``.
-    A phrase with ``support`` occurrences in a language has in some shard at least that shard's share of them, so each shard is
-    mined completely at its share, rounded up; the union of what was found is then counted in every shard, but for phrases that fall short
-    of the support even if every other shard held them as often as it could unnoticed. All words of
-    such a phrase reach the support, so only those, counted beforehand, take part. Shuffled are distinct words of blocks with their counts,
-    phrases of shards as packed hashes with counts, and the packed shards, never positions. Shards do not grow with the corpus:
-    the larger it is, the lower a shard's share, down to one occurrence, when the union is all phrases of frequent words.
+    Documents are cut into blocks of about ``block_words`` words, long texts at the borders of pieces. A phrase reaches the support only if its words do,
+    and the two phrases one word shorter that it is made of. So words are counted first, then phrases of 2 words, of 3 and so on, each length over all
+    blocks exactly, at the places where both shorter ones are frequent. A phrase's code is the number of the frequent phrase without its last word, and
+    that word's number; a task sums the counts of its blocks, up to ``shard_words`` codes at a time, before it sends them. Shuffled are distinct words of
+    blocks and distinct codes of tasks with their counts, packed, never positions.
     """
-    bounded_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bounded_batches(spark)
     rows = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
     blocks = stored(rows.mapInArrow(_encode(block_words), _BLOCK), "phrase-blocks")
     held = blocks.where("kind = 0").select("block", "lang", "word_number", "word", "n")
     words = stored(held.groupBy("lang", "word").agg(F.sum("n").alias("n")), "phrase-words")
     langs = stored(words.groupBy("lang").agg(F.sum("n").alias("lang_words")), "phrase-langs")
-    frequent = stored(words.where(F.col("n") >= support).join(small_or_shuffled(langs), "lang"), "phrase-frequent")
-    shards = blocks.where("kind = 1").select("block", "lang", "total", "numbers", "dictionary").join(small_or_shuffled(langs), "lang")
-    if frequent.count() <= MOST_WORDS:
-        by_lang: dict[str, tuple[dict[bytes, int], list[bytes]]] = {}
-        for r in frequent.select("lang", "word").toLocalIterator():
-            number, names = by_lang.setdefault(r.lang, ({}, []))
-            names.append(r.word.encode("utf-8", "surrogatepass"))
-            number[names[-1]] = len(names)
-        # As many groups of a language's blocks as it has shards; a task mines one after the other.
-        group = F.pmod(F.xxhash64("block"), F.ceil(F.col("lang_words") / shard_words))
-        dealt = shards.withColumn("group", group).repartition("lang", "group").sortWithinPartitions("lang", "group").drop("group")
-        mined = stored(dealt.mapInArrow(_mine_alone(support, docs.sparkSession.sparkContext.broadcast(by_lang), shard_words), _MINED), "phrase-mined")
+    frequent = words.where(F.col("n") >= support).join(small_or_shuffled(langs), "lang").select("lang", "word", "n", "lang_words")
+    frequent = stored(frequent.mapInArrow(_counted_rows, "lang string, word string, n long, lang_words long, task int, at int"), "phrase-frequent")
+    sizes = {r["task"]: r["count"] for r in frequent.groupBy("task").count().collect()}  # a row a task
+    before = [sum(n for t, n in sizes.items() if t < task) for task in range(max(sizes, default=0) + 1)]
+    numbered, n_words = frequent.withColumn("number", F.get(F.array(*map(F.lit, before)), F.col("task")) + F.col("at")).select("lang", "word", F.col("number").cast("int").alias("number")), sum(sizes.values())
+    found, base = frequent.drop("task", "at"), n_words + 1
+    shards = blocks.where("kind = 1").select("block", "lang", "numbers", "dictionary")
+    alone = n_words <= MOST_WORDS
+    if alone:
+        of: dict[str, dict[bytes, int]] = {}
+        lang_of, names = [""] * base, [b""] * base
+        for r in numbered.toLocalIterator():
+            lang_of[r.number], names[r.number] = r.lang, r.word.encode("utf-8", "surrogatepass")
+            of.setdefault(r.lang, {})[names[r.number]] = r.number
+        sent = spark.sparkContext.broadcast((of, lang_of, names))
+        shards = stored(shards.select("lang", "numbers", "dictionary").mapInArrow(_renumbered(sent), _SHARD), "phrase-shards")
     else:
-        known = held.drop("n").join(frequent.select("lang", "word"), ["lang", "word"]).select("block", "word_number", "word").toDF("block", "word_number", "word")
-        mined = stored(shards.drop("dictionary").groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_mine_joined(support), _MINED), "phrase-mined")
-    unseen = {r.lang: r.unseen for r in mined.where("kind = 1").groupBy("lang").agg(F.sum(F.col("least") - 1).alias("unseen")).toLocalIterator()}
-    found = mined.where("kind = 0").select("lang", "piece", "block", "least", "named").repartition("lang", "piece").sortWithinPartitions("lang", "piece")
-    candidates = stored(found.mapInArrow(_possible(support, unseen), "hash long, twin long, home long"), "phrase-candidates")
-    shards = mined.where("kind = 1").select("block", "lang", "words", "numbers")
-    n_candidates = candidates.count()
-    if not n_candidates:
-        return frequent, docs.sparkSession.createDataFrame([], "lang string, phrase string, n long")
-    if n_candidates > MOST_CANDIDATES:
-        counted = shards.select("lang", "words", "numbers").mapInArrow(_count_all, "lang string, phrase string, n long")
-        return frequent, stored(counted.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= support), "phrase-counts")
-    named = [c.to_numpy() for c in candidates.toArrow().columns]
-    order = np.argsort(named[0], kind="stable")
-    sent = docs.sparkSession.sparkContext.broadcast(tuple(c[order] for c in named))
-    counted = stored(shards.mapInArrow(_count_candidates(sent), _COUNTED), "phrase-counted")
-    sums = counted.where("kind = 0").select("place", "numbers").repartition("place").mapInArrow(_sum_pieces(support), "place long, n long")
-    texts = counted.where("kind = 1").select("place", "lang", "phrase")
-    return frequent, stored(sums.join(texts, "place").select("lang", "phrase", "n"), "phrase-counts")
+        own = held.join(numbered, ["lang", "word"]).select("block", "word_number", "number").toDF("block", "word_number", "number")
+        shards = stored(shards.select("block", "numbers").groupBy("block").cogroup(own.groupBy("block")).applyInArrow(_renumbered_joined, _SHARD), "phrase-shards")
+    phrases, known, n_known = None, [], 0
+    for k in range(2, LONGEST + 1):
+        codes = spark.sparkContext.broadcast(list(known))
+        counted = shards.mapInArrow(_count_level(codes, base, shard_words), _COUNTED).repartition("piece").sortWithinPartitions("piece")
+        level = stored(counted.mapInArrow(_sum_pieces(support), "code long, n long"), f"phrase-level{k}")
+        n_level = level.count()
+        if not n_level:
+            break
+        spelled = level.mapInArrow(_words_of(codes, base), "words binary, n long")
+        phrases = spelled if phrases is None else phrases.union(spelled)
+        n_known += n_level
+        if k < LONGEST and n_known > MOST_CANDIDATES:
+            phrases = shards.mapInArrow(_count_all, "words binary, n long").groupBy("words").agg(F.sum("n").alias("n")).where(F.col("n") >= support)
+            break
+        if k < LONGEST:
+            known.append(np.sort(level.select("code").toArrow().column(0).to_numpy()))
+    if phrases is None:
+        return found, spark.createDataFrame([], "lang string, phrase string, n long")
+    if alone:
+        return found, stored(phrases.mapInArrow(_spelled(sent), "lang string, phrase string, n long"), "phrase-counts")
+    spelled = phrases.mapInArrow(_placed, "words binary, n long, place int, number int").join(numbered, "number")
+    spelled = spelled.groupBy("words", "n").agg(F.first("lang").alias("lang"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "word"))), lambda x: x["word"]), " ").alias("phrase"))
+    return found, stored(spelled.select("lang", "phrase", "n"), "phrase-counts")
 
 
 def _floor_ratio(a: Column, n: Column, left: Column, right: Column) -> Column:
